@@ -66,6 +66,12 @@ class Words:
     end: np.ndarray
     hash: np.ndarray  # uint64
     first: np.ndarray  # len n_docs + 1
+    space: np.ndarray  # bool, which bytes are white space
+    total: np.ndarray  # prefix sums behind the hashes
+
+    def spans(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Hashes of byte spans, of the words' kind (lower-cased or not)."""
+        return _span_hashes(self.total, start, end)
 
     @property
     def n_docs(self) -> int:
@@ -101,12 +107,16 @@ def hash_words(data: np.ndarray, bounds: np.ndarray, lower: bool = True) -> Word
     closes = ~ws
     closes[:-1] &= ws[1:] | cut[1:n]
     start, end = np.flatnonzero(opens), np.flatnonzero(closes) + 1
-    up, down = _power_tables(n + 1)
+    up, _ = _power_tables(n + 1)
     total = np.zeros(n + 1, dtype=np.uint64)
     np.cumsum((_BYTE_LOWER if lower else _BYTE)[data] * up[:n], out=total[1:])
+    return Words(data, bounds, start, end, _span_hashes(total, start, end), np.searchsorted(start, bounds), ws, total)
+
+
+def _span_hashes(total: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    _, down = _power_tables(len(total))
     h = (total[end] - total[start]) * down[start]
-    h = mix(h + (end - start).astype(np.uint64) * _U(0xA24BAED4963EE407))
-    return Words(data, bounds, start, end, h, np.searchsorted(start, bounds))
+    return mix(h + (end - start).astype(np.uint64) * _U(0xA24BAED4963EE407))
 
 
 def slices(batch: pa.RecordBatch, column: str) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
