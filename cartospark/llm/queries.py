@@ -5,20 +5,91 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .decontaminate import find_overlaps
+from .hmm_lm import score_documents
 from .jaccard_join import jaccard_join
+from .quality_classifier import GOOD, GOOD_PROB, LEVELS, grade, label_grades, train
+from .quality_rules import quality_rules
+from .segmentation import sample_segmentations
+from .sharding import shard_by_slots
+from .store import Scratch
+from .token_file import read_token_file, write_token_file
+from .tool_calls import SCHEMA_DDL, link_tool_calls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(_table(spark, sf_dir, "documents").select("doc_id", "text"), size=3, percent=90)
 
 
+def op2_segmentations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three distinct sampled segmentations of every document; ids as their number and checksum."""
+    found = sample_segmentations(_table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"), k=3)
+    digest = [(F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32")]
+    return found.select("doc_id", "sample", "log_prob", "perturbed", "log_inclusion", *digest, "round_trip")
+
+
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = shard_by_slots(_table(spark, sf_dir, "documents"), 8, Scratch(spark, "slot-map").path("map"))
+    return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", "map_version")
+
+
+def op4_hmm_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(_table(spark, sf_dir, "documents"))
+
+
+def op5_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = Scratch(spark, "token-file").path("files")
+    write_token_file(_table(spark, sf_dir, "documents"), folder, _tokenizer("byte_bpe_50k.json"), end_id=0)
+    return read_token_file(spark, folder).select(F.col("id").alias("doc_id"), "start", "n_tokens", "ids_crc32")
+
+
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    weights, thresholds = train(docs, label_grades(_table(spark, sf_dir, "labels")), LEVELS)
+    return grade(docs, weights, thresholds, GOOD, GOOD_PROB).drop("text")
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_overlaps(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark"))
+    items = F.array_sort(F.array_distinct(F.transform("overlaps", lambda o: o["item_id"])))
+    matched = F.aggregate("overlaps", F.lit(0).cast("long"), lambda a, o: F.greatest(a, o["matched"]))
+    return found.select("doc_id", (F.size("overlaps") > 0).alias("contaminated"), items.alias("item_ids"), F.size("overlaps").cast("long").alias("n_overlaps"), matched.alias("most_matched"))
+
+
+def op10_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as tool traffic: a turn of the user calls the tool `reply`, the assistant's turn after it answers.
+
+    Every turn of the table is an event: those of the system call the tool `configure`.  A user's turn needs the
+    answer to the user's turn two before it.
+    """
+    turns = _table(spark, sf_dir, "conversations").withColumn("id", F.col("turn").cast("string"))
+    arguments = F.to_json(F.struct(F.col("turn").alias("turn"), F.col("text").alias("text"), F.col("role").alias("role")))
+    tool = F.when(F.col("role") == "user", "reply").otherwise("configure")
+    calls = turns.where("role is null or role != 'assistant'").select("conv_id", F.col("turn").alias("pos"), F.col("id").alias("call_id"), tool.alias("tool"), arguments.alias("arguments"), F.when(F.col("role") == "user", (F.col("turn") - 2).cast("string")).alias("after"))
+    results = turns.where("role = 'assistant'").select("conv_id", F.col("turn").alias("pos"), (F.col("turn") - 1).cast("string").alias("call_id"), F.col("text").alias("content"))
+    parameters = [(tool, key, kind, key != "role") for tool in ("reply", "configure") for key, kind in (("turn", "integer"), ("text", "string"), ("role", "string"))]
+    return link_tool_calls(calls, results, spark.createDataFrame(parameters, SCHEMA_DDL))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_jaccard_join": op1_jaccard_join,
+    f.__name__: f
+    for f in (op1_jaccard_join, op2_segmentations, op3_sharding, op4_hmm_lm, op5_token_file, op6_quality_rules, op7_quality_classifier, op8_decontamination, op10_tool_calls)
 }
 
 ORACLE_SQL: dict[str, str] = {}
