@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .decontaminate import find_overlaps
 from .hmm_lm import score_documents
+from .html_wrapper import extract_main_text
 from .jaccard_join import jaccard_join
 from .quality_classifier import GOOD, GOOD_PROB, LEVELS, grade, label_grades, train
 from .quality_rules import quality_rules
@@ -33,13 +34,17 @@ def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(_table(spark, sf_dir, "documents").select("doc_id", "text"), size=3, percent=90)
 
 
-def op2_segmentations(spark: SparkSession, sf_dir: str) -> DataFrame:
+def segmentation_digest(docs: DataFrame) -> DataFrame:
     """Three distinct sampled segmentations of every document; ids as their number and checksum."""
-    found = sample_segmentations(_table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"), k=3)
+    found = sample_segmentations(docs, _tokenizer("piece_bpe_32k.model"), k=3)
     digest = [(F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32")]
     return found.select("doc_id", "sample", "log_prob", "perturbed", "log_inclusion", *digest, "round_trip")
 
 
+def op2_segmentations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segmentation_digest(_table(spark, sf_dir, "documents"))
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = shard_by_slots(_table(spark, sf_dir, "documents"), 8, Scratch(spark, "slot-map").path("map"))
     return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", "map_version")
@@ -72,6 +77,11 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (F.size("overlaps") > 0).alias("contaminated"), items.alias("item_ids"), F.size("overlaps").cast("long").alias("n_overlaps"), matched.alias("most_matched"))
 
 
+def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = extract_main_text(_table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", F.col("main_text").alias("text"), F.length("main_text").cast("long").alias("n_chars"))
+
+
 def op10_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations as tool traffic: a turn of the user calls the tool `reply`, the assistant's turn after it answers.
 
@@ -89,7 +99,7 @@ def op10_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_jaccard_join, op2_segmentations, op3_sharding, op4_hmm_lm, op5_token_file, op6_quality_rules, op7_quality_classifier, op8_decontamination, op10_tool_calls)
+    for f in (op1_jaccard_join, op2_segmentations, op3_sharding, op4_hmm_lm, op5_token_file, op6_quality_rules, op7_quality_classifier, op8_decontamination, op9_main_text, op10_tool_calls)
 }
 
 ORACLE_SQL: dict[str, str] = {}

@@ -1,24 +1,60 @@
-"""The corpus pipeline over `documents`: STAGES, run() and ORACLE_SQL."""
+"""The corpus pipeline over `documents`: STAGES, run() and ORACLE_SQL.
+
+Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; all but the last return the
+columns of `documents`.  run() writes each stage's result to the shared folder and reads it back for the next.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from cartospark.llm.decontaminate import decontaminate
 from cartospark.llm.jaccard_join import drop_near_copies
+from cartospark.llm.quality_classifier import GOOD, GOOD_PROB, LEVELS, grade, label_grades, train
+from cartospark.llm.quality_rules import quality_rules
+from cartospark.llm.queries import segmentation_digest
+from cartospark.llm.store import Scratch
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are probably good, by a model fitted on the rated ones among them."""
+    weights, thresholds = train(docs, label_grades(spark.read.parquet(f"{sf_dir}/labels.parquet")), LEVELS)
+    return grade(docs, weights, thresholds, GOOD, GOOD_PROB, prefix="__").where("__kept").select(docs.columns)
+
+
+def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the counts and lie within the compression bands."""
+    return quality_rules(docs, prefix="__").where("__kept").select(docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: five-word shingles, similarity 0.8 or more."""
     return drop_near_copies(docs, size=5, percent=80)
 
 
-STAGES = [("n-gram Jaccard join", near_copies)]
+def benchmark_overlaps(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no passage of the benchmark."""
+    return decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def segmentations(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sampled segmentations of every document left."""
+    return segmentation_digest(docs)
+
+
+STAGES = [
+    ("quality classifier", quality_classifier), ("quality rules", rules), ("n-gram Jaccard join", near_copies),
+    ("benchmark decontamination", benchmark_overlaps), ("SentencePiece encoding and decoding", segmentations),
+]
 
-#: Trained weights and sampled segmentations have no SQL form; the stages are tested against brute force.
+#: Trained weights, compression and sampled segmentations have no SQL form; the stages are tested against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch = Scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        docs = scratch.keep(stage(spark, docs, sf_dir), str(k))
+    return STAGES[-1][1](spark, docs, sf_dir)
