@@ -242,7 +242,7 @@ def jaccard_links(df: DataFrame, text_col: str, total: int, scratch: Scratch, si
     groups = scratch.keep(groups, "groups")
 
     # within groups, chunk by chunk; the head joins every chunk
-    counts = groups.groupBy("head").agg(F.count("*").alias("members")).where("members > 1 or head is not null")
+    counts = groups.groupBy("head").agg(F.count("*").alias("members"))
     chunks = counts.select("head", F.ceil(F.col("members") / CHUNK).cast("int").alias("chunks"))
     spread = F.pmod(F.xxhash64("sig", "n"), F.col("chunks")).cast("int")
     members = groups.join(chunks, "head").select("head", "sig", "n", "chunks", spread.alias("chunk"))
@@ -307,8 +307,8 @@ def jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Two texts link when their sets of distinct `size`-word shingles (words lower-cased A-Z; a shorter text is
     one shingle) have Jaccard similarity of at least `percent` / 100; component_id is the smallest id reachable,
-    class_size the number of rows in the component, links the links found from the row's set to other
-    sets (at least one in a component of several sets; equal sets are one).
+    class_size the number of rows in the component, links those of the row's set in a spanning forest
+    of the component's different sets (equal sets are one; there is no count of all pairs, as those are never listed).
 
     Null or wordless texts have no shingles and link with nothing, not even each other.  Repeated ids give
     one row each.  A null id keeps its row; component_id is the smallest id of the component that isn't
