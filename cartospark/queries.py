@@ -1,11 +1,491 @@
-"""Registered queries of the spatial engine and their SQL."""
+"""Registered queries of the spatial engine over the test tables, and their SQL.
+
+Tables become spatial like this: a line item is the point (extended price, quantity); suppliers, parts and customers are boxes
+or points with integer coordinates made from their keys, so that both engines compute the same numbers.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import geodesic, geometry as G
+from .functions import st
+from .operators import generators, join, partition, synopses, tiles, trajectory, vector
+from .operators.synopses import Grid
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
-FLAGSHIP = "range_query"
+FLAGSHIP = "join_pbsm"
+
+
+def query(sql: str | None = None) -> Callable:
+    def register(f: Callable[[SparkSession, str], DataFrame]) -> Callable:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def _read(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+# --- the tables as geometries -------------------------------------------------------------------------
+
+ITEM_ID = "l_orderkey * 8 + l_linenumber"
+
+
+def items(spark: SparkSession, d: str) -> DataFrame:
+    """Points, about 100,000 wide and 50 high."""
+    t = _read(spark, d, "lineitem")
+    return t.select(F.expr(ITEM_ID).alias("item"), "l_quantity", st.st_point("l_extendedprice", "l_quantity").alias("geom"))
+
+
+_ITEMS = f"SELECT {ITEM_ID} AS item, l_extendedprice AS x, l_quantity AS y, l_quantity FROM lineitem"
+
+
+def zones(spark: SparkSession, d: str) -> DataFrame:
+    """Supplier boxes over the items' area."""
+    x1, y1 = F.expr("(s_suppkey * 7919) % 1000 * 100"), F.expr("(s_suppkey * 31) % 45 + 1")
+    t = _read(spark, d, "supplier")
+    return t.select("s_suppkey", st.st_makebox(x1, y1, x1 + F.expr("(s_suppkey % 17 + 1) * 150"), y1 + F.expr("s_suppkey % 5 + 1")).alias("geom"))
+
+
+_ZONES = """SELECT s_suppkey, (s_suppkey * 7919) % 1000 * 100 AS x1, (s_suppkey * 31) % 45 + 1 AS y1,
+    (s_suppkey * 7919) % 1000 * 100 + (s_suppkey % 17 + 1) * 150 AS x2, (s_suppkey * 31) % 45 + 1 + s_suppkey % 5 + 1 AS y2 FROM supplier"""
+
+
+def boxes(spark: SparkSession, d: str) -> DataFrame:
+    """Part boxes on a grid of 1000 x 1000."""
+    x1, y1 = F.expr("(p_partkey * 7919) % 1000"), F.expr("(p_partkey * 104729) % 1000")
+    t = _read(spark, d, "part")
+    return t.select("p_partkey", st.st_makebox(x1, y1, x1 + F.expr("p_partkey % 13 + 1"), y1 + F.expr("p_partkey % 7 + 1")).alias("geom"))
+
+
+_BOXES = """SELECT p_partkey, (p_partkey * 7919) % 1000 AS x1, (p_partkey * 104729) % 1000 AS y1,
+    (p_partkey * 7919) % 1000 + p_partkey % 13 + 1 AS x2, (p_partkey * 104729) % 1000 + p_partkey % 7 + 1 AS y2 FROM part"""
+
+
+def places(spark: SparkSession, d: str) -> DataFrame:
+    """Customer points on the same grid."""
+    t = _read(spark, d, "customer")
+    return t.select("c_custkey", st.st_point(F.expr("(c_custkey * 613) % 1000"), F.expr("(c_custkey * 389) % 1000")).alias("geom"))
+
+
+_PLACES = "SELECT c_custkey, (c_custkey * 613) % 1000 AS x, (c_custkey * 389) % 1000 AS y FROM customer"
+
+ITEM_GRID = Grid(0.0, 0.0, 110000.0, 64.0, 64, 32)
+BOX_GRID = Grid(0.0, 0.0, 1024.0, 1024.0, 32, 32)
+AREA = (0.0, 0.0, 1024.0, 1024.0)
+
+
+# --- range query and joins ----------------------------------------------------------------------------
+
+
+@query(f"SELECT item, x, y FROM ({_ITEMS}) WHERE x BETWEEN 20000 AND 45000 AND y BETWEEN 5 AND 20")
+def range_query(spark, d):
+    found = join.range_query(items(spark, d), G.box(20000, 5, 45000, 20), simple=True)
+    return found.select("item", st.st_xmin("geom").alias("x"), st.st_ymin("geom").alias("y"))
+
+
+_ZONE_JOIN = f"SELECT s_suppkey, count(*) AS n, sum(item) AS items, sum(l_quantity) AS quantity FROM ({_ZONES}) z JOIN ({_ITEMS}) i ON x BETWEEN x1 AND x2 AND y BETWEEN y1 AND y2 GROUP BY s_suppkey"
+_ZONE_JOIN = _ZONE_JOIN.replace("sum(item)", "CAST(sum(item) AS BIGINT)")
+
+
+def _zone_join(method: str, **more) -> Callable:
+    def run(spark, d):
+        pairs = join.spatial_join(items(spark, d), zones(spark, d), "intersects", method, **more)
+        return pairs.groupBy("s_suppkey").agg(F.count("*").alias("n"), F.sum("item").alias("items"), F.sum("l_quantity").alias("quantity"))
+
+    run.__name__ = f"join_{method}"
+    return run
+
+
+for _method in ("auto", "bnlj", "broadcast", "pbsm", "sjmr", "sj1d"):
+    query(_ZONE_JOIN)(_zone_join(_method))
+
+
+def _cell_join(method: str, left: str, right: str | None) -> Callable:
+    def run(spark, d):
+        a, b = items(spark, d), zones(spark, d)
+        l_cells = partition.make_cells(a, left, 16)
+        r_cells = partition.make_cells(b, right, 8) if right else None
+        pairs = join.spatial_join(a, b, "intersects", method, left_cells=l_cells, right_cells=r_cells)
+        return pairs.groupBy("s_suppkey").agg(F.count("*").alias("n"), F.sum("item").alias("items"), F.sum("l_quantity").alias("quantity"))
+
+    run.__name__ = f"join_{method}"
+    return run
+
+
+query(_ZONE_JOIN)(_cell_join("dj", "rsgrove", "kdtree"))
+query(_ZONE_JOIN)(_cell_join("repj", "str", None))
+
+_MEET = "a.x1 <= b.x2 AND b.x1 <= a.x2 AND a.y1 <= b.y2 AND b.y1 <= a.y2"
+_INNER = "a.x1 < b.x2 AND b.x1 < a.x2 AND a.y1 < b.y2 AND b.y1 < a.y2"
+_HOLDS = "a.x1 <= b.x1 AND b.x2 <= a.x2 AND a.y1 <= b.y1 AND b.y2 <= a.y2"
+_HELD = "b.x1 <= a.x1 AND a.x2 <= b.x2 AND b.y1 <= a.y1 AND a.y2 <= b.y2"
+
+
+@query(f"SELECT a.p_partkey AS l_id, b.p_partkey AS r_id FROM ({_BOXES}) a JOIN ({_BOXES}) b ON a.p_partkey < b.p_partkey AND {_MEET}")
+def self_join(spark, d):
+    return join.self_join(boxes(spark, d), "p_partkey").select(F.col("l_p_partkey").alias("l_id"), F.col("r_p_partkey").alias("r_id"))
+
+
+_PREDICATE_SQL = {
+    "contains": _HOLDS, "within": _HELD, "covers": _HOLDS, "coveredby": _HELD, "touches": f"{_MEET} AND NOT ({_INNER})", "overlaps": f"{_INNER} AND NOT ({_HOLDS}) AND NOT ({_HELD})",
+    "equals": "a.x1 = b.x1 AND a.x2 = b.x2 AND a.y1 = b.y1 AND a.y2 = b.y2", "mbrintersects": _MEET,
+}
+
+
+def _predicate_join(name: str) -> Callable:
+    def run(spark, d):
+        pairs = join.spatial_join(boxes(spark, d), boxes(spark, d), name, "pbsm")
+        return pairs.select(F.col("l_p_partkey").alias("l_id"), F.col("r_p_partkey").alias("r_id"))
+
+    run.__name__ = f"join_{name}"
+    return run
+
+
+for _name, _sql in _PREDICATE_SQL.items():
+    query(f"SELECT a.p_partkey AS l_id, b.p_partkey AS r_id FROM ({_BOXES}) a JOIN ({_BOXES}) b ON {_sql}")(_predicate_join(_name))
+
+
+@query(f"SELECT a.s_suppkey AS l_id, count(*) AS n FROM ({_ZONES}) a JOIN ({_ZONES}) b ON NOT ({_MEET}) GROUP BY a.s_suppkey")
+def join_disjoint(spark, d):
+    pairs = join.spatial_join(zones(spark, d), zones(spark, d), "disjoint")
+    return pairs.groupBy(F.col("l_s_suppkey").alias("l_id")).agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT a.c_custkey AS l_id, b.c_custkey AS r_id FROM ({_PLACES}) a JOIN ({_PLACES}) b ON a.c_custkey < b.c_custkey AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 225")
+def join_within_distance(spark, d):
+    return join.self_join(places(spark, d), "c_custkey", "withindistance", distance=15.0).select(F.col("l_c_custkey").alias("l_id"), F.col("r_c_custkey").alias("r_id"))
+
+
+_BOX_PLACE = "p.x BETWEEN b.x1 AND b.x2 AND p.y BETWEEN b.y1 AND b.y2"
+
+
+@query(f"SELECT c_custkey, p_partkey FROM ({_PLACES}) p LEFT JOIN ({_BOXES}) b ON {_BOX_PLACE}")
+def join_left(spark, d):
+    return join.spatial_join(places(spark, d), boxes(spark, d), how="left").select("c_custkey", "p_partkey")
+
+
+@query(f"SELECT c_custkey FROM ({_PLACES}) p WHERE EXISTS (SELECT 1 FROM ({_BOXES}) b WHERE {_BOX_PLACE})")
+def join_semi(spark, d):
+    return join.spatial_join(places(spark, d), boxes(spark, d), how="semi").select("c_custkey")
+
+
+@query(f"SELECT c_custkey FROM ({_PLACES}) p WHERE NOT EXISTS (SELECT 1 FROM ({_BOXES}) b WHERE {_BOX_PLACE})")
+def join_anti(spark, d):
+    return join.spatial_join(places(spark, d), boxes(spark, d), how="anti").select("c_custkey")
+
+
+@query(
+    f"""SELECT s_suppkey AS driver_id, 0 AS source, list(p_partkey ORDER BY p_partkey) AS ids FROM (SELECT s_suppkey, (s_suppkey * 13) % 900 AS x1, (s_suppkey * 17) % 900 AS y1 FROM supplier) s
+    JOIN ({_BOXES}) b ON b.x1 <= s.x1 + 50 AND s.x1 <= b.x2 AND b.y1 <= s.y1 + 50 AND s.y1 <= b.y2 GROUP BY s_suppkey
+    UNION ALL SELECT s_suppkey, 1, list(c_custkey ORDER BY c_custkey) FROM (SELECT s_suppkey, (s_suppkey * 13) % 900 AS x1, (s_suppkey * 17) % 900 AS y1 FROM supplier) s
+    JOIN ({_PLACES}) p ON p.x > s.x1 AND p.x < s.x1 + 50 AND p.y > s.y1 AND p.y < s.y1 + 50 GROUP BY s_suppkey"""
+)
+def multi_way_join(spark, d):
+    x, y = F.expr("(s_suppkey * 13) % 900"), F.expr("(s_suppkey * 17) % 900")
+    drivers = _read(spark, d, "supplier").select("s_suppkey", st.st_makebox(x, y, x + 50, y + 50).alias("geom"))
+    return join.multi_way_join(drivers, [(boxes(spark, d), "p_partkey", "intersects"), (places(spark, d), "c_custkey", "contains")], "s_suppkey")
+
+
+@query(
+    f"""WITH p AS ({_PLACES}), m AS (SELECT a.c_custkey AS l_id, b.c_custkey AS r_id, CAST(abs(a.x - b.x) + abs(a.y - b.y) AS DOUBLE) AS distance FROM p a JOIN p b ON a.c_custkey < b.c_custkey)
+    SELECT * FROM m WHERE distance = (SELECT min(distance) FROM m)"""
+)
+def closest_pairs(spark, d):
+    p = places(spark, d).select("c_custkey", st.st_xmin("geom").alias("x"), st.st_ymin("geom").alias("y"))
+    return join.closest_pairs(p, "c_custkey", "x", "y", 64.0)
+
+
+# --- synopses -----------------------------------------------------------------------------------------
+
+
+@query(f"SELECT min(x) AS xmin, min(y) AS ymin, max(x) AS xmax, max(y) AS ymax, count(*) AS num_features, count(*) AS num_nonempty, count(*) AS num_points, count(*) * 80 AS size, 0.0::DOUBLE AS sum_x, 0.0::DOUBLE AS sum_y, 0.0::DOUBLE AS sum_area, 'POINT' AS kind FROM ({_ITEMS})")
+def summary(spark, d):
+    return synopses.summary(items(spark, d), simple=True)
+
+
+_CENTRES = f"SELECT *, (x1 + x2) / 2.0 AS cx, (y1 + y2) / 2.0 AS cy FROM ({_BOXES})"
+
+
+@query(
+    f"""SELECT i0, i1, min(greatest(x1, i0 * 32.0))::DOUBLE AS xmin, min(greatest(y1, i1 * 32.0))::DOUBLE AS ymin, max(least(x2, (i0 + 1) * 32.0))::DOUBLE AS xmax, max(least(y2, (i1 + 1) * 32.0))::DOUBLE AS ymax,
+    count(*) AS num_features, count(*) AS num_nonempty, count(*) * 5 AS num_points, count(*) * 96 AS size, sum(least(x2, (i0 + 1) * 32.0) - greatest(x1, i0 * 32.0))::DOUBLE AS sum_x,
+    sum(least(y2, (i1 + 1) * 32.0) - greatest(y1, i1 * 32.0))::DOUBLE AS sum_y, sum((least(x2, (i0 + 1) * 32.0) - greatest(x1, i0 * 32.0)) * (least(y2, (i1 + 1) * 32.0) - greatest(y1, i1 * 32.0)))::DOUBLE AS sum_area
+    FROM (SELECT *, CAST(floor(cx / 32) AS BIGINT) AS i0, CAST(floor(cy / 32) AS BIGINT) AS i1 FROM ({_CENTRES})) GROUP BY i0, i1"""
+)
+def gridded_summary(spark, d):
+    return synopses.gridded_summary(boxes(spark, d), BOX_GRID)
+
+
+_CELL = "CAST(floor(x * 64 / 110000.0) AS BIGINT) AS col, CAST(floor(y * 32 / 64.0) AS BIGINT) AS row"
+
+
+@query(f"SELECT col, row, count(*) AS value FROM (SELECT {_CELL} FROM ({_ITEMS})) GROUP BY col, row")
+def uniform_histogram(spark, d):
+    return synopses.uniform_histogram(items(spark, d), ITEM_GRID)
+
+
+@query(f"SELECT col, row, sum(l_quantity) AS value FROM (SELECT l_quantity, {_CELL} FROM ({_ITEMS})) GROUP BY col, row")
+def value_histogram(spark, d):
+    return synopses.uniform_histogram(items(spark, d), ITEM_GRID, value=F.col("l_quantity"))
+
+
+_ALL_CELLS = f"SELECT c.col, r.row, coalesce(value, 0) AS value FROM (SELECT unnest(range(64)) AS col) c CROSS JOIN (SELECT unnest(range(32)) AS row) r LEFT JOIN (SELECT col, row, count(*) AS value FROM (SELECT {_CELL} FROM ({_ITEMS})) GROUP BY col, row) h USING (col, row)"
+
+
+@query(f"SELECT col, row, value, CAST(sum(across) OVER (PARTITION BY col ORDER BY row) AS BIGINT) AS prefix FROM (SELECT *, sum(value) OVER (PARTITION BY row ORDER BY col) AS across FROM ({_ALL_CELLS}))")
+def prefix_histogram(spark, d):
+    return synopses.prefix_sums(synopses.uniform_histogram(items(spark, d), ITEM_GRID, zeros=True))
+
+
+@query(f"SELECT count(*) AS value FROM (SELECT {_CELL} FROM ({_ITEMS})) WHERE col BETWEEN 10 AND 29 AND row BETWEEN 4 AND 15")
+def rectangle_sum(spark, d):
+    return synopses.rectangle_sum(prefix_histogram(spark, d), 10, 4, 20, 12)
+
+
+_SPANS = f"SELECT least(floor(x1 / 32), 31)::BIGINT AS a, least(floor(x2 / 32), 31)::BIGINT AS b, least(floor(y1 / 32), 31)::BIGINT AS c, least(floor(y2 / 32), 31)::BIGINT AS d FROM ({_BOXES})"
+
+
+@query(
+    f"""SELECT col, row, count(*) AS c1, count(*) FILTER (col = a) AS c2, count(*) FILTER (row = c) AS c3, count(*) FILTER (col = a AND row = c) AS c4
+    FROM (SELECT *, unnest(range(c, d + 1)) AS row FROM (SELECT *, unnest(range(a, b + 1)) AS col FROM ({_SPANS}))) GROUP BY col, row"""
+)
+def euler_histogram(spark, d):
+    return synopses.euler_histogram(boxes(spark, d), BOX_GRID)
+
+
+@query(f"SELECT count(*) AS value FROM ({_SPANS}) WHERE a <= 19 AND b >= 5 AND c <= 24 AND d >= 8")
+def euler_count(spark, d):
+    return synopses.euler_count(synopses.euler_histogram(boxes(spark, d), BOX_GRID), 5, 8, 15, 17)
+
+
+@query(
+    f"""WITH l AS (SELECT unnest(range(6)) AS level), s AS (SELECT level, least(floor(x1 * (1 << level) / 1024.0), (1 << level) - 1)::BIGINT AS a, least(floor(x2 * (1 << level) / 1024.0), (1 << level) - 1)::BIGINT AS b,
+    least(floor(y1 * (1 << level) / 1024.0), (1 << level) - 1)::BIGINT AS c, least(floor(y2 * (1 << level) / 1024.0), (1 << level) - 1)::BIGINT AS d FROM ({_BOXES}) CROSS JOIN l),
+    v AS (SELECT level, col, row, count(*) AS v FROM (SELECT level, col, unnest(range(c, d + 1)) AS row FROM (SELECT *, unnest(range(a, b + 1)) AS col FROM s)) GROUP BY level, col, row)
+    SELECT CAST(level AS INTEGER) AS level, CAST(sum(v * v) AS DOUBLE) AS total, 1024.0::DOUBLE / (1 << level) AS side FROM v GROUP BY level"""
+)
+def box_counting(spark, d):
+    return synopses.box_counts(boxes(spark, d), BOX_GRID, 5, 2)
+
+
+@query(f"SELECT CAST(count(*) AS BIGINT) AS n, true AS inside FROM (SELECT * FROM ({_ITEMS}) LIMIT 1000)")
+def point_sample(spark, d):
+    """A sampling operator: 1000 of the points."""
+    s = synopses.point_sample(items(spark, d), 1000, 7)
+    return s.agg(F.count("*").alias("n"), F.min(ITEM_GRID.inside(F.col("x"), F.col("y"))).alias("inside"))
+
+
+# --- partitioners -------------------------------------------------------------------------------------
+
+
+@query(f"SELECT CAST(least(floor(cx * 8 / 1014.0), 7) + 8 * least(floor(cy * 8 / 1006.0), 7) AS INTEGER) AS cell_id, count(*) AS n FROM ({_CENTRES}) WHERE x2 <= 1014 AND y2 <= 1006 GROUP BY 1")
+def grid_partition(spark, d):
+    inside = boxes(spark, d).where("geom.xmax <= 1014 and geom.ymax <= 1006")
+    cells = partition.grid_cells(Grid(0.0, 0.0, 1014.0, 1006.0, 8, 8))
+    return partition.spatial_partition(inside, cells, replicate=False).groupBy("cell_id").agg(F.count("*").alias("n"))
+
+
+def _partitioned(name: str) -> Callable:
+    def run(spark, d):
+        df = boxes(spark, d)
+        cells = partition.make_cells(df, name, 16)
+        placed = partition.spatial_partition(df, cells)
+        placed = partition.without_copies(placed, cells) if cells.disjoint else placed
+        return placed.agg(F.count("*").alias("n"), F.countDistinct("p_partkey").alias("parts"), (F.countDistinct("cell_id") > 1).alias("several"))
+
+    run.__name__ = f"partition_{name}"
+    return run
+
+
+for _name in partition.PARTITIONERS:
+    query("SELECT count(*) AS n, count(DISTINCT p_partkey) AS parts, true AS several FROM part")(_partitioned(_name))
+
+_SPREAD = " | ".join(f"(((v >> {b}) & 1) << {2 * b})" for b in range(10))
+
+
+@query(f"SELECT c_custkey, CAST(({_SPREAD.replace('v', 'x')}) | (({_SPREAD.replace('v', 'y')}) << 1) AS BIGINT) AS z FROM ({_PLACES})")
+def z_curve(spark, d):
+    return places(spark, d).select("c_custkey", partition.z_key(F.col("geom.xmin").cast("long"), F.col("geom.ymin").cast("long")).alias("z"))
+
+
+@query()
+def hilbert_curve(spark, d):
+    return places(spark, d).select("c_custkey", partition.hilbert_key(F.col("geom.xmin").cast("long"), F.col("geom.ymin").cast("long"), 10).alias("h"))
+
+
+# --- measures, vector analysis ------------------------------------------------------------------------
+
+
+@query(f"SELECT p_partkey, CAST((x2 - x1) * (y2 - y1) AS DOUBLE) AS area, CAST(2 * (x2 - x1 + y2 - y1) AS DOUBLE) AS length, (x1 + x2) / 2.0::DOUBLE AS cx, (y1 + y2) / 2.0::DOUBLE AS cy, 5 AS points FROM ({_BOXES})")
+def measures(spark, d):
+    """The kernel's measures over WKB polygons, not the native ones of boxes."""
+    g = boxes(spark, d).select("p_partkey", st.st_fromwkb(st.st_towkb(F.col("geom"))).alias("geom"))
+    c = st.st_centroid("geom")
+    return g.select("p_partkey", st.st_area("geom").alias("area"), st.st_length("geom").alias("length"), c["xmin"].alias("cx"), c["ymin"].alias("cy"), st.st_numpoints("geom").alias("points"))
+
+
+@query(
+    """WITH v AS (SELECT o_orderkey, 1000 + (o_orderkey * 31) % 500 AS x0, (o_orderkey * 17) % 500 AS y0, o_orderkey % 40 + 10 AS a, o_orderkey % 30 + 10 AS b FROM orders)
+    SELECT o_orderkey, CAST(a * b / 2.0 AS DOUBLE) AS area, round(a + b + sqrt(a * a + b * b), 6) AS length, round(x0 + a / 3.0, 6)::DOUBLE AS cx, round(y0 + b / 3.0, 6)::DOUBLE AS cy FROM v"""
+)
+def polygon_measures(spark, d):
+    """Triangles built from coordinate arrays."""
+    v = _read(spark, d, "orders").selectExpr("o_orderkey", "1000 + (o_orderkey * 31) % 500 AS x0", "(o_orderkey * 17) % 500 AS y0", "o_orderkey % 40 + 10 AS a", "o_orderkey % 30 + 10 AS b")
+    coords = F.expr("transform(array(x0, y0, x0 + a, y0, x0, y0 + b, x0, y0), v -> double(v))")
+    t = v.select("o_orderkey", st.st_createpolygon(coords).alias("geom"))
+    c = st.st_centroid("geom")
+    return t.select("o_orderkey", st.st_area("geom").alias("area"), F.round(st.st_length("geom"), 6).alias("length"), F.round(c["xmin"], 6).alias("cx"), F.round(c["ymin"], 6).alias("cy"))
+
+
+@query(f"SELECT a.p_partkey AS left_id, b.s_suppkey AS right_id, CAST((least(a.x2, b.x2) - greatest(a.x1, b.x1)) * (least(a.y2, b.y2) - greatest(a.y1, b.y1)) AS DOUBLE) AS area FROM ({_BOXES}) a JOIN (SELECT s_suppkey, (s_suppkey * 13) % 900 AS x1, (s_suppkey * 17) % 900 AS y1, (s_suppkey * 13) % 900 + 60 AS x2, (s_suppkey * 17) % 900 + 40 AS y2 FROM supplier) b ON {_INNER}")
+def overlay_intersection(spark, d):
+    x, y = F.expr("(s_suppkey * 13) % 900"), F.expr("(s_suppkey * 17) % 900")
+    s = _read(spark, d, "supplier").select("s_suppkey", st.st_makebox(x, y, x + 60, y + 40).alias("geom"))
+    out = vector.overlay(boxes(spark, d), s, "p_partkey", "s_suppkey")
+    return out.select("left_id", "right_id", F.round(st.st_area("geom"), 6).alias("area")).where("area > 0")
+
+
+_CLUSTERED = "SELECT s_suppkey AS id, (s_suppkey * 37) % 200 AS x1, (s_suppkey * 53) % 200 AS y1, (s_suppkey * 37) % 200 + s_suppkey % 5 + 3 AS x2, (s_suppkey * 53) % 200 + s_suppkey % 7 + 3 AS y2 FROM supplier"
+
+
+def _clustered(spark, d):
+    x, y = F.expr("(s_suppkey * 37) % 200"), F.expr("(s_suppkey * 53) % 200")
+    return _read(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), st.st_makebox(x, y, x + F.expr("s_suppkey % 5 + 3"), y + F.expr("s_suppkey % 7 + 3")).alias("geom"))
+
+
+@query(
+    f"""WITH RECURSIVE b AS ({_CLUSTERED}), e AS (SELECT a.id AS u, b.id AS v FROM b a JOIN b ON {_MEET}),
+    r AS (SELECT u, v FROM e UNION SELECT r.u, e.v FROM r JOIN e ON r.v = e.u) SELECT component, count(*) AS members FROM (SELECT u, min(v) AS component FROM r GROUP BY u) GROUP BY component"""
+)
+def dissolve_groups(spark, d):
+    return vector.dissolve(_clustered(spark, d), "id").select("component", "members")
+
+
+@query()
+def dissolve_area(spark, d):
+    return vector.dissolve(_clustered(spark, d), "id").select("component", F.round(st.st_area("geom"), 6).alias("area"))
+
+
+@query()
+def buffer_dissolve(spark, d):
+    some = places(spark, d)
+    return vector.buffer_dissolve(some, "c_custkey", 6.0).select("component", "members", F.round(st.st_area("geom"), 4).alias("area"))
+
+
+@query("SELECT c_custkey, round(c_acctbal / 100.0 * pi() / 180 * 6378137.0, 4) AS mx, round(ln(tan(pi() / 4 + (c_nationkey * 3 - 30) * pi() / 360)) * 6378137.0, 4) AS my FROM customer WHERE c_acctbal / 100.0 BETWEEN -180 AND 180")
+def reproject(spark, d):
+    t = _read(spark, d, "customer").where("c_acctbal / 100.0 between -180 and 180")
+    mx, my = geodesic.mercator_x(F.col("c_acctbal") / 100.0), geodesic.mercator_y(F.col("c_nationkey") * 3.0 - 30)
+    return t.select("c_custkey", F.round(mx, 4).alias("mx"), F.round(my, 4).alias("my"))
+
+
+@query()
+def quad_split(spark, d):
+    g = generators.generate(spark, "uniform", 50, 3, (0.0, 0.0, 100.0, 100.0), "polygon", (20.0, 20.0), (40, 80))
+    return g.select("id", F.explode(st.st_quadsplit("geom", 16)).alias("p")).groupBy("id").agg(F.count("*").alias("parts"), F.max(st.st_numpoints("p")).alias("most"))
+
+
+# --- trajectories -------------------------------------------------------------------------------------
+
+
+def _tracks(spark, d):
+    return _read(spark, d, "events").selectExpr("user_id", "ts", "event_id", "value / 10 AS lng", "(event_id % 600) / 10 - 30 AS lat")
+
+
+_TRACKS = "SELECT user_id, ts, event_id, value / 10 AS lng, (event_id % 600) / 10.0 - 30 AS lat FROM events"
+_KM = "CASE WHEN plng IS NOT NULL THEN 2 * 6371.0087714 * asin(least(1.0, sqrt(power(sin((radians(lat) - radians(plat)) / 2), 2) + cos(radians(plat)) * cos(radians(lat)) * power(sin((radians(lng) - radians(plng)) / 2), 2)))) END"
+
+
+@query(
+    f"""SELECT user_id, count(*) AS num_points, min(lng) AS xmin, max(lng) AS xmax, round(min(lat), 6)::DOUBLE AS ymin, round(max(lat), 6)::DOUBLE AS ymax, round(coalesce(sum({_KM}), 0), 4) AS length_km,
+    round(coalesce(sum({_KM}), 0) / ((epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6 / 3600), 4) AS speed_kmh
+    FROM (SELECT *, lag(lng) OVER w AS plng, lag(lat) OVER w AS plat FROM ({_TRACKS}) WINDOW w AS (PARTITION BY user_id ORDER BY ts, lng, lat)) GROUP BY user_id"""
+)
+def trajectory_features(spark, d):
+    f = trajectory.features(_tracks(spark, d), "user_id", "ts")
+    return f.select("user_id", "num_points", "xmin", "xmax", F.round("ymin", 6).alias("ymin"), F.round("ymax", 6).alias("ymax"), F.round("length_km", 4).alias("length_km"), F.round("speed_kmh", 4).alias("speed_kmh"))
+
+
+@query(
+    f"""WITH s AS (SELECT *, CASE WHEN plng IS NULL OR {_KM} > 500 THEN 1 ELSE 0 END AS far FROM (SELECT *, lag(lng) OVER w AS plng, lag(lat) OVER w AS plat FROM ({_TRACKS}) WINDOW w AS (PARTITION BY user_id ORDER BY ts, lng, lat))),
+    r AS (SELECT *, sum(far) OVER (PARTITION BY user_id ORDER BY ts, lng, lat ROWS UNBOUNDED PRECEDING) AS run FROM s)
+    SELECT user_id, count(*) AS num_points, (epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6 AS stay_s FROM r GROUP BY user_id, run HAVING (epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6 >= 1200"""
+)
+def stay_points(spark, d):
+    return trajectory.stay_points(_tracks(spark, d), "user_id", "ts", radius_km=500.0).select("user_id", "num_points", F.round("stay_s", 6).alias("stay_s"))
+
+
+# --- tiles --------------------------------------------------------------------------------------------
+
+
+def _tile_sql(z: int) -> str:
+    n, w = 1 << z, 1024.0 / (1 << z)
+    col = lambda c: f"least(floor({c} / {w}), {n - 1})::BIGINT"
+    spans = f"SELECT {col('x1')} AS a, {col('x2')} AS b, {n - 1} - {col('y2')} AS c, {n - 1} - {col('y1')} AS d FROM ({_BOXES})"
+    return f"SELECT ({z}::BIGINT << 52) | (col << 26) | row AS tile, count(*) AS count FROM (SELECT col, unnest(range(c, d + 1)) AS row FROM (SELECT *, unnest(range(a, b + 1)) AS col FROM ({spans}))) GROUP BY col, row"
+
+
+@query(" UNION ALL ".join(_tile_sql(z) for z in (0, 3, 6)))
+def tile_counts(spark, d):
+    return tiles.tile_counts(boxes(spark, d), AREA, [0, 3, 6])
+
+
+_POINT_TILE = "(({z}::BIGINT << 52) | ((x * {n} // 1024) << 26) | ({n} - 1 - y * {n} // 1024))"
+
+
+@query(" UNION ALL ".join(f"SELECT {_POINT_TILE.format(z=z, n=1 << z)} AS tile, count(*) AS count FROM ({_PLACES}) GROUP BY 1" for z in range(3, 7)))
+def tile_pyramid(spark, d):
+    return tiles.pyramid_counts(tiles.tile_counts(places(spark, d), AREA, [6]), 3)
+
+
+@query(f"SELECT x * 64 // 1024 AS px, 63 - y * 64 // 1024 AS py, count(*) AS count FROM ({_PLACES}) GROUP BY 1, 2")
+def pixel_counts(spark, d):
+    return tiles.pixel_counts(places(spark, d), AREA, 64, 64)
+
+
+@query()
+def image_pyramid(spark, d):
+    return tiles.plot_pyramid(places(spark, d), AREA, [0, 1, 2], 64).select("tile", F.length("png").alias("bytes"))
+
+
+@query()
+def vector_tiles(spark, d):
+    return tiles.vector_tiles(boxes(spark, d), AREA, [0, 2], attributes=["p_partkey"]).select("tile", "part", F.length("mvt").alias("bytes"))
+
+
+# --- generators and formats ---------------------------------------------------------------------------
+
+
+def _generated(name: str) -> Callable:
+    def run(spark, d):
+        g = generators.generate(spark, name, 5000, 42, shape="box")
+        return g.agg(F.count("*").alias("n"), F.countDistinct("id").alias("ids"))
+
+    run.__name__ = f"generate_{name}"
+    return run
+
+
+for _name in generators.DISTRIBUTIONS:
+    query("SELECT 5000::BIGINT AS n, 5000::BIGINT AS ids")(_generated(_name))
+
+
+@query(f"SELECT p_partkey, 'POLYGON ((' || x1 || ' ' || y1 || ', ' || x2 || ' ' || y1 || ', ' || x2 || ' ' || y2 || ', ' || x1 || ' ' || y2 || ', ' || x1 || ' ' || y1 || '))' AS wkt FROM ({_BOXES})")
+def wkt_codec(spark, d):
+    g = boxes(spark, d).select("p_partkey", st.st_fromwkt(st.st_astext(F.col("geom"))).alias("geom"))
+    return g.select("p_partkey", st.st_astext("geom").alias("wkt"))
+
+
+@query(f"SELECT p_partkey, x1::DOUBLE AS xmin, y2::DOUBLE AS ymax FROM ({_BOXES})")
+def spatial_parquet_codec(spark, d):
+    g = boxes(spark, d).select("p_partkey", st.st_fromspatialparquet(st.st_tospatialparquet(F.col("geom"))).alias("geom"))
+    return g.select("p_partkey", st.st_xmin("geom").alias("xmin"), st.st_ymax("geom").alias("ymax"))
