@@ -34,6 +34,12 @@ def planar_distance(x1, y1, x2, y2) -> Column:
     return F.sqrt(F.pow(_c(x2) - _c(x1), F.lit(2)) + F.pow(_c(y2) - _c(y1), F.lit(2)))
 
 
+def box_by_distance(x, y, distance) -> Column:
+    """Planar bounds of all points within a distance."""
+    x, y, d = _c(x), _c(y), _c(distance)
+    return F.struct((x - d).alias("xmin"), (y - d).alias("ymin"), (x + d).alias("xmax"), (y + d).alias("ymax"))
+
+
 def km_to_degree(km) -> Column:
     return _c(km) / DEGREE_KM
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions.st import st_numpoints, storage_size
@@ -106,6 +106,18 @@ def summary(df: DataFrame, geom: str = "geom", simple: bool = False, by: list[st
     return grouped.agg(*summary_columns(g, simple), coerced_kind(kinds).alias("kind"))
 
 
+def partition_summary(df: DataFrame, geom: str = "geom", simple: bool = False) -> DataFrame:
+    """A summary of every physical partition as it stands."""
+    return summary(df.withColumn("partition", F.spark_partition_id()), geom, simple, by=["partition"])
+
+
+def observed_summary(df: DataFrame, name: str, geom: str = "geom") -> tuple[DataFrame, Observation]:
+    """(df, observation): the bounds and counts of the rows that pass through whatever is done with df, without a job of their own."""
+    seen, g = Observation(name), F.col(geom)
+    bounds = [f(g[c]).alias(c) for f, c in ((F.min, "xmin"), (F.min, "ymin"), (F.max, "xmax"), (F.max, "ymax"))]
+    return df.observe(seen, *bounds, F.count(F.lit(1)).alias("num_features"), F.count(g["xmin"]).alias("num_nonempty")), seen
+
+
 def summary_from_manifest(manifest: DataFrame) -> DataFrame:
     """The summary of an indexed dataset from its partitions' metadata, without a scan."""
     sums = [F.sum(c).alias(c) for c in ("num_features", "num_nonempty", "num_points", "size", "sum_x", "sum_y", "sum_area")]

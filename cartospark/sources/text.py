@@ -288,3 +288,23 @@ def write_kml(df: DataFrame, path: str, geom: str = "geom", name: str | None = N
         yield pd.DataFrame({"value": ["</Document></kml>"]})
 
     df.select(mark.alias("value")).mapInPandas(document, "value string").write.text(path)
+
+
+def kmz_parts(df: DataFrame, geom: str = "geom") -> DataFrame:
+    """(name, content): a zipped KML document for every partition, to be written by any sink."""
+    rows = df.select(st_askml(F.col(geom)).alias("value")).where("value is not null")
+
+    def pack(frames):
+        import io
+        import zipfile
+
+        from pyspark import TaskContext
+
+        marks = [f"<Placemark>{v}</Placemark>" for pdf in frames for v in pdf["value"]]
+        if marks:
+            buffer = io.BytesIO()
+            with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as z:
+                z.writestr("doc.kml", '<?xml version="1.0" encoding="UTF-8"?><kml xmlns="http://www.opengis.net/kml/2.2"><Document>' + "".join(marks) + "</Document></kml>")
+            yield pd.DataFrame({"name": [f"part-{TaskContext.get().partitionId():05d}.kmz"], "content": [buffer.getvalue()]})
+
+    return rows.mapInPandas(pack, "name string, content binary")

@@ -59,6 +59,14 @@ def test_gpx_and_kml(spark, tmp_path):
     assert out.count("<Placemark>") == 2 and "b &amp; c" in out and "<innerBoundaryIs>" in out and out.endswith("</kml>")
 
 
+def test_kmz(spark):
+    import io
+    import zipfile
+
+    parts = text.kmz_parts(shapes(spark).coalesce(1)).collect()
+    assert zipfile.ZipFile(io.BytesIO(bytes(parts[0].content))).read("doc.kml").count(b"<Placemark>") == 2
+
+
 def test_parquet_formats(spark, tmp_path):
     binary.write_geoparquet(shapes(spark), str(tmp_path / "g"))
     assert set(binary.BOUNDS) <= set(spark.read.parquet(str(tmp_path / "g")).columns)

@@ -264,3 +264,17 @@ def test_sql_names(spark):
     assert {"ST_Area", "ST_Intersects", "ST_CreatePointZM", "ST_MBR", "ST_Intersection", "ST_GeometryN"} <= set(names)
     r = spark.sql("SELECT ST_Area(ST_CreateBox(0, 0, 2, 3)) AS a, ST_Intersects(ST_CreatePoint(1, 1), ST_CreateBox(0, 0, 2, 2)) AS i, ST_XMax(ST_Extent(array(ST_CreatePoint(1, 5), ST_CreatePoint(7, 2)))) AS x, ST_AsText(ST_FromWKT('POINT (1 2)')) AS w, ST_WithinDistance(ST_CreatePoint(0, 0), ST_CreatePoint(3, 4), 5) AS d").first()
     assert (r.a, r.i, r.x, r.w, r.d) == (6, True, 7, "POINT (1 2)", True)
+
+
+def test_observed_and_partition_summaries(spark):
+    df = generators.generate(spark, "uniform", 100, 1)
+    seen_df, seen = synopses.observed_summary(df, "s1")
+    assert seen_df.where("id < 10").count() == 10 and seen.get["num_features"] == 100
+    assert synopses.partition_summary(df.repartition(3)).agg(F.sum("num_features")).first()[0] == 100
+
+
+def test_dates(spark):
+    from cartospark.functions import dates
+
+    r = spark.range(1).select(dates.parse_time(F.lit("2024-05-01 08:00:00"), zone="Asia/Shanghai").cast("string").alias("t"), dates.parse_time(F.lit("no")).alias("n")).first()
+    assert r.t == "2024-05-01 00:00:00" and r.n is None
