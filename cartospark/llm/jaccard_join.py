@@ -32,6 +32,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .components import connected_components
 from .store import Scratch
@@ -302,6 +303,22 @@ def _verified(frames: Iterator[pd.DataFrame], percent: int) -> Iterator[pd.DataF
         yield pdf.loc[keep, ["a", "an", "b", "bn"]]
 
 
+def _classes(df: DataFrame, id_col: str, text_col: str, size: int, percent: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(id, n, sig) of every row, and (sig, n, least, root, component_id, class_size, links) of every set."""
+    sizes = scratch.keep(set_sizes(df, id_col, text_col, size), "sizes")
+    total = sizes.agg(F.sum("n")).first()[0] or 0
+    links = jaccard_links(df, text_col, total, scratch, size, percent)
+    node = lambda s, n: F.struct(F.col(s).alias("sig"), F.col(n).alias("n"))
+    edges = links.select(node("a", "an").alias("a"), node("b", "bn").alias("b"))
+    roots = connected_components(edges, scratch)
+    degree = edges.select("a").union(edges.select("b")).groupBy(F.col("a").alias("node")).agg(F.count("*").alias("links"))
+    classes = sizes.where("n > 0").groupBy("sig", "n").agg(F.min("id").alias("least"), F.count("*").alias("copies"))
+    classes = classes.select(node("sig", "n").alias("node"), "least", "copies").join(roots, "node", "left").join(degree, "node", "left")
+    classes = scratch.keep(classes.select("node", F.coalesce("root", "node").alias("root"), "least", "copies", F.coalesce("links", F.lit(0)).alias("links")), "classes")
+    wholes = classes.groupBy("root").agg(F.min("least").alias("component_id"), F.sum("copies").alias("class_size"))
+    return sizes, scratch.keep(classes.join(wholes, "root").select("node.sig", "node.n", "least", "root", "component_id", "class_size", "links"), "named")
+
+
 def jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, percent: int = 90) -> DataFrame:
     """Similarity classes of the texts: (id, n_shingles, component_id, class_size, links).
 
@@ -314,19 +331,7 @@ def jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     one row each.  A null id keeps its row; component_id is the smallest id of the component that isn't
     null, or null.  Other columns of df are left out.
     """
-    scratch = Scratch(df.sparkSession, "jaccard")
-    sizes = scratch.keep(set_sizes(df, id_col, text_col, size), "sizes")
-    total = sizes.agg(F.sum("n")).first()[0] or 0
-    links = jaccard_links(df, text_col, total, scratch, size, percent)
-    node = lambda s, n: F.struct(F.col(s).alias("sig"), F.col(n).alias("n"))
-    edges = links.select(node("a", "an").alias("a"), node("b", "bn").alias("b"))
-    roots = connected_components(edges, scratch)
-    degree = edges.select("a").union(edges.select("b")).groupBy(F.col("a").alias("node")).agg(F.count("*").alias("links"))
-    classes = sizes.where("n > 0").groupBy("sig", "n").agg(F.min("id").alias("least"), F.count("*").alias("copies"))
-    classes = classes.select(node("sig", "n").alias("node"), "least", "copies").join(roots, "node", "left").join(degree, "node", "left")
-    classes = scratch.keep(classes.select("node", F.coalesce("root", "node").alias("root"), "least", "copies", F.coalesce("links", F.lit(0)).alias("links")), "classes")
-    wholes = classes.groupBy("root").agg(F.min("least").alias("component_id"), F.sum("copies").alias("class_size"))
-    named = scratch.keep(classes.join(wholes, "root").select("node.sig", "node.n", "component_id", "class_size", "links"), "named")
+    sizes, named = _classes(df, id_col, text_col, size, percent, Scratch(df.sparkSession, "jaccard"))
     rows = sizes.join(named, ["sig", "n"], "left")
     return rows.select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"),
@@ -335,20 +340,37 @@ def jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
+def _signed(df: DataFrame, text_col: str, size: int) -> DataFrame:
+    """df with the size and digest of each row's set, as __n and __sig."""
+
+    def run(batches):
+        for part, _, _, sizes, sigs in _sets(batches, text_col, size):
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(sizes.astype(np.int64)), pa.array(np.where(sizes > 0, sigs, 0))], [*part.schema.names, "__n", "__sig"])
+
+    schema = T.StructType([*df.schema.fields, T.StructField("__n", T.LongType()), T.StructField("__sig", T.LongType())])
+    return df.mapInArrow(run, schema)
+
+
 def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
     """The rows of df, less all but one of each similarity class: the row of the smallest id stays.
 
-    Rows with equal ids count as copies of one another only if their texts link; of rows that tie (same id, same
-    class) one stays.  Wordless and null texts stay, as they link with nothing.  Null ids come after all others.
+    A null id comes after all others.  Of rows that tie (the same smallest id), those of one set stay, and of
+    equal ids and sets one row.  Wordless and null texts all stay, as they link with nothing.
     """
-    found = jaccard_join(df, id_col, text_col, size, percent)
-    small = Scratch(df.sparkSession, "near-copies")
-    lost = found.where((F.col("class_size") > 1) & (F.col("n_shingles") > 0) & ~F.col(id_col).eqNullSafe(F.col("component_id")))
-    lost = small.keep(lost.select(F.col(id_col).alias("__lost")).distinct(), "lost")
-    tied = found.where(F.col("class_size") > 1).groupBy(id_col).agg(F.count("*").alias("c")).where("c > 1 and " + f"`{id_col}` is not null")
-    if tied.isEmpty():
-        return df.join(lost, F.col(id_col).eqNullSafe(F.col("__lost")), "left_anti")
-    ties = small.keep(tied.select(F.col(id_col).alias("__tie")), "ties")
-    plain = df.join(ties, F.col(id_col) == F.col("__tie"), "left_anti").join(lost, F.col(id_col).eqNullSafe(F.col("__lost")), "left_anti")
-    again = df.join(ties, F.col(id_col) == F.col("__tie"), "left_semi").dropDuplicates([id_col, text_col])
-    return plain.unionByName(again.join(lost, F.col(id_col).eqNullSafe(F.col("__lost")), "left_anti"))
+    scratch = Scratch(df.sparkSession, "near-copies")
+    sizes, named = _classes(df, id_col, text_col, size, percent, scratch)
+    # null ids last: a class with any id is represented by its least one
+    first = named.groupBy("root").agg(F.min_by(F.struct("sig", "n"), F.struct(F.col("least").isNull(), "least", "sig", "n")).alias("x"))
+    chosen = named.join(first.select("x.sig", "x.n"), ["sig", "n"]).select("sig", "n", F.col("least").alias("id"))
+    rows = sizes.groupBy("id", "sig", "n").agg(F.count("*").alias("copies"))
+    c = chosen.select(F.col("sig").alias("cs"), F.col("n").alias("cn"), F.col("id").alias("ci"))
+    stay = rows.where("n > 0").join(c, (F.col("sig") == F.col("cs")) & (F.col("n") == F.col("cn")) & F.col("id").eqNullSafe(F.col("ci")))
+    stay = stay.select("id", "sig", "n", (F.col("copies") > 1).alias("many")).union(rows.where("n = 0").select("id", "sig", "n", F.lit(False)))
+    stay = scratch.keep(stay.toDF("__id", "__s", "__k", "__many"), "stay")
+    on = F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__sig") == F.col("__s")) & (F.col("__n") == F.col("__k"))
+    signed = _signed(df, text_col, size)
+    if stay.where("__many").isEmpty():
+        return signed.join(stay, on, "left_semi").select(*[f"`{c}`" for c in df.columns])
+    kept = signed.join(stay, on)
+    one = kept.where("__many").dropDuplicates([id_col, "__sig", "__n"])
+    return kept.where("not __many").unionByName(one).select(*[f"`{c}`" for c in df.columns])
