@@ -19,8 +19,8 @@ with the rank table beside it (`ranks`: rank, id, occurrences).
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Iterator
+from itertools import chain
 from zlib import crc32
 
 import numpy as np
@@ -31,11 +31,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .store import Scratch
+from .words import prefix_hash, slices, span_hashes
 
 SEGMENT_IDS = 1 << 20
 BROADCAST_SEGMENTS = 500_000
-MEMO_CHUNKS = 400_000  # distinct chunks whose ids a worker remembers
-_IRREGULAR = re.compile(r"\s\s")
+MEMO_CHUNKS = 1_500_000  # distinct chunks whose ids a worker remembers
 
 
 # --- variable-length coding ----------------------------------------------------------------------
@@ -50,8 +50,13 @@ def pack(ranks: np.ndarray) -> tuple[bytes, bytes]:
     quad = np.zeros(-(-len(ranks) // 4) * 4, np.uint8)
     quad[: len(ranks)] = size - 1
     control = (quad.reshape(-1, 4) << np.array([0, 2, 4, 6], np.uint8)).sum(axis=1, dtype=np.uint8)
-    used = np.arange(4) < size[:, None]
-    return control.tobytes(), ranks.view(np.uint8).reshape(-1, 4)[used].tobytes()
+    ends = np.cumsum(size, dtype=np.int64)
+    starts, out = ends - size, np.empty(int(ends[-1]) if len(ends) else 0, np.uint8)
+    out[starts] = ranks & 0xFF
+    for k in range(1, 4):
+        more = np.flatnonzero(size > k)
+        out[starts[more] + k] = (ranks[more] >> np.uint32(8 * k)) & 0xFF
+    return control.tobytes(), out.tobytes()
 
 
 def unpack(control: bytes, data: bytes, count: int) -> np.ndarray:
@@ -74,8 +79,11 @@ class ChunkEncoder:
     """Byte-level BPE of whole texts through the tokenizers library, remembering chunks.
 
     The pre-tokenizer never joins a space and what stands before it, so a text whose white space comes one
-    character at a time may be cut before each space and the pieces encoded apart, with the same ids.
-    Texts with other white space, or with the string of an added token, go to the library whole.
+    character at a time may be cut before each space and the pieces encoded apart, with the same ids.  For the same reason
+    it may be cut round a line feed, and between a letter and the one full stop or comma that ends the piece.  Texts
+    with other white space, or with the string of an added token, go to the library whole.
+
+    Chunks are known by 64-bit hashes; a worker remembers MEMO_CHUNKS of them, the latest also in a direct-mapped table.
     """
 
     def __init__(self, path: str):
@@ -85,39 +93,137 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.memo: dict[str, bytes] = {}
-
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
-
-    def __call__(self, texts: list[str | None]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text; a null text is empty."""
-        texts = [t or "" for t in texts]
-        split = [None if _IRREGULAR.search(t) or t[:1].isspace() or any(a in t for a in self.added) else t.replace(" ", "\x00 ").split("\x00") for t in texts]
-        split = [None if s is not None and "\x00" in t else s for s, t in zip(split, texts)]
-        if len(self.memo) > MEMO_CHUNKS:
-            self.memo.clear()
-        new = list({c for s in split if s is not None for c in s}.difference(self.memo))
-        for i in range(0, len(new), 100_000):
-            self.memo.update(zip(new[i : i + 100_000], self._whole(new[i : i + 100_000])))
-        whole = iter(self._whole([t for s, t in zip(split, texts) if s is None]))
-        known = self.memo.__getitem__
-        return [next(whole) if s is None else b"".join(map(known, s)) for s in split]
-
-
-def _batches(column: pa.Array, limit: int = 4 << 20) -> Iterator[tuple[int, int]]:
-    """Row ranges of about `limit` characters."""
-    import pyarrow.compute as pc
-
-    sizes = np.asarray(pc.fill_null(pc.binary_length(column), 0))
-    ends = np.cumsum(sizes, dtype=np.int64)
-    lo = 0
-    while lo < len(sizes):
-        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + limit, "right")))
-        yield lo, hi
-        lo = hi
+        self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[int, int] = {}  # hash: number
+        self.first = np.zeros(1 << 16, np.int64)  # where a number's ids begin
+        self.ids = np.zeros(1 << 18, np.uint32)
+        self.slot_hash, self.slot_number = np.zeros(1 << _SLOT_BITS, np.uint64), np.zeros(1 << _SLOT_BITS, np.int32)
+
+    def _library(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for i in range(0, len(texts), 50_000) for e in self.tokenizer.encode_batch_fast(texts[i : i + 50_000], add_special_tokens=False)]
+
+    def _learn(self, hashes: list[int], texts: list[str]) -> np.ndarray:
+        found = self._library(texts)
+        old, sizes = len(self.known), np.fromiter(map(len, found), np.int64, len(found))
+        while old + len(texts) + 1 > len(self.first):
+            self.first = np.concatenate([self.first, np.zeros_like(self.first)])
+        ends = self.first[old] + np.cumsum(sizes)
+        while ends[-1] > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        self.ids[self.first[old] : ends[-1]] = np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum()))
+        self.first[old + 1 : old + 1 + len(texts)] = ends
+        self.known.update(zip(hashes, range(old, old + len(texts))))
+        return np.arange(old, old + len(texts))
+
+    def _numbers(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        h = span_hashes(prefix_hash(data), start, end)
+        slot = (h >> _U(64 - _SLOT_BITS)).astype(np.int64)
+        out = self.slot_number[slot].astype(np.int64)
+        miss = np.flatnonzero(self.slot_hash[slot] != h)
+        if len(miss):
+            keys, at, back = np.unique(h[miss], return_index=True, return_inverse=True)
+            names = keys.tolist()
+            numbers = np.fromiter((self.known.get(k, -1) for k in names), np.int64, len(names))
+            new = np.flatnonzero(numbers < 0)
+            if len(new):
+                raw, spans = data.tobytes(), miss[at[new]]
+                texts = [raw[a:b].decode() for a, b in zip(start[spans].tolist(), end[spans].tolist())]
+                numbers[new] = self._learn(keys[new].tolist(), texts)
+            out[miss] = numbers[back]
+            self.slot_hash[slot[miss]], self.slot_number[slot[miss]] = h[miss], out[miss]
+        return out
+
+    def __call__(self, data: np.ndarray, bounds: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts end to end, each followed by end_id; how many of them each text has)."""
+        if len(self.known) > MEMO_CHUNKS:
+            self._forget()
+        odd = _irregular(data, bounds, self.added)
+        start, end, doc = _chunks(data, bounds, odd)
+        numbers = self._numbers(data, start, end)
+        counts = self.first[numbers + 1] - self.first[numbers]
+        sizes = np.bincount(doc, weights=counts, minlength=len(bounds) - 1).astype(np.int64) + 1
+        whole = {}
+        if odd.any():
+            raw, at = data.tobytes(), np.flatnonzero(odd)
+            whole = dict(zip(at.tolist(), self._library([raw[bounds[d] : bounds[d + 1]].decode() for d in at])))
+            for d, ids in whole.items():
+                sizes[d] = len(ids) + 1
+        last = np.cumsum(sizes)
+        out = np.full(int(last[-1]) if len(last) else 0, end_id, np.uint32)
+        ends = np.cumsum(counts)
+        into = np.repeat((last - sizes)[doc] - _first_of(ends - counts, doc), counts) + np.arange(int(counts.sum()))
+        out[into] = self.ids[np.repeat(self.first[numbers] - (ends - counts), counts) + np.arange(int(counts.sum()))]
+        for d, ids in whole.items():
+            out[last[d] - sizes[d] : last[d] - 1] = ids
+        return out, sizes
+
+
+def _first_of(values: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """For each entry the value at the first entry of its group; groups are runs."""
+    opens = np.ones(len(group), bool)
+    opens[1:] = group[1:] != group[:-1]
+    return values[opens][np.cumsum(opens) - 1]
+
+
+_SLOT_BITS = 20
+_U = np.uint64
+_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+_ASCII_LETTER = np.isin(np.arange(256), [*range(65, 91), *range(97, 123)])
+
+
+def _irregular(data: np.ndarray, bounds: np.ndarray, added: list[bytes]) -> np.ndarray:
+    """Texts with two white-space characters in a row, white space beyond ASCII, or an added token's string."""
+    space = _SPACE[data]
+    bad = np.zeros(len(data) + 1, np.int32)
+    flag = np.zeros(len(data), bool)
+    flag[1:] = space[1:] & space[:-1]
+    inner = bounds[1:-1]
+    flag[inner[inner < len(data)]] = False  # the pair lies in two texts
+    for at in np.flatnonzero((data == 0xC2) | ((data >= 0xE1) & (data <= 0xE3))) if (data >= 0xC2).any() else ():
+        flag[at] |= data[at : at + 3].tobytes() in _WIDE or data[at : at + 2].tobytes() in _WIDE
+    for token in added:
+        raw, at = data.tobytes(), -1
+        while (at := raw.find(token, at + 1)) >= 0:
+            flag[at] = True
+    np.cumsum(flag, out=bad[1:])
+    return bad[bounds[1:]] > bad[bounds[:-1]]
+
+
+#: UTF-8 of the white-space characters beyond ASCII.
+_WIDE = frozenset(chr(c).encode() for c in (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))
+
+
+def _chunks(data: np.ndarray, bounds: np.ndarray, odd: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, text) of the chunks of all texts that aren't odd."""
+    n = len(data)
+    opens = np.zeros(n + 2, bool)
+    opens[bounds] = True
+    opens[:n] |= data == 32
+    feed = np.flatnonzero(data == 10)
+    opens[feed] = opens[feed + 1] = True
+    # a full stop or comma that ends a chunk, after a letter
+    mark = np.flatnonzero((data == 44) | (data == 46))
+    mark = mark[opens[mark + 1] & (mark > 0)]
+    mark = mark[_ASCII_LETTER[data[mark - 1]] & ~opens[mark]]
+    opens[mark] = True
+    start = np.flatnonzero(opens[:n])
+    doc = np.searchsorted(bounds, start, "right") - 1
+    end = np.append(start[1:], n)
+    keep = ~odd[doc]
+    return start[keep], end[keep], doc[keep]
+
+
+_encoders: dict[str, ChunkEncoder] = {}
+
+
+def _encoder(path: str) -> ChunkEncoder:
+    """One for each worker process, so that later tasks find what earlier ones learned."""
+    if path not in _encoders:
+        _encoders[path] = ChunkEncoder(path)
+    return _encoders[path]
 
 
 def encode_documents(df: DataFrame, tokenizer: str, id_col: str, text_col: str, end_id: int) -> DataFrame:
@@ -125,20 +231,20 @@ def encode_documents(df: DataFrame, tokenizer: str, id_col: str, text_col: str,
     kind = df.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = ChunkEncoder(tokenizer), np.uint32(end_id).tobytes()
+        encoder = _encoder(tokenizer)
         for batch in batches:
-            for lo, hi in _batches(batch.column(text_col)):
-                part = batch.slice(lo, hi - lo)
-                ids = [x + end for x in encoder(part.column(text_col).to_pylist())]
-                yield pa.RecordBatch.from_arrays([part.column(id_col), pa.array([_narrow(x) for x in ids], pa.binary())], ["id", "ids"])
+            for part, data, bounds in slices(batch, text_col):
+                ids, sizes = encoder(data, bounds, end_id)
+                ends = np.cumsum(sizes)
+                rows = [_narrow(ids[e - s : e]) for s, e in zip(sizes.tolist(), ends.tolist())]
+                yield pa.RecordBatch.from_arrays([part.column(id_col), pa.array(rows, pa.binary())], ["id", "ids"])
 
     return df.select(id_col, text_col).mapInArrow(run, f"id {kind}, ids binary")
 
 
-def _narrow(raw: bytes) -> bytes:
+def _narrow(ids: np.ndarray) -> bytes:
     """A first byte 2 or 4 tells the width."""
-    ids = np.frombuffer(raw, "<u4")
-    return b"\x02" + ids.astype("<u2").tobytes() if not len(ids) or ids.max() < 1 << 16 else b"\x04" + raw
+    return b"\x02" + ids.astype("<u2").tobytes() if ids.max() < 1 << 16 else b"\x04" + ids.astype("<u4").tobytes()
 
 
 def _wide(raw: bytes) -> np.ndarray:
@@ -151,8 +257,9 @@ def count_ids(encoded: DataFrame) -> DataFrame:
     def run(batches):
         total = np.zeros(0, np.int64)
         for batch in batches:
-            for raw in batch.column("ids").to_pylist():
-                c = np.bincount(_wide(raw))
+            raws = batch.column("ids").to_pylist()
+            for i in range(0, len(raws), 1000):
+                c = np.bincount(np.concatenate([_wide(x) for x in raws[i : i + 1000]]))
                 if len(c) > len(total):
                     c[: len(total)] += total
                     total = c
@@ -176,7 +283,7 @@ def write_token_file(df: DataFrame, folder: str, tokenizer: str, id_col: str = "
     """
     spark = df.sparkSession
     scratch = Scratch(spark, "tokens")
-    encoded = scratch.keep(encode_documents(df, tokenizer, id_col, text_col, end_id), "encoded")
+    encoded = scratch.keep(encode_documents(df, tokenizer, id_col, text_col, end_id), "encoded", compression="zstd")
     order = Window.orderBy(F.desc("c"), "id")  # at most one row per id of the vocabulary
     ranks = count_ids(encoded).withColumn("rank", F.row_number().over(order) - 1)
     ranks.select("rank", "id", F.col("c").alias("occurrences")).coalesce(1).write.parquet(f"{folder}/ranks")
