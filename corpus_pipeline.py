@@ -15,6 +15,7 @@ from cartospark.llm.quality_classifier import GOOD, GOOD_PROB, LEVELS, grade, la
 from cartospark.llm.quality_rules import quality_rules
 from cartospark.llm.queries import segmentation_digest
 from cartospark.llm.store import Scratch
+from cartospark.plans.ship import shipped
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,8 +45,8 @@ def segmentations(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 STAGES = [
-    ("quality classifier", quality_classifier), ("quality rules", rules), ("n-gram Jaccard join", near_copies),
-    ("benchmark decontamination", benchmark_overlaps), ("SentencePiece encoding and decoding", segmentations),
+    ("quality classifier", shipped(quality_classifier)), ("quality rules", shipped(rules)), ("n-gram Jaccard join", shipped(near_copies)),
+    ("benchmark decontamination", shipped(benchmark_overlaps)), ("SentencePiece encoding and decoding", shipped(segmentations)),
 ]
 
 #: Trained weights, compression and sampled segmentations have no SQL form; the stages are tested against brute force.

@@ -68,3 +68,24 @@ def test_contract_columns(spark, tiny, name):
     kinds = dict(Q.QUERIES[name](spark, tiny).dtypes)
     assert wanted <= set(kinds)
     assert all(kinds[c] == "bigint" for c in wanted & {"doc_id", "n_shingles", "component_id", "size", "text_crc32", "slot", "n_tokens", "train_tokens", "ids_crc32", "n_words", "n_chars"})
+
+
+def test_queries_run_from_another_folder(tmp_path):
+    """Workers get the package even if the driver wasn't started in the repository."""
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = Path(P.__file__).resolve().parent
+    code = (
+        f"import sys; sys.path.insert(0, {str(root)!r})\n"
+        "from pyspark.sql import SparkSession\n"
+        "s = SparkSession.builder.master('local[2]').config('spark.ui.enabled', 'false').config('spark.sql.shuffle.partitions', '2').getOrCreate()\n"
+        "import __spark_entry__ as e\n"
+        "print('ROWS', e.queries()['op6_quality_rules'](s, '/root/testdata/sf0.001').count(), e.queries()['wkt_codec'](s, '/root/testdata/sf0.001').count())\n"
+    )
+    import os
+
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert "ROWS 200 200" in out.stdout, out.stderr[-2000:]

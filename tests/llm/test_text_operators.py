@@ -126,6 +126,15 @@ def test_decontamination(spark):
     assert D.decontaminate(df, bench.limit(0)).count() == len(rows)
 
 
+def test_punctuation_and_frequent_substitutions(spark):
+    item = [f"w{i}x" for i in range(40)]
+    marked = [w + ("," if i % 3 else "!") if i % 2 else f'"{w}' for i, w in enumerate(item)]
+    every = {n: [w if i % n else "other" for i, w in enumerate(item)] for n in (4, 5, 6, 7)}
+    rows = [(0, " ".join(marked)), *[(n, " ".join(w)) for n, w in every.items()], (99, " ".join(item[::-1]))]
+    found = D.find_overlaps(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(1, " ".join(item))], "item_id long, text string"))
+    assert {r.doc_id: len(r.overlaps) for r in found.collect()} == {0: 1, 4: 1, 5: 1, 6: 1, 7: 1, 99: 0}
+
+
 def test_benchmark_in_blocks(spark, monkeypatch, documents, tiny):
     bench = spark.read.parquet(f"{tiny}/benchmark.parquet")
     one = {r.doc_id: {o.item_id for o in r.overlaps} for r in D.find_overlaps(documents, bench).collect()}
