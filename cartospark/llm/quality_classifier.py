@@ -8,8 +8,8 @@ so a text's score moves the whole distribution over grades; the expected grade a
 upper tail come from it.  Fitting uses a bounded sample of rated rows (SAMPLE, a parameter), chosen by
 the hash of their ids, in one task; scoring covers every text in one Arrow pass without a shuffle.
 
-Features of a text with n words, hashed into 2^BITS columns: its words without outer punctuation, and their shapes
-(case, last bytes, length), each with value sqrt(count / n); and a few measures of the whole text (length, distinct words,
+Features of a text with n words, hashed into 2^BITS columns: its words without outer punctuation, their beginnings, and
+their shapes (case, last bytes, length), each with value sqrt(count / n); and a few measures of the whole text (length, distinct words,
 capitals, symbols) cut into bins.
 """
 
@@ -24,17 +24,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .words import Words, hash_words, mix, slices
+from .words import LETTER, Words, bare_spans, hash_words, mix, slices
 
 BITS = 18
-SAMPLE = 8192
+STEMS = (4, 6)  # bytes of a word's beginning that are features too
+SAMPLE = 16384
 EPOCHS = 150
 RATE = 0.15
 DECAY = 1e-5
 
 _U = np.uint64
-_LETTER = np.zeros(256, bool)
-_LETTER[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 _UPPER = np.zeros(256, bool)
 _UPPER[65:91] = True
 _KIND = np.zeros(256, np.uint8)  # classes of bytes for shapes
@@ -53,28 +52,27 @@ def features(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(first, columns, values): columns and values of text d are at first[d]:first[d + 1]."""
     data, doc, n_docs = words.data, words.doc, words.n_docs
     n = np.diff(words.first)
-    start, end = words.start.copy(), words.end.copy()
-    for _ in range(4):  # up to four characters of punctuation at either side
-        end -= (end - 1 > start) & ~_LETTER[data[end - 1]]
-        start += (start < end - 1) & ~_LETTER[data[np.minimum(start, len(data) - 1)]]
+    start, end = bare_spans(words)
     core = words.spans(start, end)
+    stems = [mix(words.spans(start, np.minimum(start + k, end)) + _U(k << 44)) for k in STEMS]
     last, before = data[words.end - 1], data[np.maximum(words.end - 2, words.start)]
     second = data[np.minimum(words.start + 1, words.end - 1)]
     shape = np.zeros(len(core), _U)
     for part in (_KIND[last], _KIND[before], _KIND[data[words.start]], _UPPER[second], np.minimum(words.end - words.start, 20) // 4):
         shape = shape * _U(131) + part.astype(_U)
-    capitals, symbols = _UPPER[second] & (words.end - words.start > 1), ~_LETTER[last] & ~np.isin(last, [44, 46])
+    capitals, symbols = _UPPER[second] & (words.end - words.start > 1), ~LETTER[last] & ~np.isin(last, [44, 46])
     share = lambda flag: 20 * np.bincount(doc[flag], minlength=n_docs) // np.maximum(n, 1)
     order = np.lexsort((core, doc))
     fresh = np.ones(len(order), bool)
     fresh[1:] = (core[order][1:] != core[order][:-1]) | (doc[order][1:] != doc[order][:-1])
     distinct = np.bincount(doc[order[fresh]], minlength=n_docs)
     stats = [np.log2(n + 1), 20 * distinct // np.maximum(n, 1) + 32 * (np.log2(n + 1).astype(int) // 2), share(capitals), share(symbols)]
-    key = np.concatenate([core, mix(shape + _U(1 << 40)), *[_bins(x, 100 + i) for i, x in enumerate(stats)]]) >> _U(64 - BITS)
+    key = np.concatenate([core, mix(shape + _U(1 << 40)), *stems, *[_bins(x, 100 + i) for i, x in enumerate(stats)]]) >> _U(64 - BITS)
     every = np.arange(n_docs)
-    owner = np.concatenate([doc, doc, *[every] * len(stats)])
+    per_word = 2 + len(stems)
+    owner = np.concatenate([*[doc] * per_word, *[every] * len(stats)])
     is_bin = np.zeros(len(key), bool)
-    is_bin[2 * len(doc) :] = True
+    is_bin[per_word * len(doc) :] = True
     joint = (owner.astype(_U) << _U(BITS + 1)) + (key << _U(1)) + is_bin.astype(_U)
     found, counts = np.unique(joint, return_counts=True)
     d = (found >> _U(BITS + 1)).astype(np.int64)

@@ -8,6 +8,7 @@ the slice (``SLICE_BYTES`` of text, or one document where that is longer).
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -40,13 +41,16 @@ _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * _U(0xD1342543DE82EF95))
 _BYTE_LOWER = _BYTE.copy()
 _BYTE_LOWER[65:91] = _BYTE[97:123]
 
+LETTER = np.zeros(256, bool)  # letters and digits, and all beyond ASCII
+LETTER[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
+
 _powers: tuple[np.ndarray, np.ndarray] = (np.ones(1, _U), np.ones(1, _U))
 
 
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     global _powers
     if len(_powers[0]) < n:
-        size = max(n, 2 * SLICE_BYTES)
+        size = max(n, SLICE_BYTES + 4096)
         tables = []
         for base in (_P, _P_INV):
             t = np.full(size, base, dtype=np.uint64)
@@ -71,7 +75,7 @@ class Words:
 
     def spans(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Hashes of byte spans, of the words' kind (lower-cased or not)."""
-        return _span_hashes(self.total, start, end)
+        return span_hashes(self.total, start, end)
 
     @property
     def n_docs(self) -> int:
@@ -107,23 +111,58 @@ def hash_words(data: np.ndarray, bounds: np.ndarray, lower: bool = True) -> Word
     closes = ~ws
     closes[:-1] &= ws[1:] | cut[1:n]
     start, end = np.flatnonzero(opens), np.flatnonzero(closes) + 1
-    up, _ = _power_tables(n + 1)
-    total = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum((_BYTE_LOWER if lower else _BYTE)[data] * up[:n], out=total[1:])
-    return Words(data, bounds, start, end, _span_hashes(total, start, end), np.searchsorted(start, bounds), ws, total)
+    total = prefix_hash(data, lower)
+    return Words(data, bounds, start, end, span_hashes(total, start, end), np.searchsorted(start, bounds), ws, total)
+
+
+def bare_spans(words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """(start, end) of the words without punctuation (ASCII, up to four characters) at either side; a word of nothing else keeps one character."""
+    start, end, data = words.start.copy(), words.end.copy(), words.data
+    for _ in range(4):
+        end -= (end - 1 > start) & ~LETTER[data[end - 1]]
+        start += (start < end - 1) & ~LETTER[data[np.minimum(start, len(data) - 1)]]
+    return start, end
+
+
+def bare_hashes(words: Words) -> np.ndarray:
+    return words.spans(*bare_spans(words))
+
 
+def prefix_hash(data: np.ndarray, lower: bool = False) -> np.ndarray:
+    """Running sums from which the hash of any span comes (see span_hashes)."""
+    up, _ = _power_tables(len(data) + 1)
+    total = np.zeros(len(data) + 1, dtype=np.uint64)
+    np.cumsum((_BYTE_LOWER if lower else _BYTE)[data] * up[: len(data)], out=total[1:])
+    return total
 
-def _span_hashes(total: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+
+def span_hashes(total: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     _, down = _power_tables(len(total))
     h = (total[end] - total[start]) * down[start]
     return mix(h + (end - start).astype(np.uint64) * _U(0xA24BAED4963EE407))
 
 
+_trim = None
+
+
+def release() -> None:
+    """Gives memory that earlier batches and stages left in this worker's allocators back to the system."""
+    global _trim
+    if _trim is None:
+        try:
+            _trim = ctypes.CDLL(None).malloc_trim
+        except (OSError, AttributeError):  # another C library
+            _trim = lambda _: 0
+    pa.default_memory_pool().release_unused()
+    _trim(0)
+
+
 def slices(batch: pa.RecordBatch, column: str) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Row slices of a batch whose texts hold about SLICE_BYTES, with their bytes and offsets."""
     i, texts = 0, batch.column(column)
     if not batch.num_rows:
         return
+    release()
     data, bounds = text_buffers(texts)
     while i < batch.num_rows:
         j = max(i + 1, int(np.searchsorted(bounds, bounds[i] + SLICE_BYTES, "right")) - 1)
