@@ -19,10 +19,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .words import hash_words, slices, text_buffers, window_hashes
+from .words import bare_hashes, hash_words, slices, text_buffers, window_hashes
 
 #: Fixed masks: 1 takes the word, 0 ignores it.
-MASKS = ("11111111", "1101101011", "1011011101", "110010110111", "111010010111")
+MASKS = ("11111111", "11011101", "1101101011", "1011011101", "110010110111", "111010010111")
 BLOCK_WORDS = 500_000
 #: Equal words that the best stretch needs; items with fewer words need LEAST_SHARE of theirs.
 LEAST_MATCH = 13
@@ -46,7 +46,7 @@ class SeedIndex:
     def __init__(self, ids: list[int], texts: list[str | None]):
         words = hash_words(*text_buffers(pa.array(texts, pa.large_string())))
         sizes = np.diff(words.first)
-        self.ids, self.words, self.first, self.sizes = ids, words.hash, words.first, sizes
+        self.ids, self.words, self.first, self.sizes = ids, bare_hashes(words), words.first, sizes
         doc = words.doc
         self.plans: list[list[int]] = []  # word offsets that a seed looks at
         seeds, items, places = [], [], []
@@ -143,7 +143,8 @@ def _blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[SeedIn
 def find_overlaps(df: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", out_col: str = "overlaps") -> DataFrame:
     """df with `out_col`: array of (item_id, start, end, item_start, matched) for every verified overlap.
 
-    start and end count words of the text, end excluded.  Words are lower-cased A-Z.  A null or empty
+    start and end count words of the text, end excluded.  Words are lower-cased A-Z and compared without the
+    punctuation round them.  A null or empty
     text has no overlaps, an empty benchmark gives none; null items and those under SHORTEST words are
     not looked for.  Items with a null id keep a null item_id.  Repeated rows are searched alike.
     A column of df named `out_col` is replaced.
@@ -160,7 +161,7 @@ def find_overlaps(df: DataFrame, benchmark: DataFrame, text_col: str = "text", i
                 for part, data, bounds in slices(batch, text_col):
                     words = hash_words(data, bounds)
                     lists = [x or [] for x in part.column(out_col).to_pylist()]
-                    for d, i, a, b, c, m in held.value.overlaps(words.hash, words.first, words.doc):
+                    for d, i, a, b, c, m in held.value.overlaps(bare_hashes(words), words.first, words.doc):
                         lists[d].append(dict(zip(OVERLAP.names, (i, a, b, c, m))))
                     lists = [sorted(x, key=lambda o: tuple((v is None, v or 0) for v in o.values())) for x in lists]
                     yield pa.RecordBatch.from_arrays([part.column(c) for c in left] + [pa.array(lists, kind)], left + [out_col])
