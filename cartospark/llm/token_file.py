@@ -97,7 +97,7 @@ class ChunkEncoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[int, int] = {}  # hash: number
+        self.known: dict[int, int] = {}  # hash: number; -1 for the end of a text
         self.first = np.zeros(1 << 16, np.int64)  # where a number's ids begin
         self.ids = np.zeros(1 << 18, np.uint32)
         self.slot_hash, self.slot_number = np.zeros(1 << _SLOT_BITS, np.uint64), np.zeros(1 << _SLOT_BITS, np.int32)
@@ -105,18 +105,18 @@ class ChunkEncoder:
     def _library(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for i in range(0, len(texts), 50_000) for e in self.tokenizer.encode_batch_fast(texts[i : i + 50_000], add_special_tokens=False)]
 
-    def _learn(self, hashes: list[int], texts: list[str]) -> np.ndarray:
-        found = self._library(texts)
+    def _put(self, hashes: list[int], found: list[list[int]]) -> np.ndarray:
+        """Numbers of new chunks with these ids."""
         old, sizes = len(self.known), np.fromiter(map(len, found), np.int64, len(found))
-        while old + len(texts) + 1 > len(self.first):
+        while old + len(found) + 1 > len(self.first):
             self.first = np.concatenate([self.first, np.zeros_like(self.first)])
         ends = self.first[old] + np.cumsum(sizes)
         while ends[-1] > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
         self.ids[self.first[old] : ends[-1]] = np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum()))
-        self.first[old + 1 : old + 1 + len(texts)] = ends
-        self.known.update(zip(hashes, range(old, old + len(texts))))
-        return np.arange(old, old + len(texts))
+        self.first[old + 1 : old + 1 + len(found)] = ends
+        self.known.update(zip(hashes, range(old, old + len(found))))
+        return np.arange(old, old + len(found))
 
     def _numbers(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         h = span_hashes(prefix_hash(data), start, end)
@@ -131,7 +131,7 @@ class ChunkEncoder:
             if len(new):
                 raw, spans = data.tobytes(), miss[at[new]]
                 texts = [raw[a:b].decode() for a, b in zip(start[spans].tolist(), end[spans].tolist())]
-                numbers[new] = self._learn(keys[new].tolist(), texts)
+                numbers[new] = self._put(keys[new].tolist(), self._library(texts))
             out[miss] = numbers[back]
             self.slot_hash[slot[miss]], self.slot_number[slot[miss]] = h[miss], out[miss]
         return out
@@ -143,29 +143,29 @@ class ChunkEncoder:
         odd = _irregular(data, bounds, self.added)
         start, end, doc = _chunks(data, bounds, odd)
         numbers = self._numbers(data, start, end)
+        # every text ends with one more chunk, whose only id is end_id
+        stop = self.known.get(-1)
+        if stop is None:
+            stop = int(self._put([-1], [[end_id]])[0])
+        n_docs = len(bounds) - 1
+        per_doc = np.bincount(doc, minlength=n_docs)
+        numbers = np.insert(numbers, np.cumsum(per_doc), stop)
         counts = self.first[numbers + 1] - self.first[numbers]
-        sizes = np.bincount(doc, weights=counts, minlength=len(bounds) - 1).astype(np.int64) + 1
-        whole = {}
-        if odd.any():
-            raw, at = data.tobytes(), np.flatnonzero(odd)
-            whole = dict(zip(at.tolist(), self._library([raw[bounds[d] : bounds[d + 1]].decode() for d in at])))
-            for d, ids in whole.items():
-                sizes[d] = len(ids) + 1
-        last = np.cumsum(sizes)
-        out = np.full(int(last[-1]) if len(last) else 0, end_id, np.uint32)
         ends = np.cumsum(counts)
-        into = np.repeat((last - sizes)[doc] - _first_of(ends - counts, doc), counts) + np.arange(int(counts.sum()))
-        out[into] = self.ids[np.repeat(self.first[numbers] - (ends - counts), counts) + np.arange(int(counts.sum()))]
-        for d, ids in whole.items():
-            out[last[d] - sizes[d] : last[d] - 1] = ids
-        return out, sizes
-
-
-def _first_of(values: np.ndarray, group: np.ndarray) -> np.ndarray:
-    """For each entry the value at the first entry of its group; groups are runs."""
-    opens = np.ones(len(group), bool)
-    opens[1:] = group[1:] != group[:-1]
-    return values[opens][np.cumsum(opens) - 1]
+        at = np.repeat(self.first[numbers] - (ends - counts), counts)
+        at += np.arange(len(at))
+        ids = self.ids[at]
+        last = np.concatenate([[0], ends[np.cumsum(per_doc + 1) - 1]]) if n_docs else np.zeros(1, np.int64)
+        sizes = np.diff(last)
+        if odd.any():
+            raw, places = data.tobytes(), np.flatnonzero(odd)
+            whole = self._library([raw[bounds[d] : bounds[d + 1]].decode() for d in places])
+            parts = np.split(ids, last[1:-1])
+            for d, found in zip(places.tolist(), whole):
+                parts[d] = np.array([*found, end_id], np.uint32)
+                sizes[d] = len(found) + 1
+            ids = np.concatenate(parts)
+        return ids, sizes
 
 
 _SLOT_BITS = 20
@@ -247,8 +247,12 @@ def _narrow(ids: np.ndarray) -> bytes:
     return b"\x02" + ids.astype("<u2").tobytes() if ids.max() < 1 << 16 else b"\x04" + ids.astype("<u4").tobytes()
 
 
-def _wide(raw: bytes) -> np.ndarray:
-    return np.frombuffer(raw, "<u2" if raw[0] == 2 else "<u4", offset=1).astype(np.uint32)
+def _joined(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of all documents end to end, how many each has)."""
+    sizes = np.array([(len(x) - 1) // x[0] for x in raws], np.int64)
+    if all(x[0] == 2 for x in raws):
+        return np.frombuffer(b"".join([x[1:] for x in raws]), "<u2"), sizes
+    return np.concatenate([np.frombuffer(x, "<u2" if x[0] == 2 else "<u4", offset=1).astype(np.uint32) for x in raws]), sizes
 
 
 def count_ids(encoded: DataFrame) -> DataFrame:
@@ -259,7 +263,7 @@ def count_ids(encoded: DataFrame) -> DataFrame:
         for batch in batches:
             raws = batch.column("ids").to_pylist()
             for i in range(0, len(raws), 1000):
-                c = np.bincount(np.concatenate([_wide(x) for x in raws[i : i + 1000]]))
+                c = np.bincount(_joined(raws[i : i + 1000])[0])
                 if len(c) > len(total):
                     c[: len(total)] += total
                     total = c
@@ -295,9 +299,9 @@ def write_token_file(df: DataFrame, folder: str, tokenizer: str, id_col: str = "
 
         segment = TaskContext.get().partitionId() << 32
         for lo_ids, lo_raw in _segments(batches):
-            parts = [_wide(x) for x in lo_raw]
-            control, data = pack(held.value[np.concatenate(parts)])
-            row = [[segment], [lo_ids], [[len(p) for p in parts]], [control], [data]]
+            ids, sizes = _joined(lo_raw)
+            control, data = pack(held.value[ids])
+            row = [[segment], [lo_ids], [sizes.tolist()], [control], [data]]
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, arrow)], names)
             segment += 1
 
