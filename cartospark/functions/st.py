@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -417,7 +418,46 @@ PREDICATES: dict[str, Callable[[G.Geom, G.Geom], bool]] = {
 #: The predicate that says the same with sides swapped.
 INVERSE = {"contains": "within", "within": "contains", "covers": "coveredby", "coveredby": "covers"}
 
-_exact = {name: binary(f, BOOLEAN) for name, f in PREDICATES.items()}
+#: For a point against another shape, by where the point lies (inside, border): of the point, and of the shape.
+_OF_POINT = {"intersects": (True, True), "within": (True, False), "coveredby": (True, True), "touches": (False, True)}
+_OF_SHAPE = {"intersects": (True, True), "contains": (True, False), "covers": (True, True), "touches": (False, True)}
+
+
+def _located(points: pd.DataFrame, shapes: pd.DataFrame, rows: np.ndarray, truth: tuple[bool, bool], out: np.ndarray) -> None:
+    """Judges rows of points against shapes: each distinct shape is opened once and takes all its points together."""
+    groups: dict[bytes, list[int]] = {}
+    for i, raw in zip(rows.tolist(), shapes["shape"].to_numpy()[rows]):
+        groups.setdefault(bytes(raw), []).append(i)
+    xy = points[["xmin", "ymin"]].to_numpy(float)
+    table = np.array([*truth, False])  # inside, border, outside
+    for raw, own in groups.items():
+        g = G.from_wkb(raw)
+        out[own] = table[G.locate(xy[own], g, 8 * G.tolerance(g))] if not g.is_empty else False
+
+
+def predicate_udf(name: str, f: Callable[[G.Geom, G.Geom], bool]):
+    """The exact predicate over Arrow batches."""
+    f = _safe(f)
+
+    @F.pandas_udf(BOOLEAN)
+    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.Series:
+        out = np.full(len(a), None, object)
+        point = lambda d: (d["kind"] == "POINT").to_numpy() & d["xmin"].notna().to_numpy()
+        flat = lambda d: d["kind"].isin(["POLYGON", "MULTIPOLYGON"]).to_numpy() & d["shape"].notna().to_numpy()
+        pa_, pb, sa, sb = point(a), point(b), flat(a), flat(b)
+        if name in _OF_POINT:
+            _located(a, b, np.flatnonzero(pa_ & sb), _OF_POINT[name], out)
+        if name in _OF_SHAPE:
+            _located(b, a, np.flatnonzero(pb & sa), _OF_SHAPE[name], out)
+        rest = np.flatnonzero([x is None for x in out])
+        for i, x, y in zip(rest.tolist(), geoms(a.iloc[rest]), geoms(b.iloc[rest])):
+            out[i] = f(x, y)
+        return pd.Series(out, dtype=object)
+
+    return run
+
+
+_exact = {name: predicate_udf(name, f) for name, f in PREDICATES.items()}
 
 
 def native_predicate(name: str, a: Column, b: Column) -> Column:
