@@ -34,9 +34,9 @@ def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(_table(spark, sf_dir, "documents").select("doc_id", "text"), size=3, percent=90)
 
 
-def segmentation_digest(docs: DataFrame) -> DataFrame:
+def segmentation_digest(docs: DataFrame, **options) -> DataFrame:
     """Three distinct sampled segmentations of every document; ids as their number and checksum."""
-    found = sample_segmentations(docs, _tokenizer("piece_bpe_32k.model"), k=3)
+    found = sample_segmentations(docs, _tokenizer("piece_bpe_32k.model"), k=3, **options)
     digest = [(F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32")]
     return found.select("doc_id", "sample", "log_prob", "perturbed", "log_inclusion", *digest, "round_trip")
 

@@ -681,7 +681,7 @@ SAMPLE = [
 ]
 
 
-def sample_segmentations(df: DataFrame, model: str, k: int = 3, theta: float = THETA, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def sample_segmentations(df: DataFrame, model: str, k: int = 3, theta: float = THETA, id_col: str = "doc_id", text_col: str = "text", lattice_nodes: int = LATTICE_NODES) -> DataFrame:
     """(id, sample, log_prob, perturbed, log_inclusion, ids, round_trip): up to k distinct segmentations of each text.
 
     sample counts from 0 in falling order of the perturbed log-probability; log_prob is the path's normalised log-probability;
@@ -689,7 +689,7 @@ def sample_segmentations(df: DataFrame, model: str, k: int = 3, theta: float = T
     piece ids; round_trip whether they decode to the text.  A text with fewer than k segmentations gives all of them, with
     log_inclusion 0; an empty or null text has the empty one alone.  Draws depend on the id, the text and k's
     prefix only: a larger k adds samples and changes none.  Rows with equal ids and texts get equal samples; a null id is
-    a key like others.  Other columns of df are left out.
+    a key like others.  lattice_nodes bounds what a task remembers, and changes no result.  Other columns of df are left out.
     """
     kind = df.schema[id_col].dataType.simpleString()
     held = df.sparkSession.sparkContext.broadcast(Pieces(model, theta))  # the vocabulary
@@ -699,7 +699,7 @@ def sample_segmentations(df: DataFrame, model: str, k: int = 3, theta: float = T
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = held.value
-        lattice = Lattice(pieces, LATTICE_NODES + SLICE_CHARS)  # untouched room takes no memory
+        lattice = Lattice(pieces, lattice_nodes + SLICE_CHARS)  # untouched room takes no memory
         for batch in batches:
             release()
             keys, texts = batch.column(id_col), [x or "" for x in batch.column(text_col).to_pylist()]
@@ -711,8 +711,8 @@ def sample_segmentations(df: DataFrame, model: str, k: int = 3, theta: float = T
                     hi += 1
                 part = texts[lo:hi]
                 seeds = mix(np.array([row_seed(x) for x in keys.slice(lo, hi - lo).to_pylist()], _U))
-                if lattice.nodes > LATTICE_NODES:
-                    lattice = Lattice(pieces, LATTICE_NODES + SLICE_CHARS)
+                if lattice.nodes > lattice_nodes:
+                    lattice = Lattice(pieces, lattice_nodes + SLICE_CHARS)
                 found = sample_slice(lattice, part, seeds, k)
                 rows = [(lo + d, s, *x) for d, samples in enumerate(found) for s, x in enumerate(samples)]
                 at, nth, log_p, perturbed, inclusion, ids = zip(*rows)

@@ -40,8 +40,8 @@ def benchmark_overlaps(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def segmentations(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sampled segmentations of every document left."""
-    return segmentation_digest(docs)
+    """Sampled segmentations of every document left. Workers still hold memory of earlier stages, so tasks remember less."""
+    return segmentation_digest(docs, lattice_nodes=800_000)
 
 
 STAGES = [
