@@ -117,7 +117,8 @@ def _cells_pairs(left: DataFrame, right: DataFrame, a: Column, b: Column, l_cell
     r = right.withColumn("__rc", F.explode(covering_cells(b, r_cells)))
     joined = l.join(F.broadcast(pairs), F.col("__lc") == F.col("lc")).join(r, F.col("rc") == F.col("__rc"))
     x, y = F.greatest(a["xmin"] - grow, b["xmin"]), F.greatest(a["ymin"] - grow, b["ymin"])
-    home = (F.col("__lc") == l_cells.home(x, y)) & (F.col("__rc") == r_cells.home(x, y))
+    in_cell = lambda s: (x >= F.col(f"{s}x1")) & (x < F.col(f"{s}x2")) & (y >= F.col(f"{s}y1")) & (y < F.col(f"{s}y2"))
+    home = in_cell("l") & in_cell("r")  # cells are half-open and tile the plane
     return joined.where(_bounds_meet(a, b, grow) & home).drop("__lc", "__rc", *pairs.columns)
 
 

@@ -113,8 +113,8 @@ for _method in ("auto", "bnlj", "broadcast", "pbsm", "sjmr", "sj1d"):
 def _cell_join(method: str, left: str, right: str | None) -> Callable:
     def run(spark, d):
         a, b = items(spark, d), zones(spark, d)
-        l_cells = partition.make_cells(a, left, 16)
-        r_cells = partition.make_cells(b, right, 8) if right else None
+        l_cells = partition.make_cells(a, left, 48)
+        r_cells = partition.make_cells(b, right, 48) if right else None
         pairs = join.spatial_join(a, b, "intersects", method, left_cells=l_cells, right_cells=r_cells)
         return pairs.groupBy("s_suppkey").agg(F.count("*").alias("n"), F.sum("item").alias("items"), F.sum("l_quantity").alias("quantity"))
 
