@@ -11,7 +11,7 @@ from pathlib import Path
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 HEADLINE = [
-    "range_query", "join_auto", "join_broadcast", "join_pbsm", "join_sj1d", "join_dj", "self_join", "join_within_distance", "summary", "gridded_summary", "uniform_histogram",
+    "range_query", "join_auto", "join_broadcast", "join_pbsm", "join_sj1d", "self_join", "join_within_distance", "summary", "gridded_summary", "uniform_histogram",
     "prefix_histogram", "euler_histogram", "box_counting", "partition_rsgrove", "tile_counts", "trajectory_features", "dissolve_groups", "overlay_intersection", "polygon_measures",
 ]
 
