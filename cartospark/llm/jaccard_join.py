@@ -159,7 +159,8 @@ def _suspects(df: DataFrame, text_col: str, size: int, percent: int, tables, scr
             level = _levels(held.value, hashes)
             once = np.bincount(docs[level == 0], minlength=len(sizes))
             spare = sizes - _least_share(sizes, percent)  # a partner may miss so many tokens
-            pick = np.flatnonzero((once <= spare) & (spare > 0))
+            # the nearest different set is the set and one token more
+            pick = np.flatnonzero((once <= spare) & (100 * sizes >= percent * (sizes + 1)))
             pick = pick[_fresh(seen, sizes[pick], sigs[pick])]
             ends = np.cumsum(sizes)
             rows = [slice(ends[i] - sizes[i], ends[i]) for i in pick]

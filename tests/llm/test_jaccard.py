@@ -43,6 +43,17 @@ def test_group_whose_members_link_only_in_part(spark, monkeypatch):
     assert got == want and set(want.values()) == {0}
 
 
+@pytest.mark.parametrize("size,percent,n", [(3, 90, 11), (5, 80, 8)])
+def test_set_without_a_token_to_spare_links_with_a_larger_one(spark, size, percent, n):
+    w = [f"t{i}" for i in range(40)]
+    rows = [(1, " ".join(w[:n])), (2, " ".join(w[: n + 1])), (3, " ".join(w[20 : 19 + n])), (4, " ".join(w[20 : 20 + n]))]
+    want, _ = classes(dict(rows), size, percent)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert want == {1: 1, 2: 1, 3: 3, 4: 4}  # a set that is smaller by one doesn't link any more
+    assert {r.doc_id: r.component_id for r in J.jaccard_join(df, size=size, percent=percent).collect()} == want
+    assert sorted(r.doc_id for r in J.drop_near_copies(df, size=size, percent=percent).collect()) == [1, 3, 4]
+
+
 def test_odd_rows(spark):
     df = spark.createDataFrame([(1, "a b c d", 5), (1, "a b c d", 6), (None, "a b c d", 7), (None, None, 8), (2, "x", 9)], "doc_id long, text string, n long")
     got = sorted((r.doc_id or -1, r.n_shingles, r.component_id or -1) for r in J.jaccard_join(df).collect())
