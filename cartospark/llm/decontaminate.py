@@ -21,8 +21,11 @@ from pyspark.sql import types as T
 
 from .words import bare_hashes, hash_words, slices, text_buffers, window_hashes
 
-#: Fixed masks: 1 takes the word, 0 ignores it.
-MASKS = ("11111111", "11011101", "1101101011", "1011011101", "110010110111", "111010010111")
+#: Fixed masks: 1 takes the word, 0 ignores it.  Every stretch that verification accepts, of whatever length, has a
+#: hit of one of them; the tests walk all patterns.
+MASKS = ("11111", "110111", "111011", "1101011")
+#: Hits that are turned to diagonals at once.
+HITS = 1_000_000
 BLOCK_WORDS = 500_000
 #: Equal words that the best stretch needs; items with fewer words need LEAST_SHARE of theirs.
 LEAST_MATCH = 13
@@ -55,11 +58,6 @@ class SeedIndex:
             h = window_hashes(self.words, offsets)
             ok = np.flatnonzero(doc[: len(h)] == doc[len(mask) - 1 :][: len(h)]) if len(h) else np.zeros(0, np.int64)
             self._add(offsets, h[ok], doc[ok], ok - words.first[doc[ok]], seeds, items, places)
-        for n in range(SHORTEST, len(MASKS[0])):  # shorter than any mask: the whole item is the seed
-            at = np.flatnonzero(sizes == n)
-            if len(at):
-                h = window_hashes(self.words, list(range(n)))[words.first[at]]
-                self._add(list(range(n)), h, at, np.zeros(len(at), np.int64), seeds, items, places)
         key = np.concatenate(seeds) if seeds else np.zeros(0, _U)
         order = np.argsort(key, kind="stable")
         self.key = key[order]
@@ -76,18 +74,25 @@ class SeedIndex:
         places.append(place)
 
     def diagonals(self, hashes: np.ndarray, doc: np.ndarray) -> np.ndarray:
-        """Distinct rows (item, first word of the item in the texts' words, a text word of the hit)."""
-        found = []
+        """Distinct rows (item, first word of the item in the texts' words, text)."""
+        found = [np.zeros((0, 3), np.int64)]
         for k, offsets in enumerate(self.plans):
             h = window_hashes(hashes, offsets) ^ _U((k + 1) * 0x9E3779B97F4A7C15 & (2**64 - 1))
             at = np.flatnonzero(self.table[h >> _U(64 - _TABLE_BITS)])
             at = at[doc[at] == doc[at + offsets[-1]]]
             lo, hi = np.searchsorted(self.key, h[at], "left"), np.searchsorted(self.key, h[at], "right")
-            n = hi - lo
-            pick = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum()) if len(n) else np.zeros(0, np.int64)
-            where = np.repeat(at, n)
-            found.append(np.stack([self.item[pick], where - self.place[pick], doc[where]], axis=1))
-        return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 3), np.int64)
+            at, lo, n = at[hi > lo], lo[hi > lo], (hi - lo)[hi > lo]
+            ends = np.cumsum(n)
+            i = 0
+            while i < len(at):  # so many hits at once, and those of one word at least
+                j = max(i + 1, int(np.searchsorted(ends, ends[i] - n[i] + HITS, "right")))
+                m = n[i:j]
+                pick = np.repeat(lo[i:j] - (np.cumsum(m) - m), m) + np.arange(m.sum())
+                where = np.repeat(at[i:j], m)
+                rows = np.stack([self.item[pick], where - self.place[pick], doc[where]], axis=1)
+                found.append(np.unique(rows, axis=0))
+                i = j
+        return np.unique(np.concatenate(found), axis=0)
 
     def overlaps(self, hashes: np.ndarray, first: np.ndarray, doc: np.ndarray) -> list[tuple[int, int, int, int, int, int]]:
         """(doc, item id, start, end, item start, matched) in words of the doc, for every verified diagonal."""

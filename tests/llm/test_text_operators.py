@@ -1,3 +1,4 @@
+import itertools
 import math
 import random
 from collections import Counter
@@ -14,7 +15,7 @@ from cartospark.llm import quality_classifier as C
 from cartospark.llm import quality_rules as Q
 from cartospark.llm import sharding as S
 from cartospark.llm import token_file as T
-from cartospark.llm.words import hash_words, text_buffers
+from cartospark.llm.words import bare_hashes, hash_words, text_buffers
 from tests.llm.helpers import lower, words
 
 ODD = ["", None, " ", "\n", "one", "a\nb\na\n\n b", "é È É", "x" * 5000, "tab\tvt\x0bff\x0ccr\rnb sp\x1c", "a b c d e f g h i a b c d e f g h j", "Ａ fullwidth 𝄞 music"]
@@ -126,6 +127,46 @@ def test_decontamination(spark):
     assert D.decontaminate(df, bench.limit(0)).count() == len(rows)
 
 
+def unseeded(need, most):
+    """A stretch of up to `most` words (None: any number) that verification accepts and no mask hits, as 1s and 0s."""
+    wide, masks = max(map(len, D.MASKS)), [(len(m), int(m, 2)) for m in D.MASKS]
+    todo, seen = [(1, 1, 1, 1, 1, "1")], set()
+    while todo:
+        bits, size, score, top, hits, shown = todo.pop()
+        for same in (0, 1):
+            b, n, x, h = (bits << 1 | same) & ((1 << wide) - 1), size + 1, score + (1 if same else -D.SUBSTITUTION), min(need, hits + same)
+            if x < 0 or most and n > most or same and any(n >= k and b & m == m for k, m in masks):
+                continue
+            if x > top and h >= need:
+                return shown + str(same)
+            t = max(top, x)
+            key = (b, n if most else min(n, wide), min(x, 60), min(t - x, 60), h)
+            if key not in seen:
+                seen.add(key)
+                todo.append((b, key[1], key[2], key[2] + key[3], h, shown + str(same)))
+    return None
+
+
+def test_every_accepted_stretch_has_a_seed():
+    for n in range(D.SHORTEST, 16):
+        assert unseeded(math.ceil(D.LEAST_SHARE * n), n) is None, n
+    assert unseeded(D.LEAST_MATCH, None) is None
+
+
+def test_short_items_with_substituted_words():
+    """Every pattern of substitutions in an item of 5 to 18 words is found if the plain comparison accepts it."""
+    for n in range(5, 19):
+        item = [f"w{i}" for i in range(n)]
+        index, texts = D.SeedIndex([1], [" ".join(item)]), []
+        for k in range(min(5, n // 3) + 1):
+            texts += [[f"new{i}" if i in out else w for i, w in enumerate(item)] for out in itertools.combinations(range(n), k)]
+        w = hash_words(*text_buffers(pa.array([" ".join(t) for t in texts])))
+        found = {o[0] for o in index.overlaps(bare_hashes(w), w.first, w.doc)}
+        need = min(D.LEAST_MATCH, math.ceil(D.LEAST_SHARE * n))
+        every = index._verify(np.array([(0, w.first[i], i) for i in range(len(texts))]), bare_hashes(w), w.first)
+        assert found == {o[0] for o in every} and len(found) >= (n >= 7) + 1, (n, need)
+
+
 def test_punctuation_and_frequent_substitutions(spark):
     item = [f"w{i}x" for i in range(40)]
     marked = [w + ("," if i % 3 else "!") if i % 2 else f'"{w}' for i, w in enumerate(item)]
