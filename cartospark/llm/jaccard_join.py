@@ -13,13 +13,13 @@ How it scales:
 * A text with enough once-seen tokens can't have a partner and ends there; sets are written only
   for the remaining *suspects*.
 * Suspects that share prefix tokens gather round a common head.  Such groups are compared in
-  chunks of at most CHUNK sets, in memory, by breadth-first search that leaves visited sets out: what
-  comes out is a spanning forest, not all pairs.  Every two chunks of a group meet too.
+  chunks of at most CHUNK sets, in memory, by breadth-first search: what comes out is a spanning forest and
+  each set's number of links, not all pairs.  Every two chunks of a group meet too.
 * Only pairs across groups are ever rows; the filters of all orders are intersected on them before
   the sets are fetched.
 
-Nothing is capped: each linked pair of different sets is either found or both ends are already in one
-component.
+Nothing is capped: each linked pair of different sets is found and counted once, in the chunks of its group
+or as a pair across groups.
 """
 
 from __future__ import annotations
@@ -193,10 +193,12 @@ def _prefixes(suspects: DataFrame, percent: int, order: int) -> DataFrame:
 
 
 def _links_within(pdf: pd.DataFrame, percent: int, across: bool = False) -> pd.DataFrame:
-    """Spanning forest (a, b) of the links in one chunk; across: only between its two sides."""
-    pdf = pdf.drop_duplicates(["sig", "n"]).sort_values(["n", "sig"], ignore_index=True)
+    """The links in one chunk, or only those between its two sides: rows (a, b, 0) are a spanning forest, and rows (a, null, w)
+    give a set's number of linked rows among the chunk's own members; the centre counts only where it is a member."""
+    pdf = pdf.sort_values("own", ascending=False).drop_duplicates(["sig", "n"]).sort_values(["n", "sig"], ignore_index=True)
     n, sig = pdf["n"].to_numpy(), pdf["sig"].to_numpy()
     side = pdf["side"].to_numpy() if across else None
+    rows = np.where(pdf["own"], pdf["copies"], 0)
     tokens = np.concatenate([np.frombuffer(x, np.uint64) for x in pdf["tokens"]])
     owner = np.repeat(np.arange(len(pdf)), n)
     order = np.argsort(tokens, kind="stable")
@@ -213,51 +215,57 @@ def _links_within(pdf: pd.DataFrame, percent: int, across: bool = False) -> pd.D
             continue
         fresh[root] = False
         queue = [root]
-        while queue and fresh.any():
+        while queue:
             i = queue.pop()
             own = mine[ends[i] - n[i] : ends[i]]
             lo, hi = starts[own], starts[own + 1]
             wide = hi - lo
             at = np.repeat(lo - np.concatenate([[0], np.cumsum(wide)[:-1]]), wide) + np.arange(wide.sum())
             share = np.bincount(owner[at], minlength=len(pdf))
-            linked = fresh & (100 * share >= percent * (n[i] + n - share))
+            linked = 100 * share >= percent * (n[i] + n - share)
+            linked[i] = False
             if across:
                 linked &= side != side[i]
-            for j in np.flatnonzero(linked):
-                out.append((sig[i], n[i], sig[j], n[j]))
+            if rows[i] and (partners := int(rows[linked].sum())):
+                out.append((sig[i], n[i], None, None, partners))
+            for j in np.flatnonzero(linked & fresh):
+                out.append((sig[i], n[i], sig[j], n[j], 0))
                 fresh[j] = False
                 queue.append(int(j))
-    return pd.DataFrame(out, columns=["a", "an", "b", "bn"]).astype("int64")
+    return pd.DataFrame(out, columns=["a", "an", "b", "bn", "w"]).astype("Int64")
 
 
-_EDGE = "a long, an long, b long, bn long"
+_EDGE = "a long, an long, b long, bn long, w long"
 
 
-def jaccard_links(df: DataFrame, text_col: str, total: int, scratch: Scratch, size: int = 3, percent: int = 90) -> DataFrame:
-    """Links (a, an, b, bn) between sets (digest, size) that connect whatever the similarity join connects."""
+def jaccard_links(df: DataFrame, text_col: str, total: int, copies: DataFrame, scratch: Scratch, size: int = 3, percent: int = 90) -> DataFrame:
+    """Links (a, an, b, bn, w) between sets (digest, size) that connect whatever the similarity join connects.
+
+    Rows without b give the set a w linked rows of other sets; they sum up to all of its links.  copies: (sig, n, copies).
+    """
     tables = _level_tables(df, text_col, size, total, scratch)
     suspects = _suspects(df, text_col, size, percent, tables, scratch)
     first = scratch.keep(_prefixes(suspects, percent, 0), "prefixes")
     heads = first.groupBy("tok").agg(F.min(F.struct("sig", "n")).alias("head"), F.count("*").alias("c")).where("c > 1").drop("c")
     votes = first.join(heads, "tok").groupBy("sig", "n", "head").agg(F.count("*").alias("c"))
     groups = votes.groupBy("sig", "n").agg(F.max_by("head", F.struct("c", F.struct(-F.col("head.sig"), "head.n"))).alias("head"))
-    groups = scratch.keep(groups, "groups")
+    groups = scratch.keep(groups.join(copies, ["sig", "n"]), "groups")
 
     # within groups, chunk by chunk; the head joins every chunk
     counts = groups.groupBy("head").agg(F.count("*").alias("members"))
     chunks = counts.select("head", F.ceil(F.col("members") / CHUNK).cast("int").alias("chunks"))
     spread = F.pmod(F.xxhash64("sig", "n"), F.col("chunks")).cast("int")
-    members = groups.join(chunks, "head").select("head", "sig", "n", "chunks", spread.alias("chunk"))
-    centres = chunks.select("head", F.col("head.sig").alias("sig"), F.col("head.n").alias("n"), "chunks", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
-    placed = members.union(centres).distinct().join(suspects.select("sig", "n", "tokens"), ["sig", "n"])
-    placed = placed.select(F.col("head.sig").alias("g"), F.col("head.n").alias("gn"), "chunk", "chunks", "sig", "n", "tokens")
+    members = groups.join(chunks, "head").select("head", "sig", "n", "chunks", spread.alias("chunk"), "copies", F.lit(True).alias("own"))
+    centres = chunks.select("head", F.col("head.sig").alias("sig"), F.col("head.n").alias("n"), "chunks", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(0).cast("long").alias("copies"), F.lit(False).alias("own"))
+    placed = members.union(centres).join(suspects.select("sig", "n", "tokens"), ["sig", "n"])
+    placed = placed.select(F.col("head.sig").alias("g"), F.col("head.n").alias("gn"), "chunk", "chunks", "sig", "n", "copies", "own", "tokens")
     edges = [placed.drop("chunks").groupBy("g", "gn", "chunk").applyInPandas(lambda pdf: _links_within(pdf, percent), _EDGE)]
 
     # chunks of a group against each other
     if not counts.where(F.col("members") > CHUNK).isEmpty():
         other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other")
         meet = placed.where("chunks > 1").select("*", other).where("chunk != other")
-        meet = meet.select("g", "gn", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), (F.col("chunk") < F.col("other")).alias("side"), "sig", "n", "tokens")
+        meet = meet.select("g", "gn", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), (F.col("chunk") < F.col("other")).alias("side"), "sig", "n", "copies", "own", "tokens")
         edges.append(meet.groupBy("g", "gn", "i", "j").applyInPandas(lambda pdf: _links_across(pdf, percent), _EDGE))
 
     # across groups: pairs that pass the filters of all orders
@@ -267,8 +275,9 @@ def jaccard_links(df: DataFrame, text_col: str, total: int, scratch: Scratch, si
         some = scratch.keep(suspects.join(ends, ["sig", "n"], "left_semi"), "ends")
         passed = [near] + [_cross_pairs(_prefixes(some, percent, k), groups, percent) for k in range(1, ORDERS)]
         pairs = reduce(lambda x, y: x.join(y, ["a", "an", "b", "bn"], "left_semi"), passed)
-        left = some.select(F.col("sig").alias("a"), F.col("n").alias("an"), F.col("tokens").alias("ta"))
-        right = some.select(F.col("sig").alias("b"), F.col("n").alias("bn"), F.col("tokens").alias("tb"))
+        some = some.select("sig", "n", "tokens").join(copies, ["sig", "n"])
+        left = some.select(F.col("sig").alias("a"), F.col("n").alias("an"), F.col("tokens").alias("ta"), F.col("copies").alias("ca"))
+        right = some.select(F.col("sig").alias("b"), F.col("n").alias("bn"), F.col("tokens").alias("tb"), F.col("copies").alias("cb"))
         edges.append(pairs.join(left, ["a", "an"]).join(right, ["b", "bn"]).mapInPandas(lambda it: _verified(it, percent), _EDGE))
     links = scratch.keep(reduce(DataFrame.union, edges), "links")
     scratch.drop("suspects", "prefixes", "groups", "pairs0", "ends")
@@ -276,7 +285,7 @@ def jaccard_links(df: DataFrame, text_col: str, total: int, scratch: Scratch, si
 
 
 def _links_across(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
-    """Both sides' links to each other; the head is on both sides and already linked."""
+    """Both sides' links to each other; the head is on both sides and stays on that of its membership."""
     return _links_within(pdf, percent, across=True)
 
 
@@ -301,21 +310,25 @@ def _verified(frames: Iterator[pd.DataFrame], percent: int) -> Iterator[pd.DataF
             x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
             share = len(np.intersect1d(x, y, assume_unique=True))
             keep.append(100 * share >= percent * (len(x) + len(y) - share))
-        yield pdf.loc[keep, ["a", "an", "b", "bn"]]
+        found = pdf.loc[keep]
+        none = pd.Series(pd.NA, found.index, "Int64")
+        yield found.assign(w=0)[["a", "an", "b", "bn", "w"]]
+        for a, an, c in (("a", "an", "cb"), ("b", "bn", "ca")):
+            yield pd.DataFrame({"a": found[a], "an": found[an], "b": none, "bn": none, "w": found[c]})
 
 
 def _classes(df: DataFrame, id_col: str, text_col: str, size: int, percent: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """(id, n, sig) of every row, and (sig, n, least, root, component_id, class_size, links) of every set."""
     sizes = scratch.keep(set_sizes(df, id_col, text_col, size), "sizes")
     total = sizes.agg(F.sum("n")).first()[0] or 0
-    links = jaccard_links(df, text_col, total, scratch, size, percent)
+    every = scratch.keep(sizes.where("n > 0").groupBy("sig", "n").agg(F.min("id").alias("least"), F.count("*").alias("copies")), "sets")
+    links = jaccard_links(df, text_col, total, every.select("sig", "n", "copies"), scratch, size, percent)
     node = lambda s, n: F.struct(F.col(s).alias("sig"), F.col(n).alias("n"))
-    edges = links.select(node("a", "an").alias("a"), node("b", "bn").alias("b"))
+    edges = links.where("b is not null").select(node("a", "an").alias("a"), node("b", "bn").alias("b"))
     roots = connected_components(edges, scratch)
-    degree = edges.select("a").union(edges.select("b")).groupBy(F.col("a").alias("node")).agg(F.count("*").alias("links"))
-    classes = sizes.where("n > 0").groupBy("sig", "n").agg(F.min("id").alias("least"), F.count("*").alias("copies"))
-    classes = classes.select(node("sig", "n").alias("node"), "least", "copies").join(roots, "node", "left").join(degree, "node", "left")
-    classes = scratch.keep(classes.select("node", F.coalesce("root", "node").alias("root"), "least", "copies", F.coalesce("links", F.lit(0)).alias("links")), "classes")
+    degree = links.where("b is null").groupBy(node("a", "an").alias("node")).agg(F.sum("w").alias("links"))
+    classes = every.select(node("sig", "n").alias("node"), "least", "copies").join(roots, "node", "left").join(degree, "node", "left")
+    classes = scratch.keep(classes.select("node", F.coalesce("root", "node").alias("root"), "least", "copies", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links")), "classes")
     wholes = classes.groupBy("root").agg(F.min("least").alias("component_id"), F.sum("copies").alias("class_size"))
     return sizes, scratch.keep(classes.join(wholes, "root").select("node.sig", "node.n", "least", "root", "component_id", "class_size", "links"), "named")
 
@@ -325,8 +338,8 @@ def jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Two texts link when their sets of distinct `size`-word shingles (words lower-cased A-Z; a shorter text is
     one shingle) have Jaccard similarity of at least `percent` / 100; component_id is the smallest id reachable,
-    class_size the number of rows in the component, links those of the row's set in a spanning forest
-    of the component's different sets (equal sets are one; there is no count of all pairs, as those are never listed).
+    class_size the number of rows in the component, links the number of other rows that the row's text links with
+    (rows of equal sets among them).
 
     Null or wordless texts have no shingles and link with nothing, not even each other.  Repeated ids give
     one row each.  A null id keeps its row; component_id is the smallest id of the component that isn't

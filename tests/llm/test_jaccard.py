@@ -54,6 +54,19 @@ def test_set_without_a_token_to_spare_links_with_a_larger_one(spark, size, perce
     assert sorted(r.doc_id for r in J.drop_near_copies(df, size=size, percent=percent).collect()) == [1, 3, 4]
 
 
+@pytest.mark.parametrize("percent,chunk", [(90, 4096), (60, 3)])
+def test_links_are_all_of_them(spark, monkeypatch, percent, chunk):
+    """Copies, groups of mutually similar texts and pairs across groups: every link counts once at either end."""
+    monkeypatch.setattr(J, "CHUNK", chunk)
+    w = [f"t{i}" for i in range(60)]
+    near = [w[:40], w[:41], w[:42], w[1:42], w[1:43], w[2:44], w[:40], w[3:47], w[30:], w[10:50]]
+    rows = [(i, " ".join(t)) for i, t in enumerate(near)] + [(100 + i, t) for i, t in corpus(percent, 60)]
+    sets = {i: shingle_set(t, 3) for i, t in rows}
+    want = {i: sum(1 for j, y in sets.items() if i != j and x & y and 100 * len(x & y) >= percent * len(x | y)) for i, x in sets.items()}
+    got = J.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), size=3, percent=percent)
+    assert {r.doc_id: r.links for r in got.collect()} == want
+
+
 def test_odd_rows(spark):
     df = spark.createDataFrame([(1, "a b c d", 5), (1, "a b c d", 6), (None, "a b c d", 7), (None, None, 8), (2, "x", 9)], "doc_id long, text string, n long")
     got = sorted((r.doc_id or -1, r.n_shingles, r.component_id or -1) for r in J.jaccard_join(df).collect())
