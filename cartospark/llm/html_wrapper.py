@@ -15,6 +15,7 @@ are broadcast if their checked size allows, and joined by host otherwise, where
 from __future__ import annotations
 
 import re
+import sys
 from collections.abc import Iterator
 from html import unescape
 
@@ -31,10 +32,12 @@ LEAST_PAGES = 8
 LEAST_SHARE = 0.95
 #: A region of varying text: the smallest element with this share of it.
 REGION_SHARE = 0.85
-DEEPEST = 200
 CELLS = 40_000
 VOTES = 500_000
 
+#: Trees are walked by plain Python calls, which take heap and no stack, however deep a page is.
+sys.setrecursionlimit(max(sys.getrecursionlimit(), 10_000_000))
+
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>"
     r"|<(/?)([a-zA-Z][^\s/>]*)([^>\"']*(?:\"[^\"]*\"[^>\"']*|'[^']*'[^>\"']*)*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>",
@@ -144,7 +147,7 @@ def parse(html: str) -> Node:
             if tag in ("title", "textarea"):
                 node.parts.append(unescape(html[at : end.start() if end else size]))
             at = end.end() if end else size
-        elif tag not in VOID and not (m[3] or m[6] or "").rstrip().endswith("/") and len(stack) < DEEPEST:
+        elif tag not in VOID and not (m[3] or m[6] or "").rstrip().endswith("/"):
             stack.append(node)
     _measure(root)
     return root
@@ -160,7 +163,7 @@ def _close(stack: list[Node], tags: set, borders: set) -> None:
 
 
 def _measure(node: Node) -> None:
-    """Sizes and signatures of all subtrees; recursion is at most DEEPEST deep."""
+    """Sizes and signatures of all subtrees."""
     node.size = 1
     for kid in node.kids:
         _measure(kid)
@@ -169,9 +172,11 @@ def _measure(node: Node) -> None:
 
 
 def preorder(node: Node) -> Iterator[Node]:
-    yield node
-    for kid in node.kids:
-        yield from preorder(kid)
+    todo = [node]
+    while todo:
+        node = todo.pop()
+        yield node
+        todo += reversed(node.kids)
 
 
 # --- simple tree matching --------------------------------------------------------------------------
@@ -212,25 +217,44 @@ def _pairs(a: list[Node], b: list[Node], memo: dict) -> list[tuple[Node, Node]]:
     if left and right:
         if len(left) * len(right) <= CELLS:
             out += [(left[i], right[j]) for i, j in _best(left, right, memo)]
-        else:  # runs of equal subtrees stand for their members
-            runs_a, runs_b = _runs(left), _runs(right)
-            if len(runs_a) * len(runs_b) <= 25 * CELLS:
-                for i, j in _best([r[0] for r in runs_a], [r[0] for r in runs_b], memo):
-                    out += zip(runs_a[i], runs_b[j])
-            else:
-                out += [(x, y) for x, y in zip(left, right) if x.label == y.label]
+        else:
+            out += [(left[i], right[j]) for i, j in _best_wide(left, right, memo)]
     if hi:
         out += zip(a[-hi:], b[-hi:])
     return out
 
 
-def _runs(nodes: list[Node]) -> list[list[Node]]:
-    out: list[list[Node]] = []
-    for x in nodes:
-        if out and out[-1][0].sign == x.sign:
-            out[-1].append(x)
-        else:
-            out.append([x])
+def _best_wide(a: list[Node], b: list[Node], memo: dict) -> list[tuple[int, int]]:
+    """As many nodes as _best finds, in memory of one row and the pairs of distinct subtrees: a is halved, and b where both
+    halves together match most."""
+    classes = {x.sign: x for x in b}
+    place = {sign: k for k, sign in enumerate(classes)}
+    kind = np.array([place[x.sign] for x in b])
+    own: dict = {}
+    for x in a:
+        if x.sign not in own:
+            own[x.sign] = np.array([matched_nodes(x, y, memo) if x.label == y.label else 0 for y in classes.values()])
+
+    def last_row(left: list[Node], kinds: np.ndarray) -> np.ndarray:
+        weight = np.zeros(len(kinds) + 1, np.int64)
+        for x in left:
+            weight[1:] = np.maximum.accumulate(np.maximum(weight[1:], weight[:-1] + own[x.sign][kinds]))
+        return weight
+
+    out, todo = [], [(0, len(a), 0, len(b))]
+    while todo:
+        i, k, j, m = todo.pop()
+        if k - i <= 1 or (k - i) * (m - j) <= CELLS:
+            if k > i and m > j:
+                if k - i == 1:
+                    at = j + int(np.argmax(own[a[i].sign][kind[j:m]]))
+                    out += [(i, at)] if own[a[i].sign][kind[at]] else []
+                else:
+                    out += [(i + x, j + y) for x, y in _best(a[i:k], b[j:m], memo)]
+            continue
+        half = (i + k) // 2
+        cut = j + int(np.argmax(last_row(a[i:half], kind[j:m]) + last_row(a[half:k][::-1], kind[j:m][::-1])[::-1]))
+        todo += [(half, k, cut, m), (i, half, j, cut)]
     return out
 
 
@@ -240,7 +264,10 @@ def matched_nodes(a: Node, b: Node, memo: dict) -> int:
         return a.size
     key = (a.sign, b.sign)
     if key not in memo:
-        memo[key] = 1 + sum(matched_nodes(x, y, memo) for x, y in _pairs(a.kids, b.kids, memo))
+        total = 1
+        for x, y in _pairs(a.kids, b.kids, memo):
+            total += matched_nodes(x, y, memo)
+        memo[key] = total
     return memo[key]
 
 
@@ -432,7 +459,7 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
 
     A null or empty html gives the empty text, and so does a page without content.  Pages without a url form one host.  A
     host's only page, or one of fewer than LEAST_PAGES, has no template nodes and is judged by the roles of its elements.
-    Elements nested deeper than DEEPEST hang from that depth.  Repeated pages give one row each; null ids are kept.  A column
+    Repeated pages give one row each; null ids are kept.  A column
     named `out_col` is replaced.
     """
     left = [c for c in pages.columns if c != out_col]

@@ -27,6 +27,28 @@ def test_deep_and_wide_pages():
     assert W.main_text(wide, W.Template(wide.replace("<i>", "<b>").replace("</i>", "</b>"), [0], [0])).startswith("w0 x w1")
 
 
+def test_closings_below_any_depth_match_their_own_openings():
+    deep = "<div id=page><article>" + "<div>" * 250 + "x<nav>menu</nav>" + "</div>" * 250 + "<p>rest</p></article></div>"
+    assert W.main_text(deep) == "x rest"
+    changed = deep.replace("menu", "<i>m</i>")
+    assert len(W.align(W.parse(deep), W.parse(changed))) == W.parse(deep).size
+    assert W.main_text("<article>" + "<div>" * 20_000 + "a" + "</div>" * 20_000 + "b</article>") == "a b"
+
+
+def test_child_inserted_into_a_wide_page(monkeypatch):
+    row = lambda i: f"<p class=c{i}>w{i}</p>"
+    a = W.parse("<div>" + row("x") + "".join(map(row, range(1200))) + row("y") + "</div>")
+    b = W.parse("<div>" + row("q") + row("new") + "".join(map(row, range(1200))) + row("z") + "</div>")
+    assert sum(x.label.startswith("p.") and x.label == y.label for x, y in W.align(a, b)) == 1200
+    import random
+
+    rng = random.Random(3)
+    monkeypatch.setattr(W, "CELLS", 6)
+    for _ in range(60):
+        a, b = (W.parse("".join(f"<{t}>{'<b>x</b>' * rng.randint(0, 2)}</{t}>" for t in rng.choices(["div", "section", "ul"], k=rng.randint(1, 14)))) for _ in range(2))
+        assert len(W.align(a, b)) == plain_match(a, b) == W.matched_nodes(a, b, {})
+
+
 def plain_match(a, b):
     """Simple tree matching by the book."""
     if a.label != b.label:
