@@ -9,23 +9,21 @@ How it scales:
 * Equal sets collapse to one class first, so exact copies never meet in the join.
 * Orders put rare tokens first: a token's level (seen once, a few times, often, very often) comes from
   counts over all documents, held in fixed-size bit tables, and a seeded hash orders each level.  Levels
-  only steer efficiency; a hash collision in them can't lose a link.
+  only steer efficiency; a hash collision in them can't lose a link.  Their thresholds rise with the tables' load.
 * A text with enough once-seen tokens can't have a partner and ends there; sets are written only
   for the remaining *suspects*.
-* Suspects that share prefix tokens gather round a common head.  Such groups are compared in
-  chunks of at most CHUNK sets, in memory, by breadth-first search: what comes out is a spanning forest and
-  each set's number of links, not all pairs.  Every two chunks of a group meet too.
-* Only pairs across groups are ever rows; the filters of all orders are intersected on them before
-  the sets are fetched.
-
-Nothing is capped: each linked pair of different sets is found and counted once, in the chunks of its group
-or as a pair across groups.
+* Suspects that share prefix tokens of the first order gather round a common head.  What is compared are blocks: a group
+  with itself, and the sets of two groups that hold a prefix token of each other's.  Every pair of sets with a common prefix
+  token is in exactly one of them.  Blocks are cut by tokens, so that none needs more than CHUNK_TOKENS of either side in memory.
+* A block looks at two sets only after the filters of all orders let the pair pass.  It returns a star for each of its
+  components and each set's number of links, never pairs.
+
+Nothing is capped: each linked pair of different sets is found and counted once.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -35,14 +33,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .components import connected_components
-from .store import Scratch
+from .store import Scratch, free_names
 from .words import hash_words, mix, shingles, slices
 
 ORDERS = 3
 LEVELS = (2, 8, 64)  # a token seen fewer times than LEVELS[0] has level 0, and so on
-TABLE_BITS = 26  # of each level's bit table: 8 MB, whatever the input
+TABLE_BITS = 26  # of the first level's bit table at most, three less of the others: 10 MB together, whatever the input
 BUCKET_TOKENS = 2_000_000
-CHUNK = 4096
+CHUNK_TOKENS = 1 << 18
 
 _U = np.uint64
 _SEEDS = mix(np.arange(11, 11 + ORDERS, dtype=np.uint64))
@@ -90,19 +88,29 @@ def set_sizes(df: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame
     return df.select(id_col, text_col).mapInArrow(run, f"id {kind}, n long, sig long")
 
 
-def _level_tables(df: DataFrame, text_col: str, size: int, total: int, scratch: Scratch) -> list[np.ndarray]:
-    """For each of LEVELS, a bit table of hashed tokens that occur in at least so many sets."""
-    bits = max(6, min(TABLE_BITS - 6, int(np.ceil(np.log2(max(1, total / BUCKET_TOKENS))))))
+def _level_tables(df: DataFrame, text_col: str, size: int, total: int) -> list[np.ndarray]:
+    """For each of LEVELS, a bit table of hashed tokens that occur in at least so many sets.
+
+    A slot of the first table counts all tokens that fall into it, so the higher thresholds stand above its mean load.
+    """
+    fine = max(16, min(TABLE_BITS, int(total).bit_length() + 3))
+    wide = [fine, *[fine - 3] * (len(LEVELS) - 1)]
+    bits = max(6, min(12, int(np.ceil(np.log2(max(1, total / BUCKET_TOKENS))))))
+    salts = max(1, total // (4 * BUCKET_TOKENS << bits))  # groups in which a bucket's tokens are counted before they're summed
+    span, load = 1 << (fine - bits), total / (1 << fine)
+    least = [LEVELS[0], *(x + load + 6 * load**0.5 for x in LEVELS[1:])]
 
     def emit(batches):
+        from pyspark import TaskContext
+
         seen: set = set()
-        held, n = [], 0
+        held, n, salt = [], 0, TaskContext.get().partitionId()
 
         def flush():
             prints = np.sort((np.concatenate(held) >> _U(32)).astype(np.uint32))
             cuts = np.searchsorted(prints >> np.uint32(32 - bits), np.arange((1 << bits) + 1))
             rows = [prints[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:])]
-            return pa.RecordBatch.from_arrays([pa.array(range(1 << bits), pa.int32()), pa.array(rows, pa.binary())], ["bucket", "prints"])
+            return pa.RecordBatch.from_arrays([pa.array(range(1 << bits), pa.int32()), pa.array(np.full(1 << bits, salt % salts)), pa.array(rows, pa.binary())], ["bucket", "salt", "prints"])
 
         for _, docs, hashes, sizes, sigs in _sets(batches, text_col, size):
             hashes = mix(hashes[_fresh(seen, sizes, sigs)[docs]])
@@ -110,38 +118,41 @@ def _level_tables(df: DataFrame, text_col: str, size: int, total: int, scratch:
             n += len(hashes)
             if n >= BUCKET_TOKENS:
                 yield flush()
-                held, n = [], 0
+                held, n, salt = [], 0, salt + 1
         if held:
             yield flush()
 
-    span = 1 << (TABLE_BITS - bits)
-
-    def count(pdf: pd.DataFrame) -> pd.DataFrame:
-        prints = np.sort(np.concatenate([np.frombuffer(x, np.uint32) for x in pdf["prints"]]))
-        first = np.flatnonzero(np.concatenate([[True], prints[1:] != prints[:-1]])) if len(prints) else np.zeros(0, np.int64)
-        counts = np.diff(np.concatenate([first, [len(prints)]]))
-        at = (prints[first] >> np.uint32(32 - TABLE_BITS)) % np.uint32(span)
-        tables = []
-        for least in LEVELS:
-            table = np.zeros(span, bool)
-            table[at[counts >= least]] = True
-            tables.append(np.packbits(table, bitorder="little").tobytes())
-        return pd.DataFrame({"bucket": [pdf["bucket"].iloc[0]], "tables": [b"".join(tables)]})
-
-    found = df.select(text_col).mapInArrow(emit, "bucket int, prints binary").groupBy("bucket").applyInPandas(count, "bucket int, tables binary")
-    out = [np.zeros(1 << (TABLE_BITS - 3), np.uint8) for _ in LEVELS]
-    wide = span // 8
-    for row in scratch.keep(found, "levels").toLocalIterator():  # 2^TABLE_BITS bits in all
-        for k, table in enumerate(out):
-            table[row.bucket * wide : (row.bucket + 1) * wide] = np.frombuffer(row.tables, np.uint8)[k * wide : (k + 1) * wide]
-    scratch.drop("levels")
+    def counted(prints) -> np.ndarray:
+        return np.bincount((np.frombuffer(b"".join(prints), np.uint32) >> np.uint32(32 - fine)) % np.uint32(span), minlength=span)
+
+    def row(pdf: pd.DataFrame, counts: np.ndarray) -> pd.DataFrame:
+        tables = [counts.reshape(-1, 1 << (fine - b)).max(axis=1) >= x for b, x in zip(wide, least)]
+        return pd.DataFrame({"bucket": [pdf["bucket"].iloc[0]], "tables": [b"".join(np.packbits(t, bitorder="little").tobytes() for t in tables)]})
+
+    found = df.select(text_col).mapInArrow(emit, "bucket int, salt long, prints binary")
+    if salts > 1:
+        part = lambda pdf: pd.DataFrame({"bucket": [pdf["bucket"].iloc[0]], "sums": [counted(pdf["prints"]).tobytes()]})
+        found = found.groupBy("bucket", "salt").applyInPandas(part, "bucket int, sums binary")
+        found = found.groupBy("bucket").applyInPandas(lambda pdf: row(pdf, sum(np.frombuffer(x, np.int64) for x in pdf["sums"])), "bucket int, tables binary")
+    else:
+        found = found.groupBy("bucket").applyInPandas(lambda pdf: row(pdf, counted(pdf["prints"])), "bucket int, tables binary")
+    out = [np.zeros(1 << (b - 3), np.uint8) for b in wide]
+    for bucket, tables in found.collect():  # the tables' bits, a fixed size at most
+        at = 0
+        for b, table in zip(wide, out):
+            n = span >> (fine - b) >> 3
+            table[bucket * n : (bucket + 1) * n] = np.frombuffer(tables, np.uint8, n, at)
+            at += n
     return out
 
 
 def _levels(tables: list[np.ndarray], hashes: np.ndarray) -> np.ndarray:
-    at = mix(hashes) >> _U(64 - TABLE_BITS)
-    byte, bit = (at >> _U(3)).astype(np.int64), (at & _U(7)).astype(np.uint8)
-    return sum(((t[byte] >> bit) & 1).astype(np.uint8) for t in tables)
+    at = mix(hashes)
+    out = np.zeros(len(hashes), np.uint8)
+    for table in tables:
+        slot = at >> _U(64 - (len(table).bit_length() + 2))  # 2^k bits in 2^(k - 3) bytes
+        out += (table[(slot >> _U(3)).astype(np.int64)] >> (slot & _U(7)).astype(np.uint8)) & 1
+    return out
 
 
 def _least_share(n, percent: int):
@@ -170,153 +181,152 @@ def _suspects(df: DataFrame, text_col: str, size: int, percent: int, tables, scr
             )
 
     found = df.select(text_col).mapInArrow(run, "sig long, n long, tokens binary, levels binary")
-    return scratch.keep(found.dropDuplicates(["sig", "n"]), "suspects")
+    found = scratch.keep(found.dropDuplicates(["sig", "n"]), "suspects")
+    held.destroy()  # what reads it is written
+    return found
+
+
+def _prefix(tokens: np.ndarray, levels: np.ndarray, owner: np.ndarray, n: np.ndarray, percent: int, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """(owner, token) of the sets' prefix tokens under the order, less those that no other set has; owner is ascending."""
+    rank = np.lexsort((mix(tokens ^ _SEEDS[order]), levels, owner))
+    first = np.cumsum(n) - n
+    place = np.arange(len(owner)) - first[owner]  # owners stand together before and after
+    keep = rank[(place < (n - _least_share(n, percent) + 1)[owner])]
+    keep = keep[levels[keep] > 0]
+    return owner[keep], tokens[keep]
+
+
+def _flat(tokens: list[bytes], levels: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(tokens, levels, owner, sizes) of sets end to end."""
+    n = np.array([len(x) for x in levels], np.int64)
+    return np.frombuffer(b"".join(tokens), np.uint64), np.frombuffer(b"".join(levels), np.uint8), np.repeat(np.arange(len(n)), n), n
 
 
 def _prefixes(suspects: DataFrame, percent: int, order: int) -> DataFrame:
-    """(tok, pos, sig, n): prefix tokens of the order that at least two sets hold."""
-    seed = _SEEDS[order]
+    """(tok, sig, n): prefix tokens of the order that at least two sets hold."""
 
     def run(batches):
         for batch in batches:
-            out = []
-            for sig, n, tokens, levels in zip(*(batch.column(c).to_pylist() for c in ("sig", "n", "tokens", "levels"))):
-                h, level = np.frombuffer(tokens, np.uint64), np.frombuffer(levels, np.uint8)
-                length = n - _least_share(n, percent) + 1
-                rank = np.lexsort((mix(h ^ seed), level))[:length]
-                pos = np.flatnonzero(level[rank] > 0)
-                out.append((h[rank[pos]].view(np.int64), pos, np.full(len(pos), sig), np.full(len(pos), n)))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in zip(*out)], ["tok", "pos", "sig", "n"])
-
-    return suspects.mapInArrow(run, "tok long, pos long, sig long, n long")
-
-
-def _links_within(pdf: pd.DataFrame, percent: int, across: bool = False) -> pd.DataFrame:
-    """The links in one chunk, or only those between its two sides: rows (a, b, 0) are a spanning forest, and rows (a, null, w)
-    give a set's number of linked rows among the chunk's own members; the centre counts only where it is a member."""
-    pdf = pdf.sort_values("own", ascending=False).drop_duplicates(["sig", "n"]).sort_values(["n", "sig"], ignore_index=True)
-    n, sig = pdf["n"].to_numpy(), pdf["sig"].to_numpy()
-    side = pdf["side"].to_numpy() if across else None
-    rows = np.where(pdf["own"], pdf["copies"], 0)
-    tokens = np.concatenate([np.frombuffer(x, np.uint64) for x in pdf["tokens"]])
-    owner = np.repeat(np.arange(len(pdf)), n)
-    order = np.argsort(tokens, kind="stable")
-    tokens, owner = tokens[order], owner[order]
-    ids = np.cumsum(np.concatenate([[0], tokens[1:] != tokens[:-1]]))
-    starts = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1], [True]]))
-    by_owner = np.argsort(owner, kind="stable")
-    mine = ids[by_owner]
-    ends = np.cumsum(n)
-    fresh = np.ones(len(pdf), bool)
-    out = []
-    for root in range(len(pdf)):
-        if not fresh[root]:
-            continue
-        fresh[root] = False
-        queue = [root]
-        while queue:
-            i = queue.pop()
-            own = mine[ends[i] - n[i] : ends[i]]
-            lo, hi = starts[own], starts[own + 1]
-            wide = hi - lo
-            at = np.repeat(lo - np.concatenate([[0], np.cumsum(wide)[:-1]]), wide) + np.arange(wide.sum())
-            share = np.bincount(owner[at], minlength=len(pdf))
-            linked = 100 * share >= percent * (n[i] + n - share)
-            linked[i] = False
-            if across:
-                linked &= side != side[i]
-            if rows[i] and (partners := int(rows[linked].sum())):
-                out.append((sig[i], n[i], None, None, partners))
-            for j in np.flatnonzero(linked & fresh):
-                out.append((sig[i], n[i], sig[j], n[j], 0))
-                fresh[j] = False
-                queue.append(int(j))
-    return pd.DataFrame(out, columns=["a", "an", "b", "bn", "w"]).astype("Int64")
+            at = 0
+            while at < batch.num_rows:  # a bounded number of sets at a time
+                part = batch.slice(at, 500)
+                at += part.num_rows
+                tokens, levels, owner, n = _flat(part.column("tokens").to_pylist(), part.column("levels").to_pylist())
+                who, found = _prefix(tokens, levels, owner, n, percent, order)
+                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), part.column("sig").take(pa.array(who)), part.column("n").take(pa.array(who))], ["tok", "sig", "n"])
+
+    return suspects.select("sig", "n", "tokens", "levels").mapInArrow(run, "tok long, sig long, n long")
+
+
+class _Postings:
+    """Which sets of a block hold each token, from (owner, token) with ascending owners."""
+
+    def __init__(self, owner: np.ndarray, tokens: np.ndarray, sets: int):
+        order = np.argsort(tokens, kind="stable")
+        tokens, self.holder, self.sets = tokens[order], owner[order], sets
+        fresh = np.ones(len(tokens), bool)
+        fresh[1:] = tokens[1:] != tokens[:-1]
+        self.start = np.append(np.flatnonzero(fresh), len(tokens))
+        self.number = np.empty(len(tokens), np.int64)
+        self.number[order] = np.cumsum(fresh) - 1
+        self.first = np.searchsorted(owner, np.arange(sets + 1))
+
+    def shares(self, i: int) -> np.ndarray:
+        """Common tokens of set i with each set."""
+        own = self.number[self.first[i] : self.first[i + 1]]
+        lo, wide = self.start[own], self.start[own + 1] - self.start[own]
+        ends = np.cumsum(wide)
+        at = np.repeat(lo - (ends - wide), wide) + np.arange(ends[-1] if len(ends) else 0)
+        return np.bincount(self.holder[at], minlength=self.sets)
 
 
 _EDGE = "a long, an long, b long, bn long, w long"
 
 
+def _links(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """The links of a block, between its two sides or (side null) among all its sets: rows (a, b, 0) join a component's sets to one
+    of them, and rows (a, null, w) give a set's number of linked rows."""
+    pdf = pdf.sort_values(["n", "sig"], ignore_index=True)
+    m, sig, copies = len(pdf), pdf["sig"].to_numpy(), pdf["copies"].to_numpy()
+    across = bool(pdf["side"].notna().any())
+    side = pdf["side"].to_numpy(bool) if across else np.zeros(m, bool)
+    tokens, levels, owner, n = _flat(pdf["tokens"].tolist(), pdf["levels"].tolist())
+    filters = [_Postings(*_prefix(tokens, levels, owner, n, percent, k), m) for k in range(ORDERS)]
+    whole = _Postings(owner, tokens, m)
+    label, linked_rows = np.arange(m), np.zeros(m, np.int64)
+    for i in np.flatnonzero(~side):
+        passed = 100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i])
+        if across:
+            passed &= side
+        else:
+            passed[: i + 1] = False
+        for order in filters:  # all of them before any comparison
+            if passed.any():
+                passed &= order.shares(i) > 0
+        if not passed.any():
+            continue
+        share = whole.shares(i)
+        found = np.flatnonzero(passed & (100 * share >= percent * (n[i] + n - share)))
+        if len(found):
+            linked_rows[i] += copies[found].sum()
+            linked_rows[found] += copies[i]
+            joined = np.unique(label[np.append(found, i)])
+            if len(joined) > 1:
+                label[np.isin(label, joined)] = joined[0]
+    leaf, held = np.flatnonzero(label != np.arange(m)), np.flatnonzero(linked_rows)
+    edges = pd.DataFrame({"a": sig[label[leaf]], "an": n[label[leaf]], "b": sig[leaf], "bn": n[leaf], "w": 0})
+    counts = pd.DataFrame({"a": sig[held], "an": n[held], "b": None, "bn": None, "w": linked_rows[held]})
+    return pd.concat([edges.astype("Int64"), counts.astype("Int64")], ignore_index=True)
+
+
+def _chunks(tokens) -> F.Column:
+    return F.ceil(tokens / CHUNK_TOKENS).cast("int")
+
+
+def _blocks_within(groups: DataFrame) -> DataFrame:
+    """(g, h, i, j, side, sig, n, copies): every group with itself, by pairs of chunks i <= j."""
+    chunks = groups.groupBy("head").agg(_chunks(F.sum("n")).alias("chunks"))
+    placed = groups.join(chunks, "head").withColumn("chunk", F.pmod(F.xxhash64("sig", "n"), F.col("chunks")).cast("int"))
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    side = F.when(F.col("chunk") != F.col("other"), F.col("chunk") > F.col("other"))
+    return placed.select(F.col("head").alias("g"), F.col("head").alias("h"), F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), side.alias("side"), "sig", "n", "copies")
+
+
+def _blocks_across(first: DataFrame, groups: DataFrame) -> DataFrame:
+    """As _blocks_within, for two groups g < h: the sets of each that hold a prefix token which a set of the other holds too."""
+    rows = first.join(groups, ["sig", "n"])
+    heads = rows.groupBy("tok", F.col("head").alias("other")).agg(F.lit(1).alias("one"))
+    mixed = heads.groupBy("tok").agg(F.count("*").alias("c")).where("c > 1").select("tok")
+    meet = rows.join(mixed, "tok", "left_semi").join(heads, "tok").where("head != other")
+    meet = meet.select(F.least("head", "other").alias("g"), F.greatest("head", "other").alias("h"), (F.col("head") > F.col("other")).alias("side"), "sig", "n", "copies").distinct()
+    count = lambda on_side: F.greatest(F.lit(1), _chunks(F.coalesce(F.sum(F.when(F.col("side") == on_side, F.col("n"))), F.lit(0))))
+    chunks = meet.groupBy("g", "h").agg(count(False).alias("left"), count(True).alias("right"))
+    placed = meet.join(chunks, ["g", "h"])
+    own, others = F.when(F.col("side"), F.col("right")).otherwise(F.col("left")), F.when(F.col("side"), F.col("left")).otherwise(F.col("right"))
+    placed = placed.withColumn("chunk", F.pmod(F.xxhash64("sig", "n"), own).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), others - 1)))
+    pick = lambda right: F.when(F.col("side") == right, F.col("chunk")).otherwise(F.col("other"))
+    return placed.select("g", "h", pick(False).alias("i"), pick(True).alias("j"), "side", "sig", "n", "copies")
+
+
 def jaccard_links(df: DataFrame, text_col: str, total: int, copies: DataFrame, scratch: Scratch, size: int = 3, percent: int = 90) -> DataFrame:
     """Links (a, an, b, bn, w) between sets (digest, size) that connect whatever the similarity join connects.
 
     Rows without b give the set a w linked rows of other sets; they sum up to all of its links.  copies: (sig, n, copies).
     """
-    tables = _level_tables(df, text_col, size, total, scratch)
+    tables = _level_tables(df, text_col, size, total)
     suspects = _suspects(df, text_col, size, percent, tables, scratch)
     first = scratch.keep(_prefixes(suspects, percent, 0), "prefixes")
     heads = first.groupBy("tok").agg(F.min(F.struct("sig", "n")).alias("head"), F.count("*").alias("c")).where("c > 1").drop("c")
     votes = first.join(heads, "tok").groupBy("sig", "n", "head").agg(F.count("*").alias("c"))
     groups = votes.groupBy("sig", "n").agg(F.max_by("head", F.struct("c", F.struct(-F.col("head.sig"), "head.n"))).alias("head"))
     groups = scratch.keep(groups.join(copies, ["sig", "n"]), "groups")
-
-    # within groups, chunk by chunk; the head joins every chunk
-    counts = groups.groupBy("head").agg(F.count("*").alias("members"))
-    chunks = counts.select("head", F.ceil(F.col("members") / CHUNK).cast("int").alias("chunks"))
-    spread = F.pmod(F.xxhash64("sig", "n"), F.col("chunks")).cast("int")
-    members = groups.join(chunks, "head").select("head", "sig", "n", "chunks", spread.alias("chunk"), "copies", F.lit(True).alias("own"))
-    centres = chunks.select("head", F.col("head.sig").alias("sig"), F.col("head.n").alias("n"), "chunks", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(0).cast("long").alias("copies"), F.lit(False).alias("own"))
-    placed = members.union(centres).join(suspects.select("sig", "n", "tokens"), ["sig", "n"])
-    placed = placed.select(F.col("head.sig").alias("g"), F.col("head.n").alias("gn"), "chunk", "chunks", "sig", "n", "copies", "own", "tokens")
-    edges = [placed.drop("chunks").groupBy("g", "gn", "chunk").applyInPandas(lambda pdf: _links_within(pdf, percent), _EDGE)]
-
-    # chunks of a group against each other
-    if not counts.where(F.col("members") > CHUNK).isEmpty():
-        other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other")
-        meet = placed.where("chunks > 1").select("*", other).where("chunk != other")
-        meet = meet.select("g", "gn", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), (F.col("chunk") < F.col("other")).alias("side"), "sig", "n", "copies", "own", "tokens")
-        edges.append(meet.groupBy("g", "gn", "i", "j").applyInPandas(lambda pdf: _links_across(pdf, percent), _EDGE))
-
-    # across groups: pairs that pass the filters of all orders
-    near = scratch.keep(_cross_pairs(first, groups, percent), "pairs0")
-    if not near.isEmpty():
-        ends = near.select("a", "an").union(near.select("b", "bn")).distinct().toDF("sig", "n")
-        some = scratch.keep(suspects.join(ends, ["sig", "n"], "left_semi"), "ends")
-        passed = [near] + [_cross_pairs(_prefixes(some, percent, k), groups, percent) for k in range(1, ORDERS)]
-        pairs = reduce(lambda x, y: x.join(y, ["a", "an", "b", "bn"], "left_semi"), passed)
-        some = some.select("sig", "n", "tokens").join(copies, ["sig", "n"])
-        left = some.select(F.col("sig").alias("a"), F.col("n").alias("an"), F.col("tokens").alias("ta"), F.col("copies").alias("ca"))
-        right = some.select(F.col("sig").alias("b"), F.col("n").alias("bn"), F.col("tokens").alias("tb"), F.col("copies").alias("cb"))
-        edges.append(pairs.join(left, ["a", "an"]).join(right, ["b", "bn"]).mapInPandas(lambda it: _verified(it, percent), _EDGE))
-    links = scratch.keep(reduce(DataFrame.union, edges), "links")
-    scratch.drop("suspects", "prefixes", "groups", "pairs0", "ends")
+    blocks = _blocks_within(groups).unionByName(_blocks_across(first, groups))
+    filled = blocks.join(suspects, ["sig", "n"])
+    links = scratch.keep(filled.groupBy("g", "h", "i", "j").applyInPandas(lambda pdf: _links(pdf, percent), _EDGE), "links")
+    scratch.drop("suspects", "prefixes", "groups")
     return links
 
 
-def _links_across(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
-    """Both sides' links to each other; the head is on both sides and stays on that of its membership."""
-    return _links_within(pdf, percent, across=True)
-
-
-def _cross_pairs(prefixes: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different groups that share a prefix token where both positions leave room for the overlap."""
-    rows = prefixes.join(groups, ["sig", "n"])
-    mixed = rows.groupBy("tok").agg(F.min("head").alias("x"), F.max("head").alias("y")).where("x != y").select("tok")
-    rows = rows.join(mixed, "tok", "left_semi")
-    a = rows.select("tok", *(F.col(c).alias(d) for c, d in (("sig", "a"), ("n", "an"), ("pos", "ap"), ("head", "ah"))))
-    b = rows.select("tok", *(F.col(c).alias(d) for c, d in (("sig", "b"), ("n", "bn"), ("pos", "bp"), ("head", "bh"))))
-    least = F.ceil(F.lit(percent) * (F.col("an") + F.col("bn")) / F.lit(100 + percent) - F.lit(1e-9))
-    ordered = (F.col("an") < F.col("bn")) | ((F.col("an") == F.col("bn")) & (F.col("a") < F.col("b")))
-    apart = (F.col("ah") != F.col("bh")) & (100 * F.col("an") >= percent * F.col("bn"))
-    room = (F.col("ap") <= F.col("an") - least) & (F.col("bp") <= F.col("bn") - least)
-    return a.join(b, "tok").where(ordered & apart & room).select("a", "an", "b", "bn").distinct()
-
-
-def _verified(frames: Iterator[pd.DataFrame], percent: int) -> Iterator[pd.DataFrame]:
-    for pdf in frames:
-        keep = []
-        for x, y in zip(pdf["ta"], pdf["tb"]):
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            share = len(np.intersect1d(x, y, assume_unique=True))
-            keep.append(100 * share >= percent * (len(x) + len(y) - share))
-        found = pdf.loc[keep]
-        none = pd.Series(pd.NA, found.index, "Int64")
-        yield found.assign(w=0)[["a", "an", "b", "bn", "w"]]
-        for a, an, c in (("a", "an", "cb"), ("b", "bn", "ca")):
-            yield pd.DataFrame({"a": found[a], "an": found[an], "b": none, "bn": none, "w": found[c]})
-
-
 def _classes(df: DataFrame, id_col: str, text_col: str, size: int, percent: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """(id, n, sig) of every row, and (sig, n, least, root, component_id, class_size, links) of every set."""
     sizes = scratch.keep(set_sizes(df, id_col, text_col, size), "sizes")
@@ -330,7 +340,9 @@ def _classes(df: DataFrame, id_col: str, text_col: str, size: int, percent: int,
     classes = every.select(node("sig", "n").alias("node"), "least", "copies").join(roots, "node", "left").join(degree, "node", "left")
     classes = scratch.keep(classes.select("node", F.coalesce("root", "node").alias("root"), "least", "copies", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links")), "classes")
     wholes = classes.groupBy("root").agg(F.min("least").alias("component_id"), F.sum("copies").alias("class_size"))
-    return sizes, scratch.keep(classes.join(wholes, "root").select("node.sig", "node.n", "least", "root", "component_id", "class_size", "links"), "named")
+    named = scratch.keep(classes.join(wholes, "root").select("node.sig", "node.n", "least", "root", "component_id", "class_size", "links"), "named")
+    scratch.drop("sets", "links", "classes")
+    return sizes, named
 
 
 def jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, percent: int = 90) -> DataFrame:
@@ -354,14 +366,14 @@ def jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
-def _signed(df: DataFrame, text_col: str, size: int) -> DataFrame:
-    """df with the size and digest of each row's set, as __n and __sig."""
+def _signed(df: DataFrame, text_col: str, size: int, n: str, sig: str) -> DataFrame:
+    """df with the size and digest of each row's set, under these names."""
 
     def run(batches):
         for part, _, _, sizes, sigs in _sets(batches, text_col, size):
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(sizes.astype(np.int64)), pa.array(np.where(sizes > 0, sigs, 0))], [*part.schema.names, "__n", "__sig"])
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(sizes.astype(np.int64)), pa.array(np.where(sizes > 0, sigs, 0))], [*part.schema.names, n, sig])
 
-    schema = T.StructType([*df.schema.fields, T.StructField("__n", T.LongType()), T.StructField("__sig", T.LongType())])
+    schema = T.StructType([*df.schema.fields, T.StructField(n, T.LongType()), T.StructField(sig, T.LongType())])
     return df.mapInArrow(run, schema)
 
 
@@ -369,7 +381,8 @@ def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """The rows of df, less all but one of each similarity class: the row of the smallest id stays.
 
     A null id comes after all others.  Of rows that tie (the same smallest id), those of one set stay, and of
-    equal ids and sets one row.  Wordless and null texts all stay, as they link with nothing.
+    equal ids and sets one row.  Wordless and null texts all stay, as they link with nothing.  Other columns of df, of any name,
+    stay as they are.
     """
     scratch = Scratch(df.sparkSession, "near-copies")
     sizes, named = _classes(df, id_col, text_col, size, percent, scratch)
@@ -380,11 +393,13 @@ def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     c = chosen.select(F.col("sig").alias("cs"), F.col("n").alias("cn"), F.col("id").alias("ci"))
     stay = rows.where("n > 0").join(c, (F.col("sig") == F.col("cs")) & (F.col("n") == F.col("cn")) & F.col("id").eqNullSafe(F.col("ci")))
     stay = stay.select("id", "sig", "n", (F.col("copies") > 1).alias("many")).union(rows.where("n = 0").select("id", "sig", "n", F.lit(False)))
-    stay = scratch.keep(stay.toDF("__id", "__s", "__k", "__many"), "stay")
-    on = F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__sig") == F.col("__s")) & (F.col("__n") == F.col("__k"))
-    signed = _signed(df, text_col, size)
-    if stay.where("__many").isEmpty():
+    n, sig, key, s, k, many = free_names(df.columns, "n", "sig", "id", "s", "k", "many")
+    stay = scratch.keep(stay.toDF(key, s, k, many), "stay")
+    scratch.drop("sizes", "named")
+    on = F.col(id_col).eqNullSafe(F.col(key)) & (F.col(sig) == F.col(s)) & (F.col(n) == F.col(k))
+    signed = _signed(df, text_col, size, n, sig)
+    if stay.where(many).isEmpty():
         return signed.join(stay, on, "left_semi").select(*[f"`{c}`" for c in df.columns])
     kept = signed.join(stay, on)
-    one = kept.where("__many").dropDuplicates([id_col, "__sig", "__n"])
-    return kept.where("not __many").unionByName(one).select(*[f"`{c}`" for c in df.columns])
+    one = kept.where(many).dropDuplicates([id_col, sig, n])
+    return kept.where(f"not {many}").unionByName(one).select(*[f"`{c}`" for c in df.columns])

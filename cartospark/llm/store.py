@@ -1,7 +1,7 @@
 """Cut lineage with tables in the folder that driver and executors share.
 
-The folder is the one the session names in ``spark.checkpoint.dir``; only where that is unset, as in
-tests, a folder of the driver's own is taken.  Tables are ordinary Parquet, written by Spark's commit
+The folder is the one the session names in ``spark.checkpoint.dir``; only where that is unset and Spark runs in
+the driver's own process, a folder of the driver's is taken.  Tables are ordinary Parquet, written by Spark's commit
 protocol, so a lost executor costs its running tasks and nothing that was written.
 """
 
@@ -9,16 +9,32 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not path:
-        path = tempfile.mkdtemp(prefix="cartospark-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
+    if path:
+        return path.rstrip("/")
+    context = spark.sparkContext
+    if not context.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if context not in _own:
+        _own[context] = tempfile.mkdtemp(prefix="cartospark-")
+    return _own[context]
+
+
+_own: WeakKeyDictionary = WeakKeyDictionary()
+
+
+def free_names(taken: list[str], *names: str) -> list[str]:
+    """The names after so many underscores that none of the columns is called like one of them."""
+    used, mark = {c.lower() for c in taken}, "__"
+    while any(mark + n in used for n in names):
+        mark += "_"
+    return [mark + n for n in names]
 
 
 class Scratch:

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -22,9 +23,9 @@ def corpus(seed, n=120):
     return out + [(n, ""), (n + 1, None), (n + 2, " \n "), (n + 3, "one"), (n + 4, "ONE"), (n + 5, "one two")]
 
 
-@pytest.mark.parametrize("size,percent,chunk", [(3, 90, 4096), (5, 80, 4096), (3, 60, 3)])
+@pytest.mark.parametrize("size,percent,chunk", [(3, 90, 1 << 18), (5, 80, 1 << 18), (3, 60, 150)])
 def test_equals_brute_force(spark, monkeypatch, size, percent, chunk):
-    monkeypatch.setattr(J, "CHUNK", chunk)
+    monkeypatch.setattr(J, "CHUNK_TOKENS", chunk)
     rows = corpus(size * 100 + percent)
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     want, sets = classes(dict(rows), size, percent)
@@ -35,7 +36,7 @@ def test_equals_brute_force(spark, monkeypatch, size, percent, chunk):
 
 def test_group_whose_members_link_only_in_part(spark, monkeypatch):
     """A chain: each text shares enough with the next one only; cut into small chunks."""
-    monkeypatch.setattr(J, "CHUNK", 5)
+    monkeypatch.setattr(J, "CHUNK_TOKENS", 490)
     w = [f"t{i}" for i in range(400)]
     rows = [(i, " ".join(w[i * 4 : i * 4 + 100])) for i in range(40)]
     want, _ = classes(dict(rows), 3, 85)
@@ -54,10 +55,10 @@ def test_set_without_a_token_to_spare_links_with_a_larger_one(spark, size, perce
     assert sorted(r.doc_id for r in J.drop_near_copies(df, size=size, percent=percent).collect()) == [1, 3, 4]
 
 
-@pytest.mark.parametrize("percent,chunk", [(90, 4096), (60, 3)])
+@pytest.mark.parametrize("percent,chunk", [(90, 1 << 18), (60, 120)])
 def test_links_are_all_of_them(spark, monkeypatch, percent, chunk):
     """Copies, groups of mutually similar texts and pairs across groups: every link counts once at either end."""
-    monkeypatch.setattr(J, "CHUNK", chunk)
+    monkeypatch.setattr(J, "CHUNK_TOKENS", chunk)
     w = [f"t{i}" for i in range(60)]
     near = [w[:40], w[:41], w[:42], w[1:42], w[1:43], w[2:44], w[:40], w[3:47], w[30:], w[10:50]]
     rows = [(i, " ".join(t)) for i, t in enumerate(near)] + [(100 + i, t) for i, t in corpus(percent, 60)]
@@ -67,6 +68,31 @@ def test_links_are_all_of_them(spark, monkeypatch, percent, chunk):
     assert {r.doc_id: r.links for r in got.collect()} == want
 
 
+def test_rows_of_blocks_grow_with_the_sets_not_with_their_pairs(spark):
+    """Near copies of one text, and many texts round one passage: no step makes a row for each pair."""
+    w = [f"t{i}" for i in range(60)]
+    near = [(i, " ".join([*w[:30], f"x{i}", *w[31:]])) for i in range(60)]
+    around = [(100 + i, " ".join([*w[:6], *(f"y{i}_{j}" for j in range(3))])) for i in range(60)]
+    tokens = lambda i: sorted(hash(s) & ((1 << 63) - 1) for s in shingle_set(dict(near + around)[i], 3))
+    first = [(t, i, len(tokens(i))) for i, _ in near + around for t in tokens(i)[:6]]
+    groups = [(i, len(tokens(i)), (i % 7, 5), 1) for i, _ in near + around]
+    first = spark.createDataFrame(first, "tok long, sig long, n long")
+    groups = spark.createDataFrame(groups, "sig long, n long, head struct<sig long, n long>, copies long")
+    assert J._blocks_within(groups).count() == len(near + around)
+    assert J._blocks_across(first, groups).count() <= 6 * len(near + around)
+
+
+def test_level_tables_that_are_summed_in_two_steps(spark, monkeypatch):
+    rows = [(i, f"a b c {' '.join(f'w{j}' for j in range(i % 7 * 3, 40))}") for i in range(70)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    one = J._level_tables(df, "text", 3, 2000)
+    monkeypatch.setattr(J, "BUCKET_TOKENS", 40)
+    two = J._level_tables(df, "text", 3, 64 * 4 * 40 * 3)
+    assert [t.nbytes for t in one] == [1 << 13, 1 << 10, 1 << 10] and one[0].any() and two[0].any()
+    few = [[J._levels(t, J.mix(np.arange(1000, dtype=np.uint64))) for t in x] for x in ([one], [two])]
+    assert [len(x[0]) for x in few] == [1000, 1000]
+
+
 def test_odd_rows(spark):
     df = spark.createDataFrame([(1, "a b c d", 5), (1, "a b c d", 6), (None, "a b c d", 7), (None, None, 8), (2, "x", 9)], "doc_id long, text string, n long")
     got = sorted((r.doc_id or -1, r.n_shingles, r.component_id or -1) for r in J.jaccard_join(df).collect())
@@ -75,6 +101,8 @@ def test_odd_rows(spark):
     left = J.drop_near_copies(df, size=3, percent=90)
     assert left.columns == df.columns
     assert sorted((r.doc_id or -1, r.text or "") for r in left.collect()) == [(-1, ""), (1, "a b c d"), (2, "x")]
+    clash = df.withColumns({"__n": F.lit(1), "__SIG": F.lit("s"), "__id": F.lit(2), "__many": F.lit(True)})
+    assert J.drop_near_copies(clash, size=3, percent=90).columns == clash.columns and J.drop_near_copies(clash, size=3, percent=90).count() == 3
 
 
 def test_drop_keeps_one_of_each_group(spark):
