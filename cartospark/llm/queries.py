@@ -86,15 +86,17 @@ def op10_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations as tool traffic: a turn of the user calls the tool `reply`, the assistant's turn after it answers.
 
     Every turn of the table is an event: those of the system call the tool `configure`.  A user's turn needs the
-    answer to the user's turn two before it.
+    answer to the user's turn two before it.  The log is out of order (a turn's place in it is turn * 37 modulo 101), so that the
+    links alone say what comes first.
     """
-    turns = _table(spark, sf_dir, "conversations").withColumn("id", F.col("turn").cast("string"))
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text", F.expr("turn * 37 % 101").cast("long").alias("pos"))
     arguments = F.to_json(F.struct(F.col("turn").alias("turn"), F.col("text").alias("text"), F.col("role").alias("role")))
     tool = F.when(F.col("role") == "user", "reply").otherwise("configure")
-    calls = turns.where("role is null or role != 'assistant'").select("conv_id", F.col("turn").alias("pos"), F.col("id").alias("call_id"), tool.alias("tool"), arguments.alias("arguments"), F.when(F.col("role") == "user", (F.col("turn") - 2).cast("string")).alias("after"))
-    results = turns.where("role = 'assistant'").select("conv_id", F.col("turn").alias("pos"), (F.col("turn") - 1).cast("string").alias("call_id"), F.col("text").alias("content"))
-    parameters = [(tool, key, kind, key != "role") for tool in ("reply", "configure") for key, kind in (("turn", "integer"), ("text", "string"), ("role", "string"))]
-    return link_tool_calls(calls, results, spark.createDataFrame(parameters, SCHEMA_DDL))
+    calls = turns.where("role is null or role != 'assistant'").select("conv_id", "pos", F.col("turn").cast("string").alias("call_id"), tool.alias("tool"), arguments.alias("arguments"), F.when(F.col("role") == "user", (F.col("turn") - 2).cast("string")).alias("after"))
+    results = turns.where("role = 'assistant'").select("conv_id", "pos", (F.col("turn") - 1).cast("string").alias("call_id"), F.col("text").alias("content"))
+    kinds = (("turn", "integer", None, 0.0), ("text", "string", None, None), ("role", "string", ['"user"', '"system"'], None))
+    parameters = [(tool, key, kind, key != "role", allowed, least) for tool in ("reply", "configure") for key, kind, allowed, least in kinds]
+    return link_tool_calls(calls, results, spark.createDataFrame(parameters, f"{SCHEMA_DDL}, allowed array<string>, least double"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

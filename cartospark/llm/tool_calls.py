@@ -5,25 +5,32 @@ in a hash join; a call may name the call whose result it needs.  Each event thus
 parent, and the order is topological: an event sorts by the largest position on its path from the root,
 then by depth (0 throughout where positions decide).  Only where some parent stands later than its child does that differ from the log's own
 order, and only those conversations go through pointer doubling: log2(depth) joins, none that
-gathers a conversation in one task.  Arguments are checked as VARIANT values against the tool's schema, key by
-key, and every event is written as canonical JSON (sorted keys, no spaces).
+gathers a conversation in one task.  Arguments are checked as VARIANT values against the tool's schema, one row a call
+that a hash join by tool brings, and every event is written as canonical JSON (sorted keys, no spaces).
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .store import Scratch
 
 #: JSON type name -> type names of VARIANT values.
 TYPES = {
-    "string": "STRING", "integer": "BIGINT", "number": "(BIGINT|DOUBLE|FLOAT|DECIMAL.*)", "boolean": "BOOLEAN",
+    "string": "STRING", "integer": r"(BIGINT|DECIMAL\(\d+,0\))", "number": "(BIGINT|DOUBLE|FLOAT|DECIMAL.*)", "boolean": "BOOLEAN",
     "array": "ARRAY<.*", "object": "OBJECT<.*", "null": "VOID",
 }
 
-#: A tool is one row; its parameters are rows of (tool, key, type, required). Tools without a row take anything.
+#: A tool's parameters are rows of (tool, key, type, required); a row with a null key says that the tool takes no parameters, or
+#: stands for it alone. Tools without a row take anything.
 SCHEMA_DDL = "tool string, key string, type string, required boolean"
+#: What a schema may add: the objects that the key lies in, the values that it may have (as canonical JSON), its least and greatest number,
+#: and, on any row of the tool, whether keys that aren't listed are allowed.
+SCHEMA_MORE = "under array<string>, allowed array<string>, least double, most double, open boolean"
+
+_OBJECT = T.MapType(T.StringType(), T.VariantType())
 
 
 def canonical_json(value: Column) -> Column:
@@ -40,26 +47,45 @@ def _first_by_id(events: DataFrame, id_col: str) -> DataFrame:
 
 
 def validate(calls: DataFrame, schemas: DataFrame) -> DataFrame:
-    """calls(uid, tool, arguments string) -> (uid, args variant, errors array<string>), errors sorted."""
-    parsed = calls.select("uid", "tool", F.try_parse_json("arguments").alias("args"))
-    kind = F.schema_of_variant("args")
-    is_object = F.coalesce(kind.startswith("OBJECT"), F.lit(False))
-    known = schemas.groupBy("tool").agg(F.sum(F.col("required").cast("int")).alias("n_required"))
-    parsed = parsed.withColumn("is_object", is_object)
-    parsed.createOrReplaceTempView("__tool_args")
-    keys = calls.sparkSession.sql("SELECT uid, tool, e.key AS key, schema_of_variant(e.value) AS kind FROM __tool_args, LATERAL variant_explode(args) AS e WHERE is_object")
+    """calls(tool, arguments string, ...) with args (variant) and errors (array<string>, sorted); schemas as SCHEMA_DDL, with any of SCHEMA_MORE.
+
+    Errors: 'not an object' (null and broken JSON, and repeated keys, too), or for the dotted name of a key 'unknown:', 'missing:', 'type:', 'allowed:'
+    (not one of the values) and 'range:'.  A null type takes any value.
+    """
+    more = {f.name: f.dataType for f in T.StructType.fromDDL(SCHEMA_MORE)}
+    rows = schemas.select("tool", "key", "type", "required", *[F.col(n) if n in schemas.columns else F.lit(None).cast(t).alias(n) for n, t in more.items()])
+    rows = rows.withColumn("under", F.coalesce("under", F.array().cast("array<string>"))).where("tool is not null")
+    parameter = F.struct("under", "key", "type", "required", "allowed", "least", "most")
+    spec = rows.groupBy("tool").agg(F.array_sort(F.collect_list(F.when(F.col("key").isNotNull(), parameter))).alias("spec"), F.coalesce(F.max("open"), F.lit(False)).alias("open"))
+    parsed = calls.withColumn("args", F.try_parse_json("arguments")).join(spec.withColumnRenamed("tool", "spec_tool"), F.col("tool") == F.col("spec_tool"), "left")
+    whole = F.col("args").try_cast(_OBJECT)
+
+    def inside(under: Column) -> Column:
+        """The object that the names lead to, as a map; null if there's none."""
+        return F.when(F.size(under) == 0, whole).otherwise(F.aggregate(under, F.col("args"), lambda v, name: F.try_element_at(v.try_cast(_OBJECT), name)).try_cast(_OBJECT))
+
+    named = lambda p: F.array_join(F.concat(p["under"], F.array(p["key"])), ".")
     pattern = F.create_map(*[F.lit(x) for pair in TYPES.items() for x in pair])
-    spec = schemas.select("tool", "key", "type", "required", F.lit(True).alias("known"))
-    checked = keys.join(known.select("tool"), "tool", "left_semi").join(spec, ["tool", "key"], "left")
-    fits = F.regexp_like("kind", F.concat(F.lit("^"), F.coalesce(F.element_at(pattern, F.col("type")), F.lit(".*")), F.lit("$")))
-    wrong = F.when(F.col("known").isNull(), F.concat(F.lit("unknown:"), "key")).when(~fits, F.concat(F.lit("type:"), "key"))
-    per_key = checked.groupBy("uid").agg(F.array_sort(F.collect_list(wrong)).alias("wrong"), F.sum(F.coalesce(F.col("required").cast("int"), F.lit(0))).alias("n_found"))
-    out = parsed.join(known, "tool", "left").join(per_key, "uid", "left")
-    missing = F.coalesce("n_required", F.lit(0)) > F.coalesce("n_found", F.lit(0))
-    errors = F.when(~F.col("is_object"), F.array(F.lit("not an object"))).otherwise(
-        F.concat(F.coalesce("wrong", F.array().cast("array<string>")), F.when(missing, F.array(F.lit("missing"))).otherwise(F.array().cast("array<string>")))
-    )
-    return out.select("uid", "args", errors.alias("errors"))
+
+    def judged(p: Column) -> Column:
+        value = F.try_element_at(inside(p["under"]), p["key"])
+        kind = F.schema_of_variant(value)
+        number = F.to_json(value).try_cast("double")
+        wrong = F.when(value.isNull(), F.when(F.coalesce(p["required"], F.lit(False)) & inside(p["under"]).isNotNull(), "missing:"))
+        wrong = wrong.when(~F.regexp_like(kind, F.concat(F.lit("^"), F.coalesce(F.try_element_at(pattern, p["type"]), F.lit(".*")), F.lit("$"))), "type:")
+        wrong = wrong.when(p["allowed"].isNotNull() & ~F.array_contains(p["allowed"], F.to_json(value)), "allowed:")
+        wrong = wrong.when(F.coalesce((number < p["least"]) | (number > p["most"]), F.lit(False)), "range:")
+        return F.when(wrong.isNotNull(), F.concat(wrong, named(p)))
+
+    def unknown(under: Column) -> Column:
+        listed = F.transform(F.filter("spec", lambda p: p["under"] == under), lambda p: p["key"])
+        extra = F.array_except(F.coalesce(F.map_keys(inside(under)), F.array().cast("array<string>")), listed)
+        return F.transform(extra, lambda k: F.concat(F.lit("unknown:"), F.array_join(F.concat(under, F.array(k)), ".")))
+
+    levels = F.array_distinct(F.concat(F.array(F.array().cast("array<string>")), F.transform("spec", lambda p: p["under"])))
+    found = F.concat(F.filter(F.transform("spec", judged), lambda e: e.isNotNull()), F.when(F.col("open"), F.array().cast("array<string>")).otherwise(F.flatten(F.transform(levels, unknown))))
+    errors = F.when(whole.isNull(), F.array(F.lit("not an object"))).otherwise(F.coalesce(F.array_sort(found), F.array().cast("array<string>")))
+    return parsed.withColumn("errors", errors).drop("spec", "spec_tool", "open")
 
 
 def _ordered(events: DataFrame, scratch: Scratch) -> DataFrame:
@@ -102,8 +128,9 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: DataFrame) ->
     status: 'linked' (a call with a result, a result with a call), 'no result', 'no call', 'no id' (null
     call_id), 'duplicate' (not the first event of its conversation, kind and id, by pos, then content; it links
     with nothing), 'cycle' (on or below a circle of `after`; keeps its own pos).  Of events that are equal in
-    every column, each is kept; all count as the first.  errors of a call: 'not an object' (null, broken or over-long
-    JSON too), 'unknown:key', 'type:key', 'missing'.  A null conv_id is a conversation of its own.  A null pos sorts first.
+    every column, each is kept; all count as the first.  errors of a call as in validate().  Arguments that are JSON are written canonically,
+    with errors or not, others as a string of what they are; what is null is written as null.  A null conv_id is a conversation of its own.
+    A null pos sorts first.
     """
     scratch = Scratch(calls.sparkSession, "tool-calls")
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
@@ -134,15 +161,16 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: DataFrame) ->
     events = scratch.keep(call_events.unionByName(result_events), "events")
     ordered = _ordered(events.select("uid", "conv_id", "pos", "parent", "kind", "call_id", "duplicate", "has", "body"), scratch)
     checked = validate(c.select("uid", "tool", "arguments").distinct(), schemas)
-    out = ordered.join(checked, "uid", "left").join(c.select("uid", "tool", "arguments").distinct(), "uid", "left")
+    out = ordered.join(checked, "uid", "left")
     status = (
         F.when(F.col("call_id").isNull(), "no id").when(F.col("duplicate"), "duplicate").when(F.col("cyclic"), "cycle")
         .when(F.col("has"), "linked").otherwise(F.when(F.col("kind") == "call", "no result").otherwise("no call"))
     )
-    quoted = lambda col: F.regexp_extract(F.to_json(F.struct(F.coalesce(col, F.lit("")).alias("x"))), r"(?s)^\{\"x\":(.*)\}$", 1)
-    arguments = F.when(F.size("errors") == 0, canonical_json(F.col("args"))).otherwise(quoted(F.col("arguments")))
-    call_json = F.concat(F.lit('{"arguments":'), arguments, F.lit(',"id":'), quoted(F.col("call_id")), F.lit(',"name":'), quoted(F.col("tool")), F.lit(',"type":"call"}'))
-    result_json = F.concat(F.lit('{"content":'), quoted(F.col("body")), F.lit(',"id":'), quoted(F.col("call_id")), F.lit(',"type":"result"}'))
+    quoted = lambda col: F.coalesce(F.regexp_extract(F.to_json(F.struct(col.alias("x"))), r"(?s)^\{\"x\":(.*)\}$", 1), F.lit(""))
+    or_null = lambda col: F.when(col.isNull(), "null").otherwise(quoted(col))
+    arguments = F.coalesce(canonical_json(F.col("args")), or_null(F.col("arguments")))
+    call_json = F.concat(F.lit('{"arguments":'), arguments, F.lit(',"id":'), or_null(F.col("call_id")), F.lit(',"name":'), or_null(F.col("tool")), F.lit(',"type":"call"}'))
+    result_json = F.concat(F.lit('{"content":'), or_null(F.col("body")), F.lit(',"id":'), or_null(F.col("call_id")), F.lit(',"type":"result"}'))
     return out.select(
         "conv_id", "kind", "call_id", "pos", "order_pos", "depth", status.alias("status"), F.coalesce("errors", F.array().cast("array<string>")).alias("errors"),
         F.when(F.col("kind") == "call", call_json).otherwise(result_json).alias("json"),
