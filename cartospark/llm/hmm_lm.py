@@ -10,9 +10,12 @@ vocabulary and one unknown word a class.  The forward recursion is scaled at eve
 exact for texts of any length.
 
 How it scales.  One pass over the texts writes them as blocks: token numbers local to the block and the block's
-vocabulary.  Vocabularies, not tokens, are exchanged: every block sends its word hashes and counts to hash buckets,
-which return the corpus counts.  Each Baum-Welch round reads the blocks and sends fixed-size sufficient
-statistics; the texts never move.  Blocks hold at most BLOCK_WORDS words (or one document).
+vocabulary.  Vocabularies, not tokens, are exchanged: every block sends its word hashes and counts, which are summed by word with
+map-side combine and joined back.  Each Baum-Welch round reads the blocks and sends fixed-size sufficient
+statistics, which are added in groups of FAN_IN; the texts never move.  Blocks hold at most BLOCK_WORDS words (or one document).
+
+Long texts are cut into pieces of PIECE tokens only to work on them side by side: products of the transition steps of each piece
+carry the state exactly from piece to piece, forwards and backwards, so training and scores are those of whole texts.
 """
 
 from __future__ import annotations
@@ -32,10 +35,10 @@ from .words import Words, hash_words, mix, slices
 STATES = 8
 ROUNDS = 4
 CLASSES = 1 << 15
-BLOCK_WORDS = 1 << 20
-PIECE = 512  # training sequences: texts cut into pieces of so many tokens, each beginning from pi
+BLOCK_WORDS = 1 << 21
+PIECE = 512
 SMOOTH = 0.1
-BUCKET_WORDS = 1_000_000
+FAN_IN = 64
 _SLICES = 16
 
 _U = np.uint64
@@ -105,47 +108,28 @@ def write_blocks(df: DataFrame, id_col: str, text_col: str, scratch: Scratch) ->
 
 
 def exchange_counts(blocks: DataFrame, scratch: Scratch) -> tuple[DataFrame, dict]:
-    """((block, bucket, counts): corpus counts of each block's words; totals by class over the corpus)."""
-    total = blocks.agg(F.sum(F.octet_length("words") / 8)).first()[0] or 0
-    buckets = 1 << max(4, int(np.ceil(np.log2(max(1, total / BUCKET_WORDS)))))
-    shift = _U(64 - int(np.log2(buckets)))
+    """((block, counts): corpus counts of each block's words; totals by class over the corpus)."""
 
-    def send(batches):
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, words, classes, counts in zip(*(batch.column(c).to_pylist() for c in ("block", "words", "classes", "counts"))):
-                words, classes, counts = np.frombuffer(words, _U), np.frombuffer(classes, np.uint16), np.frombuffer(counts, np.int32)
-                cuts = np.searchsorted(words >> shift, np.arange(buckets + 1, dtype=_U))
-                cut = lambda x: pa.array([x[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:])], pa.binary())  # noqa: B023, E731
-                yield pa.RecordBatch.from_arrays([pa.array(range(buckets), pa.int32()), pa.array([block] * buckets), cut(words), cut(classes), cut(counts)], ["bucket", "block", "words", "classes", "counts"])
-
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        words = [np.frombuffer(x, _U) for x in pdf["words"]]
-        all_words = np.concatenate(words)
-        unique, first, at = np.unique(all_words, return_index=True, return_inverse=True)
-        c = np.bincount(at, weights=np.concatenate([np.frombuffer(x, np.int32) for x in pdf["counts"]]), minlength=len(unique)).astype(np.int64)
-        classes = np.concatenate([np.frombuffer(x, np.uint16) for x in pdf["classes"]])[first]
-        seen = c > 0
-        by_class = np.bincount(classes[seen], weights=c[seen], minlength=CLASSES).astype(np.int64)
-        types = np.bincount(classes[seen], minlength=CLASSES).astype(np.int64)
-        cuts = np.cumsum([len(w) for w in words])[:-1]
-        back = pd.DataFrame({"block": pdf["block"], "bucket": pdf["bucket"], "counts": [x.tobytes() for x in np.split(c[at], cuts)]})
-        stats = pd.DataFrame({"block": [-1], "bucket": [pdf["bucket"].iloc[0]], "counts": [by_class.tobytes() + types.tobytes()]})
-        return pd.concat([back, stats])
-
-    sent = blocks.select("block", "words", "classes", "counts").mapInArrow(send, "bucket int, block long, words binary, classes binary, counts binary")
-    found = scratch.keep(sent.groupBy("bucket").applyInPandas(merge, "block long, bucket int, counts binary"), "counts")
-
-    def total_stats(frames):
-        acc = np.zeros(2 * CLASSES, np.int64)
-        for pdf in frames:
-            for x in pdf["counts"]:
-                acc += np.frombuffer(x, np.int64)
-        yield pd.DataFrame({"x": [acc.tobytes()]})
-
-    acc = np.zeros(2 * CLASSES, np.int64)
-    for row in found.where("block = -1").select("counts").mapInPandas(total_stats, "x binary").toLocalIterator():
-        acc += np.frombuffer(row.x, np.int64)
-    return found.where("block >= 0"), {"n": acc[:CLASSES], "types": acc[CLASSES:]}
+                words = np.frombuffer(words, np.int64)
+                columns = [np.full(len(words), block), np.arange(len(words), dtype=np.int32), words, np.frombuffer(classes, np.uint16).astype(np.int32), np.frombuffer(counts, np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["block", "at", "word", "class", "n"])
+
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        counts = np.zeros(len(pdf), np.int64)
+        counts[pdf["at"].to_numpy()] = pdf["c"].to_numpy()
+        return pd.DataFrame({"block": [pdf["block"].iloc[0]], "counts": [counts.tobytes()]})
+
+    sent = blocks.select("block", "words", "classes", "counts").mapInArrow(send, "block long, at int, word long, class int, n int")
+    totals = scratch.keep(sent.groupBy("word").agg(F.sum("n").alias("c"), F.max("class").alias("class")), "totals")
+    by_class = totals.where("c > 0").groupBy("class").agg(F.sum("c").alias("n"), F.count("*").alias("types"))
+    out = {k: np.zeros(CLASSES, np.int64) for k in ("n", "types")}
+    for row in by_class.collect():  # CLASSES rows at most
+        out["n"][row["class"]], out["types"][row["class"]] = row.n, row.types
+    back = sent.select("word", "block", "at").join(totals.select("word", "c"), "word").select("block", "at", "c")
+    return back.groupBy("block").applyInPandas(pack, "block long, counts binary"), out
 
 
 class Model:
@@ -181,93 +165,163 @@ def _layout(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return order, starts, alive
 
 
-def log_likelihood(model: Model, classes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Natural log of each sequence's probability, by the scaled forward recursion."""
-    order, starts, alive = _layout(sizes)
-    out = np.zeros(len(sizes))
-    alpha = np.repeat(model.pi[None], len(sizes), axis=0)
+class Pieces:
+    """Texts cut into pieces of PIECE tokens, with what each piece needs from its neighbours.
+
+    prior: the states' probabilities at its first token given all tokens before it in the text; after: weights of the states
+    at its last token by all tokens that follow (of any scale).
+    """
+
+    def __init__(self, model: Model, classes: np.ndarray, sizes: np.ndarray):
+        k = len(model.pi)
+        n = -(-sizes // PIECE)
+        self.text = np.repeat(np.arange(len(sizes)), n)
+        ends = np.cumsum(n)
+        self.nth = np.arange(len(self.text)) - np.repeat(ends - n, n)
+        self.sizes = np.full(len(self.text), PIECE, np.int64)
+        self.sizes[ends - 1] = sizes - (n - 1) * PIECE
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.prior = np.repeat(model.pi[None], len(self.text), axis=0)
+        self.after = np.ones((len(self.text), k))
+        several = np.flatnonzero(np.repeat(n, n) > 1)
+        if not len(several):
+            return
+        steps = np.zeros((len(self.text), k, k))
+        steps[several] = self._products(model, classes, several)
+        most = int(n.max())
+        state = np.zeros((len(sizes), k))
+        state[:] = model.pi
+        for r in range(1, most):  # all texts that have a piece r
+            now = np.flatnonzero(n > r)
+            before = (ends - n)[now] + r - 1
+            moved = np.einsum("ij,ijk->ik", state[now], steps[before])
+            state[now] = moved / moved.sum(axis=1, keepdims=True)
+            self.prior[before + 1] = state[now] @ model.a
+        weight = np.ones((len(sizes), k))
+        for r in range(most - 1, 0, -1):
+            now = np.flatnonzero(n > r)
+            own = (ends - n)[now] + r
+            moved = np.einsum("ijk,ik->ij", steps[own], weight[now])
+            weight[now] = moved / moved.sum(axis=1, keepdims=True)
+            self.after[own - 1] = weight[now]
+
+    def _products(self, model: Model, classes: np.ndarray, which: np.ndarray) -> np.ndarray:
+        """The product of each piece's steps (transition, then emission; a text's first token has no transition), scaled."""
+        k = len(model.pi)
+        order, starts, alive = _layout(self.sizes[which])
+        starts = self.starts[which][order]
+        out = np.zeros((len(which), k, k))
+        out[:] = np.eye(k)
+        first = (self.nth[which][order] == 0)[:, None, None]
+        for t, n in enumerate(alive.tolist()):
+            moved = out[:n] @ model.a if t else np.where(first[:n], out[:n], model.a)
+            moved = moved * model.b[classes[starts[:n] + t]][:, None, :]
+            out[:n] = moved / moved.sum(axis=(1, 2), keepdims=True)
+        back = np.empty_like(out)
+        back[order] = out
+        return back
+
+
+def _forward(model: Model, classes: np.ndarray, pieces: Pieces, each) -> None:
+    """Scaled forward recursion over all pieces side by side: calls each(places, alpha, scale) at every step."""
+    order, _, alive = _layout(pieces.sizes)
+    starts, alpha = pieces.starts[order], pieces.prior[order]
     for t, n in enumerate(alive.tolist()):
         if t:
             alpha = alpha[:n] @ model.a
-        alpha = alpha[:n] * model.b[classes[starts[:n] + t]]
+        rows = starts[:n] + t
+        alpha = alpha[:n] * model.b[classes[rows]]
         scale = alpha.sum(axis=1)
         alpha /= scale[:, None]
-        out[:n] += np.log(scale)
-    back = np.empty(len(sizes))
-    back[order] = out
-    return back
+        each(rows, alpha, scale)
+
+
+def log_likelihood(model: Model, classes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Natural log of each sequence's probability, by the scaled forward recursion."""
+    scales = np.ones(len(classes))
+
+    def each(rows, _, scale):
+        scales[rows] = scale
+
+    _forward(model, classes, Pieces(model, classes, sizes), each)
+    total = np.concatenate([[0.0], np.cumsum(np.log(scales))])
+    ends = np.cumsum(sizes)
+    return total[ends] - total[ends - sizes]
 
 
 def expected_counts(model: Model, classes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Baum-Welch counts (pi, A, B) of the sequences."""
     k = len(model.pi)
-    order, starts, alive = _layout(sizes)
+    pieces = Pieces(model, classes, sizes)
     gamma = np.empty((len(classes), k), np.float32)
     scales = np.empty(len(classes))
-    a, at = model.a, model.a.T.copy()
-    alpha = np.repeat(model.pi[None], len(sizes), axis=0)
-    for t, n in enumerate(alive.tolist()):
-        if t:
-            alpha = alpha[:n] @ a
-        rows = starts[:n] + t
-        alpha = alpha[:n] * model.b[classes[rows]]
-        scale = alpha.sum(axis=1)
-        alpha /= scale[:, None]
+
+    def each(rows, alpha, scale):
         gamma[rows], scales[rows] = alpha, scale
-    moves = np.zeros((k, k))
+
+    _forward(model, classes, pieces, each)
+    order, _, alive = _layout(pieces.sizes)
+    starts, last = pieces.starts[order], pieces.starts + pieces.sizes - 1
+    ends = gamma[last].astype(float)  # states at each piece's end, from all tokens up to it
+    after = (pieces.after / (ends * pieces.after).sum(axis=1, keepdims=True))[order]
+    at, moves = model.a.T.copy(), np.zeros((k, k))
     beta, n_after = np.zeros((0, k)), 0
     for t in range(len(alive) - 1, -1, -1):
         n = int(alive[t])
         rows = starts[:n] + t
-        new = np.ones((n, k))
+        new = after[:n].copy()
         if n_after:
             ahead = rows[:n_after] + 1
             weighted = model.b[classes[ahead]] * beta / scales[ahead][:, None]
             moves += gamma[rows[:n_after]].T.astype(float) @ weighted
             new[:n_after] = weighted @ at
-            gamma[rows[:n_after]] *= new[:n_after]
+        gamma[rows] *= new
         beta, n_after = new, n
-    first = gamma[starts].astype(float).sum(axis=0) if len(sizes) else np.zeros(k)
+    opens = np.empty((len(starts), k))  # the backward weights at each piece's first token
+    opens[order] = beta
+    later = np.flatnonzero(pieces.nth > 0)
+    places = pieces.starts[later]
+    moves += ends[later - 1].T @ (model.b[classes[places]] * opens[later] / scales[places][:, None])
+    first = gamma[pieces.starts[pieces.nth == 0]].astype(float).sum(axis=0)
     b = np.stack([np.bincount(classes, weights=gamma[:, s], minlength=CLASSES) for s in range(k)], axis=1)
-    return first, moves * a, b
+    return first, moves * model.a, b
 
 
-def _pieces(sizes: np.ndarray) -> np.ndarray:
-    """Sizes of the training pieces, in text order."""
-    full, rest = np.divmod(sizes, PIECE)
-    n = full + (rest > 0)
-    ends = np.cumsum(n)
-    out = np.full(int(n.sum()), PIECE, np.int64)
-    tail = ends[rest > 0] - 1
-    out[tail] = rest[rest > 0]
-    return out
+def _add(pdf: pd.DataFrame) -> pd.DataFrame:
+    total = sum(np.frombuffer(x, float) for x in pdf["sums"])
+    return pd.DataFrame({"part": [pdf["part"].iloc[0]], "task": [pdf["task"].iloc[0]], "sums": [total.tobytes()]})
 
 
-def baum_welch(blocks: DataFrame, n_class: np.ndarray, states: int, rounds: int, scratch: Scratch) -> Model:
+def baum_welch(blocks: DataFrame, n_class: np.ndarray, states: int, rounds: int) -> Model:
     model = Model.start(n_class, states)
-    wide = CLASSES // _SLICES
-    for r in range(rounds):
+    wide, tasks = CLASSES // _SLICES, blocks.rdd.getNumPartitions()
+    for _ in range(rounds):
         held = blocks.sparkSession.sparkContext.broadcast(model)
 
         def expect(batches, held=held):
+            from pyspark import TaskContext
+
             pi, a, b = np.zeros(states), np.zeros((states, states)), np.zeros((CLASSES, states))
             for batch in batches:
                 for sizes, out, tokens, classes in zip(*(batch.column(c).to_pylist() for c in ("sizes", "held", "tokens", "classes"))):
                     sizes, out = np.frombuffer(sizes, np.int64), np.frombuffer(out, bool)
                     train = np.repeat(~out, sizes)
-                    seq = np.frombuffer(classes, np.uint16)[np.frombuffer(tokens, np.int32)[train]]
-                    x, y, z = expected_counts(held.value, seq, _pieces(sizes[~out]))
-                    pi, a, b = pi + x, a + y, b + z
-            parts = [b[i * wide : (i + 1) * wide].astype(np.float32).tobytes() for i in range(_SLICES)]
-            parts.append(np.concatenate([pi, a.ravel()]).astype(np.float32).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(range(_SLICES + 1), pa.int32()), pa.array(parts, pa.binary())], ["part", "sums"])
-
-        def add(pdf: pd.DataFrame) -> pd.DataFrame:
-            total = sum(np.frombuffer(x, np.float32).astype(float) for x in pdf["sums"])
-            return pd.DataFrame({"part": [pdf["part"].iloc[0]], "sums": [total.tobytes()]})
-
-        sums = blocks.select("sizes", "held", "tokens", "classes").mapInArrow(expect, "part int, sums binary").groupBy("part").applyInPandas(add, "part int, sums binary")
+                    if train.any():
+                        seq = np.frombuffer(classes, np.uint16)[np.frombuffer(tokens, np.int32)[train]]
+                        x, y, z = expected_counts(held.value, seq, sizes[~out])
+                        pi, a, b = pi + x, a + y, b + z
+            parts = [b[i * wide : (i + 1) * wide].tobytes() for i in range(_SLICES)]
+            parts.append(np.concatenate([pi, a.ravel()]).tobytes())
+            task = np.full(_SLICES + 1, TaskContext.get().partitionId(), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(range(_SLICES + 1), pa.int32()), pa.array(task), pa.array(parts, pa.binary())], ["part", "task", "sums"])
+
+        sums, left = blocks.select("sizes", "held", "tokens", "classes").mapInArrow(expect, "part int, task long, sums binary"), tasks
+        while left > FAN_IN:  # no task adds more than FAN_IN rows
+            left = -(-left // FAN_IN)
+            sums = sums.groupBy("part", F.pmod("task", F.lit(left)).alias("task")).applyInPandas(_add, "part int, task long, sums binary")
+        sums = sums.groupBy("part").applyInPandas(_add, "part int, task long, sums binary")
         got = {row.part: np.frombuffer(row.sums, float) for row in sums.collect()}  # CLASSES x states numbers
+        held.destroy()
         if not got:
             return model
         b = np.concatenate([got[i].reshape(wide, states) for i in range(_SLICES)])
@@ -286,11 +340,10 @@ def score_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     scratch = Scratch(df.sparkSession, "hmm")
     blocks = write_blocks(df, id_col, text_col, scratch)
     counts, totals = exchange_counts(blocks, scratch)
-    model = baum_welch(blocks, totals["n"], states, rounds, scratch)
+    model = baum_welch(blocks, totals["n"], states, rounds)
     held = df.sparkSession.sparkContext.broadcast((model, totals))  # CLASSES x states numbers
     kind = df.schema[id_col].dataType.simpleString()
-    per_block = counts.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("bucket", "counts"))).alias("counts"))
-    whole = blocks.select("block", "ids", "sizes", "held", "tokens", "classes").join(per_block.select("block", F.col("counts.counts").alias("counts")), "block")
+    whole = blocks.select("block", "ids", "sizes", "held", "tokens", "classes").join(counts, "block")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, totals = held.value
@@ -300,7 +353,7 @@ def score_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
             for i in range(batch.num_rows):
                 get = lambda c, t: np.frombuffer(batch.column(c)[i].as_py(), t)  # noqa: B023, E731
                 sizes, out, tokens, classes = get("sizes", np.int64), get("held", bool), get("tokens", np.int32), get("classes", np.uint16)
-                c = np.concatenate([np.frombuffer(x, np.int64) for x in batch.column("counts")[i].as_py()])
+                c = get("counts", np.int64)
                 ends = np.cumsum(sizes)
                 per_doc = lambda x: np.diff(np.concatenate([[0], np.cumsum(x[tokens])])[np.concatenate([[0], ends])])  # noqa: B023, E731
                 base = per_doc(np.log10((c + SMOOTH) / (n + SMOOTH * (v + 1))))
