@@ -84,6 +84,22 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
+def negative_log_likelihood(w: np.ndarray, t: np.ndarray, first: np.ndarray, columns: np.ndarray, values: np.ndarray, grades: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """(mean loss, its gradient by the weights and by the parameters t of the thresholds: the first one, then logs of the steps)."""
+    n, owner = len(grades), np.repeat(np.arange(len(grades)), np.diff(first))
+    cuts = np.concatenate([[-np.inf], np.cumsum(np.concatenate([t[:1], np.exp(t[1:])])), [np.inf]])
+    score = np.bincount(owner, weights=values * w[columns], minlength=n)
+    upper, lower = _sigmoid(cuts[grades + 1] - score), _sigmoid(cuts[grades] - score)
+    p = np.maximum(upper - lower, 1e-9)
+    du, dl = upper * (1 - upper) / p, lower * (1 - lower) / p
+    by_weight = np.bincount(columns, weights=values * ((du - dl) / n)[owner], minlength=len(w))
+    by_cut = np.zeros(len(t) + 2)
+    np.add.at(by_cut, grades + 1, -du / n)
+    np.add.at(by_cut, grades, dl / n)
+    tail = np.cumsum(by_cut[1:-1][::-1])[::-1]  # a step moves all thresholds above it
+    return float(-np.log(p).mean()), by_weight, tail * np.concatenate([[1.0], np.exp(t[1:])])
+
+
 def fit(first: np.ndarray, columns: np.ndarray, values: np.ndarray, grades: np.ndarray, levels: int, epochs: int = EPOCHS) -> tuple[np.ndarray, np.ndarray]:
     """(weights, thresholds) by maximum likelihood with adaptive full-batch steps."""
     w, m, v = np.zeros(1 << BITS), np.zeros(1 << BITS), np.zeros(1 << BITS)
@@ -92,20 +108,9 @@ def fit(first: np.ndarray, columns: np.ndarray, values: np.ndarray, grades: np.n
     # thresholds as a first one and positive steps
     t = np.concatenate([base[:1], np.log(np.maximum(np.diff(base), 1e-2))])
     tm, tv = np.zeros_like(t), np.zeros_like(t)
-    owner = np.repeat(np.arange(len(grades)), np.diff(first))
-    rows = np.arange(len(grades))
     for epoch in range(1, epochs + 1):
-        cuts = np.concatenate([[-np.inf], np.cumsum(np.concatenate([t[:1], np.exp(t[1:])])), [np.inf]])
-        score = np.bincount(owner, weights=values * w[columns], minlength=len(grades))
-        upper, lower = _sigmoid(cuts[grades + 1] - score), _sigmoid(cuts[grades] - score)
-        p = np.maximum(upper - lower, 1e-9)
-        du, dl = upper * (1 - upper) / p, lower * (1 - lower) / p
-        g = np.bincount(columns, weights=values * ((du - dl) / len(grades))[owner], minlength=len(w)) + DECAY * w
-        dcut = np.zeros(levels + 1)
-        np.add.at(dcut, grades[rows] + 1, -du / len(grades))
-        np.add.at(dcut, grades[rows], dl / len(grades))
-        tail = np.cumsum(dcut[1:levels][::-1])[::-1]
-        tg = tail * np.concatenate([[1.0], np.exp(t[1:])])
+        _, g, tg = negative_log_likelihood(w, t, first, columns, values, grades)
+        g += DECAY * w
         for x, gx, mx, vx in ((w, g, m, v), (t, tg, tm, tv)):
             mx += 0.1 * (gx - mx)
             vx += 0.01 * (gx * gx - vx)
@@ -114,13 +119,16 @@ def fit(first: np.ndarray, columns: np.ndarray, values: np.ndarray, grades: np.n
 
 
 def train(docs: DataFrame, ratings: DataFrame, levels: int, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray]:
-    """Fits on at most `sample` rated rows. ratings(id, grade int from 0 to levels - 1); null ids or grades don't count.
+    """Fits on at most `sample` rated ids. ratings(id, grade int from 0 to levels - 1); null ids or grades don't count.
 
+    An id that is rated several times has its lowest grade; of texts that share an id the one with the least hash counts, chosen
+    with map-side combine, so an id with any number of rows sends one.  A null text is an empty one.
     Without rated texts the weights are 0 and every grade is as likely as the next.
     """
     chosen = ratings.where(F.col(id_col).isNotNull() & F.col("grade").isNotNull()).select(F.col(id_col).alias("__id"), "grade")
     chosen = chosen.groupBy("__id").agg(F.min("grade").alias("grade")).orderBy(F.xxhash64("__id"), "__id").limit(sample)
     rated = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(F.broadcast(chosen), "__id")  # `sample` rows
+    rated = rated.groupBy("__id").agg(F.min_by("__text", F.xxhash64("__text")).alias("__text"), F.min("grade").alias("grade"))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -130,7 +138,7 @@ def train(docs: DataFrame, ratings: DataFrame, levels: int, id_col: str = "doc_i
                 yield pa.RecordBatch.from_arrays([part.column("__id").cast(pa.string()), part.column("grade"), cut(columns), cut(values)], ["id", "grade", "columns", "values"])
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates(["id", "columns"]).sort_values(["id", "columns"]).iloc[: 2 * sample]
+        pdf = pdf.sort_values("id")
         columns = [np.frombuffer(x, np.int32) for x in pdf["columns"]]
         first = np.concatenate([[0], np.cumsum([len(c) for c in columns])])
         values = np.concatenate([np.frombuffer(x, np.float32) for x in pdf["values"]])
