@@ -1,7 +1,7 @@
 """Quality rules with compression bands.
 
 Every text gets plain counts (words, symbols, repeated lines and windows) and two kinds of zstandard
-ratio, raw bytes / compressed bytes: of the whole text and of each fixed chunk of it.  Repetitive
+ratio, raw bytes / compressed bytes: of the whole text and of each fixed chunk of it, the last of which ends with the text.  Repetitive
 text compresses too well, noise hardly at all; the limits depend on the length, as short texts carry the
 frame's overhead and long ones find more matches.  All is computed inside one Arrow pass, a megabyte of
 text at a time, with no shuffle.
@@ -34,13 +34,17 @@ class Band:
     high: float
 
 
-#: Ordinary prose of natural or invented words lies between 1.4 (a few hundred bytes) and 4.
-WHOLE = (Band(0, 0.0, 4.0), Band(128, 0.85, 5.0), Band(512, 1.05, 6.0), Band(2048, 1.25, 8.0), Band(16384, 1.4, 10.0), Band(131072, 1.45, 14.0))
+#: The lower limits lie between noise (words of random letters and digits: 0.9 at 100 bytes, 1.36 at most) and prose (1.14 at 100
+#: bytes, 1.47 at 512, 2.1 at 4096); the upper ones above prose of which a third repeats.
+WHOLE = (
+    Band(0, 0.0, 2.5), Band(100, 0.98, 2.8), Band(128, 1.09, 3.0), Band(192, 1.14, 3.2), Band(256, 1.22, 3.4), Band(384, 1.29, 3.5), Band(512, 1.34, 3.6), Band(768, 1.42, 3.8), Band(1024, 1.48, 4.0),
+    Band(1536, 1.52, 4.2), Band(2048, 1.56, 4.4), Band(4096, 1.6, 4.8), Band(16384, 1.65, 5.5), Band(131072, 1.65, 7.0),
+)
 CHUNK_BYTES = 4096
-#: A full chunk outside this band is bad.
-CHUNK = Band(CHUNK_BYTES, 1.2, 8.0)
+#: A chunk outside this band is bad.
+CHUNK = Band(CHUNK_BYTES, 1.55, 5.0)
 #: More than so many percent bad chunks reject the text.
-BAD_CHUNKS_PERCENT = 30
+BAD_CHUNKS_PERCENT = 20
 
 _SYMBOL = np.isin(np.arange(256), np.frombuffer(SYMBOLS, np.uint8))
 
@@ -115,7 +119,10 @@ def _measure(data: np.ndarray, bounds: np.ndarray, whole: tuple[Band, ...], chun
     for lo, hi, failed in zip(bounds[:-1].tolist(), bounds[1:].tolist(), base_failed.tolist()):
         size = hi - lo
         full = size / len(pack.compress(view[lo:hi])) if size else 0.0
-        parts = [chunk.least / len(pack.compress(view[a : a + chunk.least])) for a in range(lo, hi - chunk.least + 1, chunk.least)]
+        places = [*range(lo, hi - chunk.least + 1, chunk.least)]
+        if places and places[-1] + chunk.least < hi:
+            places.append(hi - chunk.least)
+        parts = [chunk.least / len(pack.compress(view[a : a + chunk.least])) for a in places]
         bad = sum(not chunk.low <= r <= chunk.high for r in parts)
         band = _band(whole, size)
         ratio.append(full)
