@@ -281,7 +281,7 @@ _SEGMENT = "segment long, ids array<{}>, sizes array<long>, control binary, data
 
 
 def write_token_file(df: DataFrame, folder: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0) -> None:
-    """Writes `folder`/segments and `folder`/ranks, documents in ascending id order (nulls first, ties by their ids' bytes).
+    """Writes `folder`/segments and `folder`/ranks, documents in ascending id order (nulls first, ties by a hash of their token ids, then by those).
 
     A null text is empty: its end id alone.  An empty table gives empty tables.  Other columns of df are left out.
     """
@@ -311,7 +311,7 @@ def write_token_file(df: DataFrame, folder: str, tokenizer: str, id_col: str = "
     names, arrow = schema.names, [to_arrow_type(f.dataType) for f in schema.fields]
     size = encoded.agg(F.sum(F.octet_length("ids"))).first()[0] or 0
     parts = max(1, -(-size // (16 << 20)))
-    sorted_rows = encoded.repartitionByRange(parts, "id", F.xxhash64("ids")).sortWithinPartitions("id", "ids")
+    sorted_rows = encoded.repartitionByRange(parts, "id", F.xxhash64("ids")).sortWithinPartitions("id", F.xxhash64("ids"), "ids")
     sorted_rows.mapInArrow(run, schema).write.parquet(f"{folder}/segments")
     scratch.drop("encoded")
 
