@@ -186,14 +186,14 @@ def _suspects(df: DataFrame, text_col: str, size: int, percent: int, tables, scr
     return found
 
 
-def _prefix(tokens: np.ndarray, levels: np.ndarray, owner: np.ndarray, n: np.ndarray, percent: int, order: int) -> tuple[np.ndarray, np.ndarray]:
-    """(owner, token) of the sets' prefix tokens under the order, less those that no other set has; owner is ascending."""
+def _prefix(tokens: np.ndarray, levels: np.ndarray, owner: np.ndarray, n: np.ndarray, percent: int, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(owner, token, place) of the sets' prefix tokens under the order, less those that no other set has; owner is ascending."""
     rank = np.lexsort((mix(tokens ^ _SEEDS[order]), levels, owner))
     first = np.cumsum(n) - n
     place = np.arange(len(owner)) - first[owner]  # owners stand together before and after
-    keep = rank[(place < (n - _least_share(n, percent) + 1)[owner])]
-    keep = keep[levels[keep] > 0]
-    return owner[keep], tokens[keep]
+    keep = (place < (n - _least_share(n, percent) + 1)[owner]) & (levels[rank] > 0)
+    rank = rank[keep]
+    return owner[rank], tokens[rank], place[keep]
 
 
 def _flat(tokens: list[bytes], levels: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -203,7 +203,7 @@ def _flat(tokens: list[bytes], levels: list[bytes]) -> tuple[np.ndarray, np.ndar
 
 
 def _prefixes(suspects: DataFrame, percent: int, order: int) -> DataFrame:
-    """(tok, sig, n): prefix tokens of the order that at least two sets hold."""
+    """(tok, place, sig, n): prefix tokens of the order that at least two sets hold."""
 
     def run(batches):
         for batch in batches:
@@ -212,10 +212,10 @@ def _prefixes(suspects: DataFrame, percent: int, order: int) -> DataFrame:
                 part = batch.slice(at, 500)
                 at += part.num_rows
                 tokens, levels, owner, n = _flat(part.column("tokens").to_pylist(), part.column("levels").to_pylist())
-                who, found = _prefix(tokens, levels, owner, n, percent, order)
-                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), part.column("sig").take(pa.array(who)), part.column("n").take(pa.array(who))], ["tok", "sig", "n"])
+                who, found, place = _prefix(tokens, levels, owner, n, percent, order)
+                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(place), part.column("sig").take(pa.array(who)), part.column("n").take(pa.array(who))], ["tok", "place", "sig", "n"])
 
-    return suspects.select("sig", "n", "tokens", "levels").mapInArrow(run, "tok long, sig long, n long")
+    return suspects.select("sig", "n", "tokens", "levels").mapInArrow(run, "tok long, place long, sig long, n long")
 
 
 class _Postings:
@@ -251,7 +251,7 @@ def _links(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
     across = bool(pdf["side"].notna().any())
     side = pdf["side"].to_numpy(bool) if across else np.zeros(m, bool)
     tokens, levels, owner, n = _flat(pdf["tokens"].tolist(), pdf["levels"].tolist())
-    filters = [_Postings(*_prefix(tokens, levels, owner, n, percent, k), m) for k in range(ORDERS)]
+    filters = [_Postings(*_prefix(tokens, levels, owner, n, percent, k)[:2], m) for k in range(ORDERS)]
     whole = _Postings(owner, tokens, m)
     label, linked_rows = np.arange(m), np.zeros(m, np.int64)
     for i in np.flatnonzero(~side):
@@ -292,15 +292,37 @@ def _blocks_within(groups: DataFrame) -> DataFrame:
     return placed.select(F.col("head").alias("g"), F.col("head").alias("h"), F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), side.alias("side"), "sig", "n", "copies")
 
 
-def _blocks_across(first: DataFrame, groups: DataFrame) -> DataFrame:
-    """As _blocks_within, for two groups g < h: the sets of each that hold a prefix token which a set of the other holds too."""
+def _room(place: str, lo: str, hi: str, percent: int) -> F.Column:
+    """Whether a set of n that holds a common token at that place can link with some set of lo to hi tokens."""
+    least = F.greatest(F.col(lo), F.ceil(percent * F.col("n") / 100))
+    fits = (100 * F.col("n") >= percent * F.col(lo)) & (100 * F.col(hi) >= percent * F.col("n"))
+    return fits & ((100 + percent) * (F.col("n") - F.col(place)) >= percent * (F.col("n") + least))
+
+
+def _meetings(first: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
+    """(g, h, side, sig, n, copies): sets that hold a prefix token which a set of another group, of a fitting size, holds too; g < h."""
     rows = first.join(groups, ["sig", "n"])
-    heads = rows.groupBy("tok", F.col("head").alias("other")).agg(F.lit(1).alias("one"))
+    heads = rows.groupBy("tok", F.col("head").alias("other")).agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
     mixed = heads.groupBy("tok").agg(F.count("*").alias("c")).where("c > 1").select("tok")
-    meet = rows.join(mixed, "tok", "left_semi").join(heads, "tok").where("head != other")
-    meet = meet.select(F.least("head", "other").alias("g"), F.greatest("head", "other").alias("h"), (F.col("head") > F.col("other")).alias("side"), "sig", "n", "copies").distinct()
+    meet = rows.join(mixed, "tok", "left_semi").join(heads, "tok").where((F.col("head") != F.col("other")) & _room("place", "lo", "hi", percent))
+    return meet.select(F.least("head", "other").alias("g"), F.greatest("head", "other").alias("h"), (F.col("head") > F.col("other")).alias("side"), "sig", "n", "copies").distinct()
+
+
+def _met_again(meet: DataFrame, prefixes: DataFrame, percent: int) -> DataFrame:
+    """Of the meeting sets those that share a prefix token of another order with the other group's."""
+    rows = meet.join(prefixes, ["sig", "n"])
+    of = lambda f, side: f(F.when(F.col("side") == side, F.col("n")))
+    both = rows.groupBy("g", "h", "tok").agg(of(F.min, True).alias("lo0"), of(F.max, True).alias("hi0"), of(F.min, False).alias("lo1"), of(F.max, False).alias("hi1")).where("lo0 is not null and lo1 is not null")
+    lo, hi = F.when(F.col("side"), F.col("lo1")).otherwise(F.col("lo0")), F.when(F.col("side"), F.col("hi1")).otherwise(F.col("hi0"))
+    held = rows.join(both, ["g", "h", "tok"]).withColumns({"lo": lo, "hi": hi}).where(_room("place", "lo", "hi", percent))
+    return held.select(*meet.columns).distinct()
+
+
+def _blocks_across(meet: DataFrame) -> DataFrame:
+    """As _blocks_within, for the sets of two groups g < h that meet."""
     count = lambda on_side: F.greatest(F.lit(1), _chunks(F.coalesce(F.sum(F.when(F.col("side") == on_side, F.col("n"))), F.lit(0))))
-    chunks = meet.groupBy("g", "h").agg(count(False).alias("left"), count(True).alias("right"))
+    one = F.min(F.col("side").cast("int")) != F.max(F.col("side").cast("int"))  # sets of both groups are left
+    chunks = meet.groupBy("g", "h").agg(count(False).alias("left"), count(True).alias("right"), one.alias("both")).where("both").drop("both")
     placed = meet.join(chunks, ["g", "h"])
     own, others = F.when(F.col("side"), F.col("right")).otherwise(F.col("left")), F.when(F.col("side"), F.col("left")).otherwise(F.col("right"))
     placed = placed.withColumn("chunk", F.pmod(F.xxhash64("sig", "n"), own).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), others - 1)))
@@ -320,10 +342,14 @@ def jaccard_links(df: DataFrame, text_col: str, total: int, copies: DataFrame, s
     votes = first.join(heads, "tok").groupBy("sig", "n", "head").agg(F.count("*").alias("c"))
     groups = votes.groupBy("sig", "n").agg(F.max_by("head", F.struct("c", F.struct(-F.col("head.sig"), "head.n"))).alias("head"))
     groups = scratch.keep(groups.join(copies, ["sig", "n"]), "groups")
-    blocks = _blocks_within(groups).unionByName(_blocks_across(first, groups))
+    meet = scratch.keep(_meetings(first, groups, percent), "meet0")
+    some = scratch.keep(suspects.join(meet.select("sig", "n").distinct(), ["sig", "n"], "left_semi"), "some")
+    for k in range(1, ORDERS):  # the filters of all orders, before any tokens move
+        meet = scratch.keep(_met_again(meet, _prefixes(some, percent, k), percent), f"meet{k}")
+    blocks = _blocks_within(groups).unionByName(_blocks_across(meet))
     filled = blocks.join(suspects, ["sig", "n"])
     links = scratch.keep(filled.groupBy("g", "h", "i", "j").applyInPandas(lambda pdf: _links(pdf, percent), _EDGE), "links")
-    scratch.drop("suspects", "prefixes", "groups")
+    scratch.drop("suspects", "prefixes", "groups", "some", *(f"meet{k}" for k in range(ORDERS)))
     return links
 
 

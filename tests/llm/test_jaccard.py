@@ -74,12 +74,12 @@ def test_rows_of_blocks_grow_with_the_sets_not_with_their_pairs(spark):
     near = [(i, " ".join([*w[:30], f"x{i}", *w[31:]])) for i in range(60)]
     around = [(100 + i, " ".join([*w[:6], *(f"y{i}_{j}" for j in range(3))])) for i in range(60)]
     tokens = lambda i: sorted(hash(s) & ((1 << 63) - 1) for s in shingle_set(dict(near + around)[i], 3))
-    first = [(t, i, len(tokens(i))) for i, _ in near + around for t in tokens(i)[:6]]
+    first = [(t, k, i, len(tokens(i))) for i, _ in near + around for k, t in enumerate(tokens(i)[:6])]
     groups = [(i, len(tokens(i)), (i % 7, 5), 1) for i, _ in near + around]
-    first = spark.createDataFrame(first, "tok long, sig long, n long")
+    first = spark.createDataFrame(first, "tok long, place long, sig long, n long")
     groups = spark.createDataFrame(groups, "sig long, n long, head struct<sig long, n long>, copies long")
     assert J._blocks_within(groups).count() == len(near + around)
-    assert J._blocks_across(first, groups).count() <= 6 * len(near + around)
+    assert J._blocks_across(J._meetings(first, groups, 60)).count() <= 6 * len(near + around)
 
 
 def test_level_tables_that_are_summed_in_two_steps(spark, monkeypatch):
