@@ -1,15 +1,19 @@
 """HTML main text by wrapper induction over the pages of a host.
 
-Pages of one host share a template.  One page of each host (the smallest id) stands for it; every page's DOM tree is
-aligned with that one by simple tree matching: nodes match if their labels do and their parents match, children in
-order, and as many nodes as possible.  Over all pages of the host, each template node collects how often it matched
-and how often its text was the same.  Nodes that stay the same are template; nodes whose text varies are content slots.
-The main text is the page's content region (its article, its main part, or else the smallest element that holds
-nearly all varying text) without template text and without parts whose role isn't content (menus, adverts, forms,
-comments ...).
-
-Two passes over the pages.  The first sends back one row per host, node and task; the second reads the wrappers.  Wrappers
-are broadcast if their checked size allows, and joined by host otherwise, where adaptive execution splits a hot host.
+Pages of one host share a template.  Up to SEEDS pages of each host, each of another layout and the most frequent among them,
+stand for it; every page's DOM tree is aligned with the seed of its layout, or the one that it matches best, by simple
+tree matching: nodes match if their labels do and their parents match, children in order, and as many nodes as possible.
+Over all pages of the host that aren't copies of the seed, each node of the seed collects how often it matched, how often its text was the
+same, and how much varying text stands in it.  Nodes that stay the same are template; nodes whose text varies are slots.
+
+The content is the smallest element that holds nearly all text of the slots, or several of them where it's spread; a host's only
+page is judged by its own text.  Text that varies with every page can also be an advert or a reader's comment, which no
+alignment tells from content: there the roles of elements speak (tags such as nav, footer or form, hidden elements, class and id names that say
+nothing else), as they do inside of the content.  Text in links doesn't count for finding the content.
+
+Passes over the pages: one that counts layouts, one that fetches the seeds, one that votes (a row per host, node and task comes back), and
+the extraction.  Wrappers are sent to the tasks if their checked size allows, and joined by host otherwise, where adaptive execution
+splits a hot host.
 """
 
 from __future__ import annotations
@@ -25,26 +29,33 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import Window
 
+from .store import Scratch, free_names
+
+SEEDS = 3
 BROADCAST_BYTES = 16 << 20
-#: A node is template if so many pages matched it and this share of them had the same text.
-LEAST_PAGES = 8
+#: A node's text inside of the content is template if so many other pages matched it and this share of them had the same text.
+LEAST_PAGES = 3
 LEAST_SHARE = 0.95
-#: A region of varying text: the smallest element with this share of it.
+#: A page with a smaller share of text that differs from the seed's is a copy of it, which says nothing about the template.
+LEAST_CHANGE = 0.2
+#: The content: the smallest element with this share of the varying text.
 REGION_SHARE = 0.85
+#: An article element's text counts so many times when the content is looked for.
+ARTICLE_WEIGHT = 4
 CELLS = 40_000
 VOTES = 500_000
 
 #: Trees are walked by plain Python calls, which take heap and no stack, however deep a page is.
 sys.setrecursionlimit(max(sys.getrecursionlimit(), 10_000_000))
 
-_TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>"
-    r"|<(/?)([a-zA-Z][^\s/>]*)([^>\"']*(?:\"[^\"]*\"[^>\"']*|'[^']*'[^>\"']*)*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>",
-    re.S,
-)
-_ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)|(\bhidden\b)")
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
+_NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)")
+_SPECIAL = re.compile(r"[>\"']")
+_ATTRIBUTE = re.compile(r"(?<![-\w:.])([a-zA-Z_:][-\w:.]*+)(?:\s*+=\s*+(\"[^\"]*+\"?|'[^']*+'?|[^\s\"'>]++))?")
 _HOST = r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/@?#]*@)?([^/:?#]*)"
+_LAYOUT = r"(?i)<(?:main|article|section|aside|nav|header|footer|form|div|table)\b[^>]*"
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style title textarea noscript template xmp iframe noembed noframes".split())
@@ -57,118 +68,175 @@ CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}),
     "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select", "datalist"}), "tbody": ({"thead", "tbody", "tr", "td", "th"}, {"table"}),
 }
-#: Elements that never hold main text.
+#: Elements that never hold main text; a form does where it's wrapped round the page's text.
 NOT_CONTENT = frozenset("head nav footer aside form button select dialog svg canvas object audio video map datalist menu".split()) | RAW
 ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar toolbar".split())
-#: Words of class and id attributes of parts that aren't content.
-MARKED = frozenset(
-    "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus feedback footer gdpr header login masthead menu modal nav navbar navigation newsletter "
-    "notice notices notification overlay pager pagination popup promo promotion recommended related replies reply respond share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar tracking widget".split()
+CONTROLS = frozenset("input button select textarea form".split())
+#: Words that stand for parts that aren't content, and words that may stand beside them in a class or id name.
+MARKS = frozenset(
+    "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr masthead menu modal nav navbar navigation "
+    "notice notices notification overlay pager pagination popup promo promotion recommended related replies reply respond share sharing sidebar skip social sponsor sponsored toolbar tracking widget".split()
 )
-#: Those that hold even round an article.
-ALWAYS = frozenset("comment comments disqus replies related recommended".split())
-MAIN_MARKED = frozenset("article content main post story entry".split())
+#: Such parts only with a control in them, or where their text is template.
+SOFT = frozenset("login signup register subscribe subscription newsletter feedback".split())
+FILLERS = frozenset("article articles area bar block body bottom box button buttons container content count entry fixed form global group header holder inner item items left link links list main outer page panel post posts right section site slot text thread title top unit user wrap wrapper zone".split())
+
+NEVER, MARKED, PERHAPS, SITE_HEADER = 1, 2, 3, 4
+
+
+def _mark(names: str) -> int:
+    """What a class or id attribute says: a name counts if it's made of the known words alone."""
+    found = 0
+    for name in names.split():
+        parts = {x for x in re.split(r"[_\-\d]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", name).lower()) if x}
+        if parts & (MARKS | SOFT) and parts <= MARKS | SOFT | FILLERS:
+            found = MARKED if parts & MARKS else found or PERHAPS
+    return found
 
 
 class Node:
-    __slots__ = ("tag", "label", "parts", "kids", "skip", "strong", "own", "size", "sign", "depth")
+    __slots__ = ("tag", "label", "parts", "kids", "kind", "size", "sign", "depth")
 
     def __init__(self, tag: str, attributes: str, depth: int):
         self.tag, self.depth = tag, depth
         self.parts: list = []  # text and nodes in order
         self.kids: list[Node] = []
         self.label = tag
-        self.skip, self.strong = tag in NOT_CONTENT, tag in NOT_CONTENT
+        self.kind = NEVER if tag in NOT_CONTENT else 0
         if attributes and not attributes.isspace():
             self._attributes(attributes)
 
     def _attributes(self, raw: str) -> None:
-        for name, value, hidden in _ATTRIBUTE.findall(raw):
-            if hidden:
-                self.skip = self.strong = True
-                continue
-            name = name.lower()
-            if name not in ("class", "id", "role", "style", "aria-hidden"):
-                continue
-            value = value.strip("\"'").lower()
-            if name == "role":
-                self.skip = self.skip or value in ROLES
-            elif name == "style":
-                hides = "display:none" in value.replace(" ", "")
-                self.skip, self.strong = self.skip or hides, self.strong or hides
-            elif name == "aria-hidden":
-                self.skip = self.skip or value == "true"
-            else:
-                if name == "class":
-                    self.label = f"{self.tag}.{value}"
-                words = set(re.split(r"[\s_\-]+", value))
-                if self.tag not in ("html", "body", "main", "article") and words & MARKED:
-                    self.skip = True
-                    self.strong = self.strong or bool(words & ALWAYS)
+        for name, value in _ATTRIBUTE.findall(raw):
+            name, value = name.lower(), value.strip("\"'")
+            if name == "class" and value:
+                self.label = f"{self.tag}.{re.sub(r'[0-9]+', '#', value.lower())}"
+            if name in ("class", "id") and self.tag not in ("html", "body", "main", "article"):
+                self.kind = self.kind or _mark(value)
+            elif name == "hidden" or name == "style" and "display:none" in value.lower().replace(" ", "") or name == "aria-hidden" and value.lower() == "true" or name == "role" and value.lower() in ROLES:
+                self.kind = NEVER
 
     def text(self) -> str:
         """The node's own text, without its children's."""
         return " ".join("".join(x for x in self.parts if type(x) is str).split())
 
 
+class _Ends:
+    """Where tags end whose quotes don't all close; every quote is looked at once, however many tags ask."""
+
+    def __init__(self, html: str):
+        self.html, self.known, self.next = html, {}, (0, -1)
+
+    def _special(self, at: int) -> int:
+        lo, hit = self.next
+        if not (lo <= at and (at <= hit or hit < 0 and lo)):
+            m = _SPECIAL.search(self.html, at)
+            self.next = (max(at, 1), m.start() if m else -1)
+        return self.next[1]
+
+    def __call__(self, at: int) -> int:
+        """The place of the > that ends the tag, outside quotes if possible; -1 if there's none."""
+        path, i = [], at
+        while True:
+            j = self._special(i)
+            if j < 0 or self.html[j] == ">" or j in self.known:
+                end = self.known.get(j, j) if j >= 0 else -1
+                break
+            path.append(j)
+            close = self.html.find(self.html[j], j + 1)
+            if close < 0:
+                end = -1
+                break
+            i = close + 1
+        for j in path:
+            self.known[j] = end
+        return end if end >= 0 else self.html.find(">", at)
+
+
 def parse(html: str) -> Node:
     root = Node("#page", "", 0)
-    stack, at = [root], 0
-    size = len(html)
-    while at < size:
-        m = _TAG.search(html, at)
-        if m is None:
-            stack[-1].parts.append(unescape(html[at:]))
-            break
-        if m.start() > at:
-            stack[-1].parts.append(unescape(html[at : m.start()]))
-        at = m.end()
-        tag = m[2] or m[5]
-        if tag is None:
-            if m[0].startswith("<![CDATA["):
-                stack[-1].parts.append(m[0][9:].removesuffix("]]>"))
+    stack, at, begin, size = [root], 0, 0, len(html)
+    last, ends = html.rfind(">"), None
+    places: dict[str, list[int]] = {}  # of open elements in the stack, by tag
+
+    def close(tags, borders=()) -> None:
+        """Closes the innermost open element of the tags, unless a border is open within it."""
+        deepest = lambda names: max((places[t][-1] for t in names if places.get(t)), default=0)
+        if (k := deepest(tags)) > deepest(borders):
+            for node in stack[k:]:
+                places[node.tag].pop()
+            del stack[k:]
+
+    def text(to: int) -> None:
+        if to > begin:
+            stack[-1].parts.append(unescape(html[begin:to]))
+
+    while 0 <= (lt := html.find("<", at)) < last:
+        if html.startswith("<!--", lt) or html.startswith("<![CDATA[", lt):
+            text(lt)
+            mark, skip = ("-->", 4) if html[lt + 2] == "-" else ("]]>", 9)
+            end = html.find(mark, lt + skip)
+            if skip == 9:
+                stack[-1].parts.append(html[lt + 9 : end if end >= 0 else size])
+            begin = at = end + 3 if end >= 0 else size
+            continue
+        if html[lt + 1] in "!?":
+            text(lt)
+            begin = at = html.find(">", lt) + 1
             continue
+        m = _TAG.match(html, lt) if ends is None else None
+        if m:
+            closing, tag, attributes, end = m[1], m[2], m[3], m.end()
+        elif m := _NAME.match(html, lt):
+            ends = ends or _Ends(html)
+            stop = ends(m.end())
+            closing, tag, attributes, end = m[1], m[2], html[m.end() : stop], stop + 1
+        else:
+            at = lt + 1
+            continue
+        text(lt)
+        begin = at = end
         tag = tag.lower()
-        if m[1] or m[4]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    del stack[k:]
-                    break
+        if closing:
+            close((tag,))
             continue
         if tag in CLOSES_P:
-            _close(stack, {"p"}, {"td", "th", "button", "caption", "object", "table"})
+            close(("p",), ("td", "th", "button", "caption", "object", "table"))
         elif tag in CLOSES:
-            _close(stack, *CLOSES[tag])
-        node = Node(tag, m[3] or m[6] or "", len(stack))
+            close(*CLOSES[tag])
+        node = Node(tag, attributes, len(stack))
         stack[-1].parts.append(node)
         stack[-1].kids.append(node)
         if tag in RAW:
-            end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(html, at)
+            m = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(html, at)
             if tag in ("title", "textarea"):
-                node.parts.append(unescape(html[at : end.start() if end else size]))
-            at = end.end() if end else size
-        elif tag not in VOID and not (m[3] or m[6] or "").rstrip().endswith("/"):
+                node.parts.append(unescape(html[at : m.start() if m else size]))
+            stop = html.find(">", m.end()) if m else -1
+            begin = at = stop + 1 if stop >= 0 else size
+        elif tag not in VOID and not attributes.rstrip().endswith("/"):
+            places.setdefault(tag, []).append(len(stack))
             stack.append(node)
+    # what stands after the last >
+    if (tail := html.find("<!--", max(begin, last))) >= 0:
+        size = tail
+    text(size)
     _measure(root)
     return root
 
 
-def _close(stack: list[Node], tags: set, borders: set) -> None:
-    for k in range(len(stack) - 1, 0, -1):
-        if stack[k].tag in tags:
-            del stack[k:]
-            return
-        if stack[k].tag in borders:
-            return
-
-
-def _measure(node: Node) -> None:
-    """Sizes and signatures of all subtrees."""
-    node.size = 1
-    for kid in node.kids:
-        _measure(kid)
-        node.size += kid.size
-    node.sign = hash((node.label, *[k.sign for k in node.kids]))
+def _measure(root: Node) -> None:
+    """Sizes and signatures of all subtrees, and the kinds that depend on what stands in or beside an element."""
+    for node in reversed(list(preorder(root))):
+        node.size = 1 + sum(k.size for k in node.kids)
+        node.sign = hash((node.label, *[k.sign for k in node.kids]))
+        beside = {k.tag for k in node.kids}
+        for k in node.kids:
+            if k.tag == "header" and not k.kind and (node.tag in ("#page", "html", "body") or node.tag not in ("article", "section", "main") and beside & {"nav", "footer", "main", "article", "aside"}):
+                k.kind = SITE_HEADER
+            elif k.tag == "form" and k.kind == NEVER and (tags := [x.tag for x in preorder(k)]) and ({"article", "main", "h1"} & set(tags) or tags.count("p") >= 3):
+                k.kind = 0
+            elif k.kind == PERHAPS and any(x.tag in CONTROLS for x in preorder(k)):
+                k.kind = MARKED
 
 
 def preorder(node: Node) -> Iterator[Node]:
@@ -284,41 +352,118 @@ def align(a: Node, b: Node) -> list[tuple[Node, Node]]:
 
 # --- the wrapper of a host --------------------------------------------------------------------------
 
+_BLOCK = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol dl table figure li dd dt".split())
+_HEADINGS = frozenset("h1 h2 h3".split())
+
+
+def _skipped(node: Node) -> bool:
+    return node.kind in (NEVER, MARKED, SITE_HEADER)
+
+
+def _loose(root: Node) -> Iterator[tuple[Node, Node | None, int]]:
+    """(node, parent, characters of its own text that isn't in links) of all nodes that may be content, in page order."""
+    todo: list[tuple[Node, Node | None, bool]] = [(root, None, False)]
+    while todo:
+        node, parent, linked = todo.pop()
+        linked = linked or node.tag == "a"
+        yield node, parent, 0 if linked else len(node.text())
+        todo += [(k, node, linked) for k in reversed(node.kids) if not _skipped(k)]
+
+
+def _regions(root: Node, own: dict[int, float]) -> list[Node]:
+    """The smallest elements that hold nearly all of the text; own: each node's own text, by id."""
+    nodes = list(preorder(root))
+    mass: dict[int, float] = {}
+    for node in reversed(nodes):
+        n = own.get(id(node), 0.0) + sum(mass[id(k)] for k in node.kids)
+        mass[id(node)] = n * ARTICLE_WEIGHT if node.tag == "article" else n
+    node = root
+    while node.tag != "article":
+        kids = [k for k in node.kids if mass[id(k)] > 0 and k.tag not in INLINE]
+        total = own.get(id(node), 0.0) + sum(mass[id(k)] for k in node.kids)
+        if not kids:
+            break
+        best = max(kids, key=lambda k: mass[id(k)])
+        blocks = [k for k in kids if k.tag in _BLOCK]
+        inline = total - sum(mass[id(k)] for k in kids)
+        if best.tag in _BLOCK or any(k.tag in _HEADINGS for k in blocks) or inline + sum(mass[id(k)] for k in blocks) >= 0.05 * total:
+            break
+        if mass[id(best)] < REGION_SHARE * total:
+            return [k for k in kids if mass[id(k)] >= 0.1 * total]
+        node = best
+    return [node]
+
 
 class Template:
-    """The host's standing page, its nodes numbered in page order, and what is known of them."""
+    """A seed page, its nodes numbered in page order, and what the host's pages say of them."""
 
-    def __init__(self, html: str, matched: list[int] | None = None, same: list[int] | None = None):
+    def __init__(self, html: str, votes: list[dict] | None = None):
         self.root = parse(html)
-        nodes = list(preorder(self.root))
-        self.number = {id(n): i for i, n in enumerate(nodes)}
-        self.texts = [n.text() for n in nodes]
-        self.constant: list[bool] = []
-        if matched is not None:
-            self.constant = [m >= LEAST_PAGES and s >= LEAST_SHARE * m for m, s in zip(matched, same)]
-
-    def votes(self, page: Node) -> tuple[np.ndarray, np.ndarray]:
-        matched, same = np.zeros(len(self.texts), np.int64), np.zeros(len(self.texts), np.int64)
+        self.nodes = list(preorder(self.root))
+        self.number = {id(n): i for i, n in enumerate(self.nodes)}
+        self.texts = [n.text() for n in self.nodes]
+        self.constant: list[bool] = [False] * len(self.nodes)
+        mass = {}
+        for v in votes or ():
+            self.constant[v["node"]] = v["matched"] > LEAST_PAGES - 1e-6 and v["same"] >= LEAST_SHARE * v["matched"] - 1e-6
+            if v["mass"]:
+                mass[id(self.nodes[v["node"]])] = v["mass"]
+        self.regions: list[Node] = _regions(self.root, mass) if mass else []
+
+    def votes(self, page: Node) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+        """(matched, same, characters of varying text) of each node; None from a copy of the seed."""
+        matched, same, mass = (np.zeros(len(self.nodes)) for _ in range(3))
+        place: dict[int, int] = {}
         for mine, theirs in align(self.root, page):
-            i = self.number[id(mine)]
+            i = place[id(theirs)] = self.number[id(mine)]
             matched[i] = 1
             same[i] = self.texts[i] == theirs.text()
-        return matched, same
-
-    def fixed(self, page: Node) -> set[int]:
-        """ids of the page's nodes that hold template text."""
-        if not any(self.constant):
-            return set()
-        out = set()
+        every, nearest = 0, {}
+        for node, parent, n in _loose(page):
+            i = place.get(id(node))
+            fixed = i is not None and same[i]
+            nearest[id(node)] = i if i is not None else nearest[id(parent)]
+            every += n
+            if n and not fixed:
+                mass[nearest[id(node)]] += n
+        if mass.sum() < LEAST_CHANGE * every or not every:
+            return None
+        return matched, same, mass
+
+    def apply(self, page: Node) -> tuple[list[Node], set[int]]:
+        """(the page's nodes that stand at the template's regions, ids of its nodes that hold template text)."""
+        if not self.regions:
+            return [], set()
+        wanted = {id(r) for r in self.regions}
+        found, fixed, placed = [], set(), set()
         for mine, theirs in align(self.root, page):
+            placed.add(id(theirs))
             i = self.number[id(mine)]
             if self.constant[i] and self.texts[i] and self.texts[i] == theirs.text():
-                out.add(id(theirs))
-        return out
-
-
-def _inner(node: Node, fixed: set[int], top: bool = True) -> str:
-    """Text of a region; blocks are set apart by a space."""
+                fixed.add(id(theirs))
+            if id(mine) in wanted:
+                found.append(theirs)
+        # one more article than the seed has
+        labels = {r.label for r in found if r.tag == "article"}
+        if labels:
+            hit = {id(r) for r in found}
+            extra = lambda node: [k for k in node.kids if id(k) not in placed and k.label in labels and not k.kind]
+            parents = [n for n in preorder(page) if any(id(k) in hit for k in n.kids)]
+            found += [k for n in parents for k in extra(n)]
+        return found, fixed
+
+
+def best_template(templates: list[Template], layouts: list[int], layout: int, page: Node) -> Template | None:
+    """The seed of the page's layout, or the one that it matches best."""
+    if layout in layouts:
+        return templates[layouts.index(layout)]
+    if len(templates) < 2:
+        return templates[0] if templates else None
+    return max(templates, key=lambda t: matched_nodes(t.root, page, {}) / (t.root.size + page.size))
+
+
+def _inner(nodes: list[Node], fixed: set[int]) -> str:
+    """Text of the nodes in page order; blocks are set apart by a space."""
     out: list[str] = []
 
     def walk(n: Node) -> None:
@@ -329,68 +474,30 @@ def _inner(node: Node, fixed: set[int], top: bool = True) -> str:
             if type(x) is str:
                 if id(n) not in fixed:
                     out.append(x)
-            elif not (x.skip and x.tag != "header"):
+            elif not (_skipped(x) or x.kind == PERHAPS and fixed and all(id(y) in fixed or not y.text() for y in preorder(x))):
                 walk(x)
         if not inline:
             out.append(" ")
 
-    walk(node)
+    for node in nodes:
+        walk(node)
     return " ".join("".join(out).split())
 
 
-def _holds(node: Node, tags: tuple[str, ...]) -> bool:
-    return any(k.tag in tags or _holds(k, tags) for k in node.kids)
-
-
-def _regions(node: Node, tag: str) -> list[Node]:
-    """Topmost elements of that tag outside parts that aren't content."""
-    out: list[Node] = []
-    for kid in node.kids:
-        if kid.strong:
-            continue
-        if kid.tag == tag:
-            out.append(kid)
-        else:
-            out += _regions(kid, tag)
-    return out
-
-
-def _varying(node: Node, fixed: set[int], sizes: dict[int, int]) -> int:
-    """Characters of varying text in each element that may be content."""
-    if node.skip or node.tag == "header":
-        sizes[id(node)] = 0
-        return 0
-    n = 0 if id(node) in fixed else len(node.text())
-    for kid in node.kids:
-        n += _varying(kid, fixed, sizes)
-    sizes[id(node)] = n
-    return n
-
-
-def content_region(page: Node, fixed: set[int]) -> Node:
-    for tag in ("article", "main"):
-        found = _regions(page, tag)
-        if found:
-            return max(found, key=lambda n: len(_inner(n, fixed)))
-    sizes: dict[int, int] = {}
-    total = _varying(page, fixed, sizes)
-    region = page
-    while total:
-        next_one = next((k for k in region.kids if sizes.get(id(k), 0) >= REGION_SHARE * total), None)
-        if next_one is None or next_one.tag in INLINE or next_one.tag in ("p", "h1", "h2", "h3", "h4", "h5", "h6"):
-            break
-        region = next_one
-    return region
-
-
-def main_text(html: str, template: Template | None = None) -> str:
+def main_text(html: str, templates: list[Template] = (), layouts: list[int] = (), layout: int = 0) -> str:
     page = parse(html)
-    fixed = template.fixed(page) if template else set()
-    region = content_region(page, fixed)
-    text = _inner(region, fixed)
-    if not text and fixed:  # every page alike, as copies are: then it isn't a template
-        text = _inner(content_region(page, set()), set())
-    return text
+    template = best_template(list(templates), list(layouts), layout, page)
+    regions, fixed = template.apply(page) if template else ([], set())
+    if not regions:
+        own = {id(node): n for node, _, n in _loose(page) if n and id(node) not in fixed}
+        if not own:  # links alone
+            own = {id(node): len(node.text()) for node, _, _ in _loose(page) if node.text()}
+        regions = _regions(page, own)
+    hit = {id(r) for r in regions}
+    regions = [n for n in preorder(page) if id(n) in hit] if len(regions) > 1 else regions
+    text = _inner(regions, fixed)
+    whole = _inner(regions, set()) if fixed else text
+    return text if 2 * len(text) >= len(whole) else whole  # what holds most of the content isn't template
 
 
 # --- Spark ------------------------------------------------------------------------------------------
@@ -400,90 +507,145 @@ def host_of(url: Column) -> Column:
     return F.lower(F.coalesce(F.regexp_extract(url, _HOST, 1), F.lit("")))
 
 
-def _with_wrapper(pages: DataFrame, wrappers: DataFrame, size: int) -> DataFrame:
-    """pages joined with their host's row; broadcast only behind the check."""
-    return pages.join(F.broadcast(wrappers) if size <= BROADCAST_BYTES else wrappers, "__host")
+def layout_of(html: Column) -> Column:
+    """A hash of the kinds of container elements that a page has, numbers in their names aside."""
+    tags = F.array_sort(F.array_distinct(F.regexp_extract_all(html, F.lit(_LAYOUT), F.lit(0))))
+    return F.xxhash64(F.regexp_replace(F.lower(F.array_join(tags, " ")), "[0-9]+", "#"))
 
 
-class _Templates:
-    """Parsed templates of a task, a bounded number of them at a time."""
+class _Wrappers:
+    """The templates of hosts, a bounded number of them at a time."""
 
     def __init__(self, most: int = 2000):
         self.held: dict = {}
         self.most = most
 
-    def get(self, key: str, *make) -> Template:
-        if key not in self.held:
+    def get(self, host: str, seeds: list[dict] | None) -> tuple[list[Template], list[int]]:
+        if host not in self.held:
             if len(self.held) >= self.most:
                 self.held.clear()
-            self.held[key] = Template(*make)
-        return self.held[key]
-
-
-def induce_wrappers(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> tuple[DataFrame, int]:
-    """((__host, __seed, matched, same) and the bytes of the seeds): a wrapper for every host, from all its pages."""
-    keyed = pages.select(host_of(F.col(url_col)).alias("__host"), F.col(id_col).alias("__id"), F.coalesce(F.col(html_col), F.lit("")).alias("__html"))
-    seeds = keyed.groupBy("__host").agg(F.min(F.struct("__id", "__html")).alias("s")).select("__host", F.col("s.__html").alias("__seed"))
-    size = seeds.agg(F.sum(F.octet_length("__seed") + 64)).first()[0] or 0
+            own = list(seeds or [])
+            self.held[host] = ([Template(x["html"], x.get("votes")) for x in own], [x["layout"] for x in own])
+        return self.held[host]
+
+
+def _with_seeds(pages: DataFrame, seeds: DataFrame, size: int, host: str, out: str):
+    """(pages with each one's seeds as `out`, or nothing added and the seeds of all hosts in a broadcast variable)."""
+    if size > BROADCAST_BYTES:
+        return pages.join(seeds.select(F.col("host").alias(f"{host}x"), F.col("seeds").alias(out)), F.col(host) == F.col(f"{host}x"), "left").drop(f"{host}x"), None
+    every = {r["host"]: r["seeds"] for r in (x.asDict(recursive=True) for x in seeds.collect())}  # behind the check
+    return pages, pages.sparkSession.sparkContext.broadcast(every)
+
+
+def _seed_rows(batch: pa.RecordBatch, host: str, out: str, held) -> Iterator[tuple[str, list[dict] | None]]:
+    """(host, its seeds) of each row."""
+    hosts = batch.column(host).to_pylist()
+    if held is not None:
+        return ((h, held.value.get(h)) for h in hosts)
+    seeds = batch.column(out)
+    return ((h, _Lazy(seeds, r)) for r, h in enumerate(hosts))
+
+
+class _Lazy:
+    """A row's seeds, read when the host isn't known yet."""
+
+    def __init__(self, column: pa.Array, row: int):
+        self.column, self.row = column, row
+
+    def __iter__(self):
+        return iter(self.column[self.row].as_py() or [])
+
+
+def induce_wrappers(pages: DataFrame, url_col: str, html_col: str, scratch: Scratch) -> tuple[DataFrame, int]:
+    """((host, seeds: layout, html, votes) and their bytes): the wrappers of every host, from all its pages."""
+    html = F.col(f"`{html_col}`")
+    base = pages.select(host_of(F.col(f"`{url_col}`")).alias("host"), html.alias("html")).where("html is not null and html != ''")
+    base = base.withColumns({"layout": layout_of(F.col("html")), "h": F.xxhash64("html")})
+    counts = scratch.keep(base.groupBy("host", "layout", "h").agg(F.count("*").alias("copies")), "counts")
+    by_layout = counts.groupBy("host", "layout").agg(F.count("*").alias("pages"), F.min("h").alias("h"))
+    # a limit by group, of which every task keeps only SEEDS rows before the exchange
+    rank = F.row_number().over(Window.partitionBy("host").orderBy(F.desc("pages"), "layout"))
+    chosen = by_layout.withColumn("rank", rank).where(F.col("rank") <= SEEDS).select("host", "layout", "h")
+    seeds = base.join(chosen, ["host", "layout", "h"]).groupBy("host", "layout").agg(F.min("html").alias("html"))
+    seeds = scratch.keep(seeds, "seeds")
+    size = seeds.agg(F.sum(F.octet_length("html") + 64)).first()[0] or 0
+    per_host = seeds.groupBy("host").agg(F.array_sort(F.collect_list(F.struct("layout", "html"))).alias("seeds"))  # SEEDS at most
+    repeated = counts.where("copies > 1").select("host", "layout", "h", "copies")
+    voters = base.join(repeated, ["host", "layout", "h"], "left").select("host", "html", "layout", (1 / F.coalesce("copies", F.lit(1))).alias("weight"))
+    voters, held = _with_seeds(voters, per_host, size, "host", "seeds")
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        templates, sums, held = _Templates(), {}, 0
+        wrappers, sums, n = _Wrappers(), {}, 0
+        names = ["host", "layout", "node", "matched", "same", "mass"]
 
         def flush():
-            rows = [(h, i, int(m), int(s)) for h, (ms, ss) in sums.items() for i, (m, s) in enumerate(zip(ms, ss)) if m]
-            hosts, nodes, matched, same = zip(*rows) if rows else ((), (), (), ())
-            return pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(nodes, pa.int32()), pa.array(matched, pa.int64()), pa.array(same, pa.int64())], ["__host", "node", "matched", "same"])
+            hosts, layouts, nodes, rest = [], [], [], []
+            for (host, layout), total in sums.items():
+                on = np.flatnonzero(total[0])
+                hosts += [host] * len(on)
+                layouts += [layout] * len(on)
+                nodes.append(on)
+                rest.append(total[:, on])
+            rest = np.concatenate(rest, axis=1) if rest else np.zeros((3, 0))
+            columns = [pa.array(hosts, pa.string()), pa.array(layouts, pa.int64()), pa.array(np.concatenate(nodes) if nodes else [], pa.int32()), *map(pa.array, rest)]
+            return pa.RecordBatch.from_arrays(columns, names)
 
         for batch in batches:
-            for host, html, seed in zip(*(batch.column(c).to_pylist() for c in ("__host", "__html", "__seed"))):
-                m, s = templates.get(host, seed).votes(parse(html))
-                if host in sums:
-                    sums[host][0].__iadd__(m)
-                    sums[host][1].__iadd__(s)
-                else:
-                    sums[host] = (m, s)
-                    held += len(m)
-            if held > VOTES:
+            rows = zip(_seed_rows(batch, "host", "seeds", held), *(batch.column(c).to_pylist() for c in ("html", "layout", "weight")))
+            for (host, own), html, layout, weight in rows:
+                page = parse(html)
+                template = best_template(*wrappers.get(host, own), layout, page)
+                found = template.votes(page) if template else None
+                if found is None:
+                    continue
+                key = (host, layouts_of(wrappers, host, template))
+                if key not in sums:
+                    sums[key] = np.zeros((3, len(template.nodes)))
+                    n += len(template.nodes)
+                sums[key] += weight * np.stack(found)
+            if n > VOTES:
                 yield flush()
-                sums, held = {}, 0
+                sums, n = {}, 0
         yield flush()
 
-    votes = _with_wrapper(keyed.select("__host", "__html"), seeds, size).select("__host", "__html", "__seed").mapInArrow(vote, "__host string, node int, matched long, same long")
-    votes = votes.groupBy("__host", "node").agg(F.sum("matched").alias("matched"), F.sum("same").alias("same"))
-    nodes = votes.groupBy("__host").agg(F.array_sort(F.collect_list(F.struct("node", "matched", "same"))).alias("v"))  # a page's nodes
-    return seeds.join(nodes, "__host", "left").select("__host", "__seed", F.col("v.node").alias("__nodes"), F.col("v.matched").alias("__matched"), F.col("v.same").alias("__same")), size
+    votes = voters.mapInArrow(vote, "host string, layout long, node int, matched double, same double, mass double")
+    votes = votes.groupBy("host", "layout", "node").agg(*(F.sum(c).alias(c) for c in ("matched", "same", "mass")))
+    votes = votes.groupBy("host", "layout").agg(F.array_sort(F.collect_list(F.struct("node", "matched", "same", "mass"))).alias("votes"))  # a page's nodes
+    told = seeds.join(votes, ["host", "layout"], "left").groupBy("host").agg(F.array_sort(F.collect_list(F.struct("layout", "html", F.coalesce("votes", F.array().cast("array<struct<node:int,matched:double,same:double,mass:double>>")).alias("votes")))).alias("seeds"))
+    told = scratch.keep(told, "wrappers")
+    scratch.drop("counts", "seeds")
+    return told, 4 * size
+
 
+def layouts_of(wrappers: _Wrappers, host: str, template: Template) -> int:
+    templates, layouts = wrappers.held[host]
+    return layouts[templates.index(template)]
 
-def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", out_col: str = "main_text") -> DataFrame:
+
+def extract_main_text(pages: DataFrame, url_col: str = "url", html_col: str = "html", out_col: str = "main_text") -> DataFrame:
     """pages with `out_col`: the main text of the whole html, white space collapsed, blocks joined by a space.
 
     A null or empty html gives the empty text, and so does a page without content.  Pages without a url form one host.  A
-    host's only page, or one of fewer than LEAST_PAGES, has no template nodes and is judged by the roles of its elements.
-    Repeated pages give one row each; null ids are kept.  A column
+    host's only page, and pages that are copies of each other, are judged by their own text; from two different pages on the varying text
+    decides.  Copies count as one page.  Repeated pages give one row each; other columns, null or not, stay as they are.  A column
     named `out_col` is replaced.
     """
-    left = [c for c in pages.columns if c != out_col]
-    wrappers, size = induce_wrappers(pages, id_col, url_col, html_col)
-    kept = pages.select(*[f"`{c}`" for c in left]).withColumn("__host", host_of(F.col(url_col)))
+    left = [c for c in pages.columns if c.lower() != out_col.lower()]
+    scratch = Scratch(pages.sparkSession, "wrappers")
+    wrappers, size = induce_wrappers(pages, url_col, html_col, scratch)
+    host, layout, seeds = free_names(pages.columns, "host", "layout", "seeds")
+    kept = pages.select(*[F.col(f"`{c}`") for c in left], host_of(F.col(f"`{url_col}`")).alias(host), layout_of(F.coalesce(F.col(f"`{html_col}`"), F.lit(""))).alias(layout))
     schema = T.StructType([pages.schema[c] for c in left] + [T.StructField(out_col, T.StringType())])
+    kept, held = _with_seeds(kept, wrappers, size, host, seeds)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        templates = _Templates()
+        known = _Wrappers()
         for batch in batches:
-            texts = []
-            columns = (batch.column(c).to_pylist() for c in ("__host", html_col, "__seed", "__nodes", "__matched", "__same"))
-            for host, html, seed, nodes, matched, same in zip(*columns):
-                if host not in templates.held:
-                    m, s = [0] * ((nodes or [-1])[-1] + 1), [0] * ((nodes or [-1])[-1] + 1)
-                    for i, x, y in zip(nodes or [], matched or [], same or []):
-                        m[i], s[i] = x, y
-                    template = templates.get(host, seed, m, s)
-                else:
-                    template = templates.held[host]
-                texts.append(main_text(html or "", template))
+            rows = zip(_seed_rows(batch, host, seeds, held), batch.column(html_col).to_pylist(), batch.column(layout).to_pylist())
+            texts = [main_text(html, *known.get(name, own), kind) if html else "" for (name, own), html, kind in rows]
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in left] + [pa.array(texts, pa.string())], schema.names)
 
-    return _with_wrapper(kept, wrappers, 2 * size).mapInArrow(run, schema)
+    return kept.mapInArrow(run, schema)
 
 
 def to_pandas_pairs(a: str, b: str) -> pd.DataFrame:

@@ -24,7 +24,7 @@ def test_loose_html(html, text):
 def test_deep_and_wide_pages():
     assert W.main_text("<div>" * 5000 + "deep" + "</div>" * 5000) == "deep"
     wide = "<article>" + "".join(f"<p>w{i}</p><i>x</i>" for i in range(3000)) + "</article>"
-    assert W.main_text(wide, W.Template(wide.replace("<i>", "<b>").replace("</i>", "</b>"), [0], [0])).startswith("w0 x w1")
+    assert W.main_text(wide, [W.Template(wide.replace("<i>", "<b>").replace("</i>", "</b>"))], [0], 0).startswith("w0 x w1")
 
 
 def test_closings_below_any_depth_match_their_own_openings():
@@ -86,6 +86,68 @@ def test_template_of_a_host(spark):
     assert W.extract_main_text(df).count() == len(rows) and W.extract_main_text(df.limit(0)).count() == 0
 
 
+def extracted(spark, pages, host="h.example"):
+    df = spark.createDataFrame([(i, f"http://{host}/{i}", p) for i, p in enumerate(pages)], "page_id long, url string, html string")
+    return {r.page_id: r.main_text for r in W.extract_main_text(df).collect()}
+
+
+STORY = "Story {i} tells of {w} and of {w} again, at some length, so that the page has text."
+WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa".split()
+
+
+@pytest.mark.parametrize("n", [2, 3, 5, 7, 9])
+def test_hosts_of_any_size(spark, n):
+    """No semantic tags, no telling names: two different pages are enough to tell the template from the story."""
+    page = lambda i: f"<html><body><div id=x><div class=q1>Home of all things, since 1990, with more to say in every menu</div><div class=q2><div>{STORY.format(i=i, w=WORDS[i])}</div><div>More {WORDS[-i - 1]} {STORY.format(i=9 * i, w=WORDS[i - 1])}</div></div><div class=q3>All words are ours; the story is yours to read and to tell</div></div></body></html>"
+    found = extracted(spark, map(page, range(n)))
+    assert found == {i: f"{STORY.format(i=i, w=WORDS[i])} More {WORDS[-i - 1]} {STORY.format(i=9 * i, w=WORDS[i - 1])}" for i in range(n)}
+
+
+def test_every_article_stays_and_the_site_header_goes(spark):
+    page = lambda i: f"<body><header><a href=/>Site</a> of the day {i}</header><nav>Menu</nav><article><header><h1>One {i}</h1></header><p>{STORY.format(i=i, w=WORDS[i])}</p></article>" + (f"<article><p>Two {i}. {STORY.format(i=-i, w=WORDS[i])}</p></article>" if i % 2 else "") + "<footer>f</footer></body>"
+    want = lambda i: f"One {i} {STORY.format(i=i, w=WORDS[i])}" + (f" Two {i}. {STORY.format(i=-i, w=WORDS[i])}" if i % 2 else "")
+    assert extracted(spark, map(page, range(6))) == {i: want(i) for i in range(6)}
+    assert W.main_text(page(3)) == want(3)
+
+
+def test_republished_pages_keep_their_text(spark):
+    """Copies that differ in a date, also where they are nearly all of a host's pages."""
+    page = lambda date, body: f"<body><div class=a>Daily paper</div><div class=b><p>{date}</p><p>{body}</p><p>{body[::-1]}</p></div></body>"
+    copies = [page(f"Day {i}", "The same long story that is told on each day anew, and again.") for i in range(30)]
+    others = [page(f"Day {i}", STORY.format(i=i, w=WORDS[i])) for i in range(3)]
+    for pages in (copies + others, others + copies, copies):
+        for i, text in extracted(spark, pages).items():
+            body = re.search("</p><p>(.*?)</p>", pages[i])[1]
+            assert body in text and body[::-1] in text, (i, text)
+
+
+def test_names_say_something_only_alone():
+    page = '<article><h1>T</h1><section id="comment-on-policy"><p>a</p></section><div class="login"><p>b</p></div><div class="no-ads">c</div><div class="post-comments">x</div><div class="adSlot_3">x</div><div class="newsletter">x<input></div><aside>x</aside></article>'
+    assert W.main_text(page) == "T a b c"
+
+
+def test_form_round_the_page():
+    assert W.main_text("<body><form id=f><nav>x</nav><div><p>a</p><p>b</p><p>c</p></div><input></form></body>") == "a b c"
+
+
+def test_pages_of_several_layouts(spark):
+    """The smallest page of the host has no text, and two layouts take turns."""
+    one = lambda i: f"<body><div class=menu1>Go here</div><div class=main1><p>{STORY.format(i=i, w=WORDS[i])}</p></div></body>"
+    two = lambda i: f"<body><section><div>Short notes of ours, which are always the same for all</div><section><p>{STORY.format(i=i, w=WORDS[-i])}</p></section></section></body>"
+    found = extracted(spark, ["", None, "<html></html>"] + [(one, two)[i % 2](i) for i in range(10)])
+    assert found == {0: "", 1: "", 2: ""} | {i + 3: STORY.format(i=i, w=WORDS[i] if i % 2 == 0 else WORDS[-i]) for i in range(10)}
+
+
+@pytest.mark.parametrize("unit", ['<a href="x ', "<a href='x ", "<a ", '<a b="c">\' ', "<", '<a ""', "</p ", "<!-- x ", "<script>", "<a b=c", "&amp", '<p class="a b" "'])
+def test_broken_markup_takes_linear_time(unit):
+    import time
+
+    start = time.time()
+    for end in ("", '"', ">", "'>"):
+        W.main_text(unit * (1_000_000 // len(unit)) + end)
+    assert time.time() - start < 60
+
+
 def test_join_by_host_gives_the_same(spark, tiny, monkeypatch):
     pages = spark.read.parquet(f"{tiny}/pages.parquet")
     key = lambda: sorted((r.page_id, r.main_text) for r in W.extract_main_text(pages).select("page_id", "main_text").collect())
