@@ -181,9 +181,46 @@ def _safe(f: Callable) -> Callable:
     return run
 
 
-def unary(f: Callable[[G.Geom], object], returns: T.DataType):
-    """An Arrow UDF of one geometry column."""
+def rings_of(g: pd.DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(rows, vertices (rows, n, 2)) of the polygons of one ring, those with equally many vertices together."""
+    groups: dict[int, list[int]] = {}
+    for i, (kind, raw) in enumerate(zip(g["kind"], g["shape"])):
+        if kind == "POLYGON" and raw is not None and len(raw) > 13 and len(raw) % 16 == 13 and raw[0] == 1 and raw[5] == 1 and not any(raw[6:9]):
+            groups.setdefault(len(raw), []).append(i)
+    out = []
+    for size, rows in groups.items():
+        raw = g["shape"].to_numpy()
+        data = np.frombuffer(b"".join([bytes(raw[i]) for i in rows]), np.uint8).reshape(len(rows), size)
+        out.append((np.array(rows), np.ascontiguousarray(data[:, 13:]).view("<f8").reshape(len(rows), -1, 2)))
+    return out
+
+
+def _ring_areas(r: np.ndarray) -> np.ndarray:
+    x, y = r[..., 0] - r[:, :1, 0], r[..., 1] - r[:, :1, 1]
+    return (x[:, :-1] * y[:, 1:] - x[:, 1:] * y[:, :-1]).sum(axis=1) / 2
+
+
+def _ring_lengths(r: np.ndarray) -> np.ndarray:
+    return np.hypot(*np.moveaxis(np.diff(r, axis=1), -1, 0)).sum(axis=1)
+
+
+def unary(f: Callable[[G.Geom], object], returns: T.DataType, of_rings: Callable[[np.ndarray], np.ndarray] | None = None):
+    """An Arrow UDF of one geometry column; of_rings answers for all polygons of one ring with equally many vertices together."""
     f = _safe(f)
+    if of_rings is not None and returns != GEOM:
+
+        @F.pandas_udf(returns)
+        def together(g: pd.DataFrame) -> pd.Series:
+            out = np.full(len(g), None, object)
+            rest = np.ones(len(g), bool)
+            for rows, vertices in rings_of(g):
+                out[rows], rest[rows] = of_rings(vertices), False
+            rest = np.flatnonzero(rest & g["kind"].notna().to_numpy())
+            for i, x in zip(rest.tolist(), geoms(g.iloc[rest])):
+                out[i] = f(x)
+            return pd.Series(out, dtype=object)
+
+        return together
     if returns == GEOM:
 
         @F.pandas_udf(GEOM)
@@ -296,7 +333,32 @@ def _from_arrays(f: Callable):
 
 
 st_createline = _from_arrays(_polyline)
-st_createpolygon = _from_arrays(_ring)
+
+
+@F.pandas_udf(GEOM)
+def st_createpolygon(coords: pd.Series) -> pd.DataFrame:
+    """A polygon from x, y, x, y ... of a closed ring; null where that isn't one. Rings of equal size are encoded together."""
+    out: dict[str, np.ndarray] = {c: np.full(len(coords), None, object) for c in FIELDS}
+    sizes: dict[int, list[int]] = {}
+    for i, c in enumerate(coords):
+        if c is not None and len(c) >= 8 and len(c) % 2 == 0:
+            sizes.setdefault(len(c), []).append(i)
+    for size, rows in sizes.items():
+        try:
+            v = np.array([coords.iloc[i] for i in rows], float).reshape(len(rows), -1, 2)
+        except (TypeError, ValueError):  # a null coordinate
+            v = np.array([[np.nan if x is None else x for x in coords.iloc[i]] for i in rows], float).reshape(len(rows), -1, 2)
+        closed = (v[:, 0] == v[:, -1]).all(axis=1) & ~np.isnan(v).any(axis=(1, 2))
+        rows, v = np.array(rows)[closed], np.ascontiguousarray(v[closed], "<f8")
+        if not len(rows):
+            continue
+        head = b"\x01" + np.array([3, 1, size // 2], "<u4").tobytes()
+        low, high = v.min(axis=1), v.max(axis=1)
+        out["kind"][rows], out["srid"][rows] = "POLYGON", G.DEFAULT_SRID
+        for name, value in zip(FIELDS[2:6], (low[:, 0], low[:, 1], high[:, 0], high[:, 1])):
+            out[name][rows] = value
+        out["shape"][rows] = np.array([head + x.tobytes() for x in v] + [None], object)[:-1]
+    return pd.DataFrame(out).astype({"srid": "Int32", **{c: float for c in FIELDS[2:6]}})
 
 
 @F.pandas_udf(GEOM)
@@ -316,14 +378,19 @@ def st_connect(first_ids: pd.Series, last_ids: pd.Series, lines: pd.Series) -> p
     return frame([None if x is None else G.connect_lines(list(a), list(b), [G.from_wkt(t) for t in x]) for a, b, x in zip(first_ids, last_ids, lines)])
 
 
-def _measure(f: Callable[[G.Geom], object], returns: T.DataType, of_point, of_box: Callable[[Column], Column]) -> Callable:
-    """Native for points and boxes. Plans over columns known to hold only those should call the native form."""
-    call = unary(f, returns)
+def _others(g: Column) -> Column:
+    """The geometry where it's neither a point nor a box, which the kernel needn't see."""
+    return F.when(~g["kind"].isin("POINT", "ENVELOPE"), g)
+
+
+def _measure(f: Callable[[G.Geom], object], returns: T.DataType, of_point, of_box: Callable[[Column], Column], of_rings: Callable[[np.ndarray], np.ndarray] | None = None) -> Callable:
+    """Native for points and boxes, together for polygons of one ring. Plans over columns known to hold only points and boxes should call the native form."""
+    call = unary(f, returns, of_rings)
 
     def run(g, simple: bool = False) -> Column:
         g = _col(g)
         native = F.when(g["kind"] == "POINT", F.lit(of_point)).when(g["kind"] == "ENVELOPE", of_box(g))
-        return native.cast(returns) if simple else F.coalesce(native.cast(returns), call(g))
+        return native.cast(returns) if simple else F.coalesce(native.cast(returns), call(_others(g)))
 
     return run
 
@@ -331,9 +398,9 @@ def _measure(f: Callable[[G.Geom], object], returns: T.DataType, of_point, of_bo
 _width = lambda g: g["xmax"] - g["xmin"]
 _height = lambda g: g["ymax"] - g["ymin"]
 
-st_area = _measure(lambda g: g.area, DOUBLE, 0.0, lambda g: _width(g) * _height(g))
-st_length = _measure(lambda g: g.length, DOUBLE, 0.0, lambda g: 2 * (_width(g) + _height(g)))
-st_numpoints = _measure(lambda g: g.n_points, INT, 1, lambda g: F.lit(5))
+st_area = _measure(lambda g: g.area, DOUBLE, 0.0, lambda g: _width(g) * _height(g), lambda r: np.abs(_ring_areas(r)))
+st_length = _measure(lambda g: g.length, DOUBLE, 0.0, lambda g: 2 * (_width(g) + _height(g)), _ring_lengths)
+st_numpoints = _measure(lambda g: g.n_points, INT, 1, lambda g: F.lit(5), lambda r: np.full(len(r), r.shape[1]))
 st_numgeometries = _measure(lambda g: len(g.parts), INT, 1, lambda g: F.lit(1))
 st_boundarydimension = _measure(lambda g: G.boundary(g).dimension, INT, -1, lambda g: F.lit(1))
 st_isvalid = unary(G.is_valid, BOOLEAN)
@@ -353,10 +420,26 @@ def st_centroid(g, simple: bool = False) -> Column:
     """Of boxes and points native; `simple` says that there are no others."""
     g = _col(g)
     middle = st_point((g["xmin"] + g["xmax"]) / 2, (g["ymin"] + g["ymax"]) / 2, g["srid"])
-    return middle if simple else F.when(g["kind"].isin("POINT", "ENVELOPE"), middle).otherwise(_centroid(g))
+    return middle if simple else F.when(g["kind"].isin("POINT", "ENVELOPE"), middle).otherwise(_centroid(_others(g)))
 
 
-_centroid = unary(G.centroid, GEOM)
+@F.pandas_udf(GEOM)
+def _centroid(g: pd.DataFrame) -> pd.DataFrame:
+    rest = np.ones(len(g), bool)
+    found: list[G.Geom | None] = [None] * len(g)
+    for rows, r in rings_of(g):
+        area = _ring_areas(r)
+        ok = area != 0
+        base, v = r[ok, :1], r[ok] - r[ok, :1]
+        cross = v[:, :-1, 0] * v[:, 1:, 1] - v[:, 1:, 0] * v[:, :-1, 1]
+        middle = base[:, 0] + ((v[:, :-1] + v[:, 1:]) * cross[..., None]).sum(axis=1) / (6 * area[ok])[:, None]
+        for i, srid, (x, y) in zip(rows[ok].tolist(), g["srid"].to_numpy()[rows[ok]], middle.tolist()):
+            found[i] = G.point(x, y, int(srid))
+        rest[rows[ok]] = False
+    f, rest = _safe(G.centroid), np.flatnonzero(rest)
+    for i, x in zip(rest.tolist(), geoms(g.iloc[rest])):
+        found[i] = f(x)
+    return frame(found)
 
 
 def st_geometryn(g, n) -> Column:
@@ -392,8 +475,46 @@ def st_regularpolygon(x, y, radius: float, sides: int) -> Column:
     return unary(lambda g: G.regular_polygon(*g.data, radius, sides), GEOM)(p)
 
 
+def _inside_box(shape: G.Geom, x1: float, y1: float, x2: float, y2: float) -> bool:
+    b = shape.bounds()
+    return b is not None and b[0] >= x1 and b[1] >= y1 and b[2] <= x2 and b[3] <= y2
+
+
+@F.pandas_udf(GEOM)
+def _intersection(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+    """The kernel's answer; a polygon within the other side's box is its own. Equal pairs of shapes in a batch are computed once."""
+    out, known = [], {}
+    cut = _safe(lambda x, y: G.overlay(x, y, "intersection"))
+    for row in zip(*(a[c] for c in FIELDS), *(b[c] for c in FIELDS)):
+        if row[0] is None or row[7] is None:
+            out.append(None)
+            continue
+        key = row[2:7] + row[9:]
+        if key not in known:
+            x, y = decode(*row[:7]), decode(*row[7:])
+            if row[7] == "ENVELOPE" and row[0] in ("POLYGON", "MULTIPOLYGON") and _inside_box(x, *row[9:13]):
+                known[key] = x
+            elif row[0] == "ENVELOPE" and row[7] in ("POLYGON", "MULTIPOLYGON") and _inside_box(y, *row[2:6]):
+                known[key] = y
+            else:
+                known[key] = cut(x, y)
+        out.append(known[key])
+    return frame(out)
+
+
+def st_intersection(a, b, simple: bool = False) -> Column:
+    """Native where two boxes share an area; `simple` says that there's nothing else but points and boxes that meet in points or not at all."""
+    a, b = _col(a), _col(b)
+    x1, y1, x2, y2 = F.greatest(a["xmin"], b["xmin"]), F.greatest(a["ymin"], b["ymin"]), F.least(a["xmax"], b["xmax"]), F.least(a["ymax"], b["ymax"])
+    boxes = (a["kind"] == "ENVELOPE") & (b["kind"] == "ENVELOPE") & (x1 < x2) & (y1 < y2)
+    native = _geom("ENVELOPE", a["srid"], x1, y1, x2, y2)
+    if simple:
+        return F.when(boxes, native)
+    rest = F.coalesce(~boxes, F.lit(True))
+    return F.when(boxes, native).otherwise(_intersection(F.when(rest, a), F.when(rest, b)))
+
+
 st_union = binary(lambda a, b: G.overlay(a, b, "union"), GEOM)
-st_intersection = binary(lambda a, b: G.overlay(a, b, "intersection"), GEOM)
 st_difference = binary(lambda a, b: G.overlay(a, b, "difference"), GEOM)
 st_symdifference = binary(lambda a, b: G.overlay(a, b, "symdifference"), GEOM)
 

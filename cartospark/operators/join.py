@@ -16,12 +16,13 @@ from pyspark.sql import functions as F
 
 from ..functions.st import INVERSE, PREDICATES, st_predicate, st_withindistance
 from .partition import Cells, covering_cells
+from .store import Folder, written
 from .synopses import Grid, near_square
 
-METHODS = ("auto", "bnlj", "broadcast", "pbsm", "sjmr", "sj1d", "dj", "repj")
+METHODS = ("auto", "bnlj", "broadcast", "inlj", "pbsm", "sjmr", "sj1d", "dj", "repj")
+#: A side is broadcast behind both checks, of its rows and of its bytes (shapes included).
 BROADCAST_ROWS = 200_000
-#: Cells that a record covers on average, above which another plan is cheaper.
-MOST_COPIES = 4.0
+BROADCAST_BYTES = 32 << 20
 
 
 @dataclass(frozen=True)
@@ -36,6 +37,11 @@ class Side:
     mean_width: float
     mean_height: float
     simple: bool  # only points and boxes of positive width and height
+    bytes: int = 0
+
+    @property
+    def small(self) -> bool:
+        return self.rows <= BROADCAST_ROWS and self.bytes <= BROADCAST_BYTES
 
 
 def measure(df: DataFrame, geom: str) -> Side:
@@ -45,6 +51,7 @@ def measure(df: DataFrame, geom: str) -> Side:
     r = df.agg(
         F.count(F.lit(1)), F.min(g["xmin"]), F.min(g["ymin"]), F.max(g["xmax"]), F.max(g["ymax"]),
         F.coalesce(F.avg(g["xmax"] - g["xmin"]), F.lit(0.0)), F.coalesce(F.avg(g["ymax"] - g["ymin"]), F.lit(0.0)), F.coalesce(F.min(flat | g["xmin"].isNull()), F.lit(True)),
+        F.coalesce(F.sum(F.coalesce(F.octet_length(g["shape"]), F.lit(0)) + 80), F.lit(0)),
     ).first()
     return Side(*r)
 
@@ -80,7 +87,7 @@ def choose_method(a: Side, b: Side, parallelism: int, left_cells=None, right_cel
     """dj if both sides are partitioned; broadcast if a side's checked size allows; repj if one side is partitioned; else pbsm."""
     if left_cells is not None and right_cells is not None:
         return "dj"
-    if min(a.rows, b.rows) <= BROADCAST_ROWS:
+    if a.small or b.small:
         return "broadcast"
     if left_cells is not None or right_cells is not None:
         return "repj"
@@ -97,29 +104,39 @@ def _bounds_meet(a: Column, b: Column, grow: float) -> Column:
     return (a["xmin"] - grow <= b["xmax"]) & (b["xmin"] - grow <= a["xmax"]) & (a["ymin"] - grow <= b["ymax"]) & (b["ymin"] - grow <= a["ymax"])
 
 
-def _grid_pairs(left: DataFrame, right: DataFrame, a: Column, b: Column, grid: Grid, grow: float) -> DataFrame:
-    """Pairs whose bounds meet, each once. `grow` widens the left side by a distance."""
+def _grid_pairs(left: DataFrame, right: DataFrame, a: Column, b: Column, grid: Grid, grow: float, send: str | None = None) -> DataFrame:
+    """Pairs whose bounds meet, each once. `grow` widens the left side by a distance; `send` names a side to broadcast, by cell."""
     box = F.struct(*[F.lit(float(v)).alias(n) for v, n in ((grid.xmin, "xmin"), (grid.ymin, "ymin"), (grid.xmax, "xmax"), (grid.ymax, "ymax"))])
     l = left.where(_bounds_meet(a, box, grow)).withColumn("__cell", F.explode(_cell_range(a, grid, grow)))
     r = right.where(_bounds_meet(b, box, 0.0)).withColumn("__rcell", F.explode(_cell_range(b, grid)))
     home = grid.cell(F.greatest(a["xmin"] - grow, b["xmin"]), F.greatest(a["ymin"] - grow, b["ymin"]))
+    l, r = (F.broadcast(l) if send == "left" else l), (F.broadcast(r) if send == "right" else r)  # behind the caller's check
     return l.join(r, F.col("__cell") == F.col("__rcell")).where(_bounds_meet(a, b, grow) & (F.col("__cell") == home)).drop("__cell", "__rcell")
 
 
 def _cells_pairs(left: DataFrame, right: DataFrame, a: Column, b: Column, l_cells: Cells, r_cells: Cells, grow: float) -> DataFrame:
-    """Pairs over two sets of disjoint cells: a pair of cells is the join key, and the reference point's cells dedupe."""
+    """Pairs over two sets of disjoint cells: two cells that meet are the join key, so a crowded cell is spread over its partners;
+    the reference point's cells dedupe."""
     spark = left.sparkSession
-    lc = spark.createDataFrame(l_cells.bounds, "lc int, lx1 double, ly1 double, lx2 double, ly2 double")
-    rc = spark.createDataFrame(r_cells.bounds, "rc int, rx1 double, ry1 double, rx2 double, ry2 double")
-    meet = lc.join(F.broadcast(rc), (F.col("lx1") <= F.col("rx2")) & (F.col("rx1") <= F.col("lx2")) & (F.col("ly1") <= F.col("ry2")) & (F.col("ry1") <= F.col("ly2")))  # two cell tables
-    pairs = meet.select("lc", "rc", *(F.col(c) for c in ("lx1", "ly1", "lx2", "ly2", "rx1", "ry1", "rx2", "ry2")))
-    l = left.withColumn("__lc", F.explode(covering_cells(a, l_cells, grow)))
-    r = right.withColumn("__rc", F.explode(covering_cells(b, r_cells)))
-    joined = l.join(F.broadcast(pairs), F.col("__lc") == F.col("lc")).join(r, F.col("rc") == F.col("__rc"))
+    both = []
+    for i, x1, y1, x2, y2 in l_cells.bounds:
+        both += [(i, j, x1, y1, x2, y2, u1, v1, u2, v2) for j, u1, v1, u2, v2 in r_cells.bounds if x1 < u2 and u1 < x2 and y1 < v2 and v1 < y2]
+    sides = [f"{s}{c}" for s in "lr" for c in ("x1", "y1", "x2", "y2")]
+    meet = spark.createDataFrame(both, "lc int, rc int, " + ", ".join(f"{c} double" for c in sides))
+
+    def placed(df: DataFrame, g: Column, cells: Cells, own: str, key: str, wide: float) -> DataFrame:
+        rows = df.withColumn(key, F.explode(covering_cells(g, cells, wide)))
+        pairs = meet.select(F.col(own).alias(f"{key}own"), *[F.col(c).alias(f"{key}{c}") for c in ("lc", "rc", *sides)])
+        inside = lambda s: (g["xmin"] - wide < F.col(f"{key}{s}x2")) & (g["xmax"] + wide >= F.col(f"{key}{s}x1")) & (g["ymin"] - wide < F.col(f"{key}{s}y2")) & (g["ymax"] + wide >= F.col(f"{key}{s}y1"))
+        return rows.join(F.broadcast(pairs), F.col(key) == F.col(f"{key}own")).where(inside("l") & inside("r"))  # the cells' table
+
+    l, r = placed(left, a, l_cells, "lc", "__l", grow), placed(right, b, r_cells, "rc", "__r", 0.0)
     x, y = F.greatest(a["xmin"] - grow, b["xmin"]), F.greatest(a["ymin"] - grow, b["ymin"])
-    in_cell = lambda s: (x >= F.col(f"{s}x1")) & (x < F.col(f"{s}x2")) & (y >= F.col(f"{s}y1")) & (y < F.col(f"{s}y2"))
+    in_cell = lambda s: (x >= F.col(f"__l{s}x1")) & (x < F.col(f"__l{s}x2")) & (y >= F.col(f"__l{s}y1")) & (y < F.col(f"__l{s}y2"))
+    joined = l.join(r.drop(*[f"__r{c}" for c in sides]), (F.col("__llc") == F.col("__rlc")) & (F.col("__lrc") == F.col("__rrc")))
     home = in_cell("l") & in_cell("r")  # cells are half-open and tile the plane
-    return joined.where(_bounds_meet(a, b, grow) & home).drop("__lc", "__rc", *pairs.columns)
+    extra = [c for c in joined.columns if c in {f"__{k}{n}" for k in "lr" for n in ("", "own", "lc", "rc", *sides)}]
+    return joined.where(_bounds_meet(a, b, grow) & home).drop(*extra)
 
 
 def spatial_join(
@@ -129,7 +146,7 @@ def spatial_join(
     """Pairs of rows whose geometries satisfy the predicate, each once; clashing columns are named l_ and r_.
 
     predicate: one of PREDICATES, or 'withindistance' with a distance.  method: one of METHODS; dj and repj take disjoint
-    cells.  how: inner, left (unmatched left rows with nulls), semi or anti.  Empty and null geometries match nothing
+    cells; broadcast (inlj is another name) sends the smaller side, indexed by cell, if both its checks allow, and is pbsm otherwise.  how: inner, left (unmatched left rows with nulls), semi or anti.  Empty and null geometries match nothing
     (but are disjoint from everything: 'disjoint' is the cross product less the intersecting pairs).
     """
     if predicate not in PREDICATES and predicate != "withindistance":
@@ -140,6 +157,9 @@ def spatial_join(
         return _outer(left, right, how, predicate, method, left_geom, right_geom, distance, grid, left_cells, right_cells, keep_geometry)
     both = set(left.columns) & set(right.columns)
     lg, rg = (f"l_{left_geom}" if left_geom in both else left_geom), (f"r_{right_geom}" if right_geom in both else right_geom)
+    if predicate == "disjoint":
+        left, right = _renamed(left, right)
+        return _dropped(left.crossJoin(right).where(st_predicate("disjoint", F.col(f"`{lg}`"), F.col(f"`{rg}`"))), lg, rg, keep_geometry)
     s, t = measure(left, left_geom), measure(right, right_geom)
     left, right = _renamed(left, right)
     a, b = F.col(f"`{lg}`"), F.col(f"`{rg}`")
@@ -147,15 +167,8 @@ def spatial_join(
     parallelism = left.sparkSession.sparkContext.defaultParallelism
     if method == "auto":
         method = choose_method(s, t, parallelism, left_cells, right_cells)
-    if predicate == "disjoint":
-        pairs = left.crossJoin(right).where(st_predicate("disjoint", a, b, simple))
-        return _dropped(pairs, lg, rg, keep_geometry)
-    if method == "broadcast":
-        small_right = t.rows <= s.rows
-        checked = min(s.rows, t.rows) <= BROADCAST_ROWS
-        one, two = (left, F.broadcast(right)) if small_right else (F.broadcast(left), right)
-        pairs = one.join(two, _bounds_meet(a, b, grow)) if checked else None
-        method = method if checked else "pbsm"
+    if method in ("broadcast", "inlj") and not (s.small or t.small):
+        method = "pbsm"
     if method == "bnlj":
         pairs = left.join(right, _bounds_meet(a, b, grow))
     elif method in ("dj", "repj"):
@@ -163,9 +176,12 @@ def spatial_join(
         if known is None:
             raise ValueError(f"{method} takes left_cells or right_cells")
         pairs = _cells_pairs(left, right, a, b, left_cells or known, right_cells or known, grow)
-    elif method in ("pbsm", "sjmr", "sj1d"):
-        grid = grid or join_grid(s, t, parallelism, strips=method == "sj1d", grow=grow)
-        pairs = _grid_pairs(left, right, a, b, grid, grow) if grid else left.join(right, F.lit(False))
+    else:
+        # sent by cell, the small side is an index that every task looks into
+        send = None if method not in ("broadcast", "inlj") else "left" if s.small and (not t.small or s.bytes < t.bytes) else "right"
+        fine = parallelism if send is None else max(parallelism, min(s.rows, t.rows) // 16)
+        grid = grid or join_grid(s, t, fine, strips=method == "sj1d", grow=grow)
+        pairs = _grid_pairs(left, right, a, b, grid, grow, send) if grid else left.join(right, F.lit(False))
     if predicate == "withindistance":
         pairs = pairs.where(st_withindistance(a, b, grow, simple))
     elif predicate not in ("mbrintersects",) and not (simple and predicate == "intersects"):
@@ -178,13 +194,14 @@ def _dropped(pairs: DataFrame, lg: str, rg: str, keep: tuple[bool, bool]) -> Dat
 
 
 def _outer(left, right, how, predicate, method, lgeom, rgeom, distance, grid, lcells, rcells, keep) -> DataFrame:
+    """The left side is written once with a number for each row, so that both uses of it see the same numbers."""
+    if how not in ("left", "semi", "anti"):
+        raise ValueError("how: inner, left, semi or anti")
     key = "__row"
-    marked = left.withColumn(key, F.monotonically_increasing_id())
+    marked = written(left.withColumn(key, F.monotonically_increasing_id()))
     pairs = spatial_join(marked, right, predicate, method, lgeom, rgeom, "inner", distance, grid, lcells, rcells)
     if how in ("semi", "anti"):
         return marked.join(pairs.select(key).distinct(), key, f"left_{how}").drop(key)
-    if how != "left":
-        raise ValueError("how: inner, left, semi or anti")
     both = set(left.columns) & set(right.columns)
     lonely = marked.join(pairs.select(key).distinct(), key, "left_anti")
     lonely = lonely.select(*[F.col(f"`{c}`").alias(f"l_{c}" if c in both else c) for c in left.columns])
@@ -244,17 +261,76 @@ def range_query(df: DataFrame, query, geom: str = "geom", simple: bool = False,
     return rough.where(unary(lambda x: G.intersects(x, query), BOOLEAN)(g))
 
 
-def closest_pairs(df: DataFrame, id_col: str, x: str, y: str, cell: float, manhattan: bool = True) -> DataFrame:
-    """(l_id, r_id, distance) of the closest pairs of points, found among pairs in the same or neighbouring cells of side `cell`.
+def _near(p: DataFrame, side: float) -> DataFrame:
+    """Pairs of points(id, x, y) in the same or neighbouring square cells."""
+    at = lambda c: F.floor(F.col(c) / side)
+    p = p.withColumns({"cx": at("x"), "cy": at("y")})
+    near = p.select("id", "x", "y", F.explode(F.expr("sequence(cx - 1, cx + 1)")).alias("cx"), "cy").select("id", "x", "y", "cx", F.explode(F.expr("sequence(cy - 1, cy + 1)")).alias("cy"))
+    return p.alias("l").join(near.alias("r"), ["cx", "cy"]).where("l.id < r.id")
+
+
+def closest_pairs(df: DataFrame, id_col: str, x: str, y: str, cell: float | None = None, manhattan: bool = True) -> DataFrame:
+    """(l_id, r_id, distance) of all pairs of points at the smallest distance; points without coordinates don't count.
 
-    Exact if some pair lies within `cell`; a join on cells, never of all pairs.
+    Points that share their place are at distance 0, which one aggregation tells.  Otherwise pairs in the same or neighbouring cells are
+    compared, a join on cells; the side of the cells grows until some pair is found, and once more to its distance if that is larger.
+    cell: the first side; by default that of cells with a point each.
     """
-    at = lambda c: F.floor(F.col(c) / cell)
-    p = df.select(F.col(id_col).alias("id"), F.col(x).alias("x"), F.col(y).alias("y"), at(x).alias("cx"), at(y).alias("cy"))
-    near = p.select("id", "x", "y", F.explode(F.expr("sequence(cx - 1, cx + 1)")).alias("cx"), "cy").select("id", "x", "y", "cx", F.explode(F.expr("sequence(cy - 1, cy + 1)")).alias("cy"))
-    l, r = p.alias("l"), near.alias("r")
+    p = df.select(F.col(id_col).alias("id"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).where("x is not null and y is not null")
     dx, dy = F.abs(F.col("l.x") - F.col("r.x")), F.abs(F.col("l.y") - F.col("r.y"))
     d = dx + dy if manhattan else F.sqrt(dx * dx + dy * dy)
-    pairs = l.join(r, ["cx", "cy"]).where("l.id < r.id").select(F.col("l.id").alias("l_id"), F.col("r.id").alias("r_id"), d.alias("distance"))
-    least = pairs.agg(F.min("distance").alias("least"))
-    return pairs.join(F.broadcast(least), F.col("distance") == F.col("least")).drop("least")  # one row
+    named = lambda pairs, d: pairs.select(F.col("l.id").alias("l_id"), F.col("r.id").alias("r_id"), d.alias("distance"))
+    shared = p.groupBy("x", "y").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    if not shared.isEmpty():
+        same = p.join(shared, ["x", "y"])
+        return named(same.alias("l").join(same.alias("r"), ["x", "y"]).where("l.id < r.id"), F.lit(0.0))
+    n, x1, y1, x2, y2 = p.agg(F.count("*"), F.min("x"), F.min("y"), F.max("x"), F.max("y")).first()
+    if n < 2:
+        return named(p.alias("l").join(p.alias("r"), F.lit(False)), F.lit(0.0))
+    wide = max(x2 - x1, y2 - y1)
+    side = cell or max(wide / n, ((x2 - x1) * (y2 - y1) / n) ** 0.5)
+    while (least := named(_near(p, side), d).agg(F.min("distance")).first()[0]) is None:
+        side *= 4
+    side = max(side, least)  # a nearer pair may lie across cells that aren't neighbours yet
+    pairs = named(_near(p, side), d)
+    return pairs.join(F.broadcast(pairs.agg(F.min("distance").alias("least"))), F.col("distance") == F.col("least")).drop("least")  # one row
+
+
+def knn_join(left: DataFrame, right: DataFrame, k: int, left_id: str, right_id: str, left_geom: str = "geom", right_geom: str = "geom", side: float | None = None) -> DataFrame:
+    """(left_id, right_id, distance, rank): the k nearest points of the right side for every point of the left, ties by the right's id.
+
+    A round looks at the cells within a ring of each point's cell and settles the points whose k-th distance lies within the ring; the others
+    go on with rings twice as wide, until they cover the right side.  Each round is one join on cells and one ranking by point.
+    """
+    a = left.select(F.col(left_id).alias("left_id"), F.col(left_geom)["xmin"].alias("x"), F.col(left_geom)["ymin"].alias("y")).where("x is not null")
+    b = right.select(F.col(right_id).alias("right_id"), F.col(right_geom)["xmin"].alias("u"), F.col(right_geom)["ymin"].alias("v")).where("u is not null")
+    n, x1, y1, x2, y2 = b.agg(F.count("*"), F.min("u"), F.min("v"), F.max("u"), F.max("v")).first()
+    if not n:
+        return a.join(b, F.lit(False)).select("left_id", "right_id", F.lit(0.0).alias("distance"), F.lit(0).alias("rank"))
+    wide = max(x2 - x1, y2 - y1)
+    side = side or max(wide / n, ((x2 - x1) * (y2 - y1) * k / n) ** 0.5) or 1.0
+    at = lambda c: F.floor((F.least(F.greatest(F.col(c), F.lit(x1)), F.lit(x2)) if c == "x" else F.least(F.greatest(F.col(c), F.lit(y1)), F.lit(y2))) / side)
+    out, todo, reach, folder = None, a, 1, Folder(a, "knn")
+    while True:
+        last = (2 * reach + 1) * side > 2 * wide + 2 * side
+        cells = b.withColumns({"cx": F.floor(F.col("u") / (side * reach)), "cy": F.floor(F.col("v") / (side * reach))})
+        around = lambda c: F.expr(f"sequence({c} - 1, {c} + 1)")
+        clamp = lambda c, lo, hi: F.least(F.greatest(F.col(c), F.lit(lo)), F.lit(hi))
+        own = todo.withColumns({"cx": F.floor(clamp("x", x1, x2) / (side * reach)), "cy": F.floor(clamp("y", y1, y2) / (side * reach))})
+        if last:
+            met = own.drop("cx", "cy").crossJoin(F.broadcast(cells.drop("cx", "cy"))) if n <= BROADCAST_ROWS else own.drop("cx", "cy").crossJoin(cells.drop("cx", "cy"))
+        else:
+            met = own.withColumn("cx", F.explode(around("cx"))).withColumn("cy", F.explode(around("cy"))).join(cells, ["cx", "cy"])
+        d = F.sqrt((F.col("x") - F.col("u")) ** 2 + (F.col("y") - F.col("v")) ** 2)
+        best = F.slice(F.array_sort(F.collect_list(F.struct(d.alias("distance"), F.col("right_id")))), 1, k)
+        ranked = met.groupBy("left_id", "x", "y").agg(best.alias("best"))
+        # what lies beyond the neighbouring cells is further than the way to their border
+        fx, fy = clamp("x", x1, x2), clamp("y", y1, y2)
+        safe = F.lit(float("inf")) if last else F.lit(side * reach) - F.sqrt((F.col("x") - fx) ** 2 + (F.col("y") - fy) ** 2)
+        ranked = folder.keep(ranked.withColumn("done", (F.size("best") >= min(k, n)) & (F.element_at("best", -1)["distance"] <= safe) | F.lit(last)), str(reach))
+        found = ranked.where("done").select("left_id", F.posexplode("best").alias("rank", "b")).select("left_id", "b.right_id", "b.distance", (F.col("rank") + 1).alias("rank"))
+        out = found if out is None else out.unionByName(found)
+        todo = todo.join(ranked.where("done").select("left_id"), "left_id", "left_anti")
+        if last or todo.isEmpty():
+            return out
+        reach *= 2

@@ -181,13 +181,15 @@ def grove_cells(points: np.ndarray, n: int, balance: float = 0.45, weights: np.n
                 order = np.argsort(pts[:, axis], kind="stable")
                 p, total = pts[order], np.cumsum(w[order])
                 lo, hi = np.searchsorted(total, total[-1] * balance), np.searchsorted(total, total[-1] * (1 - balance), "right")
-                for k in range(max(1, int(lo)), min(len(p) - 1, max(int(hi), int(lo) + 1)) + 1):
-                    if p[k, axis] > p[k - 1, axis]:
-                        a, b = p[:k], p[k:]
-                        span = lambda q: q.max(axis=0) - q.min(axis=0)
-                        cost = float(np.prod(span(a)) + np.prod(span(b))) if by_area else float(span(a).sum() + span(b).sum())
-                        if best is None or cost < best[0]:
-                            best = (cost, axis, float(p[k, axis]))
+                k = np.arange(max(1, int(lo)), min(len(p) - 1, max(int(hi), int(lo) + 1)) + 1)
+                k = k[p[k, axis] > p[k - 1, axis]]
+                if len(k):  # spans of all points before and from each place on
+                    below = np.maximum.accumulate(p, axis=0) - np.minimum.accumulate(p, axis=0)
+                    above = (np.maximum.accumulate(p[::-1], axis=0) - np.minimum.accumulate(p[::-1], axis=0))[::-1]
+                    cost = below[k - 1].prod(axis=1) + above[k].prod(axis=1) if by_area else below[k - 1].sum(axis=1) + above[k].sum(axis=1)
+                    i = int(np.argmin(cost))
+                    if best is None or cost[i] < best[0]:
+                        best = (float(cost[i]), axis, float(p[k[i], axis]))
         if best is None:
             state["next"] += 1
             return state["next"] - 1
@@ -197,10 +199,6 @@ def grove_cells(points: np.ndarray, n: int, balance: float = 0.45, weights: np.n
         left = min(parts - 1, max(1, round(parts * share)))
         return (axis, at, cut(pts[low], w[low], left), cut(pts[~low], w[~low], parts - left))
 
-    if len(points) > 2000:
-        keep = np.linspace(0, len(points) - 1, 2000).astype(int)
-        points, weights = points[keep], weights[keep]
-        target = weights.sum() / max(1, n)
     return _of_tree(cut(points, weights, n))
 
 

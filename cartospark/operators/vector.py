@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import math
-import tempfile
-import uuid
 
 import numpy as np
 import pandas as pd
@@ -15,26 +13,16 @@ from ..functions import geometry as G
 from ..functions.geodesic import DEGREE_KM, MERCATOR_MAX_LAT, MERCATOR_RADIUS
 from ..functions.st import FIELDS, GEOM, frame, geoms, st_difference, st_intersection, st_symdifference, st_union, unary
 from .join import self_join, spatial_join
+from .store import Folder
 
 OVERLAYS = {"intersection": st_intersection, "union": st_union, "difference": st_difference, "symdifference": st_symdifference}
 UNITS = {"degree": 1.0, "km": 1 / DEGREE_KM, "m": 1 / DEGREE_KM / 1000}
 
 
-def _kept(df: DataFrame, folder: str, name: str) -> DataFrame:
-    df.write.mode("overwrite").parquet(f"{folder}/{name}")
-    return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/{name}")
-
-
-def _folder(df: DataFrame) -> str:
-    """A new folder in the one that the session names for checkpoints; the driver's own where it names none."""
-    base = df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="cartospark-")
-    return f"{base.rstrip('/')}/vector-{uuid.uuid4().hex}"
-
-
 def components(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """pairs(a, b), nodes(id) -> (id, component): the smallest id that links reach. Alternating star contraction, a written table each round."""
-    folder, k = _folder(nodes), 0
-    links = _kept(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct(), folder, "0")
+    folder, k = Folder(nodes, "components"), 0
+    links = folder.keep(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct(), "0")
     mark = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
     seen = None
     while (now := mark(links)) != seen and now[0]:
@@ -44,7 +32,8 @@ def components(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
         down = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         least = down.groupBy("a").agg(F.min("b").alias("m"))
         small = down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a > b")
-        links = _kept(small.union(least.select("a", F.col("m").alias("b"))).distinct(), folder, str(k))
+        links = folder.keep(small.union(least.select("a", F.col("m").alias("b"))).distinct(), str(k))
+        folder.drop(str(k - 1))
     return nodes.select(F.col("id")).join(links.withColumnRenamed("a", "id"), "id", "left").select("id", F.coalesce("b", "id").alias("component"))
 
 
@@ -57,25 +46,32 @@ def buffer(df: DataFrame, radius: float, unit: str = "degree", geom: str = "geom
 def dissolve(df: DataFrame, id_col: str, geom: str = "geom", method: str = "pbsm", group_rows: int = 2000) -> DataFrame:
     """(component, members, geom): the union of every group of geometries that meet, single ones too.
 
-    Groups are united in two steps, by hashed parts of about `group_rows` members and then over the parts.
+    Groups are united in rounds: parts of at most about `group_rows` members by hash, then parts of as many of the results, until each group
+    is one, so no task opens more of a large group.
     """
     pairs = self_join(df.select(F.col(id_col).alias("id"), F.col(geom).alias("geom")), "id", "intersects", "geom", method)
     of = components(pairs.select(F.col("l_id").alias("a"), F.col("r_id").alias("b")), df.select(F.col(id_col).alias("id")))
     rows = df.select(F.col(id_col).alias("id"), F.col(geom).alias("geom")).join(of, "id")
     sizes = of.groupBy("component").agg(F.count("*").alias("members"))
-    part = F.pmod(F.xxhash64("id"), F.ceil(F.col("members") / group_rows)).alias("part")
-    rows = rows.join(sizes, "component").select("component", part, "geom.*")
+    rows = rows.join(sizes, "component").select("component", "id", F.col("members").alias("left"), "geom.*")
+    most = sizes.agg(F.max("members")).first()[0] or 1
 
     def unite(pdf: pd.DataFrame) -> pd.DataFrame:
         out = frame([G.union_all([g for g in geoms(pdf[FIELDS]) if g is not None and not g.is_empty])])
-        out.insert(0, "component", pdf["component"].iloc[0])
+        for k, name in enumerate(("component", "id", "left")):
+            out.insert(k, name, pdf["part" if name == "id" else name].iloc[0])
+        out["left"] = -(-out["left"] // group_rows)
         return out
 
     kind = df.schema[id_col].dataType.simpleString()
-    schema = f"component {kind}, kind string, srid int, xmin double, ymin double, xmax double, ymax double, shape binary"
-    parts = rows.groupBy("component", "part").applyInPandas(unite, schema)
-    whole = parts.groupBy("component").applyInPandas(unite, schema)
-    return whole.join(sizes, "component").select("component", "members", F.struct(*FIELDS).alias("geom"))
+    schema = f"component {kind}, id long, left long, kind string, srid int, xmin double, ymin double, xmax double, ymax double, shape binary"
+    while True:
+        part = F.pmod(F.xxhash64("id"), F.ceil(F.col("left") / group_rows)).alias("part")
+        rows = rows.withColumn("part", part).groupBy("component", "part").applyInPandas(unite, schema)
+        if most <= group_rows:
+            break
+        most = -(-most // group_rows)
+    return rows.join(sizes, "component").select("component", "members", F.struct(*FIELDS).alias("geom"))
 
 
 def buffer_dissolve(df: DataFrame, id_col: str, radius: float, unit: str = "degree", geom: str = "geom") -> DataFrame:
