@@ -10,9 +10,9 @@ How it scales:
 * Orders put rare tokens first: a token's level (seen once, a few times, often, very often) comes from
   counts over all documents, held in fixed-size bit tables, and a seeded hash orders each level.  Levels
   only steer efficiency; a hash collision in them can't lose a link.  Their thresholds rise with the tables' load.
-* A text with enough once-seen tokens can't have a partner and ends there; sets are written only
-  for the remaining *suspects*.
-* Suspects that share prefix tokens of the first order gather round a common head.  What is compared are blocks: a group
+* A text with enough once-seen tokens can't have a partner and ends there; of the remaining *suspects* only the prefix moves.
+* Suspects that share prefix tokens of the first order gather round a common head; only their whole sets are fetched, by another pass
+  over the texts.  What is compared are blocks: a group
   with itself, and the sets of two groups that hold a prefix token of each other's.  Every pair of sets with a common prefix
   token is in exactly one of them.  Blocks are cut by tokens, so that none needs more than CHUNK_TOKENS of either side in memory.
 * A block looks at two sets only after the filters of all orders let the pair pass.  It returns a star for each of its
@@ -38,8 +38,9 @@ from .words import hash_words, mix, shingles, slices
 
 ORDERS = 3
 LEVELS = (2, 8, 64)  # a token seen fewer times than LEVELS[0] has level 0, and so on
-TABLE_BITS = 26  # of the first level's bit table at most, three less of the others: 10 MB together, whatever the input
-BUCKET_TOKENS = 2_000_000
+TABLE_BITS = 27  # of the first level's bit table at most, three less of the others: 20 MB together, whatever the input
+BUCKET_TOKENS = 1_000_000
+BROADCAST_SETS = 1_000_000
 CHUNK_TOKENS = 1 << 18
 
 _U = np.uint64
@@ -66,10 +67,10 @@ def _sets(batches: Iterator[pa.RecordBatch], column: str, size: int):
 
 def _fresh(seen: set, sizes: np.ndarray, sigs: np.ndarray) -> np.ndarray:
     """True for the first row of each set in this task. Forgetting (when large) only repeats work."""
-    if len(seen) > 1_000_000:
+    if len(seen) > 300_000:
         seen.clear()
     out = np.zeros(len(sigs), bool)
-    for i, key in enumerate(zip(sigs.tolist(), sizes.tolist())):
+    for i, key in enumerate((sigs ^ (sizes.astype(np.int64) << 40)).tolist()):
         if key not in seen:
             seen.add(key)
             out[i] = True
@@ -160,30 +161,69 @@ def _least_share(n, percent: int):
     return -(-percent * n // 100)
 
 
-def _suspects(df: DataFrame, text_col: str, size: int, percent: int, tables, scratch: Scratch) -> DataFrame:
-    """(sig, n, tokens, levels): one row per set that may have a partner."""
-    held = df.sparkSession.sparkContext.broadcast(tables)
+def _suspect_rows(batches, text_col: str, size: int, percent: int, tables: list[np.ndarray]):
+    """For each slice (sigs, sizes, hashes, levels, rows): the sets that may have a partner, each once in a task as far as it remembers."""
+    seen: set = set()
+    for _, docs, hashes, sizes, sigs in _sets(batches, text_col, size):
+        level = _levels(tables, hashes)
+        once = np.bincount(docs[level == 0], minlength=len(sizes))
+        spare = sizes - _least_share(sizes, percent)  # a partner may miss so many tokens
+        # the nearest different set is the set and one token more
+        pick = np.flatnonzero((once <= spare) & (100 * sizes >= percent * (sizes + 1)))
+        pick = pick[_fresh(seen, sizes[pick], sigs[pick])]
+        ends = np.cumsum(sizes)
+        yield sigs, sizes, hashes, level, [(i, slice(ends[i] - sizes[i], ends[i])) for i in pick.tolist()]
+
+
+def _suspects(df: DataFrame, text_col: str, size: int, percent: int, held, scratch: Scratch) -> DataFrame:
+    """(sig, n, toks, places): one row per set that may have a partner, with its prefix of the first order."""
 
     def run(batches):
-        seen: set = set()
-        for _, docs, hashes, sizes, sigs in _sets(batches, text_col, size):
-            level = _levels(held.value, hashes)
-            once = np.bincount(docs[level == 0], minlength=len(sizes))
-            spare = sizes - _least_share(sizes, percent)  # a partner may miss so many tokens
-            # the nearest different set is the set and one token more
-            pick = np.flatnonzero((once <= spare) & (100 * sizes >= percent * (sizes + 1)))
-            pick = pick[_fresh(seen, sizes[pick], sigs[pick])]
-            ends = np.cumsum(sizes)
-            rows = [slice(ends[i] - sizes[i], ends[i]) for i in pick]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(sigs[pick]), pa.array(sizes[pick].astype(np.int64)), pa.array([hashes[r].tobytes() for r in rows], pa.binary()), pa.array([level[r].tobytes() for r in rows], pa.binary())],
-                ["sig", "n", "tokens", "levels"],
-            )
+        for sigs, sizes, hashes, level, rows in _suspect_rows(batches, text_col, size, percent, held.value):
+            if not rows:
+                continue
+            pick = np.array([i for i, _ in rows])
+            n = sizes[pick].astype(np.int64)
+            owner, toks, places = _prefix(np.concatenate([hashes[r] for _, r in rows]), np.concatenate([level[r] for _, r in rows]), np.repeat(np.arange(len(n)), n), n, percent, 0)
+            cuts = np.searchsorted(owner, np.arange(len(n) + 1))
+            cut = lambda x: pa.array([x[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:])], pa.binary())  # noqa: B023, E731
+            yield pa.RecordBatch.from_arrays([pa.array(sigs[pick]), pa.array(n), cut(toks), cut(places.astype(np.int32))], ["sig", "n", "toks", "places"])
+
+    found = df.select(text_col).mapInArrow(run, "sig long, n long, toks binary, places binary")
+    return found.dropDuplicates(["sig", "n"])
+
+
+def _unpacked(suspects: DataFrame) -> DataFrame:
+    """(tok, place, sig, n)."""
+
+    def run(batches):
+        for batch in batches:
+            at = 0
+            while at < batch.num_rows:
+                part = batch.slice(at, 1000)
+                at += part.num_rows
+                toks, places = part.column("toks").to_pylist(), part.column("places").to_pylist()
+                who = pa.array(np.repeat(np.arange(len(toks)), [len(x) // 8 for x in toks]))
+                columns = [pa.array(np.frombuffer(b"".join(toks), np.int64)), pa.array(np.frombuffer(b"".join(places), np.int32).astype(np.int64)), part.column("sig").take(who), part.column("n").take(who)]
+                yield pa.RecordBatch.from_arrays(columns, ["tok", "place", "sig", "n"])
+
+    return suspects.mapInArrow(run, "tok long, place long, sig long, n long")
+
+
+def _whole_sets(df: DataFrame, text_col: str, size: int, percent: int, held, groups: DataFrame, scratch: Scratch) -> DataFrame:
+    """(sig, n, tokens, levels) of the sets in groups."""
+
+    def run(batches):
+        for sigs, sizes, hashes, level, rows in _suspect_rows(batches, text_col, size, percent, held.value):
+            if rows:
+                pick = np.array([i for i, _ in rows])
+                columns = [pa.array(sigs[pick]), pa.array(sizes[pick].astype(np.int64)), pa.array([hashes[r].tobytes() for _, r in rows], pa.binary()), pa.array([level[r].tobytes() for _, r in rows], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["sig", "n", "tokens", "levels"])
 
     found = df.select(text_col).mapInArrow(run, "sig long, n long, tokens binary, levels binary")
-    found = scratch.keep(found.dropDuplicates(["sig", "n"]), "suspects")
-    held.destroy()  # what reads it is written
-    return found
+    keys = groups.select("sig", "n")
+    keys = F.broadcast(keys) if keys.count() <= BROADCAST_SETS else keys  # two longs a set
+    return scratch.keep(found.join(keys, ["sig", "n"], "left_semi").dropDuplicates(["sig", "n"]), "wholes")
 
 
 def _prefix(tokens: np.ndarray, levels: np.ndarray, owner: np.ndarray, n: np.ndarray, percent: int, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -335,21 +375,22 @@ def jaccard_links(df: DataFrame, text_col: str, total: int, copies: DataFrame, s
 
     Rows without b give the set a w linked rows of other sets; they sum up to all of its links.  copies: (sig, n, copies).
     """
-    tables = _level_tables(df, text_col, size, total)
-    suspects = _suspects(df, text_col, size, percent, tables, scratch)
-    first = scratch.keep(_prefixes(suspects, percent, 0), "prefixes")
+    held = df.sparkSession.sparkContext.broadcast(_level_tables(df, text_col, size, total))
+    first = scratch.keep(_unpacked(_suspects(df, text_col, size, percent, held, scratch)), "prefixes")
     heads = first.groupBy("tok").agg(F.min(F.struct("sig", "n")).alias("head"), F.count("*").alias("c")).where("c > 1").drop("c")
     votes = first.join(heads, "tok").groupBy("sig", "n", "head").agg(F.count("*").alias("c"))
     groups = votes.groupBy("sig", "n").agg(F.max_by("head", F.struct("c", F.struct(-F.col("head.sig"), "head.n"))).alias("head"))
     groups = scratch.keep(groups.join(copies, ["sig", "n"]), "groups")
+    wholes = _whole_sets(df, text_col, size, percent, held, groups, scratch)
+    held.destroy()  # what reads it is written
     meet = scratch.keep(_meetings(first, groups, percent), "meet0")
-    some = scratch.keep(suspects.join(meet.select("sig", "n").distinct(), ["sig", "n"], "left_semi"), "some")
+    some = scratch.keep(wholes.join(meet.select("sig", "n").distinct(), ["sig", "n"], "left_semi"), "some")
     for k in range(1, ORDERS):  # the filters of all orders, before any tokens move
         meet = scratch.keep(_met_again(meet, _prefixes(some, percent, k), percent), f"meet{k}")
     blocks = _blocks_within(groups).unionByName(_blocks_across(meet))
-    filled = blocks.join(suspects, ["sig", "n"])
+    filled = blocks.join(wholes, ["sig", "n"])
     links = scratch.keep(filled.groupBy("g", "h", "i", "j").applyInPandas(lambda pdf: _links(pdf, percent), _EDGE), "links")
-    scratch.drop("suspects", "prefixes", "groups", "some", *(f"meet{k}" for k in range(ORDERS)))
+    scratch.drop("wholes", "prefixes", "groups", "some", *(f"meet{k}" for k in range(ORDERS)))
     return links
 
 

@@ -15,7 +15,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18  # arrays of eight bytes a byte stand beside a slice, in every worker of an executor
 
 _U = np.uint64
 _P = 0x9E3779B97F4A7C15 | 1
