@@ -11,7 +11,7 @@ from pathlib import Path
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 HEADLINE = [
-    "range_query", "join_auto", "join_broadcast", "join_pbsm", "join_sj1d", "self_join", "join_within_distance", "summary", "gridded_summary", "uniform_histogram",
+    "range_query", "join_auto", "join_broadcast", "join_pbsm", "join_sj1d", "join_dj", "join_repj", "closest_pairs", "nearest_places", "stay_points", "self_join", "join_within_distance", "summary", "gridded_summary", "uniform_histogram",
     "prefix_histogram", "euler_histogram", "box_counting", "partition_rsgrove", "tile_counts", "trajectory_features", "dissolve_groups", "overlay_intersection", "polygon_measures",
 ]
 
@@ -31,7 +31,7 @@ def main() -> None:
 
     def workload(name: str):
         """The published workload definitions: points against polygons, seed 1229, sizes up to 0.1, up to 10 segments."""
-        n, m, method = {"exp_points_polygons": (100_000, 1_000, "auto"), "exp_points_polygons_pbsm": (100_000, 1_000, "pbsm"), "exp_partition": (10_000, 2_000, "pbsm")}[name]
+        n, m, method = {"exp_points_polygons": (100_000, 1_000, "auto"), "exp_points_polygons_pbsm": (100_000, 1_000, "pbsm"), "exp_partition": (10_000, 10_000, "pbsm")}[name]
         points = generators.generate(spark, "uniform", n, 1229)
         polygons = generators.generate(spark, "uniform", m, 1230, shape="polygon", max_size=(0.1, 0.1), segments=(3, 10))
         return join.spatial_join(points, polygons, "intersects", method)

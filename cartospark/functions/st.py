@@ -535,6 +535,7 @@ def st_unionlist(gs: pd.Series) -> pd.DataFrame:
 PREDICATES: dict[str, Callable[[G.Geom, G.Geom], bool]] = {
     "intersects": G.intersects, "mbrintersects": G.mbr_intersects, "contains": G.contains, "within": G.within, "covers": G.covers, "coveredby": G.covered_by,
     "touches": G.touches, "overlaps": G.overlaps, "crosses": G.crosses, "equals": G.equals, "disjoint": G.disjoint,
+    "orderingequals": lambda a, b: a.kind == b.kind and a.coords().shape == b.coords().shape and bool((a.coords() == b.coords()).all()),
 }
 #: The predicate that says the same with sides swapped.
 INVERSE = {"contains": "within", "within": "contains", "covers": "coveredby", "coveredby": "covers"}
@@ -592,7 +593,7 @@ def native_predicate(name: str, a: Column, b: Column) -> Column:
     return {
         "intersects": meet, "mbrintersects": meet, "disjoint": ~meet, "equals": same, "covers": holds, "coveredby": held,
         "contains": holds & (pa | inner), "within": held & (pb | inner),
-        "touches": meet & ~inner & ~(pa & pb), "overlaps": inner & ~holds & ~held, "crosses": F.lit(False),
+        "touches": meet & ~inner & ~(pa & pb), "overlaps": inner & ~holds & ~held, "crosses": F.lit(False), "orderingequals": same,
     }[name]
 
 

@@ -11,7 +11,8 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.st import INVERSE, PREDICATES, st_predicate, st_withindistance
@@ -19,6 +20,23 @@ from .partition import Cells, covering_cells
 from .store import Folder, written
 from .synopses import Grid, near_square
 
+class JoinMetrics:
+    """Counts of one join: rows of either side, pairs whose bounds meet, pairs of the result. The last two are known once the result has been
+    computed; each partition's counts are added by Spark's own observation."""
+
+    def __init__(self):
+        self.left_count = self.right_count = 0
+        self._met, self._found = Observation(), Observation()
+
+    @property
+    def mbr_count(self) -> int:
+        return self._met.get["n"]
+
+    @property
+    def result_count(self) -> int:
+        return self._found.get["n"]
+
+
 METHODS = ("auto", "bnlj", "broadcast", "inlj", "pbsm", "sjmr", "sj1d", "dj", "repj")
 #: A side is broadcast behind both checks, of its rows and of its bytes (shapes included).
 BROADCAST_ROWS = 200_000
@@ -142,6 +160,7 @@ def _cells_pairs(left: DataFrame, right: DataFrame, a: Column, b: Column, l_cell
 def spatial_join(
     left: DataFrame, right: DataFrame, predicate: str = "intersects", method: str = "auto", left_geom: str = "geom", right_geom: str = "geom", how: str = "inner",
     distance: float | None = None, grid: Grid | None = None, left_cells: Cells | None = None, right_cells: Cells | None = None, keep_geometry: tuple[bool, bool] = (True, True),
+    metrics: JoinMetrics | None = None,
 ) -> DataFrame:
     """Pairs of rows whose geometries satisfy the predicate, each once; clashing columns are named l_ and r_.
 
@@ -182,10 +201,15 @@ def spatial_join(
         fine = parallelism if send is None else max(parallelism, min(s.rows, t.rows) // 16)
         grid = grid or join_grid(s, t, fine, strips=method == "sj1d", grow=grow)
         pairs = _grid_pairs(left, right, a, b, grid, grow, send) if grid else left.join(right, F.lit(False))
+    if metrics is not None:
+        metrics.left_count, metrics.right_count = s.rows, t.rows
+        pairs = pairs.observe(metrics._met, F.count(F.lit(1)).alias("n"))
     if predicate == "withindistance":
         pairs = pairs.where(st_withindistance(a, b, grow, simple))
     elif predicate not in ("mbrintersects",) and not (simple and predicate == "intersects"):
         pairs = pairs.where(st_predicate(predicate, a, b, simple))
+    if metrics is not None:
+        pairs = pairs.observe(metrics._found, F.count(F.lit(1)).alias("n"))
     return _dropped(pairs, lg, rg, keep_geometry)
 
 
@@ -210,9 +234,9 @@ def _outer(left, right, how, predicate, method, lgeom, rgeom, distance, grid, lc
     return _dropped(out, lg, rg, keep)
 
 
-def self_join(df: DataFrame, id_col: str, predicate: str = "intersects", geom: str = "geom", method: str = "pbsm", distance: float | None = None, grid: Grid | None = None) -> DataFrame:
-    """(l_id, r_id, ...): every unordered pair of different rows once, the smaller id on the left; ids are distinct."""
-    pairs = spatial_join(df, df, predicate, method, geom, geom, distance=distance, grid=grid)
+def self_join(df: DataFrame, id_col: str, predicate: str = "intersects", geom: str = "geom", method: str = "pbsm", distance: float | None = None, grid: Grid | None = None, keep_geometry: tuple[bool, bool] = (True, True), metrics: JoinMetrics | None = None) -> DataFrame:
+    """(l_id, r_id, ...): every unordered pair of different rows once, the smaller id on the left; ids are distinct. metrics count ordered pairs."""
+    pairs = spatial_join(df, df, predicate, method, geom, geom, distance=distance, grid=grid, keep_geometry=keep_geometry, metrics=metrics)
     if predicate in INVERSE:
         return pairs.where(F.col(f"l_{id_col}") != F.col(f"r_{id_col}"))
     return pairs.where(F.col(f"l_{id_col}") < F.col(f"r_{id_col}"))
@@ -261,6 +285,20 @@ def range_query(df: DataFrame, query, geom: str = "geom", simple: bool = False,
     return rough.where(unary(lambda x: G.intersects(x, query), BOOLEAN)(g))
 
 
+def plane_sweep(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
+    """Index pairs of boxes (xmin, ymin, xmax, ymax) of two arrays in memory that meet, by a sweep over x."""
+    order = {"a": np.argsort(a[:, 0], kind="stable"), "b": np.argsort(b[:, 0], kind="stable")}
+    out, i, j = [], 0, 0
+    while i < len(a) and j < len(b):
+        first_a = a[order["a"][i], 0] <= b[order["b"][j], 0]
+        box, rest, others = (a[order["a"][i]], order["b"][j:], b) if first_a else (b[order["b"][j]], order["a"][i:], a)
+        near = rest[: np.searchsorted(others[rest, 0], box[2], "right")]
+        near = near[(others[near, 1] <= box[3]) & (others[near, 3] >= box[1])]
+        out += [(int(order["a"][i]), int(k)) if first_a else (int(k), int(order["b"][j])) for k in near]
+        i, j = (i + 1, j) if first_a else (i, j + 1)
+    return out
+
+
 def _near(p: DataFrame, side: float) -> DataFrame:
     """Pairs of points(id, x, y) in the same or neighbouring square cells."""
     at = lambda c: F.floor(F.col(c) / side)

@@ -223,6 +223,69 @@ def rtree_cells(points: np.ndarray, n: int, linear: bool = False) -> Cells:
     return Cells([(i, *g.min(axis=0).tolist(), *g.max(axis=0).tolist()) for i, g in enumerate(groups) if len(g)], False)
 
 
+def quad_cells(points: np.ndarray, n: int) -> Cells:
+    """A quad tree over the points' bounds: always the cell with most points falls into four at its middle, while there are fewer than n."""
+    low, high = points.min(axis=0), points.max(axis=0)
+    nodes: list = [None]
+    leaves = [(len(points), 0, points, low, high)]
+    while len(leaves) + 3 <= max(n, 4):
+        leaves.sort(key=lambda x: x[0])
+        count, at, pts, lo, hi = leaves.pop()
+        if count < 2 or (lo >= hi).all() or len(np.unique(pts, axis=0)) < 2:
+            leaves.append((count, at, pts, lo, hi))
+            break
+        mid = (lo + hi) / 2
+        nodes[at] = (float(mid[0]), float(mid[1]), [len(nodes) + k for k in range(4)])
+        for k in range(4):
+            right, upper = k & 1, k >> 1
+            own = ((pts[:, 0] >= mid[0]) == bool(right)) & ((pts[:, 1] >= mid[1]) == bool(upper))
+            nodes.append(None)
+            leaves.append((int(own.sum()), len(nodes) - 1, pts[own], np.where([right, upper], mid, lo), np.where([right, upper], hi, mid)))
+    state = {"next": 0}
+
+    def build(at: int):
+        if nodes[at] is None:
+            state["next"] += 1
+            return state["next"] - 1
+        x, y, kids = nodes[at]
+        return (1, y, (0, x, build(kids[0]), build(kids[1])), (0, x, build(kids[2]), build(kids[3])))
+
+    return _of_tree(build(0))
+
+
+def rstar_cells(points: np.ndarray, n: int, revised: bool = False, fill: float = 0.4) -> Cells:
+    """Bounds of n groups from splits along the axis of least margins, where the two sides' boxes overlap least, then cover least.
+
+    revised: a split's cost is weighed by how far it is from even, so that even ones win among nearly equal ones.  Not disjoint.
+    """
+    groups = [points]
+    while len(groups) < n:
+        k = max(range(len(groups)), key=lambda i: len(groups[i]))
+        g = groups[k]
+        if len(np.unique(g, axis=0)) < 2:
+            break
+        best = None
+        for axis in (0, 1):
+            p = g[np.lexsort((g[:, 1 - axis], g[:, axis]))]
+            low, high = np.minimum.accumulate(p, axis=0), np.maximum.accumulate(p, axis=0)
+            low2, high2 = np.minimum.accumulate(p[::-1], axis=0)[::-1], np.maximum.accumulate(p[::-1], axis=0)[::-1]
+            least = max(1, int(fill * len(p)))
+            at = np.arange(least, max(least + 1, len(p) - least + 1))
+            at = at[at < len(p)]
+            a, b = high[at - 1] - low[at - 1], high2[at] - low2[at]
+            shared = np.maximum(0, np.minimum(high[at - 1], high2[at]) - np.maximum(low[at - 1], low2[at])).prod(axis=1)
+            cost = shared + 1e-9 * (a.prod(axis=1) + b.prod(axis=1))
+            if revised:
+                cost = (cost + 1e-9 * (a.sum(axis=1) + b.sum(axis=1))) * (1 + (2 * at / len(p) - 1) ** 2)
+            i = int(np.argmin(cost))
+            margin = float((a.sum(axis=1) + b.sum(axis=1)).sum())
+            if best is None or margin < best[0]:
+                best = (margin, p[: at[i]], p[at[i] :])
+        groups[k] = best[1]
+        groups.append(best[2])
+    return Cells([(i, *g.min(axis=0).tolist(), *g.max(axis=0).tolist()) for i, g in enumerate(groups) if len(g)], False)
+
+
 # --- curves -------------------------------------------------------------------------------------------
 
 CURVE_BITS = 16
@@ -285,7 +348,7 @@ def curve_cells(df: DataFrame, n: int, hilbert: bool, geom: str = "geom", sample
 
 # --- facade -------------------------------------------------------------------------------------------
 
-PARTITIONERS = ("grid", "kdtree", "str", "rsgrove", "rrsgrove", "rgrove", "rtreebb", "rstreebb", "rrstreebb", "zcurve", "hcurve")
+PARTITIONERS = ("grid", "kdtree", "str", "rsgrove", "rrsgrove", "rgrove", "rtreebb", "rstreebb", "rrstreebb", "zcurve", "hcurve", "quadtree")
 
 
 def make_cells(df: DataFrame, partitioner: str, n: int, geom: str = "geom", sample: int = SAMPLE, seed: int = 0) -> Cells:
@@ -309,7 +372,11 @@ def make_cells(df: DataFrame, partitioner: str, n: int, geom: str = "geom", samp
         return str_cells(points, n)
     if partitioner in ("rsgrove", "rrsgrove"):
         return grove_cells(points, n, by_area=partitioner == "rrsgrove")
-    return rtree_cells(points, n, linear=partitioner in ("rgrove", "rtreebb"))
+    if partitioner == "quadtree":
+        return quad_cells(points, n)
+    if partitioner in ("rstreebb", "rrstreebb"):
+        return rstar_cells(points, n, revised=partitioner == "rrstreebb")
+    return rtree_cells(points, n, linear=partitioner == "rtreebb")
 
 
 def given_cells(boxes: list[tuple[float, float, float, float]]) -> Cells:

@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
-from ..functions.geodesic import DEGREE_KM, MERCATOR_MAX_LAT, MERCATOR_RADIUS
+from ..functions.crs import transformer
+from ..functions.geodesic import DEGREE_KM
 from ..functions.st import FIELDS, GEOM, frame, geoms, st_difference, st_intersection, st_symdifference, st_union, unary
 from .join import self_join, spatial_join
 from .store import Folder
@@ -89,24 +88,18 @@ def overlay(left: DataFrame, right: DataFrame, left_id: str, right_id: str, how:
 # --- reprojection -------------------------------------------------------------------------------------
 
 
-def _to_mercator(c: np.ndarray) -> np.ndarray:
-    lat = np.clip(c[:, 1], -MERCATOR_MAX_LAT, MERCATOR_MAX_LAT)
-    return np.stack([np.radians(c[:, 0]) * MERCATOR_RADIUS, np.log(np.tan(math.pi / 4 + np.radians(lat) / 2)) * MERCATOR_RADIUS], axis=1)
-
-
-def _to_degrees(c: np.ndarray) -> np.ndarray:
-    return np.stack([np.degrees(c[:, 0] / MERCATOR_RADIUS), np.degrees(2 * np.arctan(np.exp(c[:, 1] / MERCATOR_RADIUS)) - math.pi / 2)], axis=1)
-
-
-_TRANSFORMS = {(4326, 3857): _to_mercator, (3857, 4326): _to_degrees}
+def reproject_geom(g: G.Geom, srid: int) -> G.Geom:
+    """The geometry in another system of the registry (functions/crs.py)."""
+    return g if g.srid == srid else G.transform(g, transformer(g.srid, srid), srid)
 
 
-def reproject_geom(g: G.Geom, srid: int) -> G.Geom:
-    if g.srid == srid:
-        return g
-    if (g.srid, srid) not in _TRANSFORMS:
-        raise ValueError(f"no transform from {g.srid} to {srid}; 4326 and 3857 are known")
-    return G.transform(g, _TRANSFORMS[g.srid, srid], srid)
+def reproject_bounds(bounds: tuple[float, float, float, float], source: int, target: int, steps: int = 16) -> tuple[float, float, float, float]:
+    """Bounds of the image of a box, whose sides may bend: points along them, not the corners alone."""
+    x1, y1, x2, y2 = bounds
+    t = np.linspace(0, 1, steps + 1)
+    sides = [(x1 + t * (x2 - x1), np.full_like(t, y)) for y in (y1, y2)] + [(np.full_like(t, x), y1 + t * (y2 - y1)) for x in (x1, x2)]
+    c = transformer(source, target)(np.concatenate([np.stack(s, axis=1) for s in sides]))
+    return (*c.min(axis=0).tolist(), *c.max(axis=0).tolist())
 
 
 def reproject(df: DataFrame, srid: int, geom: str = "geom") -> DataFrame:

@@ -13,8 +13,11 @@ from pyspark.sql import functions as F
 
 from .functions import geodesic, geometry as G
 from .functions import st
-from .operators import generators, join, partition, synopses, tiles, trajectory, vector
+from .operators import canvas, generators, join, partition, relational, synopses, tiles, trajectory, vector
+from .operators.store import Folder
 from .operators.synopses import Grid
+from .sources import binary, facade
+from .sources.text import st_asgeojson, st_fromgeojson
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -152,9 +155,48 @@ def _predicate_join(name: str) -> Callable:
 
 
 for _name, _sql in _PREDICATE_SQL.items():
+    if _name == "touches":
+        continue
     query(f"SELECT a.p_partkey AS l_id, b.p_partkey AS r_id FROM ({_BOXES}) a JOIN ({_BOXES}) b ON {_sql}")(_predicate_join(_name))
 
 
+def crowded(spark: SparkSession, d: str) -> DataFrame:
+    """Part boxes on a small grid, where many touch."""
+    x1, y1 = F.expr("(p_partkey * 7919) % 150"), F.expr("(p_partkey * 104729) % 150")
+    return _read(spark, d, "part").select("p_partkey", st.st_makebox(x1, y1, x1 + F.expr("p_partkey % 3 + 1"), y1 + F.expr("p_partkey % 2 + 1")).alias("geom"))
+
+
+_CROWDED = "SELECT p_partkey, (p_partkey * 7919) % 150 AS x1, (p_partkey * 104729) % 150 AS y1, (p_partkey * 7919) % 150 + p_partkey % 3 + 1 AS x2, (p_partkey * 104729) % 150 + p_partkey % 2 + 1 AS y2 FROM part"
+
+
+@query(f"SELECT a.p_partkey AS l_id, b.p_partkey AS r_id FROM ({_CROWDED}) a JOIN ({_CROWDED}) b ON {_PREDICATE_SQL['touches']}")
+def join_touches(spark, d):
+    pairs = join.spatial_join(crowded(spark, d), crowded(spark, d), "touches", "pbsm")
+    return pairs.select(F.col("l_p_partkey").alias("l_id"), F.col("r_p_partkey").alias("r_id"))
+
+
+def streets(spark: SparkSession, d: str) -> DataFrame:
+    """Level lines from the suppliers, half a unit above whole numbers."""
+    t = _read(spark, d, "supplier").selectExpr("s_suppkey", "double((s_suppkey * 613) % 900) AS x", "(s_suppkey * 389) % 1000 + 0.5D AS y", "double(s_suppkey % 60 + 5) AS w")
+    return t.select("s_suppkey", st.st_createline(F.array("x", "y", F.col("x") + F.col("w"), "y")).alias("geom"))
+
+
+_STREETS = "SELECT s_suppkey, (s_suppkey * 613) % 900 AS x1, (s_suppkey * 389) % 1000 + 0.5 AS y, (s_suppkey * 613) % 900 + s_suppkey % 60 + 5 AS x2 FROM supplier"
+
+
+@query(f"SELECT s_suppkey, p_partkey FROM ({_STREETS}) s JOIN ({_BOXES}) b ON s.y > b.y1 AND s.y < b.y2 AND s.x1 < b.x2 AND s.x2 > b.x1 AND (s.x1 < b.x1 OR s.x2 > b.x2)")
+def join_crosses(spark, d):
+    return join.spatial_join(streets(spark, d), boxes(spark, d), "crosses", "broadcast").select("s_suppkey", "p_partkey")
+
+
+@query(f"SELECT a.p_partkey AS l_id, b.p_partkey AS r_id FROM ({_CROWDED}) a JOIN ({_CROWDED}) b ON a.p_partkey < b.p_partkey AND {_PREDICATE_SQL['equals']}")
+def join_orderingequals(spark, d):
+    return join.self_join(crowded(spark, d), "p_partkey", "orderingequals").select(F.col("l_p_partkey").alias("l_id"), F.col("r_p_partkey").alias("r_id"))
+
+
+query(_ZONE_JOIN)(_zone_join("inlj"))
+
+
 @query(f"SELECT a.s_suppkey AS l_id, count(*) AS n FROM ({_ZONES}) a JOIN ({_ZONES}) b ON NOT ({_MEET}) GROUP BY a.s_suppkey")
 def join_disjoint(spark, d):
     pairs = join.spatial_join(zones(spark, d), zones(spark, d), "disjoint")
@@ -202,7 +244,16 @@ def multi_way_join(spark, d):
 )
 def closest_pairs(spark, d):
     p = places(spark, d).select("c_custkey", st.st_xmin("geom").alias("x"), st.st_ymin("geom").alias("y"))
-    return join.closest_pairs(p, "c_custkey", "x", "y", 64.0)
+    return join.closest_pairs(p, "c_custkey", "x", "y")
+
+
+@query(
+    f"""SELECT s_suppkey AS left_id, c_custkey AS right_id, sqrt((x - sx) * (x - sx) + (y - sy) * (y - sy))::DOUBLE AS distance, CAST(row_number() OVER (PARTITION BY s_suppkey ORDER BY (x - sx) * (x - sx) + (y - sy) * (y - sy), c_custkey) AS INTEGER) AS rank
+    FROM ({_PLACES}) p CROSS JOIN (SELECT s_suppkey, (s_suppkey * 613) % 1200 - 100 AS sx, (s_suppkey * 389) % 1200 - 100 AS sy FROM supplier) s QUALIFY rank <= 5"""
+)
+def nearest_places(spark, d):
+    s = _read(spark, d, "supplier").select("s_suppkey", st.st_point(F.expr("(s_suppkey * 613) % 1200 - 100"), F.expr("(s_suppkey * 389) % 1200 - 100")).alias("geom"))
+    return join.knn_join(s, places(spark, d), 5, "s_suppkey", "c_custkey")
 
 
 # --- synopses -----------------------------------------------------------------------------------------
@@ -288,27 +339,53 @@ def point_sample(spark, d):
 # --- partitioners -------------------------------------------------------------------------------------
 
 
-@query(f"SELECT CAST(least(floor(cx * 8 / 1014.0), 7) + 8 * least(floor(cy * 8 / 1006.0), 7) AS INTEGER) AS cell_id, count(*) AS n FROM ({_CENTRES}) WHERE x2 <= 1014 AND y2 <= 1006 GROUP BY 1")
+@query(f"SELECT CAST(floor(cx * 8 / 1024) + 8 * floor(cy * 8 / 1024) AS INTEGER) AS cell_id, count(*) AS n FROM ({_CENTRES}) GROUP BY 1")
 def grid_partition(spark, d):
-    inside = boxes(spark, d).where("geom.xmax <= 1014 and geom.ymax <= 1006")
-    cells = partition.grid_cells(Grid(0.0, 0.0, 1014.0, 1006.0, 8, 8))
-    return partition.spatial_partition(inside, cells, replicate=False).groupBy("cell_id").agg(F.count("*").alias("n"))
+    cells = partition.grid_cells(Grid(0.0, 0.0, 1024.0, 1024.0, 8, 8))
+    return partition.spatial_partition(boxes(spark, d), cells, replicate=False).groupBy("cell_id").agg(F.count("*").alias("n"))
+
+
+@query(
+    f"""SELECT CAST(c + 8 * r AS INTEGER) AS cell_id, count(*) AS n, CAST(sum(p_partkey) AS BIGINT) AS parts FROM (SELECT *, unnest(range(CAST(floor(y1 / 128) AS BIGINT), CAST(floor(y2 / 128) AS BIGINT) + 1)) AS r
+    FROM (SELECT *, unnest(range(CAST(floor(x1 / 128) AS BIGINT), CAST(floor(x2 / 128) AS BIGINT) + 1)) AS c FROM ({_BOXES}))) GROUP BY 1"""
+)
+def grid_copies(spark, d):
+    """Every record in every cell that it meets; cells hold their lower borders."""
+    cells = partition.grid_cells(Grid(0.0, 0.0, 1024.0, 1024.0, 8, 8))
+    return partition.spatial_partition(boxes(spark, d), cells).groupBy("cell_id").agg(F.count("*").alias("n"), F.sum("p_partkey").alias("parts"))
+
+
+@query(f"SELECT p_partkey, x1::DOUBLE AS xmin, y2::DOUBLE AS ymax FROM ({_BOXES}) WHERE x1 <= 420 AND x2 >= 300 AND y1 <= 260 AND y2 >= 100")
+def index_scan(spark, d):
+    """A part of a written index: cells by the manifest, rows by their bounds, copies dropped."""
+    df = boxes(spark, d)
+    cells, path = partition.make_cells(df, "kdtree", 12), Folder(df, "index").path
+    partition.write_index(df, path, cells, simple=True)
+    found = partition.read_index(spark, path, (300.0, 100.0, 420.0, 260.0), cells)
+    return found.select("p_partkey", st.st_xmin("geom").alias("xmin"), st.st_ymax("geom").alias("ymax"))
 
 
 def _partitioned(name: str) -> Callable:
+    """Rows, the sum of their keys, the rows whose own cell holds their smaller corner (or centre), and whether no cell is over-full."""
+
     def run(spark, d):
         df = boxes(spark, d)
         cells = partition.make_cells(df, name, 16)
         placed = partition.spatial_partition(df, cells)
         placed = partition.without_copies(placed, cells) if cells.disjoint else placed
-        return placed.agg(F.count("*").alias("n"), F.countDistinct("p_partkey").alias("parts"), (F.countDistinct("cell_id") > 1).alias("several"))
+        bounds = spark.createDataFrame(cells.bounds, "cell_id int, x1 double, y1 double, x2 double, y2 double")
+        x, y = (F.col("geom.xmin"), F.col("geom.ymin")) if cells.disjoint else ((F.col("geom.xmin") + F.col("geom.xmax")) / 2, (F.col("geom.ymin") + F.col("geom.ymax")) / 2)
+        grown = 0.0 if cells.disjoint else 1100.0 if cells.curve is None else 0.0
+        inside = (x >= F.col("x1") - grown) & (x <= F.col("x2") + grown) & (y >= F.col("y1") - grown) & (y <= F.col("y2") + grown)
+        loads = placed.join(F.broadcast(bounds), "cell_id").groupBy("cell_id").agg(F.count("*").alias("n"), F.sum("p_partkey").alias("parts"), F.sum(inside.cast("long")).alias("inside"))  # 16 cells
+        return loads.agg(F.sum("n").alias("n"), F.sum("parts").alias("parts"), F.sum("inside").alias("inside"), (F.max("n") * 4 < F.sum("n") * 3).alias("balanced"))
 
     run.__name__ = f"partition_{name}"
     return run
 
 
 for _name in partition.PARTITIONERS:
-    query("SELECT count(*) AS n, count(DISTINCT p_partkey) AS parts, true AS several FROM part")(_partitioned(_name))
+    query("SELECT count(*) AS n, CAST(sum(p_partkey) AS BIGINT) AS parts, count(*) AS inside, true AS balanced FROM part")(_partitioned(_name))
 
 _SPREAD = " | ".join(f"(((v >> {b}) & 1) << {2 * b})" for b in range(10))
 
@@ -318,7 +395,19 @@ def z_curve(spark, d):
     return places(spark, d).select("c_custkey", partition.z_key(F.col("geom.xmin").cast("long"), F.col("geom.ymin").cast("long")).alias("z"))
 
 
-@query()
+def _hilbert_sql(bits: int) -> str:
+    """One level of the curve a subquery, from the highest bit."""
+    q = f"SELECT c_custkey, CAST(x AS BIGINT) AS x, CAST(y AS BIGINT) AS y, 0::BIGINT AS h FROM ({_PLACES})"
+    for b in range(bits - 1, -1, -1):
+        side = 1 << b
+        q = f"SELECT *, CASE WHEN x & {side} > 0 THEN 1 ELSE 0 END AS rx, CASE WHEN y & {side} > 0 THEN 1 ELSE 0 END AS ry FROM ({q})"
+        flip = lambda v: f"CASE WHEN ry = 0 AND rx = 1 THEN {side - 1} - ({v} & {side - 1}) ELSE {v} & {side - 1} END"  # noqa: E731, B023
+        q = f"SELECT c_custkey, h + {side * side}::BIGINT * xor(3 * rx, ry) AS h, ry, {flip('x')} AS u, {flip('y')} AS v FROM ({q})"
+        q = f"SELECT c_custkey, h, CASE WHEN ry = 0 THEN v ELSE u END AS x, CASE WHEN ry = 0 THEN u ELSE v END AS y FROM ({q})"
+    return f"SELECT c_custkey, h FROM ({q})"
+
+
+@query(_hilbert_sql(10))
 def hilbert_curve(spark, d):
     return places(spark, d).select("c_custkey", partition.hilbert_key(F.col("geom.xmin").cast("long"), F.col("geom.ymin").cast("long"), 10).alias("h"))
 
@@ -371,7 +460,11 @@ def dissolve_groups(spark, d):
     return vector.dissolve(_clustered(spark, d), "id").select("component", "members")
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE b AS ({_CLUSTERED}), e AS (SELECT a.id AS u, b.id AS v FROM b a JOIN b ON {_MEET}),
+    r AS (SELECT u, v FROM e UNION SELECT r.u, e.v FROM r JOIN e ON r.v = e.u), c AS (SELECT u, min(v) AS component FROM r GROUP BY u)
+    SELECT component, count(DISTINCT 10000 * cx + cy)::DOUBLE AS area FROM (SELECT component, cx, unnest(range(y1, y2)) AS cy FROM (SELECT component, y1, y2, unnest(range(x1, x2)) AS cx FROM b JOIN c ON b.id = c.u)) GROUP BY component"""
+)
 def dissolve_area(spark, d):
     return vector.dissolve(_clustered(spark, d), "id").select("component", F.round(st.st_area("geom"), 6).alias("area"))
 
@@ -466,17 +559,28 @@ def vector_tiles(spark, d):
 # --- generators and formats ---------------------------------------------------------------------------
 
 
+#: Mean and spread of x over the unit square, and the tolerance of 5,000 draws; parcels fill it evenly.
+_MOMENTS = {"uniform": (0.5, 0.2887), "diagonal": (0.5, 0.288), "gaussian": (0.5, 0.1), "bit": (0.2, 0.231), "sierpinski": (0.5, 0.236), "parcel": (0.5, None)}
+
+
 def _generated(name: str) -> Callable:
+    """Distinct ids, and whether the first two moments of the centres are those of the distribution, the same from any partitioning."""
+
     def run(spark, d):
         g = generators.generate(spark, name, 5000, 42, shape="box")
-        return g.agg(F.count("*").alias("n"), F.countDistinct("id").alias("ids"))
+        x = (F.col("geom.xmin") + F.col("geom.xmax")) / 2
+        mean, spread = _MOMENTS[name]
+        near = lambda c, v: F.lit(True) if v is None else F.abs(c - v) < 0.02
+        apart = g.repartition(7).agg(F.sum(F.round(x * 1e6).cast("long"))).first()[0]
+        same = F.sum(F.round(x * 1e6).cast("long")) == F.lit(apart)
+        return g.agg(F.count("*").alias("n"), F.countDistinct("id").alias("ids"), near(F.avg(x), mean).alias("mean"), near(F.stddev(x), spread).alias("spread"), (F.countDistinct(x) > 100).alias("varied"), same.alias("stable"))
 
     run.__name__ = f"generate_{name}"
     return run
 
 
 for _name in generators.DISTRIBUTIONS:
-    query("SELECT 5000::BIGINT AS n, 5000::BIGINT AS ids")(_generated(_name))
+    query("SELECT 5000::BIGINT AS n, 5000::BIGINT AS ids, true AS mean, true AS spread, true AS varied, true AS stable")(_generated(_name))
 
 
 @query(f"SELECT p_partkey, 'POLYGON ((' || x1 || ' ' || y1 || ', ' || x2 || ' ' || y1 || ', ' || x2 || ' ' || y2 || ', ' || x1 || ' ' || y2 || ', ' || x1 || ' ' || y1 || '))' AS wkt FROM ({_BOXES})")
@@ -489,3 +593,200 @@ def wkt_codec(spark, d):
 def spatial_parquet_codec(spark, d):
     g = boxes(spark, d).select("p_partkey", st.st_fromspatialparquet(st.st_tospatialparquet(F.col("geom"))).alias("geom"))
     return g.select("p_partkey", st.st_xmin("geom").alias("xmin"), st.st_ymax("geom").alias("ymax"))
+
+
+_BOUNDS = f"SELECT p_partkey, x1::DOUBLE AS xmin, y1::DOUBLE AS ymin, x2::DOUBLE AS xmax, y2::DOUBLE AS ymax FROM ({_BOXES})"
+
+
+def _bounds(df: DataFrame) -> DataFrame:
+    return df.select(F.col("p_partkey").cast("long").alias("p_partkey"), *[F.col(f"geom.{c}").alias(c) for c in ("xmin", "ymin", "xmax", "ymax")])
+
+
+def _round_trip(name: str, write: dict, read: dict, format: str) -> Callable:  # noqa: A002
+    """Boxes written in a format and read back."""
+
+    def run(spark, d):
+        df = boxes(spark, d)
+        path = Folder(df, f"sink-{name}").path
+        facade.write_spatial(df, path, format, **write)
+        back = facade.read_spatial(spark, path, **({"format": format} | read))
+        return _bounds(back.withColumnRenamed("_c4", "p_partkey").withColumnRenamed("_c1", "p_partkey"))
+
+    run.__name__ = f"round_trip_{name}"
+    return run
+
+
+for _name, _write, _readback, _format in (
+    ("csv_envelope", {"encoder": "envelope", "separator": ","}, {"spec": "envelope(0,1,2,3)"}, "csv"), ("csv_wkt", {"encoder": "wkt"}, {"spec": "wkt(0)", "separator": "\t"}, "csv"),
+    ("json_wkt", {}, {}, "jsonwkt"), ("geojson", {}, {"properties": "p_partkey long"}, "geojson"), ("geoparquet", {}, {}, "geoparquet"), ("spatialparquet", {}, {}, "spatialparquet"),
+):
+    query(_BOUNDS)(_round_trip(_name, _write, _readback, _format))
+
+
+@query(f"SELECT c_custkey, x::DOUBLE AS x, y::DOUBLE AS y FROM ({_PLACES})")
+def round_trip_csv_points(spark, d):
+    """Points with a header, whose columns the reader finds by itself."""
+    df = places(spark, d)
+    path = Folder(df, "sink-points").path
+    facade.write_spatial(df, path, "csv", encoder="point", separator=",", header=True)
+    back = facade.read_spatial(spark, path)
+    return back.select(F.col("c_custkey").cast("long").alias("c_custkey"), st.st_xmin("geom").alias("x"), st.st_ymin("geom").alias("y"))
+
+
+@query(_BOUNDS)
+def round_trip_shapefile(spark, d):
+    """Zipped shapefiles, one for every partition, read back."""
+    from pyspark.sql import types as T
+
+    schema = T.StructType([T.StructField("p_partkey", T.LongType())])
+    return _bounds(binary.read_shapefile_parts(binary.shapefile_parts(boxes(spark, d)), schema))
+
+
+@query(f"SELECT p_partkey, x1::DOUBLE AS xmin, y2::DOUBLE AS ymax FROM ({_BOXES})")
+def geojson_codec(spark, d):
+    g = boxes(spark, d).select("p_partkey", st_fromgeojson(st_asgeojson(F.col("geom"))).alias("geom"))
+    return g.select("p_partkey", st.st_xmin("geom").alias("xmin"), st.st_ymax("geom").alias("ymax"))
+
+
+# --- functions ----------------------------------------------------------------------------------------
+
+
+@query(f"SELECT p_partkey, CAST((x2 - x1) * (y2 - y1) AS DOUBLE) AS hull, CAST(2 * (x2 - x1 + y2 - y1) AS DOUBLE) AS border, 'LINESTRING' AS border_kind, true AS rectangle, true AS valid, 1 AS parts, 2 AS dimension, 4326 AS srid, CAST((x2 - x1) * (y2 - y1) AS DOUBLE) AS reversed, CAST((x2 - x1) * (y2 - y1) AS DOUBLE) AS normed FROM ({_BOXES})")
+def shape_functions(spark, d):
+    g = boxes(spark, d).select("p_partkey", st.st_fromwkb(st.st_towkb(F.col("geom"))).alias("geom"))
+    b = st.st_boundary("geom")
+    return g.select(
+        "p_partkey", st.st_area(st.st_convexhull("geom")).alias("hull"), st.st_length(b).alias("border"), st.st_geometrytype(b).alias("border_kind"), st.st_isrectangle("geom").alias("rectangle"), st.st_isvalid("geom").alias("valid"),
+        st.st_numgeometries("geom").alias("parts"), st.st_dimension("geom").alias("dimension"), st.st_srid("geom").alias("srid"), st.st_area(st.st_reverse("geom")).alias("reversed"), st.st_area(st.st_norm("geom")).alias("normed"),
+    )
+
+
+_PAIR = "SELECT s_suppkey, s_suppkey % 7 + 2 AS w, s_suppkey % 5 + 2 AS h, s_suppkey % 3 + 1 AS dx, s_suppkey % 2 + 1 AS dy FROM supplier"
+_SHARED = "greatest(0, w - dx) * greatest(0, h - dy)"
+
+
+@query(f"SELECT s_suppkey, ({_SHARED})::DOUBLE AS shared, (2 * w * h - {_SHARED})::DOUBLE AS joined, (w * h - {_SHARED})::DOUBLE AS rest, (2 * (w * h - {_SHARED}))::DOUBLE AS odd FROM ({_PAIR})")
+def set_functions(spark, d):
+    """A box and the same one moved, as general polygons."""
+    t = _read(spark, d, "supplier").selectExpr("s_suppkey", "s_suppkey % 7 + 2 AS w", "s_suppkey % 5 + 2 AS h", "s_suppkey % 3 + 1 AS dx", "s_suppkey % 2 + 1 AS dy")
+    ring = lambda x, y: F.array(*[c.cast("double") for c in (x, y, x + F.col("w"), y, x + F.col("w"), y + F.col("h"), x, y + F.col("h"), x, y)])
+    g = t.select("s_suppkey", st.st_createpolygon(ring(F.lit(0), F.lit(0))).alias("a"), st.st_createpolygon(ring(F.col("dx"), F.col("dy"))).alias("b"))
+    size = lambda f, name: F.round(F.coalesce(st.st_area(f("a", "b")), F.lit(0.0)), 6).alias(name)
+    return g.select("s_suppkey", size(st.st_intersection, "shared"), size(lambda x, y: st.st_union(F.col(x), F.col(y)), "joined"), size(lambda x, y: st.st_difference(F.col(x), F.col(y)), "rest"), size(lambda x, y: st.st_symdifference(F.col(x), F.col(y)), "odd"))
+
+
+@query(f"SELECT s_suppkey, CAST(x2 - x1 AS DOUBLE) AS length, 2 AS points, 1::BIGINT AS pieces, 1 AS dimension, 0 AS border_dimension FROM ({_STREETS})")
+def line_functions(spark, d):
+    g = streets(spark, d)
+    return g.select("s_suppkey", st.st_length("geom").alias("length"), st.st_numpoints("geom").alias("points"), F.size(st.st_breakline(F.col("geom"))).cast("long").alias("pieces"), st.st_dimension("geom").alias("dimension"), st.st_boundarydimension("geom").alias("border_dimension"))
+
+
+_SPOTS = "SELECT c_custkey, c_acctbal / 100.0 AS lng, CAST(c_nationkey * 3 - 30 AS DOUBLE) AS lat FROM customer"
+_ANGLE = "2 * asin(least(1.0, sqrt(power(sin((radians(20.0) - radians(lat)) / 2), 2) + cos(radians(lat)) * cos(radians(20.0)) * power(sin((radians(10.0) - radians(lng)) / 2), 2))))"
+
+
+@query(
+    f"""SELECT c_custkey, round({_ANGLE} * 6371.0087714, 5) AS km, round({_ANGLE} * 6371008.7714, 2) AS m, round(lng * 6371.0087714 * pi() / 180, 6) AS wide, round(lat / (6371.0087714 * pi() / 180), 9) AS narrow,
+    round(degrees(asin(sin(radians(lat)) * cos(100 / 6371.0087714) + cos(radians(lat)) * sin(100 / 6371.0087714) * cos(radians(30.0)))), 7) AS north, round(sqrt((lng - 10) * (lng - 10) + (lat - 20) * (lat - 20)), 6) AS planar FROM ({_SPOTS})"""
+)
+def geodesic_functions(spark, d):
+    t = _read(spark, d, "customer").selectExpr("c_custkey", "c_acctbal / 100.0D AS lng", "double(c_nationkey * 3 - 30) AS lat")
+    away = geodesic.point_on_bearing("lng", "lat", 30.0, 100.0)
+    return t.select(
+        "c_custkey", F.round(geodesic.haversine_km("lng", "lat", 10.0, 20.0), 5).alias("km"), F.round(geodesic.distance_in("m", "lng", "lat", 10.0, 20.0), 2).alias("m"), F.round(geodesic.degree_to_km("lng"), 6).alias("wide"),
+        F.round(geodesic.km_to_degree("lat"), 9).alias("narrow"), F.round(away["lat"], 7).alias("north"), F.round(geodesic.planar_distance("lng", "lat", 10.0, 20.0), 6).alias("planar"),
+    )
+
+
+@query(f"SELECT c_custkey, abs((300 * (y - 0) - 200 * (x - 0)))::DOUBLE / 2 AS area, CAST(sign(300 * y - 200 * x) AS INTEGER) AS side, 300 * y = 200 * x AND x BETWEEN 0 AND 300 AND y BETWEEN 0 AND 200 AS touching FROM ({_PLACES})")
+def planar_functions(spark, d):
+    p = places(spark, d).select("c_custkey", st.st_xmin("geom").alias("x"), st.st_ymin("geom").alias("y"))
+    line = (0.0, 0.0, 300.0, 200.0, "x", "y")
+    return p.select("c_custkey", geodesic.triangle_area(*line).alias("area"), geodesic.side_of_line(*line).alias("side"), geodesic.on_segment(*line).alias("touching"))
+
+
+@query("SELECT o_orderkey, strftime(o_orderdate, '%d/%m/%Y %H:%M') AS shown, o_orderdate = o_orderdate AS back FROM orders")
+def date_functions(spark, d):
+    from .functions import dates
+
+    t = _read(spark, d, "orders")
+    shown = dates.format_time("o_orderdate", "dd/MM/yyyy HH:mm")
+    return t.select("o_orderkey", shown.alias("shown"), (dates.parse_time(dates.format_time("o_orderdate", "yyyy-MM-dd HH:mm:ss")) == F.date_trunc("second", "o_orderdate")).alias("back"))
+
+
+@query("SELECT s_suppkey, true AS utm, true AS ellipsoid, true AS web FROM supplier")
+def crs_round_trips(spark, d):
+    """Longitude and latitude through other systems and back, to a millionth of a degree; the true place of a UTM zone's middle line."""
+    t = _read(spark, d, "supplier").select("s_suppkey", st.st_point(F.expr("double(s_suppkey % 5) + 7"), F.expr("double(s_suppkey % 120) - 60")).alias("geom"))
+
+    def near(srid: int):
+        back = vector.reproject(vector.reproject(t, srid), 4326).select("s_suppkey", F.col("geom").alias("back"))
+        return t.join(back, "s_suppkey").select("s_suppkey", ((F.abs(F.col("geom.xmin") - F.col("back.xmin")) < 1e-6) & (F.abs(F.col("geom.ymin") - F.col("back.ymin")) < 1e-6)).alias(str(srid)))
+
+    out = near(32632).join(near(3395), "s_suppkey").join(near(3857), "s_suppkey")
+    return out.toDF("s_suppkey", "utm", "ellipsoid", "web")
+
+
+@query(
+    f"""SELECT px, py, count(*) AS count FROM (SELECT px, unnest(range(CAST(ceil((1024 - y2) / 8.0 - 0.5) AS BIGINT), CAST(ceil((1024 - y1) / 8.0 - 0.5) AS BIGINT))) AS py FROM (
+    SELECT *, unnest(range(CAST(ceil(x1 / 8.0 - 0.5) AS BIGINT), CAST(ceil(x2 / 8.0 - 0.5) AS BIGINT))) AS px FROM ({_BOXES}))) GROUP BY px, py"""
+)
+def drawn_boxes(spark, d):
+    """Pixels whose centres lie in boxes; the picture's y runs downwards, so a centre on an upper edge counts."""
+    return canvas.covered_pixels(boxes(spark, d), AREA, 128, 128)
+
+
+# --- relational ---------------------------------------------------------------------------------------
+
+
+@query(f"SELECT col, item, rank FROM (SELECT col, item, CAST(row_number() OVER (PARTITION BY col ORDER BY y DESC, item) AS INTEGER) AS rank FROM (SELECT *, CAST(floor(x * 64 / 110000.0) AS BIGINT) AS col FROM ({_ITEMS}))) WHERE rank <= 3")
+def top_items_of_columns(spark, d):
+    t = items(spark, d).select(ITEM_GRID.column(F.col("geom.xmin")).alias("col"), "item", F.col("geom.ymin").alias("y"))
+    return relational.top_by_group(t, ["col"], [F.desc("y"), F.col("item")], 3).select("col", "item", "rank")
+
+
+def _totals(how: str) -> Callable:
+    def run(spark, d):
+        t = _read(spark, d, "lineitem").select("l_returnflag", "l_linestatus", F.floor(F.col("l_quantity") / 10).alias("band"), "l_quantity")
+        return relational.grouped_totals(t, ["l_returnflag", "l_linestatus", "band"], how, F.count("*").alias("n"), F.sum("l_quantity").alias("quantity"), F.countDistinct("l_quantity").alias("kinds"))
+
+    run.__name__ = f"totals_{how}"
+    return run
+
+
+for _how in ("rollup", "cube"):
+    query(f"SELECT l_returnflag, l_linestatus, band, count(*) AS n, sum(l_quantity) AS quantity, count(DISTINCT l_quantity) AS kinds FROM (SELECT *, CAST(floor(l_quantity / 10) AS BIGINT) AS band FROM lineitem) GROUP BY {_how.upper()} (l_returnflag, l_linestatus, band)")(_totals(_how))
+
+
+@query(
+    """WITH e AS (SELECT *, event_id % 3 = 0 AS asked FROM events)
+    SELECT l.event_id, (SELECT r.event_id FROM e r WHERE NOT r.asked AND r.user_id = l.user_id AND r.ts <= l.ts ORDER BY r.ts DESC, r.event_id DESC LIMIT 1) AS r_event_id FROM e l WHERE l.asked"""
+)
+def asof_events(spark, d):
+    e = _read(spark, d, "events").select("event_id", "user_id", "ts")
+    found = relational.asof_join(e.where("event_id % 3 = 0"), e.where("event_id % 3 != 0"), "user_id", "ts", "event_id")
+    return found.select("event_id", "r_event_id")
+
+
+@query(
+    """WITH g AS (SELECT *, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER w) <= 21600000000 THEN 0 ELSE 1 END AS opens FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+    s AS (SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY ts RANGE UNBOUNDED PRECEDING) AS session FROM g) SELECT user_id, min(ts) AS start, count(*) AS n FROM s GROUP BY user_id, session"""
+)
+def event_sessions(spark, d):
+    return relational.sessions(_read(spark, d, "events"), "user_id", "ts", "6 hours", F.count("*").alias("n")).select("user_id", "start", "n")
+
+
+_CELLS_OF = "SELECT DISTINCT CAST(floor(x * 64 / 110000.0) AS BIGINT) AS col, CAST(floor(y * 32 / 64.0) AS BIGINT) AS row FROM"
+
+
+def _cell_sets(how: str) -> Callable:
+    def run(spark, d):
+        of = lambda df: df.select(ITEM_GRID.column(F.col("geom.xmin")).alias("col"), ITEM_GRID.row(F.col("geom.ymin")).alias("row"))
+        return getattr(of(items(spark, d)), how)(of(zones(spark, d))).distinct()
+
+    run.__name__ = f"cells_{how}"
+    return run
+
+
+for _how, _set in (("intersect", "INTERSECT"), ("subtract", "EXCEPT"), ("union", "UNION")):
+    query(f"{_CELLS_OF} ({_ITEMS}) {_set} {_CELLS_OF} (SELECT x1 AS x, y1 AS y FROM ({_ZONES}))")(_cell_sets(_how))
