@@ -89,3 +89,18 @@ def test_queries_run_from_another_folder(tmp_path):
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
     assert "ROWS 200 200" in out.stdout, out.stderr[-2000:]
+
+
+@pytest.mark.parametrize("name", sorted(Q.ORACLE_SQL))
+def test_sql_gives_the_same(spark, tiny, name):
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("documents", "conversations"):
+        con.execute(f"create view {t} as select * from '{tiny}/{t}.parquet'")
+    df = Q.QUERIES[name](spark, tiny)
+    found = con.execute(Q.ORACLE_SQL[name])
+    names = [d[0] for d in found.description]
+    assert sorted(names) == sorted(df.columns)
+    flat = lambda rows: sorted((tuple(round(v, 5) if isinstance(v, float) else tuple(v) if isinstance(v, list) else v for v in r) for r in rows), key=str)
+    assert flat(df.select(*names).collect()) == flat(found.fetchall())
