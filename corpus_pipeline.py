@@ -11,22 +11,29 @@ from pyspark.sql import functions as F
 
 from cartospark.llm.decontaminate import decontaminate
 from cartospark.llm.jaccard_join import drop_near_copies
-from cartospark.llm.quality_classifier import GOOD, GOOD_PROB, LEVELS, grade, label_grades, train
-from cartospark.llm.quality_rules import quality_rules
+from cartospark.llm.quality_classifier import GOOD, GOOD_PROB, GRADE_FIELDS, LEVELS, grade, label_grades, train
+from cartospark.llm.quality_rules import FIELDS, quality_rules
 from cartospark.llm.queries import segmentation_digest
-from cartospark.llm.store import Scratch
+from cartospark.llm.store import Scratch, free_names
 from cartospark.plans.ship import shipped
 
 
+def _kept(docs: DataFrame, judge, fields: list) -> DataFrame:
+    """The rows that judge(docs, prefix=...) keeps, its columns under a prefix that no column of docs has."""
+    names = free_names(docs.columns, *[f.name for f in fields])
+    prefix = names[0][: -len(fields[0].name)]
+    return judge(docs, prefix=prefix).where(f"`{prefix}kept`").select(*[f"`{c}`" for c in docs.columns])
+
+
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are probably good, by a model fitted on the rated ones among them."""
     weights, thresholds = train(docs, label_grades(spark.read.parquet(f"{sf_dir}/labels.parquet")), LEVELS)
-    return grade(docs, weights, thresholds, GOOD, GOOD_PROB, prefix="__").where("__kept").select(docs.columns)
+    return _kept(docs, lambda d, prefix: grade(d, weights, thresholds, GOOD, GOOD_PROB, prefix=prefix), GRADE_FIELDS)
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the counts and lie within the compression bands."""
-    return quality_rules(docs, prefix="__").where("__kept").select(docs.columns)
+    return _kept(docs, quality_rules, FIELDS)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,7 +48,7 @@ def benchmark_overlaps(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def segmentations(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sampled segmentations of every document left. Workers still hold memory of earlier stages, so tasks remember less."""
-    return segmentation_digest(docs, lattice_nodes=800_000)
+    return segmentation_digest(docs, lattice_nodes=300_000)
 
 
 STAGES = [
@@ -58,4 +65,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES[:-1]):
         docs = scratch.keep(stage(spark, docs, sf_dir), str(k))
+        scratch.drop(str(k - 1))
     return STAGES[-1][1](spark, docs, sf_dir)
