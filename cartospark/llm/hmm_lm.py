@@ -36,7 +36,7 @@ STATES = 8
 ROUNDS = 4
 CLASSES = 1 << 15
 BLOCK_WORDS = 1 << 21
-PIECE = 512
+PIECE = 2048  # tokens
 SMOOTH = 0.1
 FAN_IN = 64
 _SLICES = 16

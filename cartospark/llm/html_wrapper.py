@@ -159,13 +159,16 @@ def parse(html: str) -> Node:
     last, ends = html.rfind(">"), None
     places: dict[str, list[int]] = {}  # of open elements in the stack, by tag
 
-    def close(tags, borders=()) -> None:
+    def cut(k: int) -> None:
+        for node in stack[k:]:
+            places[node.tag].pop()
+        del stack[k:]
+
+    def close(tags, borders) -> None:
         """Closes the innermost open element of the tags, unless a border is open within it."""
-        deepest = lambda names: max((places[t][-1] for t in names if places.get(t)), default=0)
-        if (k := deepest(tags)) > deepest(borders):
-            for node in stack[k:]:
-                places[node.tag].pop()
-            del stack[k:]
+        k = max((places[t][-1] for t in tags if places.get(t)), default=0)
+        if k and k > max((places[t][-1] for t in borders if places.get(t)), default=0):
+            cut(k)
 
     def text(to: int) -> None:
         if to > begin:
@@ -198,11 +201,12 @@ def parse(html: str) -> Node:
         begin = at = end
         tag = tag.lower()
         if closing:
-            close((tag,))
+            if held := places.get(tag):
+                cut(held[-1])
             continue
-        if tag in CLOSES_P:
+        if tag in CLOSES_P and places.get("p"):
             close(("p",), ("td", "th", "button", "caption", "object", "table"))
-        elif tag in CLOSES:
+        if tag in CLOSES:
             close(*CLOSES[tag])
         node = Node(tag, attributes, len(stack))
         stack[-1].parts.append(node)
