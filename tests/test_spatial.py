@@ -278,3 +278,100 @@ def test_dates(spark):
 
     r = spark.range(1).select(dates.parse_time(F.lit("2024-05-01 08:00:00"), zone="Asia/Shanghai").cast("string").alias("t"), dates.parse_time(F.lit("no")).alias("n")).first()
     assert r.t == "2024-05-01 00:00:00" and r.n is None
+
+
+def test_k_nearest_equal_brute_force(spark):
+    import random
+
+    rng = random.Random(3)
+    a = [(i, rng.uniform(-30, 130), rng.uniform(-30, 130)) for i in range(40)]
+    b = [(i, float(rng.choice([50, rng.uniform(0, 100)])), rng.uniform(0, 100) ** 2 / 100) for i in range(150)]
+    frame = lambda rows, name: spark.createDataFrame(rows, f"{name} int, x double, y double").select(name, st.st_point("x", "y").alias("geom"))
+    want = {i: [j for _, j in sorted((math.dist((x, y), (u, v)), j) for j, u, v in b)[:4]] for i, x, y in a}
+    rows = join.knn_join(frame(a, "l"), frame(b, "r"), 4, "l", "r").collect()
+    got = {i: [r.right_id for r in sorted(rows, key=lambda r: r["rank"]) if r.left_id == i] for i in want}
+    assert got == want
+    assert join.knn_join(frame(a, "l"), frame(b[:2], "r"), 4, "l", "r").count() == 80
+
+
+def test_closest_pairs_far_apart_and_on_one_place(spark):
+    near = lambda rows, **more: sorted((r.l_id, r.r_id, r.distance) for r in join.closest_pairs(spark.createDataFrame(rows, "id int, x double, y double"), "id", "x", "y", **more).collect())
+    assert near([(1, 0.0, 0.0), (2, 1000.0, 0.0), (3, 5000.0, 0.0)], cell=64.0) == [(1, 2, 1000.0)]
+    assert near([(1, 0.0, 0.0), (2, 3.0, 0.0), (3, 3.0, 0.0), (4, None, 1.0)]) == [(2, 3, 0.0)]
+    assert near([(1, 0.0, 0.0)]) == []
+
+
+def test_metrics_and_plane_sweep(spark):
+    import numpy as np
+
+    m = join.JoinMetrics()
+    r, s = wkt(spark, R, "r"), wkt(spark, S, "s")
+    assert join.spatial_join(r, s, "intersects", "pbsm", metrics=m).count() == 5
+    assert (m.left_count, m.right_count, m.result_count) == (6, 3, 5) and m.mbr_count >= 5
+    rng = np.random.default_rng(1)
+    a, b = (np.concatenate([c, c + rng.integers(0, 4, c.shape)], axis=1) for c in (rng.integers(0, 20, (50, 2)), rng.integers(0, 20, (60, 2))))
+    want = sorted((i, j) for i, p in enumerate(a) for j, q in enumerate(b) if p[0] <= q[2] and q[0] <= p[2] and p[1] <= q[3] and q[1] <= p[3])
+    assert sorted(join.plane_sweep(a, b)) == want
+
+
+def test_systems_and_bounds():
+    import numpy as np
+
+    from cartospark.functions import crs
+
+    to, back = crs.system(32632)
+    c = to(np.array([[9.0, 45.0], [9.0, 0.0], [12.0, 60.0]]))
+    assert c[0] == pytest.approx([500_000, 0.9996 * 4_984_944.378], abs=0.01) and c[1] == pytest.approx([500_000, 0], abs=1e-6)
+    assert back(c) == pytest.approx(np.array([[9.0, 45.0], [9.0, 0.0], [12.0, 60.0]]), abs=1e-8)
+    assert crs.system(32732)[0](np.array([[9.0, -45.0]]))[0, 1] == pytest.approx(10_000_000 - 0.9996 * 4_984_944.378, abs=0.01)
+    x1, _, x2, y2 = vector.reproject_bounds((8.0, 40.0, 12.0, 50.0), 4326, 32632)
+    assert x1 < 420_000 and x2 > 710_000 and y2 > to(np.array([[9.0, 50.0]]))[0, 1]
+    with pytest.raises(ValueError):
+        crs.system(1)
+    assert vector.reproject_geom(G.point(9, 45), 3395).data[0] == pytest.approx(math.radians(9) * crs.A)
+
+
+def test_canvas():
+    from cartospark.operators.canvas import rasterize
+
+    area = (0.0, 0.0, 8.0, 8.0)
+    assert rasterize(G.box(1, 1, 3, 2), area, 8, 8).sum() == 2 and rasterize(G.point(0.5, 7.5), area, 8, 8)[0, 0]
+    ring = G.from_wkt("POLYGON((0 0,8 0,8 8,0 8,0 0),(2 2,6 2,6 6,2 6,2 2))")
+    assert rasterize(ring, area, 8, 8).sum() == 64 - 16 and rasterize(ring, area, 8, 8, outline=True).sum() < 48
+    line = rasterize(G.line([(0.5, 0.5), (7.5, 0.5)]), area, 8, 8)
+    assert line.sum() == 8 and line[7].all()
+    assert rasterize(G.line([(0, 0), (8, 8)]), area, 8, 8).diagonal().sum() in (0, 8) and rasterize(G.line([(0, 8), (8, 0)]), area, 8, 8).diagonal().all()
+    disc = G.disc(4, 4, 3, 64)
+    assert abs(rasterize(disc, area, 200, 200).sum() / 625 - disc.area) < 0.2
+
+
+def test_options():
+    from cartospark.options import Options
+
+    o = Options({"Size": "32m", "n": "3", "flag": "yes", "path[1]": "b", "path": "a"}, ratio=0.5)
+    assert (o.size("size"), o.integer("N"), o.flag("flag"), o.number("ratio"), o.text("none", "x"), o.size("none", 7)) == (32 << 20, 3, True, 0.5, "x", 7)
+    assert o.of_input(1).text("path") == "b" and o.of_input(0).text("path") == "a"
+    with pytest.raises(ValueError):
+        o.size("path")
+
+
+def test_new_partitioners():
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    points = rng.random((400, 2))
+    quad = partition.quad_cells(points, 13)
+    assert quad.disjoint and 10 <= len(quad.bounds) <= 16
+    for cells in (partition.rstar_cells(points, 9), partition.rstar_cells(points, 9, revised=True)):
+        assert len(cells.bounds) == 9 and not cells.disjoint
+    assert len(partition.quad_cells(np.ones((5, 2)), 8).bounds) == 1
+
+
+def test_asof_join_with_tolerance(spark):
+    from cartospark.operators import relational
+
+    l = spark.createDataFrame([(1, 10, "a"), (1, 5, "b"), (2, 7, "c"), (None, 3, "d"), (1, None, "e")], "k int, t int, v string")
+    r = spark.createDataFrame([(1, 5, 1), (1, 9, 2), (1, 9, 3), (2, 8, 4), (None, 3, 5)], "k int, t int, w int")
+    rows = {x.v: x.r_w for x in relational.asof_join(l, r, "k", "t", "w").collect()}
+    assert rows == {"a": 3, "b": 1, "c": None, "d": 5, "e": None}
+    assert {x.v: x.r_w for x in relational.asof_join(l, r, "k", "t", "w", tolerance=F.lit(0)).collect()}["a"] is None
