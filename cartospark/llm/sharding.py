@@ -3,7 +3,7 @@
 Records hash into SLOTS virtual slots, a number that never changes.  The slot-to-shard map is a small versioned
 table.  Version 1 deals the slots round the shards before anything is known of the records; then bytes are summed
 per slot, and rebalancing edits the map: it moves whole slots, and only those that a shard holds above its fair share.  Records stay in
-their slots.  A slot that is many times heavier than the mean, as repeated rows make it, is split into PARTS units that move
+their slots.  A slot of many times the mean's rows, as repeated rows make it, is split into PARTS units that move
 alone.  A record's place in its shard is the rows of the shard's earlier units plus its rank in
 its unit, so no task ever holds a whole shard.
 
@@ -20,7 +20,7 @@ from .store import Scratch
 
 SLOTS = 4096
 PARTS = 64
-HEAVY = 16  # times the mean slot's bytes
+HEAVY = 16  # times the mean slot's rows, and times PARTS
 
 
 def slot_of(*keys: Column, slots: int = SLOTS) -> Column:
@@ -34,13 +34,13 @@ def slot_sizes(records: DataFrame) -> DataFrame:
     return records.groupBy("virtual_slot", "part").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows"))
 
 
-def with_parts(records: DataFrame) -> DataFrame:
-    """records(virtual_slot, size, row) with their part: 0, or row modulo PARTS in a slot of more than HEAVY times the mean bytes."""
-    sizes = records.groupBy("virtual_slot").agg(F.sum("size").alias("bytes"))
-    heavy = sizes.crossJoin(F.broadcast(sizes.agg((F.sum("bytes") * HEAVY).alias("sum"), F.max("virtual_slot").alias("last"))))  # one row
-    heavy = heavy.where(F.col("bytes") * F.greatest(F.lit(SLOTS), F.col("last") + 1) > F.col("sum")).select("virtual_slot", F.lit(True).alias("heavy"))
+def with_parts(records: DataFrame, slots: int = SLOTS) -> DataFrame:
+    """records(virtual_slot, size, row) with their part: 0, or row modulo PARTS in a slot of more than HEAVY times the mean rows, or PARTS."""
+    sizes = records.groupBy("virtual_slot").agg(F.count("*").alias("rows"))
+    heavy = sizes.crossJoin(F.broadcast(sizes.agg(F.greatest(F.lit(PARTS), F.sum("rows") / slots).alias("least"))))  # one row
+    heavy = heavy.where(F.col("rows") > HEAVY * F.col("least")).select("virtual_slot", F.lit(True).alias("heavy"))
     part = F.when(F.col("heavy"), F.pmod("row", F.lit(PARTS))).otherwise(0).cast("int")
-    return records.join(F.broadcast(heavy), "virtual_slot", "left").withColumn("part", part).drop("heavy")  # fewer than SLOTS / HEAVY rows
+    return records.join(F.broadcast(heavy), "virtual_slot", "left").withColumn("part", part).drop("heavy")  # fewer than slots / HEAVY rows
 
 
 def even_slot_map(spark: SparkSession, shards: int, slots: int = SLOTS) -> DataFrame:
@@ -112,7 +112,7 @@ def shard_by_slots(df: DataFrame, shards: int, folder: str, id_col: str = "doc_i
     spark = df.sparkSession
     # a row's number is written once, so that all that follows sees the same one
     rows = Scratch(spark, "sharding").keep(measured(df, id_col, text_col, slots).withColumn("row", F.monotonically_increasing_id()), "rows")
-    rows = with_parts(rows)
+    rows = with_parts(rows, slots)
     save_slot_map(even_slot_map(spark, shards, slots), folder, 1)
     save_slot_map(rebalance(load_slot_map(spark, folder, 1), slot_sizes(rows), shards), folder, 2)
     return place(rows, load_slot_map(spark, folder, 2), id_col).withColumn("map_version", F.lit(2)).drop("row")
