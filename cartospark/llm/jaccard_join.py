@@ -96,7 +96,7 @@ def _level_tables(df: DataFrame, text_col: str, size: int, total: int) -> list[n
     """
     fine = max(16, min(TABLE_BITS, int(total).bit_length() + 3))
     wide = [fine, *[fine - 3] * (len(LEVELS) - 1)]
-    bits = max(6, min(12, int(np.ceil(np.log2(max(1, total / BUCKET_TOKENS))))))
+    bits = fine - 16 if fine > 22 else 6  # a slot within its bucket is a number of 16 bits
     salts = max(1, total // (4 * BUCKET_TOKENS << bits))  # groups in which a bucket's tokens are counted before they're summed
     span, load = 1 << (fine - bits), total / (1 << fine)
     least = [LEVELS[0], *(x + load + 6 * load**0.5 for x in LEVELS[1:])]
@@ -108,9 +108,10 @@ def _level_tables(df: DataFrame, text_col: str, size: int, total: int) -> list[n
         held, n, salt = [], 0, TaskContext.get().partitionId()
 
         def flush():
-            prints = np.sort((np.concatenate(held) >> _U(32)).astype(np.uint32))
-            cuts = np.searchsorted(prints >> np.uint32(32 - bits), np.arange((1 << bits) + 1))
-            rows = [prints[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:])]
+            slots = np.sort((np.concatenate(held) >> _U(64 - fine)).astype(np.uint32))
+            cuts = np.searchsorted(slots >> np.uint32(fine - bits), np.arange((1 << bits) + 1))
+            slots = (slots & np.uint32(span - 1)).astype(np.uint16)
+            rows = [slots[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:])]
             return pa.RecordBatch.from_arrays([pa.array(range(1 << bits), pa.int32()), pa.array(np.full(1 << bits, salt % salts)), pa.array(rows, pa.binary())], ["bucket", "salt", "prints"])
 
         for _, docs, hashes, sizes, sigs in _sets(batches, text_col, size):
@@ -124,7 +125,7 @@ def _level_tables(df: DataFrame, text_col: str, size: int, total: int) -> list[n
             yield flush()
 
     def counted(prints) -> np.ndarray:
-        return np.bincount((np.frombuffer(b"".join(prints), np.uint32) >> np.uint32(32 - fine)) % np.uint32(span), minlength=span)
+        return np.bincount(np.frombuffer(b"".join(prints), np.uint16), minlength=span)
 
     def row(pdf: pd.DataFrame, counts: np.ndarray) -> pd.DataFrame:
         tables = [counts.reshape(-1, 1 << (fine - b)).max(axis=1) >= x for b, x in zip(wide, least)]
@@ -175,7 +176,7 @@ def _suspect_rows(batches, text_col: str, size: int, percent: int, tables: list[
         yield sigs, sizes, hashes, level, [(i, slice(ends[i] - sizes[i], ends[i])) for i in pick.tolist()]
 
 
-def _suspects(df: DataFrame, text_col: str, size: int, percent: int, held, scratch: Scratch) -> DataFrame:
+def _suspects(df: DataFrame, text_col: str, size: int, percent: int, held) -> DataFrame:
     """(sig, n, toks, places): one row per set that may have a partner, with its prefix of the first order."""
 
     def run(batches):
@@ -210,8 +211,8 @@ def _unpacked(suspects: DataFrame) -> DataFrame:
     return suspects.mapInArrow(run, "tok long, place long, sig long, n long")
 
 
-def _whole_sets(df: DataFrame, text_col: str, size: int, percent: int, held, groups: DataFrame, scratch: Scratch) -> DataFrame:
-    """(sig, n, tokens, levels) of the sets in groups."""
+def _whole_sets(df: DataFrame, text_col: str, size: int, percent: int, held, keys: DataFrame) -> DataFrame:
+    """(sig, n, tokens, levels) of the sets with these keys (sig, n), by a pass over the texts."""
 
     def run(batches):
         for sigs, sizes, hashes, level, rows in _suspect_rows(batches, text_col, size, percent, held.value):
@@ -221,9 +222,8 @@ def _whole_sets(df: DataFrame, text_col: str, size: int, percent: int, held, gro
                 yield pa.RecordBatch.from_arrays(columns, ["sig", "n", "tokens", "levels"])
 
     found = df.select(text_col).mapInArrow(run, "sig long, n long, tokens binary, levels binary")
-    keys = groups.select("sig", "n")
     keys = F.broadcast(keys) if keys.count() <= BROADCAST_SETS else keys  # two longs a set
-    return scratch.keep(found.join(keys, ["sig", "n"], "left_semi").dropDuplicates(["sig", "n"]), "wholes")
+    return found.join(keys, ["sig", "n"], "left_semi").dropDuplicates(["sig", "n"])
 
 
 def _prefix(tokens: np.ndarray, levels: np.ndarray, owner: np.ndarray, n: np.ndarray, percent: int, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -376,21 +376,22 @@ def jaccard_links(df: DataFrame, text_col: str, total: int, copies: DataFrame, s
     Rows without b give the set a w linked rows of other sets; they sum up to all of its links.  copies: (sig, n, copies).
     """
     held = df.sparkSession.sparkContext.broadcast(_level_tables(df, text_col, size, total))
-    first = scratch.keep(_unpacked(_suspects(df, text_col, size, percent, held, scratch)), "prefixes")
+    first = _unpacked(scratch.keep(_suspects(df, text_col, size, percent, held), "suspects"))
     heads = first.groupBy("tok").agg(F.min(F.struct("sig", "n")).alias("head"), F.count("*").alias("c")).where("c > 1").drop("c")
-    votes = first.join(heads, "tok").groupBy("sig", "n", "head").agg(F.count("*").alias("c"))
+    shared = scratch.keep(first.join(heads, "tok"), "shared")
+    votes = shared.groupBy("sig", "n", "head").agg(F.count("*").alias("c"))
     groups = votes.groupBy("sig", "n").agg(F.max_by("head", F.struct("c", F.struct(-F.col("head.sig"), "head.n"))).alias("head"))
     groups = scratch.keep(groups.join(copies, ["sig", "n"]), "groups")
-    wholes = _whole_sets(df, text_col, size, percent, held, groups, scratch)
-    held.destroy()  # what reads it is written
-    meet = scratch.keep(_meetings(first, groups, percent), "meet0")
-    some = scratch.keep(wholes.join(meet.select("sig", "n").distinct(), ["sig", "n"], "left_semi"), "some")
+    meet = scratch.keep(_meetings(shared.drop("head"), groups, percent), "meet0")
+    scratch.drop("suspects", "shared")
+    some = scratch.keep(_whole_sets(df, text_col, size, percent, held, meet.select("sig", "n").distinct()), "some")
     for k in range(1, ORDERS):  # the filters of all orders, before any tokens move
         meet = scratch.keep(_met_again(meet, _prefixes(some, percent, k), percent), f"meet{k}")
     blocks = _blocks_within(groups).unionByName(_blocks_across(meet))
-    filled = blocks.join(wholes, ["sig", "n"])
+    filled = blocks.join(_whole_sets(df, text_col, size, percent, held, groups.select("sig", "n")), ["sig", "n"])
     links = scratch.keep(filled.groupBy("g", "h", "i", "j").applyInPandas(lambda pdf: _links(pdf, percent), _EDGE), "links")
-    scratch.drop("wholes", "prefixes", "groups", "some", *(f"meet{k}" for k in range(ORDERS)))
+    held.destroy()  # what reads it is written
+    scratch.drop("groups", "some", *(f"meet{k}" for k in range(ORDERS)))
     return links
 
 
