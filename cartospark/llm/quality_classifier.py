@@ -84,9 +84,14 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def negative_log_likelihood(w: np.ndarray, t: np.ndarray, first: np.ndarray, columns: np.ndarray, values: np.ndarray, grades: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+def owners(first: np.ndarray) -> np.ndarray:
+    """The text of each value."""
+    return np.repeat(np.arange(len(first) - 1, dtype=np.int32), np.diff(first))
+
+
+def negative_log_likelihood(w: np.ndarray, t: np.ndarray, owner: np.ndarray, columns: np.ndarray, values: np.ndarray, grades: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
     """(mean loss, its gradient by the weights and by the parameters t of the thresholds: the first one, then logs of the steps)."""
-    n, owner = len(grades), np.repeat(np.arange(len(grades)), np.diff(first))
+    n = len(grades)
     cuts = np.concatenate([[-np.inf], np.cumsum(np.concatenate([t[:1], np.exp(t[1:])])), [np.inf]])
     score = np.bincount(owner, weights=values * w[columns], minlength=n)
     upper, lower = _sigmoid(cuts[grades + 1] - score), _sigmoid(cuts[grades] - score)
@@ -108,8 +113,9 @@ def fit(first: np.ndarray, columns: np.ndarray, values: np.ndarray, grades: np.n
     # thresholds as a first one and positive steps
     t = np.concatenate([base[:1], np.log(np.maximum(np.diff(base), 1e-2))])
     tm, tv = np.zeros_like(t), np.zeros_like(t)
+    owner = owners(first)
     for epoch in range(1, epochs + 1):
-        _, g, tg = negative_log_likelihood(w, t, first, columns, values, grades)
+        _, g, tg = negative_log_likelihood(w, t, owner, columns, values, grades)
         g += DECAY * w
         for x, gx, mx, vx in ((w, g, m, v), (t, tg, tm, tv)):
             mx += 0.1 * (gx - mx)

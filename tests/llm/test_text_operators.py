@@ -443,7 +443,7 @@ def test_gradient_equals_differences_of_the_plain_likelihood():
             loss -= math.log(at_most[grades[d]] - (at_most[grades[d] - 1] if grades[d] else 0.0))
         return loss / n
 
-    loss, by_weight, by_step = C.negative_log_likelihood(w, t, first, columns, values, grades)
+    loss, by_weight, by_step = C.negative_log_likelihood(w, t, C.owners(first), columns, values, grades)
     assert loss == pytest.approx(plain(w, t), rel=1e-9)
     bump = lambda x, i, e: np.concatenate([x[:i], [x[i] + e], x[i + 1 :]])
     for i in range(wide):
