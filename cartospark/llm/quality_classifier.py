@@ -86,7 +86,7 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 def owners(first: np.ndarray) -> np.ndarray:
     """The text of each value."""
-    return np.repeat(np.arange(len(first) - 1, dtype=np.int32), np.diff(first))
+    return np.repeat(np.arange(len(first) - 1), np.diff(first))
 
 
 def negative_log_likelihood(w: np.ndarray, t: np.ndarray, owner: np.ndarray, columns: np.ndarray, values: np.ndarray, grades: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
