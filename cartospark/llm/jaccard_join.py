@@ -11,8 +11,9 @@ How it scales:
   counts over all documents, held in fixed-size bit tables, and a seeded hash orders each level.  Levels
   only steer efficiency; a hash collision in them can't lose a link.  Their thresholds rise with the tables' load.
 * A text with enough once-seen tokens can't have a partner and ends there; of the remaining *suspects* only the prefix moves.
-* Suspects that share prefix tokens of the first order gather round a common head; only their whole sets are fetched, by another pass
-  over the texts.  What is compared are blocks: a group
+* Suspects that share prefix tokens of the first order gather round a common head, and heads that are alike (by a minimum hash) make one
+  group, so that a crowd of near copies falls into a few groups. Only their whole sets are fetched, by another pass over the texts.
+  What is compared are blocks: a group
   with itself, and the sets of two groups that hold a prefix token of each other's.  Every pair of sets with a common prefix
   token is in exactly one of them.  Blocks are cut by tokens, so that none needs more than CHUNK_TOKENS of either side in memory.
 * A block looks at two sets only after the filters of all orders let the pair pass.  It returns a star for each of its
@@ -177,7 +178,10 @@ def _suspect_rows(batches, text_col: str, size: int, percent: int, tables: list[
 
 
 def _suspects(df: DataFrame, text_col: str, size: int, percent: int, held) -> DataFrame:
-    """(sig, n, toks, places): one row per set that may have a partner, with its prefix of the first order."""
+    """(sig, n, kin, toks, places): one row per set that may have a partner, with its prefix of the first order.
+
+    kin is the token, of all those that are seen more than once, of the least hash: sets as alike as their Jaccard similarity have the same.
+    """
 
     def run(batches):
         for sigs, sizes, hashes, level, rows in _suspect_rows(batches, text_col, size, percent, held.value):
@@ -188,12 +192,18 @@ def _suspects(df: DataFrame, text_col: str, size: int, percent: int, held) -> Da
             owner, toks, places = _prefix(np.concatenate([hashes[r] for _, r in rows]), np.concatenate([level[r] for _, r in rows]), np.repeat(np.arange(len(n)), n), n, percent, 0)
             cuts = np.searchsorted(owner, np.arange(len(n) + 1))
             cut = lambda x: pa.array([x[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:])], pa.binary())  # noqa: B023, E731
-            yield pa.RecordBatch.from_arrays([pa.array(sigs[pick]), pa.array(n), cut(toks), cut(places.astype(np.int32))], ["sig", "n", "toks", "places"])
+            kin = [_kin(hashes[r], level[r]) for _, r in rows]
+            yield pa.RecordBatch.from_arrays([pa.array(sigs[pick]), pa.array(n), pa.array(kin, pa.int64()), cut(toks), cut(places.astype(np.int32))], ["sig", "n", "kin", "toks", "places"])
 
-    found = df.select(text_col).mapInArrow(run, "sig long, n long, toks binary, places binary")
+    found = df.select(text_col).mapInArrow(run, "sig long, n long, kin long, toks binary, places binary")
     return found.dropDuplicates(["sig", "n"])
 
 
+def _kin(hashes: np.ndarray, level: np.ndarray) -> int:
+    shared = hashes[level > 0]
+    return int(mix((shared if len(shared) else hashes) ^ _SEEDS[0]).min().view(np.int64))
+
+
 def _unpacked(suspects: DataFrame) -> DataFrame:
     """(tok, place, sig, n)."""
 
@@ -339,9 +349,9 @@ def _room(place: str, lo: str, hi: str, percent: int) -> F.Column:
     return fits & ((100 + percent) * (F.col("n") - F.col(place)) >= percent * (F.col("n") + least))
 
 
-def _meetings(first: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
+def _meetings(groups: DataFrame, percent: int) -> DataFrame:
     """(g, h, side, sig, n, copies): sets that hold a prefix token which a set of another group, of a fitting size, holds too; g < h."""
-    rows = first.join(groups, ["sig", "n"])
+    rows = groups.select("sig", "n", "copies", "head", F.inline("toks"))
     heads = rows.groupBy("tok", F.col("head").alias("other")).agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
     mixed = heads.groupBy("tok").agg(F.count("*").alias("c")).where("c > 1").select("tok")
     meet = rows.join(mixed, "tok", "left_semi").join(heads, "tok").where((F.col("head") != F.col("other")) & _room("place", "lo", "hi", percent))
@@ -376,14 +386,17 @@ def jaccard_links(df: DataFrame, text_col: str, total: int, copies: DataFrame, s
     Rows without b give the set a w linked rows of other sets; they sum up to all of its links.  copies: (sig, n, copies).
     """
     held = df.sparkSession.sparkContext.broadcast(_level_tables(df, text_col, size, total))
-    first = _unpacked(scratch.keep(_suspects(df, text_col, size, percent, held), "suspects"))
+    suspects = scratch.keep(_suspects(df, text_col, size, percent, held), "suspects")
+    first = _unpacked(suspects.drop("kin"))
     heads = first.groupBy("tok").agg(F.min(F.struct("sig", "n")).alias("head"), F.count("*").alias("c")).where("c > 1").drop("c")
-    shared = scratch.keep(first.join(heads, "tok"), "shared")
-    votes = shared.groupBy("sig", "n", "head").agg(F.count("*").alias("c"))
-    groups = votes.groupBy("sig", "n").agg(F.max_by("head", F.struct("c", F.struct(-F.col("head.sig"), "head.n"))).alias("head"))
-    groups = scratch.keep(groups.join(copies, ["sig", "n"]), "groups")
-    meet = scratch.keep(_meetings(shared.drop("head"), groups, percent), "meet0")
-    scratch.drop("suspects", "shared")
+    shared = first.join(heads, "tok").groupBy("sig", "n").agg(F.mode("head", True).alias("head"), F.collect_list(F.struct("tok", "place")).alias("toks"))  # a set's prefix
+    # groups of alike heads are one: near copies of one text would else gather round many heads, and each set meet each of them
+    kin = suspects.select(F.struct("sig", "n").alias("head"), "kin")
+    groups = shared.join(kin, "head").join(copies, ["sig", "n"]).select("sig", "n", "copies", F.col("kin").alias("head"), "toks")
+    groups = scratch.keep(groups, "groups")
+    meet = scratch.keep(_meetings(groups, percent), "meet0")
+    scratch.drop("suspects")
+    groups = groups.drop("toks")
     some = scratch.keep(_whole_sets(df, text_col, size, percent, held, meet.select("sig", "n").distinct()), "some")
     for k in range(1, ORDERS):  # the filters of all orders, before any tokens move
         meet = scratch.keep(_met_again(meet, _prefixes(some, percent, k), percent), f"meet{k}")

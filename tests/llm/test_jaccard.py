@@ -138,3 +138,28 @@ def test_shingle_sizes_of_documents(spark, tiny):
     docs = spark.read.parquet(f"{tiny}/documents.parquet")
     got = {r.doc_id: r.n_shingles for r in J.jaccard_join(docs.select("doc_id", "text", F.lit(1).alias("links"))).collect()}
     assert got == {r.doc_id: len(shingle_set(r.text, 3)) for r in docs.collect()}
+
+
+def test_crowd_of_near_copies_meets_in_few_groups(spark, monkeypatch):
+    """Rows that move for a crowd grow with its sets, not with their square; every set still links with all of its partners."""
+    rng, met = random.Random(5), []
+    rows = []
+    for i in range(300):
+        w = [f"b{k}" for k in range(150)]
+        for k in rng.sample(range(150), rng.choice([2, 7])):
+            w[k] = f"v{k}-{rng.randrange(4)}"
+        rows.append((i, " ".join(w)))
+    keep = Scratch.keep
+
+    def counted(self, df, name, *more):
+        out = keep(self, df, name, *more)
+        met.extend([out.count()] if name == "meet0" else [])
+        return out
+
+    monkeypatch.setattr(Scratch, "keep", counted)
+    want, sets = classes(dict(rows), 3, 85)
+    got = {r.doc_id: r for r in J.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"), size=3, percent=85).collect()}
+    assert {i: r.component_id for i, r in got.items()} == want
+    near = lambda a, b: 100 * len(a & b) >= 85 * len(a | b)
+    assert {i: r.links for i, r in got.items()} == {i: sum(near(sets[i], sets[j]) for j in sets if j != i) for i in sets}
+    assert met[0] < 3 * len(rows), met
