@@ -375,3 +375,36 @@ def test_asof_join_with_tolerance(spark):
     rows = {x.v: x.r_w for x in relational.asof_join(l, r, "k", "t", "w").collect()}
     assert rows == {"a": 3, "b": 1, "c": None, "d": 5, "e": None}
     assert {x.v: x.r_w for x in relational.asof_join(l, r, "k", "t", "w", tolerance=F.lit(0)).collect()}["a"] is None
+
+
+def test_equal_geometries_are_compared_once(spark, monkeypatch):
+    """Repeated boxes, lines and places, in lists cut small: all pairs of rows, by way of pairs of geometries."""
+    monkeypatch.setattr(join, "LIST_ROWS", 3)
+    box = lambda i: (i % 7 * 3, i % 5 * 3, i % 7 * 3 + 4, i % 5 * 3 + 4)
+    df = spark.range(105).select("id", st.st_makebox(*[F.expr(e).cast("double") for e in ("id % 7 * 3", "id % 5 * 3", "id % 7 * 3 + 4", "id % 5 * 3 + 4")]).alias("geom"))
+    meet = lambda a, b: a[0] <= b[2] and b[0] <= a[2] and a[1] <= b[3] and b[1] <= a[3]
+    want = {(i, j) for i in range(105) for j in range(105) if meet(box(i), box(j))}
+    for method in ("pbsm", "sj1d", "bnlj", "broadcast"):
+        metrics = join.JoinMetrics()
+        pairs = join.spatial_join(df, df, "intersects", method, metrics=metrics).select("l_id", "r_id")
+        assert "inline" in pairs._jdf.queryExecution().optimizedPlan().toString()
+        got = [tuple(r) for r in pairs.collect()]
+        assert len(got) == len(want) and set(got) == want
+    apart = join.spatial_join(df, df, "disjoint").select("l_id", "r_id")
+    assert "Python" not in apart._jdf.queryExecution().executedPlan().toString()
+    assert {tuple(r) for r in apart.collect()} == {(i, j) for i in range(105) for j in range(105)} - want
+    cut = vector.overlay(df, df, "id", "id").select("left_id", "right_id").collect()
+    assert len(cut) == len(want) and {tuple(r) for r in cut} == want
+    sums = {r.component: r.members for r in vector.buffer_dissolve(df, "id", 0.1).collect()}
+    assert sums == {0: 105}
+    near = join.knn_join(df, df, 4, "id", "id").groupBy("left_id").agg(F.array_sort(F.collect_list("right_id")).alias("ids")).collect()
+    assert {r.left_id: r.ids for r in near if r.left_id < 35} == {i: sorted([i, i + 35, i + 70, min(j for j in range(105) if j % 35 != i and (abs(box(j)[0] - box(i)[0]) + abs(box(j)[1] - box(i)[1]) == 3))]) for i in range(35)}
+
+
+def test_nested_loop_and_strips_have_a_bound(spark, monkeypatch):
+    df = spark.range(300).select("id", st.st_point(F.col("id").cast("double"), (F.col("id") % 9).cast("double")).alias("geom"))
+    monkeypatch.setattr(join, "NESTED_PAIRS", 1000, raising=False)
+    pairs = join.spatial_join(df, df, "intersects", "bnlj")
+    assert "NestedLoop" not in pairs._jdf.queryExecution().executedPlan().toString() and pairs.count() == 300
+    side = join.Side(10**7, 0.0, 0.0, 1e5, 50.0, 1300.0, 3.0, True)
+    assert join.join_grid(side, side, 8, strips=True).nx > 10
