@@ -35,6 +35,7 @@ from .store import Scratch, free_names
 
 SEEDS = 3
 BROADCAST_BYTES = 16 << 20
+BROADCAST_KEYS = 500_000  # of a long and a count each
 #: A node's text inside of the content is template if so many other pages matched it and this share of them had the same text.
 LEAST_PAGES = 3
 LEAST_SHARE = 0.95
@@ -560,6 +561,11 @@ class _Lazy:
         return iter(self.column[self.row].as_py() or [])
 
 
+def _sent(keys: DataFrame) -> DataFrame:
+    """A written table of keys, sent to all tasks if its checked rows allow, so that the pages needn't move to meet it."""
+    return F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
+
+
 def induce_wrappers(pages: DataFrame, url_col: str, html_col: str, scratch: Scratch) -> tuple[DataFrame, int]:
     """((host, seeds: layout, html, votes) and their bytes): the wrappers of every host, from all its pages."""
     html = F.col(f"`{html_col}`")
@@ -569,13 +575,15 @@ def induce_wrappers(pages: DataFrame, url_col: str, html_col: str, scratch: Scra
     by_layout = counts.groupBy("host", "layout").agg(F.count("*").alias("pages"), F.min("h").alias("h"))
     # a limit by group, of which every task keeps only SEEDS rows before the exchange
     rank = F.row_number().over(Window.partitionBy("host").orderBy(F.desc("pages"), "layout"))
-    chosen = by_layout.withColumn("rank", rank).where(F.col("rank") <= SEEDS).select("host", "layout", "h")
-    seeds = base.join(chosen, ["host", "layout", "h"]).groupBy("host", "layout").agg(F.min("html").alias("html"))
+    key = F.xxhash64("host", "layout", "h").alias("key")
+    chosen = scratch.keep(by_layout.withColumn("rank", rank).where(F.col("rank") <= SEEDS).select(key), "chosen")
+    base = base.withColumn("key", key)
+    seeds = base.join(_sent(chosen), "key", "left_semi").groupBy("host", "layout").agg(F.min("html").alias("html"))
     seeds = scratch.keep(seeds, "seeds")
     size = seeds.agg(F.sum(F.octet_length("html") + 64)).first()[0] or 0
     per_host = seeds.groupBy("host").agg(F.array_sort(F.collect_list(F.struct("layout", "html"))).alias("seeds"))  # SEEDS at most
-    repeated = counts.where("copies > 1").select("host", "layout", "h", "copies")
-    voters = base.join(repeated, ["host", "layout", "h"], "left").select("host", "html", "layout", (1 / F.coalesce("copies", F.lit(1))).alias("weight"))
+    repeated = scratch.keep(counts.where("copies > 1").groupBy(key).agg(F.max("copies").alias("copies")), "repeated")
+    voters = base.join(_sent(repeated), "key", "left").select("host", "html", "layout", (1 / F.coalesce("copies", F.lit(1))).alias("weight"))
     voters, held = _with_seeds(voters, per_host, size, "host", "seeds")
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -617,7 +625,7 @@ def induce_wrappers(pages: DataFrame, url_col: str, html_col: str, scratch: Scra
     votes = votes.groupBy("host", "layout").agg(F.array_sort(F.collect_list(F.struct("node", "matched", "same", "mass"))).alias("votes"))  # a page's nodes
     told = seeds.join(votes, ["host", "layout"], "left").groupBy("host").agg(F.array_sort(F.collect_list(F.struct("layout", "html", F.coalesce("votes", F.array().cast("array<struct<node:int,matched:double,same:double,mass:double>>")).alias("votes")))).alias("seeds"))
     told = scratch.keep(told, "wrappers")
-    scratch.drop("counts", "seeds")
+    scratch.drop("counts", "seeds", "chosen", "repeated")
     return told, 4 * size
 
 

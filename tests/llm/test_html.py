@@ -161,3 +161,27 @@ def test_given_pages(spark, tiny):
         inner = re.search(r"<article>(.*)</article>", r.html, re.S)[1]
         plain = re.sub(r"</?b>", "", re.sub(r"</?(p|h1|br)>", " ", inner))
         assert r.main_text == " ".join(unescape(plain).split()), r.page_id
+
+
+def test_pages_do_not_move_to_meet_small_tables(spark, monkeypatch):
+    """Seeds and repeated pages are found by keys that are sent to the pages; by a shuffle, texts are the same."""
+    page = lambda i: f"<html><body><div class='menu'>Home News</div><div><p>Story {i} tells of {i * 7} things, at length and in words of its own.</p></div></body></html>"
+    rows = [(k, f"http://h{k % 3}.org/{k}", page(k % 20)) for k in range(60)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    plans, keep = {}, W.Scratch.keep
+
+    def watched(self, frame, name, *more):
+        plans[name] = frame._jdf.queryExecution().executedPlan().toString()
+        return keep(self, frame, name, *more)
+
+    monkeypatch.setattr(W.Scratch, "keep", watched)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as tables whose size isn't known are planned
+    try:
+        sent = {r.page_id: r.main_text for r in W.extract_main_text(df).collect()}
+        assert "BroadcastHashJoin" in plans["seeds"] and "SortMergeJoin" not in plans["seeds"]
+        monkeypatch.setattr(W, "BROADCAST_KEYS", 0, raising=False)
+        assert {r.page_id: r.main_text for r in W.extract_main_text(df).collect()} == sent
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert all(f"Story {k % 20} tells of" in sent[k] and "Home" not in sent[k] for k in sent)
