@@ -12,10 +12,12 @@ How it scales:
   only steer efficiency; a hash collision in them can't lose a link.  Their thresholds rise with the tables' load.
 * A text with enough once-seen tokens can't have a partner and ends there; of the remaining *suspects* only the prefix moves.
 * Suspects that share prefix tokens of the first order gather round a common head, and heads that are alike (by a minimum hash) make one
-  group, so that a crowd of near copies falls into a few groups. Only their whole sets are fetched, by another pass over the texts.
-  What is compared are blocks: a group
+  group, so that a crowd of near copies falls into a few groups. What may be compared are blocks: a group
   with itself, and the sets of two groups that hold a prefix token of each other's.  Every pair of sets with a common prefix
   token is in exactly one of them.  Blocks are cut by tokens, so that none needs more than CHUNK_TOKENS of either side in memory.
+* The tables fill up as the corpus grows, and then texts share prefix tokens by chance. So a set stays in a block only if it shares a
+  token with another one there under the later orders too, told by 32 bits of each prefix token; the whole sets of those that stay are fetched, by
+  another pass over the texts.
 * A block looks at two sets only after the filters of all orders let the pair pass.  It returns a star for each of its
   components and each set's number of links, never pairs.
 
@@ -221,6 +223,12 @@ def _unpacked(suspects: DataFrame) -> DataFrame:
     return suspects.mapInArrow(run, "tok long, place long, sig long, n long")
 
 
+def _of_keys(found: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows with these keys (sig, n), one of each."""
+    keys = F.broadcast(keys) if keys.count() <= BROADCAST_SETS else keys  # two longs a set
+    return found.join(keys, ["sig", "n"], "left_semi").dropDuplicates(["sig", "n"])
+
+
 def _whole_sets(df: DataFrame, text_col: str, size: int, percent: int, held, keys: DataFrame) -> DataFrame:
     """(sig, n, tokens, levels) of the sets with these keys (sig, n), by a pass over the texts."""
 
@@ -231,9 +239,27 @@ def _whole_sets(df: DataFrame, text_col: str, size: int, percent: int, held, key
                 columns = [pa.array(sigs[pick]), pa.array(sizes[pick].astype(np.int64)), pa.array([hashes[r].tobytes() for _, r in rows], pa.binary()), pa.array([level[r].tobytes() for _, r in rows], pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, ["sig", "n", "tokens", "levels"])
 
-    found = df.select(text_col).mapInArrow(run, "sig long, n long, tokens binary, levels binary")
-    keys = F.broadcast(keys) if keys.count() <= BROADCAST_SETS else keys  # two longs a set
-    return found.join(keys, ["sig", "n"], "left_semi").dropDuplicates(["sig", "n"])
+    return _of_keys(df.select(text_col).mapInArrow(run, "sig long, n long, tokens binary, levels binary"), keys)
+
+
+def _prints(df: DataFrame, text_col: str, size: int, percent: int, held, keys: DataFrame) -> DataFrame:
+    """(sig, n, p1, p2, ...) of the sets with these keys (sig, n): 32 bits of each prefix token of the later orders, by a pass over the texts."""
+    names = [f"p{k}" for k in range(1, ORDERS)]
+
+    def run(batches):
+        for sigs, sizes, hashes, level, rows in _suspect_rows(batches, text_col, size, percent, held.value):
+            if rows:
+                pick = np.array([i for i, _ in rows])
+                n = sizes[pick].astype(np.int64)
+                tokens, levels, owner = np.concatenate([hashes[r] for _, r in rows]), np.concatenate([level[r] for _, r in rows]), np.repeat(np.arange(len(n)), n)
+                columns = [pa.array(sigs[pick]), pa.array(n)]
+                for k in range(1, ORDERS):
+                    who, found, _ = _prefix(tokens, levels, owner, n, percent, k)
+                    prints, cuts = (mix(found) >> _U(32)).astype(np.uint32), np.searchsorted(who, np.arange(len(n) + 1))
+                    columns.append(pa.array([prints[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:])], pa.binary()))
+                yield pa.RecordBatch.from_arrays(columns, ["sig", "n", *names])
+
+    return _of_keys(df.select(text_col).mapInArrow(run, "sig long, n long, " + ", ".join(f"{c} binary" for c in names)), keys)
 
 
 def _prefix(tokens: np.ndarray, levels: np.ndarray, owner: np.ndarray, n: np.ndarray, percent: int, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -252,22 +278,6 @@ def _flat(tokens: list[bytes], levels: list[bytes]) -> tuple[np.ndarray, np.ndar
     return np.frombuffer(b"".join(tokens), np.uint64), np.frombuffer(b"".join(levels), np.uint8), np.repeat(np.arange(len(n)), n), n
 
 
-def _prefixes(suspects: DataFrame, percent: int, order: int) -> DataFrame:
-    """(tok, place, sig, n): prefix tokens of the order that at least two sets hold."""
-
-    def run(batches):
-        for batch in batches:
-            at = 0
-            while at < batch.num_rows:  # a bounded number of sets at a time
-                part = batch.slice(at, 500)
-                at += part.num_rows
-                tokens, levels, owner, n = _flat(part.column("tokens").to_pylist(), part.column("levels").to_pylist())
-                who, found, place = _prefix(tokens, levels, owner, n, percent, order)
-                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(place), part.column("sig").take(pa.array(who)), part.column("n").take(pa.array(who))], ["tok", "place", "sig", "n"])
-
-    return suspects.select("sig", "n", "tokens", "levels").mapInArrow(run, "tok long, place long, sig long, n long")
-
-
 class _Postings:
     """Which sets of a block hold each token, from (owner, token) with ascending owners."""
 
@@ -335,7 +345,7 @@ def _chunks(tokens) -> F.Column:
 
 def _blocks_within(groups: DataFrame) -> DataFrame:
     """(g, h, i, j, side, sig, n, copies): every group with itself, by pairs of chunks i <= j."""
-    chunks = groups.groupBy("head").agg(_chunks(F.sum("n")).alias("chunks"))
+    chunks = groups.groupBy("head").agg(_chunks(F.sum("n")).alias("chunks"), F.count("*").alias("c")).where("c > 1").drop("c")
     placed = groups.join(chunks, "head").withColumn("chunk", F.pmod(F.xxhash64("sig", "n"), F.col("chunks")).cast("int"))
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     side = F.when(F.col("chunk") != F.col("other"), F.col("chunk") > F.col("other"))
@@ -358,16 +368,6 @@ def _meetings(groups: DataFrame, percent: int) -> DataFrame:
     return meet.select(F.least("head", "other").alias("g"), F.greatest("head", "other").alias("h"), (F.col("head") > F.col("other")).alias("side"), "sig", "n", "copies").distinct()
 
 
-def _met_again(meet: DataFrame, prefixes: DataFrame, percent: int) -> DataFrame:
-    """Of the meeting sets those that share a prefix token of another order with the other group's."""
-    rows = meet.join(prefixes, ["sig", "n"])
-    of = lambda f, side: f(F.when(F.col("side") == side, F.col("n")))
-    both = rows.groupBy("g", "h", "tok").agg(of(F.min, True).alias("lo0"), of(F.max, True).alias("hi0"), of(F.min, False).alias("lo1"), of(F.max, False).alias("hi1")).where("lo0 is not null and lo1 is not null")
-    lo, hi = F.when(F.col("side"), F.col("lo1")).otherwise(F.col("lo0")), F.when(F.col("side"), F.col("hi1")).otherwise(F.col("hi0"))
-    held = rows.join(both, ["g", "h", "tok"]).withColumns({"lo": lo, "hi": hi}).where(_room("place", "lo", "hi", percent))
-    return held.select(*meet.columns).distinct()
-
-
 def _blocks_across(meet: DataFrame) -> DataFrame:
     """As _blocks_within, for the sets of two groups g < h that meet."""
     count = lambda on_side: F.greatest(F.lit(1), _chunks(F.coalesce(F.sum(F.when(F.col("side") == on_side, F.col("n"))), F.lit(0))))
@@ -380,12 +380,71 @@ def _blocks_across(meet: DataFrame) -> DataFrame:
     return placed.select("g", "h", pick(False).alias("i"), pick(True).alias("j"), "side", "sig", "n", "copies")
 
 
+_BLOCK = "g long, h long, i int, j int, side boolean, sig long, n long, copies long"
+
+
+def _passing(blocks: pa.Table) -> np.ndarray:
+    """Which rows of whole blocks hold, under each later order, a print of another set of their block, of its other side where it has two."""
+    ids = [blocks.column(c).to_numpy() for c in ("g", "h", "i", "j")]
+    block = np.cumsum(np.append(False, np.any([x[1:] != x[:-1] for x in ids], axis=0))).astype(_U)
+    side = blocks.column("side")
+    right, within = side.fill_null(False).to_numpy(), side.is_null().to_numpy()
+    keep, before = np.ones(len(block), bool), -1
+    orders = []
+    for k in range(1, ORDERS):
+        rows = blocks.column(f"p{k}").to_pylist()
+        owner = np.repeat(np.arange(len(rows)), [len(x) // 4 for x in rows])
+        orders.append((owner, (block[owner] << _U(32)) | np.frombuffer(b"".join(rows), np.uint32)))
+    while before != (before := int(keep.sum())):
+        for owner, prints in orders:
+            left = keep[owner]
+            who = owner[left]
+            _, place = np.unique(prints[left], return_inverse=True)
+            every, of_right = np.bincount(place), np.bincount(place, weights=right[who])
+            met = np.where(within[who], every[place] > 1, (of_right[place] > 0) & (of_right[place] < every[place]))
+            keep &= np.bincount(who[met], minlength=len(keep)) > 0
+    return keep
+
+
+def _filtered(blocks: DataFrame) -> DataFrame:
+    """The rows of blocks that pass the filters of the later orders, by their prints; each linked pair of a block stays in it."""
+
+    def run(batches):
+        names = [x.split()[0] for x in _BLOCK.split(", ")]
+        held: list[pa.RecordBatch] = []
+
+        def judged(table: pa.Table):
+            if table.num_rows:
+                yield from table.select(names).filter(pa.array(_passing(table))).to_batches()
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids = [batch.column(c).to_numpy() for c in ("g", "h", "i", "j")]
+            cut = batch.num_rows  # where the last block begins
+            last = np.all([x == x[-1] for x in ids], axis=0)
+            cut = 0 if last.all() else int(np.flatnonzero(~last)[-1]) + 1
+            if cut:
+                yield from judged(pa.Table.from_batches([*held, batch.slice(0, cut)]))
+                held = []
+            elif held and any(held[-1].column(c)[-1] != batch.column(c)[0] for c in ("g", "h", "i", "j")):
+                yield from judged(pa.Table.from_batches(held))
+                held = []
+            held.append(batch.slice(cut))
+        if held:
+            yield from judged(pa.Table.from_batches(held))
+
+    key = ["g", "h", "i", "j"]
+    return blocks.repartition(*key).sortWithinPartitions(*key).mapInArrow(run, _BLOCK)
+
+
 def jaccard_links(df: DataFrame, text_col: str, total: int, copies: DataFrame, scratch: Scratch, size: int = 3, percent: int = 90) -> DataFrame:
     """Links (a, an, b, bn, w) between sets (digest, size) that connect whatever the similarity join connects.
 
     Rows without b give the set a w linked rows of other sets; they sum up to all of its links.  copies: (sig, n, copies).
     """
     held = df.sparkSession.sparkContext.broadcast(_level_tables(df, text_col, size, total))
+    scratch.sweep()
     suspects = scratch.keep(_suspects(df, text_col, size, percent, held), "suspects")
     first = _unpacked(suspects.drop("kin"))
     heads = first.groupBy("tok").agg(F.min(F.struct("sig", "n")).alias("head"), F.count("*").alias("c")).where("c > 1").drop("c")
@@ -394,17 +453,17 @@ def jaccard_links(df: DataFrame, text_col: str, total: int, copies: DataFrame, s
     kin = suspects.select(F.struct("sig", "n").alias("head"), "kin")
     groups = shared.join(kin, "head").join(copies, ["sig", "n"]).select("sig", "n", "copies", F.col("kin").alias("head"), "toks")
     groups = scratch.keep(groups, "groups")
-    meet = scratch.keep(_meetings(groups, percent), "meet0")
     scratch.drop("suspects")
-    groups = groups.drop("toks")
-    some = scratch.keep(_whole_sets(df, text_col, size, percent, held, meet.select("sig", "n").distinct()), "some")
-    for k in range(1, ORDERS):  # the filters of all orders, before any tokens move
-        meet = scratch.keep(_met_again(meet, _prefixes(some, percent, k), percent), f"meet{k}")
-    blocks = _blocks_within(groups).unionByName(_blocks_across(meet))
-    filled = blocks.join(_whole_sets(df, text_col, size, percent, held, groups.select("sig", "n")), ["sig", "n"])
+    meet = scratch.keep(_meetings(groups, percent), "meet")
+    blocks = scratch.keep(_blocks_within(groups.drop("toks")).unionByName(_blocks_across(meet)), "blocks")
+    scratch.drop("groups", "meet")
+    prints = scratch.keep(_prints(df, text_col, size, percent, held, blocks.select("sig", "n").distinct()), "prints")
+    passed = scratch.keep(_filtered(blocks.join(prints, ["sig", "n"])), "passed")  # the filters of all orders, before any whole set moves
+    scratch.drop("blocks", "prints")
+    filled = passed.join(_whole_sets(df, text_col, size, percent, held, passed.select("sig", "n").distinct()), ["sig", "n"])
     links = scratch.keep(filled.groupBy("g", "h", "i", "j").applyInPandas(lambda pdf: _links(pdf, percent), _EDGE), "links")
     held.destroy()  # what reads it is written
-    scratch.drop("groups", "some", *(f"meet{k}" for k in range(ORDERS)))
+    scratch.drop("passed")
     return links
 
 

@@ -7,6 +7,7 @@ protocol, so a lost executor costs its running tasks and nothing that was writte
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from weakref import WeakKeyDictionary
@@ -48,8 +49,14 @@ class Scratch:
 
     def keep(self, df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
         df.write.mode("overwrite").option("compression", compression).parquet(self.path(name))
+        self.sweep()
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
+    def sweep(self) -> None:
+        """Lets Spark delete the shuffle files of what has ended, which else stay until the driver happens to collect its garbage."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     def drop(self, *names: str) -> None:
         jvm = self.spark.sparkContext._jvm
         for name in names:

@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 import pytest
@@ -163,3 +164,32 @@ def test_crowd_of_near_copies_meets_in_few_groups(spark, monkeypatch):
     near = lambda a, b: 100 * len(a & b) >= 85 * len(a | b)
     assert {i: r.links for i, r in got.items()} == {i: sum(near(sets[i], sets[j]) for j in sets if j != i) for i in sets}
     assert met[0] < 3 * len(rows), met
+
+
+def test_sets_that_meet_by_chance_leave_their_blocks(spark):
+    """Only sets that share a print under every later order with another one of their block, on its other side, stay."""
+    p = lambda *x: np.array(x, np.uint32).tobytes()
+    rows = [
+        (1, 1, 0, 0, None, 1, 5, 1, p(1, 2), p(7)), (1, 1, 0, 0, None, 2, 5, 1, p(2, 3), p(7, 8)), (1, 1, 0, 0, None, 3, 5, 1, p(3), p(9)),
+        (1, 2, 0, 0, False, 1, 5, 1, p(1), p(7)), (1, 2, 0, 0, False, 2, 5, 1, p(1), p(7)), (1, 2, 0, 0, True, 4, 5, 1, p(6), p(7)),
+        (2, 3, 0, 0, False, 5, 5, 1, p(4), p(6)), (2, 3, 0, 0, True, 6, 5, 1, p(4), p(6)), (2, 3, 0, 0, True, 7, 5, 1, p(4), b""),
+    ]
+    blocks = spark.createDataFrame(rows, f"{J._BLOCK}, p1 binary, p2 binary")
+    want = [(1, 1, 1), (1, 1, 2), (2, 3, 5), (2, 3, 6)]
+    assert sorted((r.g, r.h, r.sig) for r in J._filtered(blocks).collect()) == want
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")  # blocks over several batches
+    try:
+        assert sorted((r.g, r.h, r.sig) for r in J._filtered(blocks.coalesce(1)).collect()) == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_shuffle_files_go_with_the_query_that_wrote_them(spark):
+    files = lambda: {f.getName() for f in spark.sparkContext._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()) if "shuffle_" in f.getName()}
+    before, scratch = files(), Scratch(spark, "sweep")
+    for k in range(3):
+        scratch.keep(spark.range(1000).repartition(7, "id").groupBy((F.col("id") % 5).alias("x")).count(), str(k))
+    until = time.time() + 10
+    while (left := files() - before) and time.time() < until:
+        time.sleep(0.2)
+    assert not left
