@@ -408,3 +408,15 @@ def test_nested_loop_and_strips_have_a_bound(spark, monkeypatch):
     assert "NestedLoop" not in pairs._jdf.queryExecution().executedPlan().toString() and pairs.count() == 300
     side = join.Side(10**7, 0.0, 0.0, 1e5, 50.0, 1300.0, 3.0, True)
     assert join.join_grid(side, side, 8, strips=True).nx > 10
+
+
+def test_large_side_of_repeated_geometries_is_joined_by_geometry(spark, monkeypatch):
+    """Beyond GATHER_ROWS a side is gathered if each geometry has MANY_ROWS rows or more, and not below; pairs are the same."""
+    monkeypatch.setattr(join, "GATHER_ROWS", 50)
+    boxes = spark.range(4).select(F.col("id").alias("box"), st.st_makebox(F.col("id") * 2, F.lit(0), F.col("id") * 2 + 2, F.lit(2)).alias("geom"))
+    for distinct, many in ((5, True), (20, False)):
+        points = spark.range(100).select(F.col("id").alias("point"), st.st_point(F.col("id") % distinct, F.lit(1)).alias("geom"))
+        found = join.spatial_join(points, boxes, "intersects", "sj1d").select("point", "box")
+        assert ("collect_list" in found._jdf.queryExecution().toString()) == many
+        want = [(p, b) for p in range(100) for b in range(4) if 2 * b <= p % distinct <= 2 * b + 2]
+        assert sorted(map(tuple, found.collect())) == want
