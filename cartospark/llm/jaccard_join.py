@@ -454,9 +454,9 @@ def jaccard_links(df: DataFrame, text_col: str, total: int, copies: DataFrame, s
     groups = shared.join(kin, "head").join(copies, ["sig", "n"]).select("sig", "n", "copies", F.col("kin").alias("head"), "toks")
     groups = scratch.keep(groups, "groups")
     scratch.drop("suspects")
-    meet = scratch.keep(_meetings(groups, percent), "meet")
+    meet = scratch.keep(_meetings(groups, percent), "meet0")
     blocks = scratch.keep(_blocks_within(groups.drop("toks")).unionByName(_blocks_across(meet)), "blocks")
-    scratch.drop("groups", "meet")
+    scratch.drop("groups", "meet0")
     prints = scratch.keep(_prints(df, text_col, size, percent, held, blocks.select("sig", "n").distinct()), "prints")
     passed = scratch.keep(_filtered(blocks.join(prints, ["sig", "n"])), "passed")  # the filters of all orders, before any whole set moves
     scratch.drop("blocks", "prints")
