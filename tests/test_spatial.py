@@ -1,4 +1,5 @@
 import math
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -420,3 +421,14 @@ def test_large_side_of_repeated_geometries_is_joined_by_geometry(spark, monkeypa
         assert ("collect_list" in found._jdf.queryExecution().toString()) == many
         want = [(p, b) for p in range(100) for b in range(4) if 2 * b <= p % distinct <= 2 * b + 2]
         assert sorted(map(tuple, found.collect())) == want
+
+
+def test_lists_of_equal_geometries_leave_in_stages_of_their_own(spark, monkeypatch):
+    """A generated stage holds all rows of one input row: a pair of lists that spreads in one stage would be held as all pairs of its rows."""
+    monkeypatch.setattr(join, "LIST_ROWS", 16)
+    df = spark.range(120).select("id", st.st_makebox(F.col("id") % 3 * 5, F.lit(0), F.col("id") % 3 * 5 + 2, F.lit(2)).alias("geom"))
+    found = join.self_join(df, "id", "orderingequals").select("l_id", "r_id")
+    assert sorted(map(tuple, found.collect())) == [(i, j) for i in range(120) for j in range(i + 1, 120) if i % 3 == j % 3]
+    plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    stages = re.findall(r"\*\((\d+)\) Generate inline", plan)
+    assert plan.count("Generate inline") == 2 and len(stages) == 1
