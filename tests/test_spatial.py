@@ -432,3 +432,10 @@ def test_lists_of_equal_geometries_leave_in_stages_of_their_own(spark, monkeypat
     plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
     stages = re.findall(r"\*\((\d+)\) Generate inline", plan)
     assert plan.count("Generate inline") == 2 and len(stages) == 1
+
+
+def test_lists_are_filled_evenly_where_geometries_come_in_step(spark, monkeypatch):
+    monkeypatch.setattr(join, "LIST_ROWS", 100)
+    df = spark.range(0, 900, 1, 1).select("id", st.st_point(F.col("id") % 3, F.lit(0)).alias("geom"))
+    sizes = [r.n for r in join.gathered(df, "geom", "rows").select(F.size("rows").alias("n")).collect()]
+    assert sum(sizes) == 900 and len(sizes) == 9 and max(sizes) < 150
